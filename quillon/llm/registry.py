@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-MODULES = ("quality_rules",)
+MODULES = ("quality_rules", "token_counts", "packing")
 QUERIES = {name: query for module in MODULES for name, query in import_module(f"{__package__}.{module}").QUERIES.items()}
