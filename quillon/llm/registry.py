@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "token_counts", "packing", "token_output")
+MODULES = ("quality_rules", "token_counts", "packing", "token_output", "decontamination")
 QUERIES = {name: query for module in MODULES for name, query in import_module(f"{__package__}.{module}").QUERIES.items()}
