@@ -34,9 +34,8 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each text, sorted within it; and where each text begins."""
-    n = len(offsets) - 1
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word (A-Z lower-cased, cut at ASCII white space), and where each text's words begin."""
     raw = _LOWER[raw]
     letter = ~_SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
@@ -44,8 +43,13 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     padded = np.concatenate([[False], letter, [False]])
     start = np.flatnonzero(letter & (~padded[:-2] | edge[:-1]))
     end = np.flatnonzero(letter & (~padded[2:] | edge[1:])) + 1
-    word = Substrings(raw)(start, end)
-    first = np.searchsorted(start, offsets)
+    return Substrings(raw)(start, end), np.searchsorted(start, offsets)
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, sorted within it; and where each text begins."""
+    n = len(offsets) - 1
+    word, first = words_of(raw, offsets)
     n_words = np.diff(first)
     whole = n_words < size
     factors = [mixed(np.array([i + 1], U64))[0] | U64(1) for i in range(size)]
