@@ -1,10 +1,60 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark decontamination, packing.
 
-from quillon.llm.quality_rules import judge  # noqa: F401
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; what it returns is written as Parquet and
+read again as the next one's docs. All but the last return the columns of documents.
+"""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm._common import stored, table
+from quillon.llm._tokens import vocabulary
+from quillon.llm.decontamination import find
+from quillon.llm.near_duplicates import near_duplicates
+from quillon.llm.packing import pack
+from quillon.llm.quality_rules import judge
+from quillon.llm.repeats import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break no rule."""
+    return judge(docs, carry=True).where("kept").select("row.*")
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id."""
+    gone = near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of passages that also start earlier; n_chars follows the text, and no row goes."""
+    left = remove_repeats(docs, ("lang", "source", "n_chars"))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a test item occurs."""
+    return find(docs, table(spark, sf_dir, "benchmark"), more=("text", "lang", "source", "n_chars")).where("not contaminated").select(COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, in sequences of 2048 tokens."""
+    return pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [(f.__name__, f) for f in (quality_rules, near_duplicate_groups, repeated_passages, benchmark_decontamination, best_fit_packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs)
+    return docs

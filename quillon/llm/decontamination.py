@@ -79,7 +79,6 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_words: i
         groups[-1].append(i)
         words += n
     shared = spark.sparkContext.broadcast([[(i, rows[i][2]) for i in g] for g in groups])
-    columns = ["doc_id", "text", *more]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +119,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_words: i
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, *(batch.column(c) for c in more)], ["doc_id", *RESULT, *more])
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hits array<struct<start: long, end: long>>"
-    return texts(docs, *more).select(*columns).mapInArrow(scan, ", ".join([schema, *(f"`{c}` {types[c]}" for c in more)]))
+    return texts(docs, *[c for c in more if c != "text"]).mapInArrow(scan, ", ".join([schema, *(f"`{c}` {types[c]}" for c in more)]))
 
 
 RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits"]

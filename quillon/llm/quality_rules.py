@@ -49,11 +49,14 @@ def _fails(measure: str, least, most, per: str | None) -> Column:
     return reduce(Column.__or__, tests)
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and every measure that THRESHOLDS names."""
-    d = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and every measure that THRESHOLDS names; with carry also row, all that docs has."""
+    more = ["row"] if carry else []
+    d = texts(docs.withColumn("row", F.struct(*docs.columns)), *more) if carry else texts(docs)
+    d = d.withColumn("text", F.coalesce("text", F.lit("")))
     trimmed = F.btrim("text", F.lit(SPACE))
     d = d.select(
+        *more,
         "doc_id",
         "text",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+")).alias("words"),
@@ -65,6 +68,7 @@ def measures(docs: DataFrame) -> DataFrame:
     at = lambda i: F.get("words", i)
     keys = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.shiftleft(F.xxhash64(at(i), at(i + 1), at(i + 2)), POSITION_BITS).bitwiseOR(i.cast("long")))
     d = d.select(
+        *more,
         "doc_id",
         "words",
         F.size("words").cast("long").alias("n_words"),
@@ -92,10 +96,10 @@ def measures(docs: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("words", "windows")
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Per document its measures, base_failed, kept, and failed: the names of the rules it breaks, in the table's order."""
     rules = [F.when(_fails(*r[1:]), F.lit(r[0])) for r in THRESHOLDS]
-    d = measures(docs).withColumn("failed", F.array_compact(F.array(*rules)))
+    d = measures(docs, carry).withColumn("failed", F.array_compact(F.array(*rules)))
     base = reduce(Column.__or__, [_fails(*r[1:]) for r in THRESHOLDS[:N_BASE]])
     return d.withColumn("base_failed", base).withColumn("kept", F.size("failed") == 0)
 

@@ -1,6 +1,11 @@
+import os
+import sys
 import pytest
+
 from pyspark.sql import SparkSession
 
+sys.path[:0] = [os.path.dirname(__file__), os.path.dirname(os.path.dirname(os.path.dirname(__file__)))]
+
 SF = "/root/testdata/sf0.001"
 
 
