@@ -1,3 +1,5 @@
 """Every query by name, with its DuckDB twin or None."""
 
-QUERIES: dict = {}
+from . import access, pages
+
+QUERIES = pages.QUERIES | access.QUERIES
