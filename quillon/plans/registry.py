@@ -1,5 +1,5 @@
 """Every query by name, with its DuckDB twin or None."""
 
-from . import access, pages
+from . import access, markup, pages, streams
 
-QUERIES = pages.QUERIES | access.QUERIES
+QUERIES = pages.QUERIES | access.QUERIES | markup.QUERIES | streams.QUERIES
