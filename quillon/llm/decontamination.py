@@ -15,18 +15,23 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pieces, table, texts
+from ._common import pieces, stored, table, texts
 
 WINDOW = 10  # words
 MAX_WORDS = 2_000_000  # of benchmark text in one automaton
 MAX_CHARACTERS = 64_000_000  # of benchmark text that is broadcast at all
 
+RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits"]
+SPANS, RUNS = "array<struct<start: long, end: long>>", "array<struct<first: long, last: long>>"
+SPAN_LIST, RUN_LIST = (pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())])) for a, b in (("start", "end"), ("first", "last")))
+
 #: Every UTF-8 byte below 0x80 that is no digit or letter becomes a space; A-Z become a-z. Bytes from 0x80 on belong to words.
 NORMAL = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 #: The same classes, for texts that must stay as they are.
@@ -58,15 +63,53 @@ def automaton(items: list[tuple[int, str | None]], size: int):
     return a if found else None
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_words: int = MAX_WORDS, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (ids), and hits (byte spans of the text, joined where
-    they touch in words); the columns in more are carried along."""
-    spark = docs.sparkSession
+def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_words: int = MAX_WORDS, more: tuple[str, ...] = (), max_characters: int = MAX_CHARACTERS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (ids), and hits (byte spans of the text, joined where they
+    touch in words); the columns in more are carried along. Up to max_characters of benchmark text are broadcast; a larger
+    benchmark is taken in blocks of that size, each scanned for in turn, and what the blocks found is joined by row."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
-    sized = items.withColumn("n", F.length("text"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    if total > MAX_CHARACTERS:
-        raise ValueError(f"the benchmark has {total} characters; at most {MAX_CHARACTERS} are broadcast")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if total <= max_characters:
+        return _scan(docs, items, size, max_words, more).drop("runs", "nameless")
+    blocks = -(-2 * total // max_characters)  # half full on average, as a hash fills them
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    parts = [_scan(numbered, items.where(F.pmod(F.xxhash64("text", "id"), F.lit(blocks)) == b), size, max_words, ("_row",)) for b in range(blocks)]
+    each = reduce(DataFrame.union, [p.select("_row", "n_words", "items", "nameless", "runs") for p in parts])
+    found = each.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.sum("nameless").alias("nameless"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+    # Sorted runs of words: those that touch become one.
+    joined = F.aggregate(
+        "runs",
+        F.array().cast("array<struct<first: long, last: long>>"),
+        lambda done, r: F.when(
+            F.get(done, F.size(done) - 1)["last"] + 1 >= r["first"],
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.get(done, F.size(done) - 1)["first"].alias("first"), F.greatest(F.get(done, F.size(done) - 1)["last"], r["last"]).alias("last")))),
+        ).otherwise(F.concat(done, F.array(r))),
+    )
+    found = found.withColumn("runs", joined)
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    found = found.select("_row", "n_words", n_hit.alias("n_hit"), (F.size("items") + F.col("nameless")).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "items", "runs")
+    met = numbered.join(found, "_row")
+    return _with_spans(met.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *RESULT[:6], "runs", *[c for c in more if c != "text"]), more)
+
+
+def _with_spans(d: DataFrame, more: tuple[str, ...]) -> DataFrame:
+    """Word runs as byte spans of the text."""
+    names = ["doc_id", *RESULT, *more]
+    types = {f.name: f.dataType.simpleString() for f in d.schema.fields} | {"hits": SPANS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                at = [m.span() for m in WORD.finditer((text or "").encode().lower())] if runs else []
+                hits.append([{"start": at[r["first"]][0], "end": at[r["last"]][1]} for r in runs])
+            yield pa.RecordBatch.from_arrays([pa.array(hits, SPAN_LIST) if c == "hits" else batch.column(c) for c in names], names)
+
+    return d.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
+
+
+def _scan(docs: DataFrame, items: DataFrame, size: int, max_words: int, more: tuple[str, ...]) -> DataFrame:
+    spark = docs.sparkSession
     rows = sorted((r.id is None, r.id or "", r.text) for r in items.collect())
     names = [None if none else name for none, name, _ in rows]
     groups: list[list[int]] = [[]]
@@ -97,7 +140,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_words: i
                             for end, (k, found) in a.iter(flat):
                                 hit.append((end, k))
                                 places.update(g[p][0] for p in found)
-                    spans_ = []
+                    spans_, runs = [], []
                     n_hit = 0
                     if hit:
                         # Word i ends at the space ends[i] of the flat text.
@@ -110,21 +153,19 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_words: i
                         n_hit = int(on.sum())
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
                         at = [m.span() for m in WORD.finditer(raw.lower())]
-                        spans_ = [(at[i][0], at[j - 1][1]) for i, j in edge.reshape(-1, 2).tolist()]
+                        runs = [{"first": i, "last": j - 1} for i, j in edge.reshape(-1, 2).tolist()]
+                        spans_ = [(at[r["first"]][0], at[r["last"]][1]) for r in runs]
                     ids = [names[p] for p in sorted(places)]
-                    out.append((n, n_hit, len(ids), [x for x in ids if x is not None], [{"start": s, "end": e} for s, e in spans_]))
-                n, n_hit, n_items, ids, hits = (list(c) for c in zip(*out, strict=True))
+                    out.append((n, n_hit, len(ids), [x for x in ids if x is not None], [{"start": s, "end": e} for s, e in spans_], runs, ids.count(None)))
+                n, n_hit, n_items, ids, hits, runs, nameless = (list(c) for c in zip(*out, strict=True))
                 sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in ids]
-                arrays = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha), pa.array([x > 0 for x in n_hit]), pa.array(ids, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, *(batch.column(c) for c in more)], ["doc_id", *RESULT, *more])
+                arrays = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha), pa.array([x > 0 for x in n_hit]), pa.array(ids, pa.list_(pa.string())), pa.array(hits, SPAN_LIST), pa.array(runs, RUN_LIST), pa.array(nameless, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, *(batch.column(c) for c in more)], ["doc_id", *RESULT, "runs", "nameless", *more])
 
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hits array<struct<start: long, end: long>>"
+    schema = f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hits {SPANS}, runs {RUNS}, nameless long"
     return texts(docs, *[c for c in more if c != "text"]).mapInArrow(scan, ", ".join([schema, *(f"`{c}` {types[c]}" for c in more)]))
 
 
-RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits"]
-
-
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", *RESULT[:5])
 
