@@ -7,10 +7,13 @@ in tables made once per text, nesting is cut at MAX_DEPTH, and a group that is n
 from __future__ import annotations
 
 import html
+import json
 import re
 from bisect import bisect_left
 from dataclasses import dataclass, field
 
+from .condition import evaluate
+
 MAX_DEPTH = 60
 HEADING = re.compile(r"^(={1,6})(#?) (.+) \2\1$")
 RULE = re.compile(r"^-{4,9}$")
@@ -470,6 +473,43 @@ def render_html(source: str, exists=lambda title: True, page: str = "") -> str:
     return _Html(tree, exists, page).page_html()
 
 
+def expand(source: str, templates: dict[str, str]) -> str:
+    """Includes replaced by their templates, one level deep: an include inside a template is dropped. Arguments fill @name@ and
+    @name=default@; conditional groups keep their body if the condition holds, with what it binds."""
+    return _filled(source, parse(source), {}, templates)
+
+
+def _filled(source: str, node: Node, names: dict, templates: dict[str, str] | None) -> str:
+    out, at = [], node.start
+    for c in node.children:
+        out.append(source[at : c.start])
+        at = c.end
+        if c.kind == "macro" and c.value.lower() == "include" and c.children:
+            if templates is None:
+                continue
+            name, *args = c.children[0].value.split(",")
+            body = templates.get(name.strip())
+            if body is not None:
+                given = {"calleeTitle": name.strip()} | {k.strip(): v.strip() for k, s, v in (a.partition("=") for a in args) if s}
+                out.append(_filled(body, parse(body), given, None))
+        elif c.kind == "variable" and templates is None:
+            value = names.get(c.value)
+            out.append(str(value) if value is not None else c.children[0].value if c.children else "")
+        elif c.kind == "if" and templates is None:
+            bound = evaluate(c.value, names)
+            if bound is not None:
+                out.append("".join(_filled(source, b, bound, None) for b in c.children))
+        else:
+            out.append(_filled(source, c, names, templates))
+    return "".join([*out, source[at : node.end]])
+
+
+def tree_json(source: str) -> str:
+    """The tree as JSON: type, start, end, value and children where there are any."""
+    show = lambda n: {"type": n.kind, "start": n.start, "end": n.end} | ({"value": n.value} if n.value else {}) | ({"children": [show(c) for c in n.children]} if n.children else {})
+    return json.dumps(show(parse(source)), ensure_ascii=False)
+
+
 ALLOWED = frozenset("a b i u s em strong del ins sub sup br span div p ul ol li".split())
 DROPPED = frozenset("script style iframe object embed noscript template".split())
 ATTRIBUTES = frozenset("href class style title id colspan rowspan".split())

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import fingerprint as H
 from ..functions import markup as M
+from ..functions.condition import evaluate
 
 
 def rows_of(d: DataFrame, columns: list[str], make: Callable[..., list[tuple]], schema: str) -> DataFrame:
@@ -58,3 +60,27 @@ def diff_lines(d: DataFrame) -> DataFrame:
 
 def merge_edits(d: DataFrame) -> DataFrame:
     return rows_of(d, ["base", "current", "proposed"], lambda o, a, b: [M.merge3(o, a, b)], "merged string, conflict boolean")
+
+
+def render_json(d: DataFrame) -> DataFrame:
+    return rows_of(d, ["text"], lambda t: [(M.tree_json(t),)], "tree string")
+
+
+def expand_includes(d: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """templates: those that the pages ask for, a bounded choice made by the caller."""
+    return rows_of(d, ["text"], lambda t: [(M.expand(t, templates),)], "text string")
+
+
+def conditions(d: DataFrame, bindings: dict) -> DataFrame:
+    """Of (id, text): whether the condition holds, and the bindings it leaves as sorted name=value texts."""
+
+    def run(text: str) -> list[tuple]:
+        bound = evaluate(text, bindings)
+        return [(bound is not None, sorted(f"{k}={v}" for k, v in (bound or {}).items()))]
+
+    return rows_of(d, ["text"], run, "holds boolean, names array<string>")
+
+
+def html_differences(d: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
+    """Of (id, left, right): each pair of fingerprint lines that differ, with its kind."""
+    return rows_of(d, ["left", "right"], lambda a, b: [(*p, H.kind_of(p)) for p in H.differences(H.fingerprint(a), H.fingerprint(b), known=known)], "left string, right string, kind string")

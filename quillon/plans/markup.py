@@ -29,6 +29,10 @@ _Q = {
     "render_html": (lambda w: M.render_html(w.marked_text), None),
     "plain_text": (lambda w: M.plain_text(w.marked_text), None),
     "sanitize_pages": (lambda w: M.sanitize(_PAGES(w)), None),
+    "render_json": (lambda w: M.render_json(w.marked_text), None),
+    "expand_includes": (lambda w: M.expand_includes(w.marked_text, {"틀:Box": "{{{#!if a == '1'\nA=@a@ B=@b@ @c=none@ [include(틀:Box)]\n}}}"}), None),
+    "condition_eval": (lambda w: M.conditions(w.document.select("id", F.concat(F.lit("top = name != null ? name : title; "), (F.col("id") % 3).cast("string"), F.lit(" == n")).alias("text")), {"n": 1, "title": "Page"}).select("id", "holds", F.array_join("names", ",").alias("names")), "SELECT id, id % 3 = 1 AS holds, CASE WHEN id % 3 = 1 THEN 'n=1,title=Page,top=Page' ELSE '' END AS names FROM {document}"),
+    "html_fingerprint_diff": (lambda w: M.html_differences(_PAGES(w).select("id", F.col("text").alias("left"), F.replace(F.replace("text", F.lit("<h1>"), F.lit("<h2 id='x'>")), F.lit("</h1>"), F.lit("</h2>")).alias("right"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("left").alias("sample")), None),
     "diff_lines": (_diff, None),
     "merge_edits": (_merge, None),
 }

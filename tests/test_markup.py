@@ -62,3 +62,28 @@ def test_diff_and_merge():
         assert lcs >= sum(m.size for m in difflib.SequenceMatcher(None, a, b, False).get_matching_blocks())
     assert M.merge3("a\nb\nc", "A\nb\nc", "a\nb\nC") == ("A\nb\nC", False)
     assert M.merge3("a\nb", "x\nb", "y\nb") == ("x\nb", True)
+
+
+def test_conditions():
+    from quillon.functions.condition import evaluate
+
+    assert evaluate("top = a != null ? a : b", {"b": "B"}) == {"b": "B", "top": "B"}
+    assert evaluate("(x == null) == (y == null)", {}) is not None and evaluate("x == 'a' || y", {"x": "b"}) is None
+    assert evaluate("s.length == 3 && s.startsWith('a') && s.indexOf('c') == 2 && s.substr(-2, 1) == 'b'", {"s": "abc"}) is not None
+    assert evaluate("n?.length == null", {}) is not None and evaluate("1 + 2 == 3 & '1' + 2 == '12'", {}) is not None
+    for broken in ("a ==", "(", "a.b()", "'open", "1 2", "a.length", "@"):
+        assert evaluate(broken, {}) is None
+
+
+def test_includes():
+    t = {"틀:T": "<@a@|@b=d@>[include(틀:T)]{{{#!if a == '1'\nyes}}}"}
+    assert M.expand("x [include(틀:T, a=1)] y [include(틀:없음)]", t) == "x <1|d>yes y "
+    assert M.expand("[include(틀:T, b=2)]", t) == "<|2>"
+
+
+def test_fingerprints():
+    from quillon.functions.fingerprint import differences, fingerprint
+
+    a = fingerprint("<p id=1 class=b>x  y<script>q</script><br></p>")
+    assert a == ["<p class=b>", "x y", "<br>", "</p>"] and differences(a, a) == []
+    assert differences(["a", "b", "c"], ["a", "x", "c", "d"]) == [("b", "x"), ("", "d")] and differences(["k1"], ["k2"], known=("k",)) == []
