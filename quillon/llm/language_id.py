@@ -33,7 +33,7 @@ FEATURES = 1 << 16
 LEXICON = 3000  # words of a language's lexicon at most
 STEPS, BATCH, RATE, DECAY = 240, 128, 0.08, 1e-6
 WORDS_KEPT = 400_000  # words whose emissions a process remembers
-STEP = 16 << 20
+STEP = 4 << 20
 
 
 # --- features ------------------------------------------------------------------------------------------------------
