@@ -3,9 +3,9 @@
 Documents with equal shingle sets are one class from the start, whatever their number. The classes' representatives are
 hashed once per shingle into bins (one permutation); an empty bin takes the value of a bin that a universal hash of its
 number and the attempt picks (optimal densification). Bands of bins name buckets. A bucket of m members gives m - 1
-candidates, all to one hub, instead of m * (m - 1) / 2; each is confirmed on the full sets. As a star can miss a link
-between two members that are both unlike the hub, buckets whose members are still in different components get other
-hubs, round after round, until a round finds no link.
+candidates, all to one hub, instead of m * (m - 1) / 2; each is confirmed on the full sets. A star can miss a link between
+two members that are both unlike the hub: for buckets of three and more that still hold different components, candidates
+across components follow from an exact prefix filter, which needs no bound on a bucket's size.
 
 Defined results: a null or word-free text has an empty set and is linked with nothing; one or two words are one shingle.
 Rows that share a doc_id are one node of the graph, each with its own set size. A null doc_id is linked with nothing; its
@@ -27,8 +27,7 @@ from .components import connected_components
 
 ROWS = 5  # bins in a band
 MISS = 1e-7  # chance that no band shows a pair just at the threshold
-HUBS = 32  # components of a bucket that have a hub in one round
-IDLE = 3  # rounds without a link after which crowded buckets are left alone
+SKETCH = 1 << 20  # counters of shingle rarity, which is only about speed
 FAN = 128  # members that are compared with a hub in one group
 _SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -117,16 +116,16 @@ def _hashed(docs: DataFrame, size: int, bands: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>")
 
 
-def confirm(docs: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of candidates (hub, member), those with 100 * |intersection| >= percent * |union| on the full sets.
+def confirm(pool: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of candidates (hub, member), those with 100 * |intersection| >= percent * |union| on the full sets of pool(doc_id, text).
 
-    Texts meet in groups of a hub and FAN members at most: a hub with many members heads several groups.
+    Texts meet in groups of a hub and FAN members or so: a hub with many members heads several groups.
     """
     c = candidates.select("hub", "member", F.lit(0).alias("salt"))
     degree = c.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
     c = c.drop("salt").join(degree, "hub").select("hub", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / FAN)).alias("salt"), "member")
     roles = c.select("hub", "salt", F.col("member").alias("doc_id"), F.lit(1).alias("role")).union(c.select("hub", "salt", F.col("hub").alias("doc_id"), F.lit(0).alias("role")).distinct())
-    met = roles.join(docs.where("doc_id is not null"), "doc_id").select("hub", "salt", "role", "doc_id", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "doc_id")
+    met = roles.hint("merge").join(pool, "doc_id").select("hub", "salt", "role", "doc_id", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, hub_sets = None, []
@@ -155,50 +154,93 @@ def confirm(docs: DataFrame, candidates: DataFrame, size: int, percent: int) ->
     return met.mapInArrow(compare, "a long, b long")
 
 
+def rarity(pool: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of pool(text) fall into each of SKETCH hash buckets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for big in batches:
+            for batch in pieces(big):
+                total += np.bincount((shingle_sets(*utf8(batch.column("text")), size)[0] % U64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    rows = pool.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SKETCH, np.uint32)
+    out[rows["bucket"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 2**32 - 1)
+    return out
+
+
+def across_components(pool: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates (hub, member) that miss no link between different components of pool(doc_id, text, component).
+
+    Sets as alike as percent share a shingle among the first n - ceil(percent * n / 100) + 1 of each, in any common order;
+    in the order of rarity such prefixes hold what sets an edited copy apart, and few others share it (prefix and position
+    filter of exact set similarity joins, Xiao et al. 2008).
+    """
+    sketch = pool.sparkSession.sparkContext.broadcast(rarity(pool, size))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in pieces(big):
+                h, begin = shingle_sets(*utf8(batch.column("text")), size)
+                n = np.diff(begin)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, sketch.value[(h % U64(SKETCH)).astype(np.int64)], row))
+                place = np.arange(len(h)) - begin[row]
+                first = place < (n - -(-percent * n // 100) + 1)[row]
+                row, place, h = row[first], place[first], h[order][first]
+                ids, parts = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "component"))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(parts), pa.array(n[row]), pa.array(place)], ["shingle", "doc_id", "component", "n", "place"])
+
+    p = stored(pool.select("doc_id", "text", "component").mapInArrow(prefixes, "shingle long, doc_id long, component long, n long, place long"))
+    several = p.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    p = p.join(several, "shingle")
+    a, b = (p.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "n", "place")]) for x in "ab")
+    # The first shared shingle of a linked pair has nothing before it, so what comes after it must be enough.
+    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    enough = rest * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
+    pairs = a.join(b, "shingle").where((F.col("a_component") < F.col("b_component")) & enough)
+    return pairs.select(F.least("a_doc_id", "b_doc_id").alias("hub"), F.greatest("a_doc_id", "b_doc_id").alias("member")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     d = texts(docs)
     hashed = stored(_hashed(d, size, band_count(percent)))
     real = hashed.where("doc_id is not null and n_shingles > 0")
     classes = real.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    members = stored(real.join(classes, ["key_a", "key_b"]).select("doc_id", "rep", "bands"))
+    # Rows that share a doc_id tie their classes together: such ids are linked to each class's representative.
+    members = stored(real.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"]).select("doc_id", "rep"))
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    buckets = members.where("doc_id = rep").select("rep", F.posexplode("bands").alias("band", "name"))
-    crowded = buckets.groupBy("band", "name").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    shared = stored(buckets.join(crowded.select("band", "name"), ["band", "name"]).select("rep", F.xxhash64("band", "name").alias("bucket")))
-    labels = shared.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct()
-    links = tested = None
-    turn = idle = 0
-    while idle < IDLE:
-        named = shared.join(labels.withColumnRenamed("node", "rep"), "rep")
-        if not turn:
-            hubs = named.groupBy("bucket").agg(F.min("rep").alias("hub")).withColumn("home", F.col("hub"))
-        else:
-            # One member of each component in a bucket (another one every round), of HUBS components or so if there are many. The
-            # choice depends on the component, not on the bucket, so that the bands propose the same pairs.
-            one = named.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"))).alias("h"))
-            crowd = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / HUBS)))).cast("long")
-            hubs = one.join(crowd, "bucket").where(F.pmod(F.xxhash64("component", F.lit(turn)), step) == 0).select("bucket", F.col("h.rep").alias("hub"), F.col("component").alias("home"))
-        star = named.join(hubs, "bucket").where("component <> home")
-        star = star.select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("member")).distinct()
-        star = stored(star if tested is None else star.join(tested, ["hub", "member"], "left_anti"))
-        if star.isEmpty():
-            break
-        tested = star if tested is None else tested.union(star)
-        found = stored(confirm(d, star, size, percent))
-        turn += 1
-        if found.isEmpty():
-            idle += 1
-            continue
-        idle = 0
-        links = found if links is None else links.union(found)
-        parts = connected_components(links)
-        labels = stored(shared.select(F.col("rep").alias("node")).distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    # One row per class: rows of a representative's id with another text are other classes.
+    reps = real.join(classes, ["key_a", "key_b"]).where("doc_id = rep").dropDuplicates(["key_a", "key_b"])
+    buckets = reps.select("rep", F.posexplode("bands").alias("band", "name"))
+    crowded = buckets.groupBy("band", "name").agg(F.count(F.lit(1)).alias("crowd"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    shared = stored(buckets.join(crowded.select("band", "name", "crowd"), ["band", "name"]).select("rep", F.xxhash64("band", "name").alias("bucket"), "crowd"))
+    # A bucket's hub is the member with most company in all its buckets: in a family of edited copies that is the text they come
+    # from, and the same in every band, so that a family of m gives little more than m candidates.
+    company = shared.groupBy("rep").agg(F.sum("crowd").alias("company"))
+    named = shared.join(company, "rep")
+    hubs = named.groupBy("bucket").agg(F.max(F.struct("company", -F.col("rep"))).alias("h")).select("bucket", (-F.col("h.col2")).alias("hub"))
+    star = stored(named.join(hubs, "bucket").where("rep <> hub").select("hub", F.col("rep").alias("member")).distinct())
+    # Neither side has a size bound, so these joins of texts are never broadcast joins, at any size.
+    pool = stored(d.join(company.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
+    links = stored(confirm(pool, star, size, percent))
+    labels = _labels(company, links)
+    # What a star can miss: links between components in buckets of three and more. These are looked for exactly.
+    open_ = shared.where("crowd > 2").join(labels.withColumnRenamed("node", "rep"), "rep")
+    open_buckets = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    unsettled = open_.join(open_buckets, "bucket").select(F.col("rep").alias("doc_id"), "component").distinct()
+    unsettled = stored(pool.join(unsettled.hint("merge"), "doc_id"))
+    more = stored(confirm(unsettled.select("doc_id", "text"), across_components(unsettled, size, percent), size, percent))
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = _labels(company, links)
     # Copies hang on their representative, the least id of their class. Unless an id stands in several classes, the rounds
     # above have settled everything between representatives, and copies need not enter the graph.
     if _shared_ids(members):
-        final = connected_components(copies if links is None else copies.union(links))
+        final = connected_components(copies.union(links))
     else:
         final = members.select("doc_id", F.col("rep").alias("node")).join(labels, "node", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "node").alias("component"))
     final = final.groupBy("node").agg(F.min("component").alias("component"))
@@ -207,6 +249,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    parts = connected_components(links)
+    return stored(nodes.select(F.col("rep").alias("node")).distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+
 def _shared_ids(members: DataFrame) -> bool:
     """Whether any doc_id stands in two classes."""
     return not members.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").isEmpty()
