@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, pieces, stored, table, texts, utf8
+from ._common import U64, ids_of, pieces, stored, table, texts, utf8
 from .near_duplicates import words_of
 
 BUCKETS = 10_000
@@ -29,6 +29,7 @@ SMOOTHING = 1.0
 EFFECTIVE = 64
 SHARE = 0.75  # of the documents with a weight that are drawn
 BINS = 4096
+IDS = 4_000_000  # labelled ids that are broadcast at once, 8 bytes each
 
 
 def ngram_buckets(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,20 +47,43 @@ def ngram_buckets(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[n
     return np.concatenate([one, two])[order], np.concatenate([[0], np.cumsum(counts)])
 
 
-def model(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """N-gram counts by bucket over all texts of docs(text)."""
+def counted(docs: DataFrame, ids: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram counts by bucket over all texts of docs(doc_id, text), and over those whose doc_id is in the sorted ids."""
+    wanted = docs.sparkSession.sparkContext.broadcast(ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros((2, buckets), np.int64)
         for big in batches:
             for batch in pieces(big):
-                total += np.bincount(ngram_buckets(*utf8(batch.column("text")), buckets)[0], minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(total)], ["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(buckets, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
+                bucket, begin = ngram_buckets(*utf8(batch.column("text")), buckets)
+                total[0] += np.bincount(bucket, minlength=buckets)
+                own = ids_of(batch.column("doc_id"))
+                at = np.minimum(np.searchsorted(wanted.value, own), max(len(wanted.value) - 1, 0))
+                hit = wanted.value[at] == own if len(wanted.value) else np.zeros(len(own), bool)
+                total[1] += np.bincount(bucket[np.repeat(hit, np.diff(begin))], minlength=buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(total[0]), pa.array(total[1])], ["bucket", "n", "t"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(count, "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+    out = np.zeros((2, buckets), np.int64)
+    for i, c in enumerate("nt"):
+        out[i, rows["bucket"].to_numpy()] = rows[c].to_numpy()
+    return out[0], out[1]
+
+
+def models(docs: DataFrame, wanted: DataFrame, buckets: int = BUCKETS, most: int = IDS) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all documents and of the wanted ones. Texts are not shuffled to meet their labels: up to most ids are broadcast;
+    more are taken in ranges of about so many, each in a scan of the documents in that range."""
+    n = wanted.count()
+    ids = lambda d: np.sort(d.toArrow()["doc_id"].to_numpy())
+    if n <= most:
+        return counted(docs, ids(wanted), buckets)
+    raw, target = counted(docs, np.zeros(0, np.int64), buckets)
+    k = -(-2 * n // most)
+    cuts = wanted.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.1 / k)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = (F.lit(True) if low is None else F.col("doc_id") >= int(low)) & (F.lit(True) if high is None else F.col("doc_id") < int(high))
+        target = target + counted(docs.where(inside), ids(wanted.where(inside)), buckets)[1]
+    return raw, target
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -94,11 +118,12 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = 1, most: int = IDS) -> DataFrame:
     """doc_id, n_ngrams, log_weight, sample_key, kept. target: (doc_id) of the documents to be like."""
     d = texts(docs)
-    wanted = target.select("doc_id").where("doc_id is not null").distinct()
-    ratios = d.sparkSession.sparkContext.broadcast(log_ratios(model(d.join(wanted, "doc_id", "left_semi")), model(d)))
+    wanted = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    raw, like = models(d, wanted, most=most)
+    ratios = d.sparkSession.sparkContext.broadcast(log_ratios(like, raw))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:

@@ -38,6 +38,8 @@ def test_weights_and_draw(spark, documents):
     for r in rows:
         n = int(counts[r.doc_id].sum())
         assert r.n_ngrams == n and r.log_weight == pytest.approx(float((counts[r.doc_id] * ratios).sum()) * min(1, EFFECTIVE / n))
+    again = resample(documents, labels.where("quality = 1"), 0.5, most=20).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
     keys = sorted((r.sample_key for r in rows), reverse=True)
     assert [r.sample_key >= keys[len(rows) // 2 - 1] for r in rows] == [r.kept for r in rows]
 
