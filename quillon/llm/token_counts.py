@@ -65,9 +65,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, hot_rows: i
     d = texts(docs)
     spark = d.sparkSession
     counted = stored(pieces_per_pre_token(pre_token_frequencies(d, tokenizer), tokenizer))
-    # The rank of a hot pre-token is found by its frequency; ties beyond the bound stay in the shuffle join.
-    short = counted.where(F.octet_length("pre_token") <= HOT_BYTES)
-    rows = short.orderBy(F.desc("n"), "pre_token").limit(hot_rows).select("pre_token", "pieces").toArrow() if hot_rows else None
+    # Hot pre-tokens are those of the highest classes of frequency that together stay within the bound: a histogram of some
+    # hundred classes finds them, and nothing is sorted in one place.
+    short = counted.where(F.octet_length("pre_token") <= HOT_BYTES).withColumn("class", F.floor(16 * F.log2("n")).cast("int"))
+    least, room = None, hot_rows
+    for r in sorted(short.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["class"]):
+        if r.n > room:
+            break
+        least, room = r["class"], room - r.n
+    rows = short.where(F.col("class") >= least).select("pre_token", "pieces").toArrow() if least is not None else None
     hot = spark.sparkContext.broadcast(dict(zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True)) if rows else {})
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
