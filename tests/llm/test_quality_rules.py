@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import duckdb
-from conftest import ODD_ROWS
+from odd_rows import ODD_ROWS
 
 from quillon.llm.quality_rules import ORACLE_SQL, judge, op9_quality_rules
 
