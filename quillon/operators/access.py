@@ -72,6 +72,14 @@ def threads(w, status: str | None = None, limit: int = 100) -> DataFrame:
     return with_titles(d.orderBy(F.desc("id")).limit(limit), w.document, w.namespace).select("id", "topic", "status", display().alias("title"))
 
 
+def threads_of(w, namespace: str, title: str) -> DataFrame:
+    """Every thread of one document, newest first by creation."""
+    names = w.namespace.where(F.col("name") == namespace).select(F.col("id").alias("namespace_id"))
+    document = w.document.where(F.col("title") == title).join(F.broadcast(names), "namespace_id", "left_semi").select(F.col("id").alias("document_id"))
+    d = with_titles(w.thread.join(document, "document_id", "left_semi"), w.document, w.namespace)
+    return d.orderBy(F.desc("id")).select("id", "topic", "status", display().alias("title"))
+
+
 def timeline(w) -> DataFrame:
     """Comments with hidden ones blanked."""
     return w.thread_comment.select("thread_id", "sequence", "author", F.when(F.col("hidden"), F.lit("")).otherwise(F.col("content")).alias("content"), "hidden")

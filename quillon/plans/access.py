@@ -56,7 +56,7 @@ _Q = {
     "granted_permissions": (A.granted_permissions, "SELECT DISTINCT user_id, permission FROM {user_permission} WHERE revoked_at IS NULL"),
     "recent_threads": (A.threads, f"SELECT r.id, r.topic, r.status, {DISPLAY} AS title FROM (SELECT * FROM {{thread}} ORDER BY id DESC LIMIT 100) r {NAMED}"),
     "recent_threads_by_status": (lambda w: A.threads(w, "pause", 20), f"SELECT r.id, r.topic, r.status, {DISPLAY} AS title FROM (SELECT * FROM {{thread}} WHERE status = 'pause' ORDER BY id DESC LIMIT 20) r {NAMED}"),
-    "threads_of_document": (lambda w: A.threads(w).where("title = 'Doc 5'"), f"SELECT r.id, r.topic, r.status, {DISPLAY} AS title FROM (SELECT * FROM {{thread}} ORDER BY id DESC LIMIT 100) r {NAMED} WHERE d.title = 'Doc 5' AND ns.name = 'main'"),
+    "threads_of_document": (lambda w: A.threads_of(w, "main", "Doc 5"), f"SELECT r.id, r.topic, r.status, {DISPLAY} AS title FROM (SELECT * FROM {{thread}} ORDER BY id DESC LIMIT 100) r {NAMED} WHERE d.title = 'Doc 5' AND ns.name = 'main'"),
     "thread_status_counts": (A.thread_status_counts, "SELECT status, count(*) AS n FROM {thread} GROUP BY 1"),
     "thread_timeline_masked": (A.timeline, "SELECT thread_id, sequence, author, CASE WHEN hidden THEN '' ELSE content END AS content, hidden FROM {thread_comment}"),
     "open_edit_requests": (A.open_edit_requests, f"SELECT r.id, {DISPLAY} AS title, {AUTHOR} AS author, r.created_at FROM (SELECT * FROM {{edit_request}} WHERE status = 'open' ORDER BY created_at DESC, id DESC LIMIT 100) r {NAMED} JOIN {{actor}} a ON a.id = r.actor_id"),
