@@ -13,6 +13,9 @@ from ..functions import fingerprint as H
 from ..functions import markup as M
 from ..functions.condition import evaluate
 
+#: Characters of text whose rows are held at once.
+STEP = 1_000_000
+
 
 def rows_of(d: DataFrame, columns: list[str], make: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """make(text columns) gives rows; each comes with its id. Nulls are empty texts."""
@@ -20,11 +23,20 @@ def rows_of(d: DataFrame, columns: list[str], make: Callable[..., list[tuple]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_schema = to_arrow_schema(kind)
-        for batch in batches:
-            ids = batch.column("id").to_pylist()
-            out = [(i, *row) for i, *values in zip(ids, *(batch.column(c).to_pylist() for c in columns), strict=True) for row in make(*(v or "" for v in values))]
+        def packed(out: list[tuple]) -> pa.RecordBatch:
             columns_out = list(zip(*out, strict=True)) or [[] for _ in out_schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns_out, out_schema, strict=True)], schema=out_schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns_out, out_schema, strict=True)], schema=out_schema)
+
+        for batch in batches:
+            out, size = [], 0
+            for i, *values in zip(*(batch.column(c) for c in ["id", *columns]), strict=True):
+                texts = [v.as_py() or "" for v in values]
+                out += [(i.as_py(), *row) for row in make(*texts)]
+                size += sum(map(len, texts))
+                if size >= STEP:  # whole texts: the rows of a batch go out in parts
+                    yield packed(out)
+                    out, size = [], 0
+            yield packed(out)
 
     return d.select("id", *columns).mapInArrow(run, kind)
 

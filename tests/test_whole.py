@@ -1,8 +1,18 @@
 """Queries do the whole job: small inputs on which a cut would show."""
 
+import re
 from types import SimpleNamespace
 
+import pytest
+
+from quillon.functions import markup as M
 from quillon.operators import access as A
+from quillon.operators import markup as O
+from quillon.plans.registry import QUERIES
+from quillon.sources.world import World
+
+#: Longer than any cut, with markup at the far end only.
+LONG = "plain words & more " * 300 + "\n== Far ==\n==== Farther ====\n[[/far|x]] [[분류:Far off]] [nope] @far=1@ '''b'''\n||c||\n[include(틀:Box, a=1)]" + "\nend " * 50
 
 
 def test_threads_of_document_are_all_there(spark):
@@ -13,3 +23,33 @@ def test_threads_of_document_are_all_there(spark):
     )
     got = A.threads_of(w, "main", "Doc 5").collect()
     assert [(r.id, r.topic, r.title) for r in got] == [(i, f"Topic {i}", "Doc 5") for i in range(299, 0, -2)]
+
+
+@pytest.fixture
+def long_texts(spark, tmp_path):
+    d = str(tmp_path / "in")
+    spark.createDataFrame([(7, "short", "xx", "s", 5), (8, LONG, "xx", "s", len(LONG))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def test_markup_queries_read_whole_texts(spark, long_texts):
+    marked = {r.id: r.text for r in World(spark, long_texts).marked_text.collect()}
+    assert marked[8].endswith(LONG) and marked[7].endswith("short")
+    rows = lambda name: sorted(tuple(r) for r in QUERIES[name][0](spark, long_texts).where("id = 8").collect())
+    s = marked[8]
+    assert rows("parse_tokens") == sorted((8, *t) for t in M.token_rows(s))
+    assert rows("render_html") == [(8, M.render_html(s))] and rows("plain_text") == [(8, M.plain_text(M.parse(s)))] and rows("render_json") == [(8, M.tree_json(s))]
+    assert rows("token_headings") == [(8, 4)] and len(rows("heading_outline")) == 4 and (8, 4, 4, 2) in rows("heading_level_skips")
+    assert (8, "link", "Page/Sub/far") in rows("scan_refs") and (8, "/far", "Page/8/far") in rows("relative_link_targets") and (8, "/far") in rows("link_targets")
+    assert rows("category_extract") == [(8, "Far off"), (8, "xx")] and (8, "far") in rows("template_variables")
+    assert {(c, d) for _, _, c, d in rows("diagnose")} >= {("unsupported-macro", "nope"), ("heading-level-skip", "2->4")}
+    assert [(r.detail, r.n) for r in QUERIES["unknown_macros"][0](spark, long_texts).collect()] == [("nope", 1)]
+    assert rows("marker_residue")[0][1:] == tuple(len(re.findall(re.escape(m), s)) for m in ("[[", "]]", "{{{", "}}}", "'''", "||", "[*", "#!"))
+    assert rows("expand_includes")[0][1].count("A=1") == 2 and rows("expand_includes")[0][1].endswith("end ")
+
+
+def test_rows_of_a_batch_go_out_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(O, "STEP", 3)
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "cd", None, "", "efgh", "i"])], "id long, text string")
+    got = O.rows_of(d.coalesce(1), ["text"], lambda t: [(c,) for c in t], "c string").collect()
+    assert [(r.id, r.c) for r in got] == [(0, "a"), (0, "b"), (1, "c"), (1, "d"), (4, "e"), (4, "f"), (4, "g"), (4, "h"), (5, "i")]
