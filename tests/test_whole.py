@@ -1,7 +1,9 @@
 """Queries do the whole job: small inputs on which a cut would show."""
 
+import html
 import re
 from types import SimpleNamespace
+from urllib.parse import quote
 
 import pytest
 
@@ -53,3 +55,17 @@ def test_rows_of_a_batch_go_out_in_parts(spark, monkeypatch):
     d = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "cd", None, "", "efgh", "i"])], "id long, text string")
     got = O.rows_of(d.coalesce(1), ["text"], lambda t: [(c,) for c in t], "c string").collect()
     assert [(r.id, r.c) for r in got] == [(0, "a"), (0, "b"), (1, "c"), (1, "d"), (4, "e"), (4, "f"), (4, "g"), (4, "h"), (5, "i")]
+
+
+def test_texts_are_escaped_and_encoded_whole(spark, long_texts):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{long_texts}/documents.parquet").collect()}
+    escaped = {r.doc_id: r.escaped for r in QUERIES["html_escape_text"][0](spark, long_texts).collect()}
+    encoded = {r.doc_id: r.encoded for r in QUERIES["percent_encode_titles"][0](spark, long_texts).collect()}
+    assert escaped == {k: html.escape(t).replace("&#x27;", "&#39;") for k, t in text.items()}
+    assert encoded == {k: quote(t, safe="") for k, t in text.items()}
+
+
+def test_category_names_are_whole(spark, tmp_path):
+    name = "long " * 100 + "name"
+    spark.createDataFrame([(1, f"[[분류:{name}]]", "xx", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/in/documents.parquet")
+    assert name in [r.category for r in QUERIES["category_extract"][0](spark, f"{tmp_path}/in").collect()]
