@@ -37,24 +37,39 @@ def candidate_rules(w, action: str) -> DataFrame:
     return own.unionByName(by_namespace.select("document_id", F.lit(1).alias("scope"), "evaluation_order", F.col("id").alias("rule_id"), "kind", "value", "allowed"))
 
 
-def matching(rules: DataFrame, subjects: DataFrame, strict: bool) -> DataFrame:
-    """(document_id, actor_id, ...) of rules that apply. An unknown permission matches everybody, or nobody if strict."""
-    everyone = rules.where("kind = 'perm'").join(subjects.select("actor_id", "user_name").distinct())
+def actor_classes(w, action: str, as_of: str) -> DataFrame:
+    """(actor_id, class, named, groups): rules can tell actors apart only by whether they have a name and by their active groups, of
+    which those that no rule of the action names are left out."""
+    asked = w.acl_rule.where((F.col("action") == action) & (F.col("kind") == "group")).select(F.col("value").alias("name")).distinct()
+    groups = active_members(w, as_of).join(asked, "name", "left_semi").groupBy("actor_id").agg(F.array_sort(F.collect_set("name")).alias("groups"))
+    who = w.actor.select(F.col("id").alias("actor_id"), F.col("user_name").isNotNull().alias("named")).join(groups, "actor_id", "left")
+    who = who.withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
+    return who.select("actor_id", F.to_json(F.struct("named", "groups")).alias("class"), "named", "groups")
+
+
+def matching(rules: DataFrame, classes: DataFrame, strict: bool) -> DataFrame:
+    """(document_id, class, ...) of rules that apply. An unknown permission matches everybody, or nobody if strict."""
+    everyone = rules.where("kind = 'perm'").join(F.broadcast(classes.select("class", "named")))
     value = F.col("value")
-    applies = F.when(value == "any", F.lit(True)).when(value == "member", F.col("user_name").isNotNull()).when(value == "ip", F.col("user_name").isNull()).otherwise(F.lit(not strict))
-    grouped = rules.where("kind = 'group'").join(subjects.where("grp IS NOT NULL"), F.col("value") == F.col("grp"))
-    keep = ["document_id", "actor_id", "scope", "evaluation_order", "rule_id", "allowed"]
+    applies = F.when(value == "any", F.lit(True)).when(value == "member", F.col("named")).when(value == "ip", ~F.col("named")).otherwise(F.lit(not strict))
+    grouped = rules.where("kind = 'group'").join(F.broadcast(classes.select("class", F.explode("groups").alias("grp"))), F.col("value") == F.col("grp"))
+    keep = ["document_id", "class", "scope", "evaluation_order", "rule_id", "allowed"]
     return everyone.where(applies).select(keep).unionByName(grouped.select(keep))
 
 
-def decisions(w, action: str, as_of: str, subjects: DataFrame, documents: DataFrame, strict: bool = True) -> DataFrame:
-    """First matching rule by scope, order and id; none means denied. subjects and documents are the sets that were asked for."""
-    who = w.actor.join(subjects, F.col("id") == F.col("actor_id"), "left_semi").select(F.col("id").alias("actor_id"), "user_name")
-    who = who.join(active_members(w, as_of).withColumnRenamed("name", "grp"), "actor_id", "left")
-    rules = candidate_rules(w, action).join(documents, "document_id", "left_semi")
-    first = matching(rules, who, strict).groupBy("document_id", "actor_id").agg(F.min(F.struct("scope", "evaluation_order", "rule_id", "allowed")).alias("r"))
-    asked = documents.join(who.select("actor_id").distinct())
-    return asked.join(first, ["document_id", "actor_id"], "left").select("document_id", "actor_id", F.coalesce("r.allowed", F.lit(False)).alias("allowed"), F.col("r.rule_id").alias("rule_id"))
+def decisions(w, action: str, as_of: str, strict: bool = True) -> DataFrame:
+    """Every document's decision for every actor, as two kinds of rows: (document_id, class, allowed, rule_id), one per document and
+    class of actors, and (actor_id, class), one per actor. First matching rule by scope, order and id; none means denied.
+    Classes are at most two for each set of groups that rules name, however many actors there are, so they are broadcast."""
+    actors = actor_classes(w, action, as_of)
+    classes = actors.select("class", "named", "groups").distinct()
+    none = w.document.select(F.col("id").alias("document_id")).join(F.broadcast(classes.select("class")))
+    none = none.select("document_id", "class", F.lit(2).alias("scope"), F.lit(0).alias("evaluation_order"), F.lit(None).cast("long").alias("rule_id"), F.lit(False).alias("allowed"))
+    rules = candidate_rules(w, action).join(w.document.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    first = matching(rules, classes, strict).unionByName(none).groupBy("document_id", "class").agg(F.min(F.struct("scope", "evaluation_order", "rule_id", "allowed")).alias("r"))
+    return first.select("document_id", F.lit(None).cast("long").alias("actor_id"), "class", "r.allowed", "r.rule_id").unionByName(
+        actors.select(F.lit(None).cast("long").alias("document_id"), "actor_id", "class", F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("long").alias("rule_id"))
+    )
 
 
 def permission_log(w, limit: int = 100) -> DataFrame:

@@ -14,16 +14,8 @@ ACTIVE = f"(SELECT DISTINCT name, actor_id FROM {{acl_group_member}} WHERE remov
 RANGES = ("10.0.0.0/8", "10.1.0.0/16", "10.2.128.0/17", "10.3.17.0/24", "0.0.0.0/0", "10.1.1.1/32", "nonsense")
 
 
-def _subjects(w: World):
-    return w.actor.where("id % 10 = 1").select(F.col("id").alias("actor_id"))
-
-
-def _asked(w: World):
-    return w.document.where("id < 60").select(F.col("id").alias("document_id"))
-
-
 def _decisions(strict: bool):
-    return lambda w: A.decisions(w, "edit", NOW, _subjects(w), _asked(w), strict)
+    return lambda w: A.decisions(w, "edit", NOW, strict)
 
 
 def _decisions_sql(strict: bool) -> str:

@@ -2,6 +2,7 @@
 
 import html
 import re
+from datetime import datetime
 from types import SimpleNamespace
 from urllib.parse import quote
 
@@ -10,6 +11,7 @@ import pytest
 from quillon.functions import markup as M
 from quillon.operators import access as A
 from quillon.operators import markup as O
+from quillon.plans.access import NOW
 from quillon.plans.registry import QUERIES
 from quillon.sources.world import World
 
@@ -69,3 +71,22 @@ def test_category_names_are_whole(spark, tmp_path):
     name = "long " * 100 + "name"
     spark.createDataFrame([(1, f"[[분류:{name}]]", "xx", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/in/documents.parquet")
     assert name in [r.category for r in QUERIES["category_extract"][0](spark, f"{tmp_path}/in").collect()]
+
+
+@pytest.mark.parametrize("name", ["acl_decisions", "acl_decisions_compat"])
+def test_every_actor_gets_a_decision_on_every_document(spark, name):
+    w, now = World(spark, "/root/testdata/sf0.001"), datetime.fromisoformat(NOW)
+    rows = QUERIES[name][0](spark, "/root/testdata/sf0.001").collect()
+    of_class = {(r.document_id, r["class"]): (r.allowed, r.rule_id) for r in rows if r.document_id is not None}
+    class_of = {r.actor_id: r["class"] for r in rows if r.document_id is None}
+    assert len(of_class) + len(class_of) == len(rows) and len(set(class_of.values())) > 2
+    member = {(m.name, m.actor_id) for m in w.acl_group_member.collect() if m.removed_at is None and (m.expires_at is None or m.expires_at > now)}
+    rules = sorted((r for r in w.acl_rule.collect() if r.action == "edit"), key=lambda r: (r.document_id is None, r.evaluation_order, r.id))
+    actors, documents = w.actor.collect(), w.document.collect()
+    assert set(class_of) == {a.id for a in actors} and {d for d, _ in of_class} == {d.id for d in documents}
+    for a in actors:
+        known = {"any": True, "member": a.user_name is not None, "ip": a.user_name is None}
+        applies = [r for r in rules if ((r.value, a.id) in member if r.kind == "group" else known.get(r.value, name == "acl_decisions_compat"))]
+        for d in documents:
+            r = next((r for r in applies if r.document_id == d.id or r.document_id is None and r.namespace_id == d.namespace_id), None)
+            assert of_class[d.id, class_of[a.id]] == ((r.allowed, r.id) if r else (False, None))
