@@ -36,7 +36,6 @@ KGRAM = 32
 HALF = (WINDOW - KGRAM) // 2
 BUCKET = 400_000  # suffixes that a bucket is meant to have
 SAMPLED = 64  # sampled suffixes per bucket
-DOCUMENTS_SAMPLED = 0.02  # share of the documents that splitters are sampled from, once there are many buckets
 STEP = 2 << 20  # bytes of text worked on at once
 NULL = -(2**63)
 
@@ -153,12 +152,12 @@ def _bucket(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
     return lo
 
 
-def sorted_round(records, source: DataFrame, sampled: DataFrame, share: float, n_records: int, unsure: bool) -> DataFrame:
-    """records: from an iterator of batches of source to lists of FIELDS; sampled: that share of source's documents. Returns rows (doc, tie, place, length, kind): kind 0
+def sorted_round(records, source: DataFrame, n_records: int, unsure: bool) -> DataFrame:
+    """records: from an iterator of batches of source to lists of FIELDS. Returns rows (doc, tie, place, length, kind): kind 0
     repeats as a whole (length windows from place on), kind 1 needs a look at its single windows (if unsure)."""
     spark = source.sparkSession
     n_buckets = max(1, -(-n_records // BUCKET))
-    fraction = min(1.0, n_buckets * SAMPLED * 4 / max(1, n_records) / share)
+    fraction = min(1.0, n_buckets * SAMPLED * 4 / max(1, n_records))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fields in records(batches):
@@ -169,7 +168,7 @@ def sorted_round(records, source: DataFrame, sampled: DataFrame, share: float, n
 
     splitters = [np.zeros(0, U64)] * KEYS
     if n_buckets > 1:
-        got = sampled.mapInArrow(sample, "a long, b long, c long, d long").toArrow()
+        got = source.mapInArrow(sample, "a long, b long, c long, d long").toArrow()
         keys = [got.column(i).to_numpy().view(U64) for i in range(KEYS)]
         order = multikey_quicksort(keys)
         cut = order[np.linspace(0, len(order), n_buckets + 1).astype(int)[1:-1]] if len(order) >= n_buckets else order
@@ -276,9 +275,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     n_runs = n_bytes_of(keyed) * 2 // (WINDOW - KGRAM + 2)
     long_enough = keyed.where(F.octet_length("text") >= WINDOW)
-    share = DOCUMENTS_SAMPLED if n_runs > 8 * BUCKET else 1.0
-    some = long_enough.sample(share, 7) if share < 1 else long_enough
-    first = sorted_round(runs, long_enough, some, share, n_runs, True)
+    first = sorted_round(runs, long_enough, n_runs, True)
     packed = F.shiftleft("place", 16).bitwiseOR(F.col("length"))
     unsure = first.where("kind = 1")
     todo = unsure.groupBy("doc", "tie").agg(F.collect_list(packed).alias("spans"))
@@ -293,8 +290,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     n_windows = int(unsure.agg(F.sum("length")).first()[0] or 0)
     parts = first.where("kind = 0")
     if n_windows:
-        of = lambda d: d.join(todo, ["doc", "tie"]).select("doc", "tie", "text", "spans")
-        second = sorted_round(windows, of(long_enough), of(some), share, n_windows, False)
+        second = sorted_round(windows, long_enough.join(todo, ["doc", "tie"]).select("doc", "tie", "text", "spans"), n_windows, False)
         parts = parts.union(second)
     return parts.select("doc", "tie", packed.alias("span")).groupBy("doc", "tie").agg(F.collect_list("span").alias("spans"))
 
