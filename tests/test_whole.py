@@ -1,7 +1,6 @@
 """Queries do the whole job: small inputs on which a cut would show."""
 
 import html
-import random
 import re
 from datetime import datetime
 from types import SimpleNamespace
@@ -10,7 +9,6 @@ from urllib.parse import quote
 import pytest
 
 from quillon.functions import markup as M
-from quillon.llm import repeats
 from quillon.operators import access as A
 from quillon.operators import markup as O
 from quillon.plans.access import NOW
@@ -92,15 +90,3 @@ def test_every_actor_gets_a_decision_on_every_document(spark, name):
         for d in documents:
             r = next((r for r in applies if r.document_id == d.id or r.document_id is None and r.namespace_id == d.namespace_id), None)
             assert of_class[d.id, class_of[a.id]] == ((r.allowed, r.id) if r else (False, None))
-
-
-def test_splitters_of_suffixes_come_from_every_document(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BUCKET", 60)
-    rng, samples, sort = random.Random(3), [], repeats.multikey_quicksort
-    monkeypatch.setattr(repeats, "multikey_quicksort", lambda keys, *more: (samples.append(keys), sort(keys, *more))[1])
-    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    rows = [(i, text(300)) for i in range(200)] + [(1000, text(300) * 200)]
-    repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    of_long = repeats._identity(*(repeats.np.array([v]) for v in (1000, 0, 0)))[0][0]
-    assert samples and all((keys[2] == of_long).any() for keys in samples)
-    assert len({int(d) for d in samples[0][2]}) > 100
