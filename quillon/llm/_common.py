@@ -1,16 +1,20 @@
-"""What several operators share: shared storage, byte-level hashing, ragged arrays, sampled range partitioning."""
+"""What several operators share: byte-level hashing, ragged arrays, bounded slices of batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import clear_stored, stored  # noqa: F401
+from ..sources.storage import shared_path as shared_dir  # noqa: F401
+
 U64 = np.uint64
 
 
@@ -23,40 +27,23 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in more])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share. Only where that is unset (tests) a local folder is chosen."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else None
-    if not base:
-        base = tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quillon-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """The rows written as Parquet to shared storage and read back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function that doesn't tokenize: it drops tokenizers that earlier tasks left in its process, and gives working memory
+    back at its end. Python workers outlive their tasks, and what they keep would be missing to others on the same executor."""
 
-
-@atexit.register
-def clear_stored() -> None:
-    """Deletes what stored() wrote in this process; runs at exit and may be called once no result is read any more."""
-    while _MADE:
-        spark, path = _MADE.pop()
+    @wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokens := sys.modules.get("quillon.llm._tokens"):
+            tokens.encoder.cache_clear()
+        yield from run(batches)
+        Substrings.forget()
+        pa.default_memory_pool().release_unused()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone already
-            return
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return tidy
 
 
 def n_bytes_of(df: DataFrame, column: str = "text") -> int:
@@ -65,8 +52,9 @@ def n_bytes_of(df: DataFrame, column: str = "text") -> int:
 
 # --- hashing of byte strings -------------------------------------------------------------------------------------
 
-BASE = U64(0x9E3779B97F4A7C15)
-INVERSE = U64(pow(int(BASE), -1, 1 << 64))
+#: Two independent families: an odd base each, and what each byte counts for.
+BASES = (U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95))
+VALUES = tuple(np.random.default_rng(k).integers(0, 1 << 63, 256, np.uint64) * U64(2) + U64(1) for k in (1, 2))
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -78,20 +66,30 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Substrings:
-    """64-bit hashes of any substrings of one buffer, each from two prefix sums; equal bytes hash alike in every buffer."""
+    """64-bit hashes of any substrings of one buffer, each from two prefix sums; equal bytes hash alike in every buffer. Hashes of the
+    two families are independent of each other."""
 
-    _up = _down = np.ones(0, U64)
+    _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, raw: np.ndarray):
+    @staticmethod
+    def forget() -> None:
+        Substrings._tables.clear()
+
+    def __init__(self, raw: np.ndarray, family: int = 0):
         n = len(raw) + 1
-        if len(Substrings._up) < n:
-            size = max(n, 1 << 16) * 5 // 4
-            Substrings._up, Substrings._down = _powers(BASE, size), _powers(INVERSE, size)
+        if family not in self._tables or len(self._tables[family][0]) < n:
+            size, base = max(n, 1 << 16) * 5 // 4, BASES[family]
+            self._tables[family] = _powers(base, size), _powers(U64(pow(int(base), -1, 1 << 64)), size)
+        up, self.down = self._tables[family]
         self.sums = np.zeros(n, U64)
-        np.cumsum((raw.astype(U64) + U64(1)) * Substrings._up[: n - 1], out=self.sums[1:])
+        np.cumsum(VALUES[family][raw] * up[: n - 1], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * Substrings._down[start])
+        return mixed((self.sums[end] - self.sums[start]) * self.down[start])
+
+    def every(self, width: int) -> np.ndarray:
+        """Of each substring of this width, by where it starts."""
+        return mixed((self.sums[width:] - self.sums[:-width]) * self.down[: len(self.sums) - width])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -135,14 +133,15 @@ def id_column(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == -(2**63))
 
 
-def pieces(batch: pa.RecordBatch, limit: int = 4 << 20, column: str = "text"):
-    """Slices of a batch with about limit bytes of text each (a longer text stands alone), to bound the working arrays."""
+def pieces(batch: pa.RecordBatch, limit: int = 1 << 20, column: str = "text", rows: int = 1 << 14):
+    """Slices of a batch with about limit bytes of text (a longer text stands alone) and at most rows rows each, to bound the working
+    arrays."""
     if not batch.num_rows:
         return
     lengths = batch.column(column).cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(lengths.buffers()[1], np.int64)[lengths.offset : lengths.offset + len(lengths) + 1]
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to

@@ -12,14 +12,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of the two tables; beyond, a table starts anew. About 150 bytes each.
-MAX_CHUNKS, MAX_PIECES = 700_000, 700_000
+#: Entries of a table's younger half; when it is full it becomes the older half. About 150 bytes each.
+MAX_CHUNKS, MAX_PIECES = 400_000, 300_000
 
 #: The pre-tokenizer patterns of the two public vocabularies that the fast path knows.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,9 +54,9 @@ class Encoder:
             self.odd = re.compile(r"[\x1c-\x1f]|" + special).search
         else:
             self.odd = re.compile(r"\0|\s (?!\S)|" + special).search
-        self.pieces: dict[str, bytes] = {}
         self.kind = kind
-        self.chunks = _Table(self)
+        self.pieces = _Table(self._piece, MAX_PIECES)
+        self.chunks = _Table(self._chunk, MAX_CHUNKS)
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -71,19 +72,17 @@ class Encoder:
         """By the library alone."""
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def _chunk(self, key: str) -> bytes:
+        return self.chunk(key if self.kind == "word" else key[1:] if key[:1] == "\0" else " " + key)
+
     def chunk(self, chunk: str) -> bytes:
         if not self.plain(chunk):
             return self.whole(chunk)
-        out = []
-        for piece in self.split(chunk.lower() if self.kind == "word" else chunk):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= MAX_PIECES:
-                    self.pieces.clear()
-                shown = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = self.pieces[piece] = np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self.split(chunk.lower() if self.kind == "word" else chunk)))
 
     def cut(self, text: str) -> list[str] | None:
         """Chunks of a text whose ids, one after another, are the text's; None if it must be encoded as a whole."""
@@ -103,22 +102,27 @@ class Encoder:
 
 
 class _Table(dict):
-    def __init__(self, encoder: Encoder):
+    """What make gives for a key, with the last ones asked for at hand: at least size of them and at most twice as many. What is
+    asked for often stays, as it moves to the younger half again."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
         super().__init__()
-        self.encoder = encoder
+        self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= MAX_CHUNKS:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
             self.clear()
-        e = self.encoder
-        chunk = key if e.kind == "word" else key[1:] if key[:1] == "\0" else " " + key
-        ids = self[key] = e.chunk(chunk)
+        self[key] = ids
         return ids
 
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One per process and vocabulary."""
+    """One per process and vocabulary, until a task of another kind needs the memory."""
     return Encoder(path)
 
 

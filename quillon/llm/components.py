@@ -15,7 +15,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    # Stored, so that Spark can split the join at a node with very many neighbours.
+    least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -7,6 +7,9 @@ candidates, all to one hub, instead of m * (m - 1) / 2; each is confirmed on the
 two members that are both unlike the hub: for buckets of three and more that still hold different components, candidates
 across components follow from an exact prefix filter, which needs no bound on a bucket's size.
 
+A crowded bucket and a shingle that many sets share are split into parts of PART members or so wherever they meet what is
+known of them, so that no task holds all members of one.
+
 Defined results: a null or word-free text has an empty set and is linked with nothing; one or two words are one shingle.
 Rows that share a doc_id are one node of the graph, each with its own set size. A null doc_id is linked with nothing; its
 component is null and it is kept. Extra columns are ignored. Very long texts are shingled whole.
@@ -22,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, Substrings, mixed, pieces, stored, table, texts, utf8
+from ._common import U64, Substrings, frugal, mixed, pieces, stored, table, texts, utf8
 from .components import connected_components
 
 ROWS = 5  # bins in a band
 MISS = 1e-7  # chance that no band shows a pair just at the threshold
 SKETCH = 1 << 20  # counters of shingle rarity, which is only about speed
 FAN = 128  # members that are compared with a hub in one group
+PART = 512  # members of a bucket, or sets with a shingle, that a join deals to one task
+BINS_AT_ONCE = 1 << 19  # bins of signatures worked on at once
 _SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -99,9 +104,10 @@ def _hashed(docs: DataFrame, size: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, key_a, key_b (128 bits that name the set), bands (one bucket name each; none if the set is empty)."""
     salt = mixed(np.arange(1, bands * ROWS + 1).astype(U64)) | U64(1)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in pieces(big):
+            for batch in pieces(big, rows=max(1, BINS_AT_ONCE // (bands * ROWS))):
                 h, begin = shingle_sets(*utf8(batch.column("text")), size)
                 n = np.diff(begin)
                 sums = [np.concatenate([[U64(0)], np.cumsum(mixed(h ^ U64(k)))]) for k in (1, 2)]
@@ -122,11 +128,12 @@ def confirm(pool: DataFrame, candidates: DataFrame, size: int, percent: int) ->
     Texts meet in groups of a hub and FAN members or so: a hub with many members heads several groups.
     """
     c = candidates.select("hub", "member", F.lit(0).alias("salt"))
-    degree = c.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    degree = stored(c.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
     c = c.drop("salt").join(degree, "hub").select("hub", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / FAN)).alias("salt"), "member")
     roles = c.select("hub", "salt", F.col("member").alias("doc_id"), F.lit(1).alias("role")).union(c.select("hub", "salt", F.col("hub").alias("doc_id"), F.lit(0).alias("role")).distinct())
     met = roles.hint("merge").join(pool, "doc_id").select("hub", "salt", "role", "doc_id", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "doc_id")
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, hub_sets = None, []
         for big in batches:
@@ -157,6 +164,7 @@ def confirm(pool: DataFrame, candidates: DataFrame, size: int, percent: int) ->
 def rarity(pool: DataFrame, size: int) -> np.ndarray:
     """How many shingles of pool(text) fall into each of SKETCH hash buckets."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for big in batches:
@@ -180,6 +188,7 @@ def across_components(pool: DataFrame, size: int, percent: int) -> DataFrame:
     """
     sketch = pool.sparkSession.sparkContext.broadcast(rarity(pool, size))
 
+    @frugal
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces(big):
@@ -193,45 +202,62 @@ def across_components(pool: DataFrame, size: int, percent: int) -> DataFrame:
                 ids, parts = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "component"))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(parts), pa.array(n[row]), pa.array(place)], ["shingle", "doc_id", "component", "n", "place"])
 
+    # Sets as alike as percent are of the same class of size or of two next to each other (the factor keeps rounding out of it).
+    width = math.log(100 / percent) * (1 + 1e-9)
     p = stored(pool.select("doc_id", "text", "component").mapInArrow(prefixes, "shingle long, doc_id long, component long, n long, place long"))
-    several = p.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    p = p.join(several, "shingle")
-    a, b = (p.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "n", "place")]) for x in "ab")
+    several = p.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    p = p.join(stored(several.select("shingle", F.ceil(F.col("m") / PART).alias("parts"))), "shingle").withColumn("class", F.floor(F.log("n") / width))
+    # One side stays in its part of the shingle and its class, the other goes to every part and to the next class as well.
+    a, b = (p.select("shingle", "class", "parts", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "n", "place")]) for x in "ab")
+    a = a.withColumn("a_class", F.col("class")).withColumn("class", F.explode(F.array("class", F.col("class") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    b = b.withColumn("part", F.pmod(F.xxhash64("b_doc_id"), "parts"))
     # The first shared shingle of a linked pair has nothing before it, so what comes after it must be enough.
     rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     enough = rest * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
-    pairs = a.join(b, "shingle").where((F.col("a_component") < F.col("b_component")) & enough)
+    once = (F.col("a_class") < F.col("class")) | (F.col("a_doc_id") < F.col("b_doc_id"))
+    pairs = a.drop("parts").join(b.drop("parts"), ["shingle", "class", "part"]).where((F.col("a_component") != F.col("b_component")) & once & enough)
     return pairs.select(F.least("a_doc_id", "b_doc_id").alias("hub"), F.greatest("a_doc_id", "b_doc_id").alias("member")).distinct()
 
 
+def parted(members: DataFrame) -> DataFrame:
+    """members(bucket, rep, crowd) with parts, how many parts the bucket has, and part, the one a member is in."""
+    d = members.withColumn("parts", F.ceil(F.col("crowd") / PART))
+    return d.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+
+
+def to_parts(buckets: DataFrame) -> DataFrame:
+    """A row of each bucket(bucket, parts, ...) for each of its parts."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     d = texts(docs)
     hashed = stored(_hashed(d, size, band_count(percent)))
     real = hashed.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
+    # Equal sets have equal bands, so any member's will do; copies fall together before they are shuffled.
+    classes = stored(real.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
     # Rows that share a doc_id tie their classes together: such ids are linked to each class's representative.
-    members = stored(real.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"]).select("doc_id", "rep"))
+    members = stored(real.select("doc_id", "key_a", "key_b").join(classes.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).select("doc_id", "rep"))
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # One row per class: rows of a representative's id with another text are other classes.
-    reps = real.join(classes, ["key_a", "key_b"]).where("doc_id = rep").dropDuplicates(["key_a", "key_b"])
-    buckets = reps.select("rep", F.posexplode("bands").alias("band", "name"))
-    crowded = buckets.groupBy("band", "name").agg(F.count(F.lit(1)).alias("crowd"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    shared = stored(buckets.join(crowded.select("band", "name", "crowd"), ["band", "name"]).select("rep", F.xxhash64("band", "name").alias("bucket"), "crowd"))
+    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
+    # Counts are stored before they are joined to what was counted: only then can Spark split a hot key of the join.
+    crowded = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("bucket", "crowd"))
+    shared = stored(parted(buckets.join(crowded, "bucket")))
     # A bucket's hub is the member with most company in all its buckets: in a family of edited copies that is the text they come
     # from, and the same in every band, so that a family of m gives little more than m candidates.
-    company = shared.groupBy("rep").agg(F.sum("crowd").alias("company"))
+    company = stored(shared.groupBy("rep").agg(F.sum("crowd").alias("company")))
     named = shared.join(company, "rep")
-    hubs = named.groupBy("bucket").agg(F.max(F.struct("company", -F.col("rep"))).alias("h")).select("bucket", (-F.col("h.col2")).alias("hub"))
-    star = stored(named.join(hubs, "bucket").where("rep <> hub").select("hub", F.col("rep").alias("member")).distinct())
+    hubs = named.groupBy("bucket").agg(F.max(F.struct("company", -F.col("rep"))).alias("h"), F.max("parts").alias("parts")).select("bucket", "parts", (-F.col("h.col2")).alias("hub"))
+    star = stored(shared.join(to_parts(hubs), ["bucket", "part"]).where("rep <> hub").select("hub", F.col("rep").alias("member")).distinct())
     # Neither side has a size bound, so these joins of texts are never broadcast joins, at any size.
     pool = stored(d.join(company.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
     links = stored(confirm(pool, star, size, percent))
     labels = _labels(company, links)
     # What a star can miss: links between components in buckets of three and more. These are looked for exactly.
     open_ = shared.where("crowd > 2").join(labels.withColumnRenamed("node", "rep"), "rep")
-    open_buckets = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    unsettled = open_.join(open_buckets, "bucket").select(F.col("rep").alias("doc_id"), "component").distinct()
+    open_buckets = open_.groupBy("bucket").agg(F.max("parts").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "parts")
+    unsettled = open_.drop("parts").join(to_parts(open_buckets), ["bucket", "part"]).select(F.col("rep").alias("doc_id"), "component").distinct()
     unsettled = stored(pool.join(unsettled.hint("merge"), "doc_id"))
     more = stored(confirm(unsettled.select("doc_id", "text"), across_components(unsettled, size, percent), size, percent))
     if not more.isEmpty():
