@@ -11,8 +11,13 @@ of one suffix are a run. Two rounds of the same suffix sort decide all windows:
 In each round sampled splitters range-partition the suffixes by their leading bytes (then by hash, document and place, so
 that a very common passage is split as well); a bucket sorts locally by multikey quicksort and compares neighbours, and
 the first suffix of a bucket is compared with the last one before it. Records travel packed, some thousands to a row.
+Past the leading bytes suffixes are ordered by hash, which brings equal ones together, and that is all that dedup needs.
 
-Equality is by 64-bit hashes of the bytes together with leading bytes and, in round 1, a further 32 bits.
+What the driver holds has a bound: at most RANGES splitters. Where that many ranges would be larger than a bucket, each range
+is split once more by splitters of its own, which meet its records in Spark and never the driver. A task takes its buckets
+one after another, so its memory is that of one bucket.
+
+Equality is by leading bytes, 64 bits of one hash family and 32 bits or more of an independent one.
 
 Defined results: null and empty texts, and texts under WINDOW bytes, lose nothing. Rows with equal id and text count as one
 document, and each gets its result; rows with equal id and different texts are ordered by a hash of the text. A null
@@ -29,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, Substrings, mixed, n_bytes_of, pieces, spans, stored, table, texts, utf8
+from ._common import U64, Substrings, frugal, mixed, n_bytes_of, pieces, spans, stored, table, texts, utf8
 
 WINDOW = 100
 KGRAM = 32
 HALF = (WINDOW - KGRAM) // 2
 BUCKET = 400_000  # suffixes that a bucket is meant to have
 SAMPLED = 64  # sampled suffixes per bucket
-STEP = 2 << 20  # bytes of text worked on at once
+RANGES = 4096  # ranges whose splitters the driver makes
+TASKS = 20_000  # tasks that a round's buckets are dealt to
+STEP = 1 << 20  # bytes of text worked on at once
 NULL = -(2**63)
 
 #: A record's parts: four 8-byte sort keys, then what goes along.
@@ -85,9 +92,8 @@ def run_records(raw: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.n
     if n < WINDOW:
         return [np.zeros(0, t) for _, t in FIELDS]
     sub = Substrings(raw)
-    at = np.arange(n - KGRAM + 1)
-    value = mixed((sub.sums[KGRAM:] - sub.sums[:-KGRAM]) * Substrings._down[: len(at)])
-    where, span, width = at.astype(np.int32), 1, WINDOW - KGRAM + 1
+    value = sub.every(KGRAM)
+    where, span, width = np.arange(n - KGRAM + 1, dtype=np.int32), 1, WINDOW - KGRAM + 1
     while span < width:  # leftmost least value of span, then of twice as many
         shift = min(span, width - span)
         right = value[shift:] < value[:-shift]
@@ -102,7 +108,7 @@ def run_records(raw: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.n
     last = np.flatnonzero(fits & np.concatenate([(new | ~fits)[1:], [True]]))
     a, row = where[start].astype(np.int64), row[start]
     left, more = a - start, last - start
-    run = sub(start, last + WINDOW) ^ mixed((left << 8 | more).astype(U64))
+    run = Substrings(raw, 1)(start, last + WINDOW) ^ mixed((left << 8 | more).astype(U64))
     gram = sub(a, a + KGRAM)
     has_left, has_right = left >= HALF, a - last < HALF
     low = np.maximum(a - HALF, 0)
@@ -116,10 +122,10 @@ def run_records(raw: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.n
 def window_records(raw: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.ndarray, row: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     """Round 2: one record per window, given by row and place in it."""
     start = offsets[row] + place
-    h = Substrings(raw)(start, start + WINDOW) if len(start) else np.zeros(0, U64)
+    h, other = (Substrings(raw, k)(start, start + WINDOW) if len(start) else np.zeros(0, U64) for k in (0, 1))
     k2, k3 = _identity(doc[row], tie[row], place)
     zero = np.zeros(len(start), np.uint32)
-    return [_leading(raw, start) << U64(32) | h >> U64(32), mixed(h + U64(1)), k2, k3, zero.astype(np.uint8), zero.astype(np.uint8), zero, zero]
+    return [_leading(raw, start) << U64(32) | h >> U64(32), other, k2, k3, zero.astype(np.uint8), zero.astype(np.uint8), zero, zero]
 
 
 def _pack(fields: list[np.ndarray]) -> bytes:
@@ -152,104 +158,186 @@ def _bucket(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
     return lo
 
 
+def _cut(keys: list[np.ndarray], parts: int) -> list[np.ndarray]:
+    """parts - 1 splitters of a sample, or all of it if it is smaller."""
+    order = multikey_quicksort(keys)
+    at = order[np.linspace(0, len(order), parts + 1).astype(int)[1:-1]] if len(order) >= parts else order
+    return [k[at] for k in keys]
+
+
+def _dealt(fields: list[np.ndarray], to: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Packed records by where they go."""
+    if not len(to):
+        return to, []
+    order = np.argsort(to, kind="stable")
+    fields, to = [f[order] for f in fields], to[order]
+    begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    return to[begin], [_pack([f[a:b] for f in fields]) for a, b in zip(begin, [*begin[1:], len(to)], strict=True)]
+
+
+def compared(fields: list[np.ndarray], before_it: tuple[int, int] | None, unsure: bool) -> tuple[list[np.ndarray], tuple[int, int]]:
+    """The results of one bucket, (k2, k3, place, length, kind, k0, k1), and the keys of its last suffix. before_it: those of the last
+    suffix before the bucket, if it is known; else the bucket's first suffix comes along as kind 2."""
+    order = multikey_quicksort(fields[:KEYS])
+    k0, k1, k2, k3, left, more, before, after = (f[order] for f in fields)
+    n = len(k0)
+    new_group = np.concatenate([[True], k0[1:] != k0[:-1]])
+    new_class = new_group | np.concatenate([[True], k1[1:] != k1[:-1]])
+    first = np.flatnonzero(new_class)[np.cumsum(new_class) - 1]
+    repeat = (k2 != k2[first]) | (k3 != k3[first])
+    repeat[0] = (int(k0[0]), int(k1[0])) == before_it
+    out = [(np.flatnonzero(repeat), 0, None)]
+    if unsure:
+        group = np.cumsum(new_group) - 1
+        reps = np.flatnonzero(new_class)
+        several = np.bincount(group[reps])[group[reps]] > 1
+        edge = (group[reps] == 0) | (group[reps] == group[-1])  # these may go on in the next bucket
+        reps, several, edge = reps[several | edge], several[several | edge], edge[several | edge]
+        twice = []
+        for side in (before, after):
+            _, inverse, count = np.unique(group[reps].astype(U64) << U64(32) | side[reps].astype(U64), return_inverse=True, return_counts=True)
+            twice.append((count[inverse] > 1) & (side[reps] > 0) | edge)
+        # Windows that reach HALF bytes or more before the suffix, and the others, which reach as far after it.
+        lo = np.where(twice[0], 0, np.maximum(left[reps].astype(np.int64) - HALF + 1, 0))
+        hi = np.where(twice[1], more[reps].astype(np.int64), np.minimum(more[reps], left[reps].astype(np.int64) - HALF))
+        some = lo <= hi
+        out.append((reps[some], 1, (lo[some], hi[some])))
+    out += [(np.array([at]), kind, None) for at, kind in ((0, 2), (n - 1, 3)) if kind == 3 or before_it is None]
+    rows = []
+    for at, kind, bounds in out:
+        lo, hi = bounds if bounds else (np.zeros(len(at), np.int64), more[at].astype(np.int64))
+        start = (k3[at] & U64(0xFFFFFFFF)).astype(np.int64) - left[at]
+        rows.append((k2[at], k3[at], start + lo, hi - lo + 1, np.full(len(at), kind), k0[at], k1[at]))
+    return [np.concatenate(c) for c in zip(*rows, strict=True)], (int(k0[-1]), int(k1[-1]))
+
+
 def sorted_round(records, source: DataFrame, n_records: int, unsure: bool) -> DataFrame:
     """records: from an iterator of batches of source to lists of FIELDS. Returns rows (doc, tie, place, length, kind): kind 0
     repeats as a whole (length windows from place on), kind 1 needs a look at its single windows (if unsure)."""
     spark = source.sparkSession
     n_buckets = max(1, -(-n_records // BUCKET))
-    fraction = min(1.0, n_buckets * SAMPLED * 4 / max(1, n_records))
+    n_ranges = min(n_buckets, RANGES)
+    inner = -(-n_buckets // n_ranges)  # buckets in a range
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fields in records(batches):
-            n = len(fields[0])
-            # The suffixes with the least hashes of their identity: a sample that is the same in every attempt.
-            chosen = mixed(fields[2] * U64(31) + fields[3]) < U64(min(int(fraction * 2**64), 2**64 - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(f[chosen].view(np.int64)) for f in fields[:KEYS]] if n else [pa.array([], pa.int64())] * KEYS, list("abcd"))
+    def sample(share: float):
+        @frugal
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for fields in records(batches):
+                # The suffixes with the least hashes of their identity: a sample that is the same in every attempt.
+                chosen = mixed(fields[2] * U64(31) + fields[3]) < U64(min(int(min(1.0, share) * 2**64), 2**64 - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(f[chosen].view(np.int64)) for f in fields[:KEYS]], list("abcd"))
+
+        return source.mapInArrow(run, "a long, b long, c long, d long")
+
+    def keys_of(rows: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+        return [rows.column(i).to_numpy(zero_copy_only=False).view(U64) for i in range(KEYS)] if rows.num_rows else [np.zeros(0, U64)] * KEYS
 
     splitters = [np.zeros(0, U64)] * KEYS
-    if n_buckets > 1:
-        got = source.mapInArrow(sample, "a long, b long, c long, d long").toArrow()
-        keys = [got.column(i).to_numpy().view(U64) for i in range(KEYS)]
-        order = multikey_quicksort(keys)
-        cut = order[np.linspace(0, len(order), n_buckets + 1).astype(int)[1:-1]] if len(order) >= n_buckets else order
-        splitters = [k[cut] for k in keys]
+    if n_ranges > 1:
+        splitters = _cut(keys_of(sample(n_ranges * SAMPLED * 4 / n_records).toArrow()), n_ranges)
     shared = spark.sparkContext.broadcast(splitters)
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fields in records(batches):
-            to = _bucket(fields[:KEYS], shared.value)
-            order = np.argsort(to, kind="stable")
-            fields, to = [f[order] for f in fields], to[order]
-            begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
-            ends = [*begin[1:], len(to)] if len(to) else []
-            yield pa.RecordBatch.from_arrays([pa.array(to[begin].tolist() if len(to) else [], pa.int32()), pa.array([_pack([f[a:b] for f in fields]) for a, b in zip(begin, ends, strict=True)], pa.binary())], ["bucket", "records"])
-
+            to, blobs = _dealt(fields, _bucket(fields[:KEYS], shared.value))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "records"])
+
+    packed = source.mapInArrow(deal, "bucket long, records binary")
+    if inner > 1:
+
+        @frugal
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """From samples in the order of their ranges: the splitters of each range, as records of keys alone."""
+            held: list[pa.RecordBatch] = []
+            flush = lambda: pa.RecordBatch.from_arrays([pa.array([held[0].column("bucket")[0].as_py()], pa.int64()), pa.array([b"".join(k.tobytes() for k in _cut(keys_of(pa.Table.from_batches(held).select(list("abcd"))), inner))], pa.binary())], ["bucket", "records"])
+            for part in by_bucket(batches):
+                if held and held[0].column("bucket")[0] != part.column("bucket")[0]:
+                    yield flush()
+                    held = []
+                held.append(part)
+            if held:
+                yield flush()
+
+        @frugal
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with_range = lambda keys: _bucket(keys, shared.value)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(with_range(keys_of(batch)), pa.int64()), *batch.columns], ["bucket", *"abcd"])
+
+        @frugal
+        def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each range's splitters come before its records."""
+            known, own = -1, splitters
+            for batch in batches:
+                for which, is_record, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "is_record", "records")), strict=True):
+                    if not is_record:
+                        known, own = which, list(np.frombuffer(blob, U64).reshape(KEYS, -1))
+                        continue
+                    fields = _unpack([blob])
+                    sub = _bucket(fields[:KEYS], own) if which == known else np.zeros(len(fields[0]), np.int64)
+                    to, blobs = _dealt(fields, which * inner + sub)
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "records"])
+
+        ranged = sample(n_buckets * SAMPLED * 4 / n_records).mapInArrow(place, "bucket long, a long, b long, c long, d long")
+        chosen = ranged.repartitionById(n_ranges, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(choose, "bucket long, records binary")
+        both = chosen.select("bucket", F.lit(False).alias("is_record"), "records").union(packed.select("bucket", F.lit(True).alias("is_record"), "records"))
+        packed = both.repartitionById(n_ranges, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "is_record").mapInArrow(deal_again, "bucket long, records binary")
+    total = n_ranges * inner
+    tasks = min(total, TASKS)
+
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, bucket = [], -1
-        for batch in batches:
-            blobs += batch.column("records").to_pylist()
-            bucket = batch.column("bucket")[0].as_py() if batch.num_rows else bucket
-        if not blobs:
-            return
-        fields = _unpack(blobs)
-        blobs.clear()
-        order = multikey_quicksort(fields[:KEYS])
-        k0, k1, k2, k3, left, more, before, after = (f[order] for f in fields)
-        n = len(k0)
-        new_group = np.concatenate([[True], k0[1:] != k0[:-1]])
-        new_class = new_group | np.concatenate([[True], k1[1:] != k1[:-1]])
-        first = np.flatnonzero(new_class)[np.cumsum(new_class) - 1]
-        repeat = (k2 != k2[first]) | (k3 != k3[first])
-        out = [(np.flatnonzero(repeat), 0, None)]
-        if unsure:
-            group = np.cumsum(new_group) - 1
-            reps = np.flatnonzero(new_class)
-            several = np.bincount(group[reps])[group[reps]] > 1
-            edge = (group[reps] == 0) | (group[reps] == group[-1])  # these may go on in the next bucket
-            reps, several, edge = reps[several | edge], several[several | edge], edge[several | edge]
-            twice = []
-            for side in (before, after):
-                _, inverse, count = np.unique(group[reps].astype(U64) << U64(32) | side[reps].astype(U64), return_inverse=True, return_counts=True)
-                twice.append((count[inverse] > 1) & (side[reps] > 0) | edge)
-            # Windows that reach HALF bytes or more before the suffix, and the others, which reach as far after it.
-            lo = np.where(twice[0], 0, np.maximum(left[reps].astype(np.int64) - HALF + 1, 0))
-            hi = np.where(twice[1], more[reps].astype(np.int64), np.minimum(more[reps], left[reps].astype(np.int64) - HALF))
-            some = lo <= hi
-            out.append((reps[some], 1, (lo[some], hi[some])))
-        rows = []
-        for at, kind, bounds in out:
-            lo, hi = bounds if bounds else (np.zeros(len(at), np.int64), more[at].astype(np.int64))
-            start = (k3[at] & U64(0xFFFFFFFF)).astype(np.int64) - left[at]
-            rows.append((k2[at], k3[at], start + lo, hi - lo + 1, np.full(len(at), kind), k0[at], k1[at]))
-        for at, kind in ((0, 2), (n - 1, 3)):
-            start = int(k3[at] & U64(0xFFFFFFFF)) - int(left[at])
-            rows.append((k2[at : at + 1], k3[at : at + 1], np.array([start]), np.array([int(more[at]) + 1]), np.array([kind]), k0[at : at + 1], k1[at : at + 1]))
-        k2, k3, start, length, kind, k0, k1 = (np.concatenate(c) for c in zip(*rows, strict=True))
-        for a in range(0, len(k2), 100_000):
-            b = a + 100_000
-            edge = kind[a:b] >= 2
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((k2[a:b] ^ U64(1 << 63)).view(np.int64)), pa.array((k3[a:b] >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(start[a:b].astype(np.int64)), pa.array(length[a:b].astype(np.int64)), pa.array(kind[a:b].astype(np.int32)),
-                    pa.array(np.full(len(edge), bucket, np.int32)), pa.array(k0[a:b].view(np.int64), mask=~edge), pa.array(k1[a:b].view(np.int64), mask=~edge),
-                ],
-                ["doc", "tie", "place", "length", "kind", "bucket", "k0", "k1"],
-            )
-
-    schema = "doc long, tie int, place long, length long, kind int, bucket int, k0 long, k1 long"
-    dealt = source.mapInArrow(deal, "bucket int, records binary").repartitionById(n_buckets, F.col("bucket"))
-    found = stored(dealt.mapInArrow(compare, schema))
-    # Two rows of fixed size per bucket: does the first suffix of a bucket repeat the last one before it?
-    ends = sorted((r.bucket, r.kind, r) for r in found.where("kind >= 2").collect())
+        blobs, bucket, last = [], -1, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal last
+            fields = _unpack(blobs)
+            blobs.clear()
+            (k2, k3, start, length, kind, k0, k1), last = compared(fields, last, unsure)
+            for a in range(0, len(k2), 100_000):
+                b = a + 100_000
+                edge = kind[a:b] >= 2
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((k2[a:b] ^ U64(1 << 63)).view(np.int64)), pa.array((k3[a:b] >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(start[a:b].astype(np.int64)), pa.array(length[a:b].astype(np.int64)), pa.array(kind[a:b].astype(np.int32)),
+                        pa.array(np.full(len(edge), bucket, np.int64)), pa.array(k0[a:b].view(np.int64), mask=~edge), pa.array(k1[a:b].view(np.int64), mask=~edge),
+                    ],
+                    ["doc", "tie", "place", "length", "kind", "bucket", "k0", "k1"],
+                )
+
+        for part in by_bucket(batches):
+            if blobs and part.column("bucket")[0].as_py() != bucket:
+                yield from flush()
+            bucket = part.column("bucket")[0].as_py()
+            blobs += part.column("records").to_pylist()
+        if blobs:
+            yield from flush()
+
+    schema = "doc long, tie int, place long, length long, kind int, bucket long, k0 long, k1 long"
+    task = F.floor(F.col("bucket") * tasks / total).cast("int")
+    packed = packed.repartitionById(tasks, task)
+    found = stored((packed.sortWithinPartitions("bucket") if tasks < total else packed).mapInArrow(compare, schema))
+    # Does the first suffix of a task's buckets repeat the last one before it? Two rows for each of at most TASKS tasks come back.
+    ends = found.where("kind >= 2").groupBy(task.alias("task")).agg(F.min(F.when(F.col("kind") == 2, F.struct("k0", "k1", "doc", "tie", "place", "length"))).alias("first"), F.max(F.when(F.col("kind") == 3, F.struct("bucket", "k0", "k1"))).alias("last"))
     across, last = [], None
-    for _, kind, r in ends:
-        if kind == 2 and last is not None and (last.k0, last.k1) == (r.k0, r.k1):
-            across.append((r.doc, r.tie, r.place, r.length, 0))
-        last = r if kind == 3 else last
+    for r in sorted(ends.collect(), key=lambda r: r.task):
+        if last is not None and (last.k0, last.k1) == (r.first.k0, r.first.k1):
+            across.append((r.first.doc, r.first.tie, r.first.place, r.first.length, 0))
+        last = r["last"]
     found = found.where("kind < 2").select("doc", "tie", "place", "length", "kind")
     return found.union(spark.createDataFrame(across, found.schema)) if across else found
 
 
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches that are sorted by bucket, each of one bucket."""
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+        for a, b in zip(begin, [*begin[1:], len(bucket)], strict=True) if len(bucket) else []:
+            yield batch.slice(a, b - a)
+
+
 def _keyed(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     return texts(docs, *more).select(F.coalesce("doc_id", F.lit(NULL)).alias("doc"), F.hash("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
@@ -301,6 +389,7 @@ def remove_repeats(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     met = _keyed(docs, more).join(repeated(docs), ["doc", "tie"], "left")
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces(big, STEP):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import repeats
+from quillon.llm._common import Substrings
 from quillon.llm.repeats import multikey_quicksort, remove_repeats
 
 W = repeats.WINDOW
@@ -42,9 +43,11 @@ def test_real_documents(documents):
     assert got(documents) == brute([(r.doc_id, r.text) for r in documents.collect()])
 
 
-@pytest.mark.parametrize("bucket", [400_000, 60])
-def test_hard_texts(spark, bucket, monkeypatch):
-    monkeypatch.setattr(repeats, "BUCKET", bucket)
+@pytest.mark.parametrize(("bucket", "ranges", "tasks"), [(400_000, 4096, 20_000), (60, 4096, 20_000), (60, 4096, 7), (60, 3, 20_000), (40, 5, 4)])
+def test_hard_texts(spark, bucket, ranges, tasks, monkeypatch):
+    """One bucket; many; several buckets to a task; ranges that are split once more; all of it."""
+    for name, value in (("BUCKET", bucket), ("RANGES", ranges), ("TASKS", tasks)):
+        monkeypatch.setattr(repeats, name, value)
     rng = random.Random(bucket)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 7)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -64,3 +67,24 @@ def test_hard_texts(spark, bucket, monkeypatch):
 def test_odd_tables(odd, empty):
     assert got(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert remove_repeats(empty).collect() == []
+
+
+def test_splitters_of_suffixes_come_from_every_document(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET", 60)
+    rng, samples, sort = random.Random(3), [], repeats.multikey_quicksort
+    monkeypatch.setattr(repeats, "multikey_quicksort", lambda keys, *more: (samples.append(keys), sort(keys, *more))[1])
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, text(300)) for i in range(200)] + [(1000, text(300) * 200)]
+    repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of_long = repeats._identity(*(repeats.np.array([v]) for v in (1000, 0, 0)))[0][0]
+    assert samples and all((keys[2] == of_long).any() for keys in samples)
+    assert len({int(d) for d in samples[0][2]}) > 100
+
+
+def test_hash_families_are_independent():
+    raw = np.frombuffer(b"ab" * 500 + b"ba" * 500, np.uint8)
+    start = np.arange(1500)
+    one, two = (Substrings(raw, k)(start, start + 100) for k in (0, 1))
+    same = lambda h: {(i, j) for i in range(0, 1500, 50) for j in range(0, 1500, 50) if h[i] == h[j]}
+    windows = np.array([hash(raw[i : i + 100].tobytes()) for i in start])
+    assert same(one) == same(two) == same(windows) and not (one == two).any()
