@@ -12,10 +12,10 @@ can reach keep it whole, with two kinds of rows:
   Checkpoint i is the bit at which id i * STRIDE begins, so a block decodes from any checkpoint, and all at once.
 * `code`: the code lengths, one uint8 per id.
 
-Shards are consecutive ranges of doc_id, blocks are consecutive within a shard, and documents are consecutive within a
+Shards are consecutive ranges of (doc_id, hash of the ids), blocks are consecutive within a shard, and documents are consecutive within a
 block, which ends with the document that fills it; a document is never split, so its check sum needs one block.
 
-Defined results: null and empty texts have the end id alone; rows that share a doc_id are written one after another; a null
+Defined results: null and empty texts have the end id alone; rows that share a doc_id are written one after another, in the order of a hash of their ids; a null
 doc_id sorts first. An empty table gives an empty data set. Extra columns are ignored.
 """
 
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_column, ids_of, shared_dir, stored, table, texts
+from ._common import frugal, id_column, ids_of, pieces, shared_dir, stored, table, texts
 from ._tokens import encoder, vocabulary
 
 MAX_BITS = 16
 STRIDE = 256  # ids between checkpoints
 BLOCK = 1 << 18  # ids in a block
 SHARD = 1 << 23  # ids that a shard is meant to have
+SHARDS = 20_000  # shards at most; larger ones beyond
+SAMPLED = 16  # sampled rows per shard
 MAGIC = int.from_bytes(b"QHF1", "little")
 
 
@@ -132,7 +134,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of_text, end = encoder(tokenizer).ids, np.uint32(end_id).tobytes()
-        for batch in batches:
+        for batch in (part for big in batches for part in pieces(big)):
             out = [ids_of_text(t) + end for t in batch.column("text").to_pylist()]
             n = pa.array([len(x) // 4 for x in out], pa.int64())
             if narrow:
@@ -166,25 +168,45 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard: int = SHARD, block: int = BLOCK) -> None:
-    """Writes blocks and code below path; ids in ascending doc_id order."""
+def _splitters(tokens: DataFrame, total: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc_id, tie) at which shards - 1 shards begin, in steps of about equal numbers of ids: from a sample of some SAMPLED rows a
+    shard in which a row's chance grows with its ids, so stretches of long documents and ids that many rows share are split."""
+    step = total / (shards * SAMPLED)
+    chance = F.least(F.lit(1.0), F.col("n_ids") / step)
+    dice = F.pmod(F.xxhash64("doc_id", "tie", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    rows = tokens.where(dice < chance).select("doc_id", "tie", F.greatest(F.col("n_ids").cast("double"), F.lit(step)).alias("weight")).toArrow()
+    doc, tie, weight = ids_of(rows["doc_id"].combine_chunks()), rows["tie"].to_numpy(), rows["weight"].to_numpy()
+    order = np.lexsort((tie, doc))
+    sums = np.cumsum(weight[order])
+    at = order[np.unique(np.searchsorted(sums, sums[-1] * np.arange(1, shards) / shards))] if len(order) else order
+    return doc[at], tie[at]
+
+
+def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard: int = SHARD, block: int = BLOCK, shards: int = SHARDS) -> None:
+    """Writes blocks and code below path; ids in ascending doc_id order. There are at most so many shards, so what the driver holds of
+    them has a bound; a task streams its shard block by block, so a larger shard needs no more memory."""
     spark = docs.sparkSession
-    tokens = stored(tokenized(texts(docs), tokenizer, end_id))
+    tokens = stored(tokenized(texts(docs), tokenizer, end_id).withColumn("tie", F.xxhash64("ids")))
     size = max(encoder(tokenizer).library.get_vocab_size(with_added_tokens=True), end_id + 1)
     lengths = code_lengths(id_counts(tokens, size))
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
     total = tokens.agg(F.sum("n_ids")).first()[0] or 0
-    n_shards = -(-total // shard)
-    # Splitters of doc_id: quantiles of all rows. Every document of a shard is in one task, blocks are streamed within it.
-    cuts = sorted(set(tokens.approxQuantile("doc_id", [i / n_shards for i in range(1, n_shards)], 0.1 / n_shards))) if n_shards > 1 else []
-    bounds = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+    n_shards = min(-(-total // shard), shards)
+    bounds = spark.sparkContext.broadcast(_splitters(tokens, total, n_shards) if n_shards > 1 else (np.zeros(0, np.int64),) * 2)
     code = spark.sparkContext.broadcast(lengths)
+    names = ["doc_id", "n_ids", "ids", "wide", "tie"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_doc, cut_tie = bounds.value
         for batch in batches:
-            to = np.searchsorted(bounds.value, ids_of(batch.column("doc_id")), "right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, pa.int32())], ["doc_id", "n_ids", "ids", "wide", "shard"])
-
+            doc, tie = ids_of(batch.column("doc_id")), batch.column("tie").to_numpy()
+            low, high = np.searchsorted(cut_doc, doc, "left"), np.searchsorted(cut_doc, doc, "right")
+            to = low + 0
+            for i in np.flatnonzero(low < high):  # ids at which a shard begins
+                to[i] = low[i] + np.searchsorted(cut_tie[low[i] : high[i]], tie[i], "right")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(to, pa.int32())], [*names, "shard"])
+
+    @frugal
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = code.value
         codes = canonical(lengths)[0]
@@ -216,8 +238,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard: int =
         if held:
             yield flush()
 
-    dealt = tokens.mapInArrow(deal, "doc_id long, n_ids long, ids binary, wide boolean, shard int").repartitionById(len(cuts) + 1, F.col("shard"))
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = tokens.select(names).mapInArrow(deal, "doc_id long, n_ids long, ids binary, wide boolean, tie long, shard int").repartitionById(max(1, n_shards), F.col("shard"))
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids")
     ordered.mapInArrow(blocks, "shard int, block int, start long, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -225,7 +247,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files alone."""
     blocks = spark.read.schema("shard int, block int, start long, n_ids long, data binary").parquet(f"{path}/blocks")
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").first()[0], np.uint8)
-    # The ids before each shard: one row per shard of about SHARD ids comes to the driver.
+    # The ids before each shard: one row for each of at most SHARDS shards comes to the driver.
     sums = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     base = dict(zip([s for s, _ in sums], np.cumsum([0, *[n for _, n in sums]]).tolist(), strict=False))
     shared = spark.sparkContext.broadcast((lengths, base))

@@ -50,6 +50,18 @@ def test_blocks_round_trip(n, used):
     assert got.tolist() == ids.tolist() and docs.tolist() == [-5, 7] and counts.tolist() == per.tolist()
 
 
+def digest(rows):
+    """Rows of (doc_id, start, n, crc) without the order of those that share an id."""
+    ids, out = {}, Counter()
+    for doc_id, start, n, crc in rows:
+        ids.setdefault(doc_id, []).append((start, n, crc))
+    for doc_id, of in ids.items():
+        of.sort()
+        assert all(a[0] + a[1] == b[0] for a, b in zip(of, of[1:]))
+        out[doc_id, of[0][0], tuple(sorted(x[1:] for x in of))] += 1
+    return out
+
+
 def expected(docs, name, end):
     rows = []
     for r in docs.collect():
@@ -63,7 +75,17 @@ def expected(docs, name, end):
 
 
 def test_files_give_back_every_id(spark, documents, odd, empty):
-    for docs, name, end, shard, block in ((documents, WORD, 1, 1 << 23, 1 << 18), (documents, WORD, 1, 9000, 700), (odd, WORD, 1, 2000, 300), (odd, BYTE, 50256, 1 << 20, 1 << 10), (empty, WORD, 1, 100, 100)):
+    for docs, name, end, shard, block, shards in ((documents, WORD, 1, 1 << 23, 1 << 18, 99), (documents, WORD, 1, 9000, 700, 99), (documents, WORD, 1, 9000, 700, 3), (odd, WORD, 1, 2000, 300, 99), (odd, BYTE, 50256, 1 << 20, 1 << 10, 99), (empty, WORD, 1, 100, 100, 99)):
         path = shared_dir(spark)
-        write(docs, name, end, path, shard, block)
-        assert Counter(tuple(r) for r in read(spark, path).collect()) == expected(docs, name, end)
+        write(docs, name, end, path, shard, block, shards)
+        assert digest(tuple(r) for r in read(spark, path).collect()) == digest(expected(docs, name, end).elements())
+
+
+def test_a_hot_id_is_split(spark):
+    """Most rows share one id: their shards are as many as their ids ask for."""
+    docs = spark.createDataFrame([(7 if i % 10 else i, f"words {i} " * (1 + i % 5 * 9)) for i in range(600)], "doc_id long, text string")
+    path = shared_dir(spark)
+    write(docs, WORD, 1, path, 2000, 500)
+    assert digest(tuple(r) for r in read(spark, path).collect()) == digest(expected(docs, WORD, 1).elements())
+    of_shard = [r["sum(n_ids)"] for r in spark.read.parquet(f"{path}/blocks").groupBy("shard").sum("n_ids").collect()]
+    assert len(of_shard) > 10 and max(of_shard) < 4 * sum(of_shard) / len(of_shard)
