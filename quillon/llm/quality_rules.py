@@ -4,8 +4,8 @@ Only DataFrame functions and no shuffle: each document is judged where it is rea
 or a large group of copies costs nothing extra.
 
 Defined results: null text, empty text and text of white space only have no words; all counts are 0 and the base rule
-fails. Repeated rows are judged row by row, equally. Extra columns are ignored. Very long texts are judged whole (up to
-2**26 words, far above what one Spark string can hold with words of this kind). An empty table gives an empty result.
+fails. Repeated rows are judged row by row, equally. Extra columns are ignored. Very long texts are judged whole:
+positions have as many bits as Spark's arrays can be long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ THRESHOLDS = (
 )
 N_BASE = 2
 SCALE = 100  # bounds are compared in whole numbers: SCALE * measure against bound * SCALE * per
-POSITION_BITS = 26
+POSITION_BITS = 31
 
 
 def _fails(measure: str, least, most, per: str | None) -> Column:
@@ -49,11 +49,9 @@ def _fails(measure: str, least, most, per: str | None) -> Column:
     return reduce(Column.__or__, tests)
 
 
-def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id and every measure that THRESHOLDS names; with carry also row, all that docs has."""
-    more = ["row"] if carry else []
-    d = texts(docs.withColumn("row", F.struct(*docs.columns)), *more) if carry else texts(docs)
-    d = d.withColumn("text", F.coalesce("text", F.lit("")))
+def measures(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and every measure that THRESHOLDS names; the columns in more are carried along."""
+    d = texts(docs, *more).withColumn("text", F.coalesce("text", F.lit("")))
     trimmed = F.btrim("text", F.lit(SPACE))
     d = d.select(
         *more,
@@ -99,14 +97,22 @@ def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
     return d.withColumn("n_repeat_words", F.when(always, F.coalesce(covered, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).drop("words", "windows")
 
 
-def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """Per document its measures, base_failed, kept, and failed: the names of the rules it breaks, in the table's order."""
+def judge(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Per document its measures, base_failed, kept, and failed: the names of the rules it breaks, in the table's order. The columns in
+    more are carried along; they must not be called like one of these."""
     rules = [F.when(_fails(*r[1:]), F.lit(r[0])) for r in THRESHOLDS]
-    d = measures(docs, carry).withColumn("failed", F.array_compact(F.array(*rules)))
+    d = measures(docs, more).withColumn("failed", F.array_compact(F.array(*rules)))
     base = reduce(Column.__or__, [_fails(*r[1:]) for r in THRESHOLDS[:N_BASE]])
     return d.withColumn("base_failed", base).withColumn("kept", F.size("failed") == 0)
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of docs that break no rule, with all their columns and in their types."""
+    held = {c: f"row_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()], F.lit(0).alias("doc_id"), F.col("text"))
+    return judge(renamed, tuple(held.values())).where("kept").select(*[F.col(h).alias(c) for c, h in held.items()])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = judge(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed").alias("failed"))

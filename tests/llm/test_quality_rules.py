@@ -4,7 +4,7 @@ from collections import Counter
 import duckdb
 from odd_rows import ODD_ROWS
 
-from quillon.llm.quality_rules import ORACLE_SQL, judge, op9_quality_rules
+from quillon.llm.quality_rules import ORACLE_SQL, judge, op9_quality_rules, passing
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -50,4 +50,4 @@ def test_clean_documents_are_kept(spark, empty):
     kept = {r.doc_id for r in op9_quality_rules(spark, "/root/testdata/sf0.01").where("kept or n_words < 50").collect()}
     good = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()}
     assert len(good - kept) <= 0.01 * len(good)
-    assert judge(empty, carry=True).collect() == []
+    assert passing(empty).collect() == [] and passing(empty).dtypes == empty.dtypes
