@@ -14,7 +14,7 @@ from quillon.llm._tokens import vocabulary
 from quillon.llm.decontamination import find
 from quillon.llm.near_duplicates import near_duplicates
 from quillon.llm.packing import pack
-from quillon.llm.quality_rules import judge
+from quillon.llm.quality_rules import passing
 from quillon.llm.repeats import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule."""
-    return judge(docs, carry=True).where("kept").select("row.*")
+    return passing(docs)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
