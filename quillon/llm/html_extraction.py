@@ -17,6 +17,7 @@ import html as html_module
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,6 +32,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 PARTS = frozenset("title script style noscript template iframe button select option textarea label svg math object canvas video audio dialog".split())
 STRUCTURAL = BLOCKS | PARTS
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that a paragraph outside of them can't be closed from.
+SCOPES = frozenset("td th caption table button object template".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 #: Start tags that end an open element of these names, up to the nearest element of the third set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "body": ({"head"}, {"html"})}
@@ -39,25 +42,76 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)
 PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
+class Open:
+    """The open elements. Where the nearest one of a name stands is known without a walk, so nesting of any depth reads in one pass."""
+
+    def __init__(self):
+        self.elements: list[tuple[str, int]] = [("", 0)]  # name, and the structural node it is in
+        self.at: dict[str, list[int]] = {}  # places by name
+        self.blocks: list[int] = []  # places of block elements
+        self.scopes: list[int] = [0]  # places of elements that paragraphs stay within
+
+    def push(self, name: str, node: int) -> None:
+        place = len(self.elements)
+        self.elements.append((name, node))
+        self.at.setdefault(name, []).append(place)
+        if name in BLOCKS:
+            self.blocks.append(place)
+        if name in SCOPES:
+            self.scopes.append(place)
+
+    def pop(self, to: int) -> None:
+        while len(self.elements) > to:
+            name, _ = self.elements.pop()
+            self.at[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            if name in SCOPES:
+                self.scopes.pop()
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of this name; 0 if there is none."""
+        return self.at[name][-1] if self.at.get(name) else 0
+
+    @property
+    def node(self) -> int:
+        return self.elements[-1][1]
+
+    def end(self, name: str) -> bool:
+        """An end tag: whether it closed something. An inline one reaches no further than its block."""
+        place = self.last(name)
+        if not place or (name not in STRUCTURAL and self.blocks and place < self.blocks[-1]):
+            return False
+        self.pop(place)
+        return True
+
+    def make_room(self, name: str) -> None:
+        """What a start tag closes: a block the paragraph it is in, list items and cells the ones before them."""
+        if name in BLOCKS and (p := self.last("p")) > self.scopes[-1]:
+            self.pop(p)
+        if name in CLOSES:
+            ends, within = CLOSES[name]
+            bound = max(map(self.last, within))
+            outermost = [at[i] for e in ends if (at := self.at.get(e)) and (i := bisect_right(at, bound)) < len(at)]
+            if outermost:
+                self.pop(min(outermost))
+
+
 class Page:
     """The structural nodes in page order, and the stretches of text between their tags."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.attributes = [""], [-1], [""]
         self.text: list[tuple[int, bool, list[str]]] = [(0, False, [])]  # node, inside a link, parts
-        stack: list[tuple[str, int]] = [("", 0)]  # every open element, and the structural node it is in
-        links = at = 0
+        stack = Open()
+        at = 0
 
-        def pop(to: int) -> None:
-            nonlocal links
-            for name, _ in stack[to:]:
-                links -= name == "a"
-            del stack[to:]
+        def linked() -> bool:
+            return bool(stack.at.get("a"))
 
         def say(text: str) -> None:
-            node = stack[-1][1]
-            if self.text[-1][0] != node or self.text[-1][1] != (links > 0):
-                self.text.append((node, links > 0, []))
+            if self.text[-1][0] != stack.node or self.text[-1][1] != linked():
+                self.text.append((stack.node, linked(), []))
             self.text[-1][2].append(text)
 
         for m in TOKEN.finditer(source):
@@ -70,51 +124,28 @@ class Page:
             if not name:
                 continue
             if m[1] or m[4]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        pop(i)
-                        if name in STRUCTURAL:
-                            self.text.append((stack[-1][1], links > 0, []))
-                        break
-                    if name not in STRUCTURAL and stack[i][0] in BLOCKS:
-                        break  # an inline end tag reaches no further than its block
+                if stack.end(name) and name in STRUCTURAL:
+                    self.text.append((stack.node, linked(), []))
                 continue
             if name == "br":
                 say(" ")
-            if name in BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in ("td", "th", "caption", "table", "button", "object", "template"):
-                        break
-            if name in CLOSES:
-                ends, within = CLOSES[name]
-                to = len(stack)
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in within:
-                        break
-                    if stack[i][0] in ends:
-                        to = i
-                pop(to)
-            node = stack[-1][1]
+            stack.make_room(name)
+            node = stack.node
             if name in STRUCTURAL:
                 self.tag.append(name)
                 self.parent.append(node)
                 self.attributes.append(m[3] or m[6] or "")
                 node = len(self.tag) - 1
-                self.text.append((node if name not in VOID else self.parent[node], links > 0, []))
+                self.text.append((node if name not in VOID else self.parent[node], linked(), []))
             if name in VOID:
                 continue
-            if name == "a":
-                links += 1
-            stack.append((name, node))
+            stack.push(name, node)
             if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                 if name in ("title", "textarea"):
                     say(html_module.unescape(source[at : end.start() if end else len(source)]))
-                pop(len(stack) - 1)
-                self.text.append((stack[-1][1], links > 0, []))
+                stack.pop(len(stack.elements) - 1)
+                self.text.append((stack.node, linked(), []))
                 at = end.end() if end else len(source)
         if at < len(source):
             say(html_module.unescape(source[at:]))
@@ -209,13 +240,21 @@ def features(page: Page) -> np.ndarray:
 TREES, DEPTH, RATE, BINS, RIDGE = 60, 5, 0.3, 16, 1.0
 
 
+def gain_of(g_left: np.ndarray, h_left: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """What a split wins, from the sums of gradients and curvatures left of it and in all."""
+    return g_left**2 / (h_left + RIDGE) + (g - g_left) ** 2 / (h - h_left + RIDGE) - g**2 / (h + RIDGE)
+
+
 class Trees:
     """Boosted regression trees of the logistic loss, each complete to DEPTH: arrays of split features and thresholds by level."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
         cuts = [np.unique(np.append(c, 0.0)) if len(np.unique(x[:, j])) > 1 else c[:0] for j, c in enumerate(cuts)]
-        used = [j for j, c in enumerate(cuts) if len(c)]
+        flag = ((x == 0) | (x == 1)).all(0)  # of these only the ones are added up
+        flags = [j for j, c in enumerate(cuts) if len(c) and flag[j]]
+        used = [j for j, c in enumerate(cuts) if len(c) and not flag[j]]
+        ones, which = np.nonzero(x[:, flags])
         binned = np.stack([np.searchsorted(cuts[j], x[:, j]) for j in used], 1)  # x > cut k  <=>  bin > k
         width = int(binned.max()) + 1
         self.feature, self.threshold, self.value = [], [], []
@@ -228,17 +267,22 @@ class Trees:
             for level in range(DEPTH):
                 k = 1 << level
                 best, feature, threshold = np.full(k, 1e-9), np.zeros(k, np.int64), np.full(k, np.inf)
+                gt, ht = (np.bincount(node, v, k)[:, None] for v in (g, h))
                 for c, j in enumerate(used):
                     at = node * width + binned[:, c]
-                    gs = np.bincount(at, g, k * width).reshape(k, width).cumsum(1)
-                    hs = np.bincount(at, h, k * width).reshape(k, width).cumsum(1)
-                    gt, ht = gs[:, -1:], hs[:, -1:]
-                    gain = gs**2 / (hs + RIDGE) + (gt - gs) ** 2 / (ht - hs + RIDGE) - gt**2 / (ht + RIDGE)
-                    gain = gain[:, : len(cuts[j])]
+                    gs, hs = (np.bincount(at, v, k * width).reshape(k, width).cumsum(1) for v in (g, h))
+                    gain = gain_of(gs, hs, gt, ht)[:, : len(cuts[j])]
                     top = gain.argmax(1)
                     better = gain[np.arange(k), top] > best
                     best[better] = gain[np.arange(k), top][better]
                     feature[better], threshold[better] = j, cuts[j][top[better]]
+                if flags:
+                    at = node[ones] * len(flags) + which
+                    gs, hs = (t - np.bincount(at, v[ones], k * len(flags)).reshape(k, len(flags)) for t, v in ((gt, g), (ht, h)))
+                    gain = gain_of(gs, hs, gt, ht)
+                    top = gain.argmax(1)
+                    better = gain[np.arange(k), top] > best
+                    feature[better], threshold[better] = np.array(flags)[top[better]], 0.0
                 self.feature.append(feature)
                 self.threshold.append(threshold)
                 node = node * 2 + (x[np.arange(len(y)), feature[node]] > threshold[node])

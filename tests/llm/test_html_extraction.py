@@ -2,11 +2,12 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from quillon.llm.html_extraction import Page, decode, extract, extract_many, fitted, training_pages
+from quillon.llm.html_extraction import Page, Trees, decode, extract, extract_many, fitted, training_pages
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,6 +64,44 @@ def test_broken_markup():
     assert deep.blocks([True] * 5001) == "x"
 
 
+def test_nesting_of_any_depth_takes_one_pass():
+    for source, n in (("<div>" * 200_000, 200_000), ("<div><ul><li>" * 30_000 + "<p>a<div>" * 30_000, 150_000), ("<p>" * 200_000 + "</i>" * 100_000, 200_000)):
+        began = time.perf_counter()
+        page = Page(source)
+        assert len(page.tag) == n + 1 and time.perf_counter() - began < 10
+
+
+def test_what_start_and_end_tags_close():
+    names = lambda s: [(t, page.tag[q]) for page in [Page(s)] for t, q in list(zip(page.tag, page.parent))[1:]]
+    assert names("<ul><li>a<ul><li>b</ul><li>c</ul>") == [("ul", ""), ("li", "ul"), ("ul", "li"), ("li", "ul"), ("li", "ul")]
+    assert names("<table><tr><td><p>x<table><tr><td>y<tr><td>z</table><td>u") == [("table", ""), ("tr", "table"), ("td", "tr"), ("p", "td"), ("table", "td"), ("tr", "table"), ("td", "tr"), ("tr", "table"), ("td", "tr"), ("td", "tr")]
+    assert names("<p>a<button><div>b</div></button><div>c") == [("p", ""), ("button", "p"), ("div", "button"), ("div", "")]
+    assert names("<b><div>x</b><p>y</div>z<h2>t") == [("div", ""), ("p", "div"), ("h2", "")]
+
+
+def test_splits_are_the_best_of_all():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 6, (200, 3)), rng.integers(0, 2, (200, 4))], 1).astype(np.float32)
+    y = ((x[:, 1] > 2) ^ (x[:, 5] == 1) ^ (rng.random(200) < 0.1)).astype(float)
+    t = Trees(x, y)
+    p = np.full(200, y.mean())
+    g, h = y - p, p * (1 - p)
+
+    def gain(rows, j, c):
+        left, total = rows & (x[:, j] <= c), g[rows].sum() ** 2 / (h[rows].sum() + 1)
+        right = rows & ~left
+        return g[left].sum() ** 2 / (h[left].sum() + 1) + g[right].sum() ** 2 / (h[right].sum() + 1) - total
+
+    node = np.zeros(200, int)
+    for level in range(3):
+        for k in range(1 << level):
+            rows = node == k
+            best = max(gain(rows, j, c) for j in range(7) for c in np.unique(x[:, j]))
+            assert gain(rows, t.feature[level][k], t.threshold[level][k]) == pytest.approx(best, abs=1e-3) or best < 1e-6
+        node = node * 2 + (x[np.arange(200), t.feature[level][node]] > t.threshold[level][node])
+    assert ((t.log_odds(x) > 0) == (y > 0)).mean() > 0.9
+
+
 def test_odd_tables(spark, trees):
     rows = [(1, "u", None, 1), (2, None, "", 2), (2, None, "", 2), (None, "u", "<p>text</p>", 3), (3, "v", "plain text " * 20000, 4)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long"), trees).collect()
