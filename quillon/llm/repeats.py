@@ -427,4 +427,17 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op2_suffix_dedup": (op2_suffix_dedup, None)}
+#: By all windows of all texts, for small tables with an id a row. Bytes are pairs of hexadecimal digits.
+ORACLE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+  w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * WINDOW})) AS g FROM (SELECT doc_id, x, unnest(range(0, n - {WINDOW - 1})) AS i FROM d)),
+  r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+  s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW} THEN 0 ELSE 1 END AS new FROM r),
+  k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+  gone AS (SELECT doc_id, min(i) AS a, max(i) + {WINDOW} AS b FROM k GROUP BY doc_id, run),
+  edges AS (SELECT doc_id, a, b FROM gone UNION ALL SELECT doc_id, n, n FROM d),
+  kept AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS begin FROM edges),
+  t AS (SELECT kept.doc_id, string_agg(substr(x, 2 * begin + 1, 2 * (a - begin)), '' ORDER BY a, b) AS left_over, sum(b - a) AS n_removed, count(*) - 1 AS n_spans FROM kept JOIN d USING (doc_id) GROUP BY kept.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(left_over)) AS kept_sha256 FROM d JOIN t USING (doc_id)"""
+
+QUERIES = {"op2_suffix_dedup": (op2_suffix_dedup, ORACLE_SQL)}
