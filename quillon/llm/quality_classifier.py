@@ -1,9 +1,9 @@
 """Importance resampling: documents drawn by the ratio of two hashed n-gram models, target against raw text, with Gumbel top-k.
 
 Both models are counts of hashed word unigrams and bigrams over all documents concerned; a bounded vector of BUCKETS numbers
-each. A document's log weight is the sum of the log ratios of its n-grams. Long texts would be decided by length alone, so
-the sum counts as that of EFFECTIVE n-grams at most. With independent Gumbel noise added, the k largest keys are a sample
-without replacement in proportion to the weights. The k-th largest key is found exactly by counting histograms of all
+each. A document's log weight is the sum of the log ratios of its n-grams, whatever their number; a caller may ask that it
+counts as the sum of so many n-grams at most (effective). With independent Gumbel noise added, the k largest keys are a
+sample without replacement in proportion to the weights. The k-th largest key is found exactly by counting histograms of all
 keys, ever finer; nothing is sorted in one place.
 
 Defined results: null and word-free texts have no n-grams, a null log weight and key, and are never drawn. The noise comes
@@ -21,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, ids_of, pieces, stored, table, texts, utf8
+from ._common import U64, frugal, pieces, stored, table, texts, utf8
 from .near_duplicates import words_of
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
-EFFECTIVE = 64
 SHARE = 0.75  # of the documents with a weight that are drawn
 BINS = 4096
-IDS = 4_000_000  # labelled ids that are broadcast at once, 8 bytes each
+IDS = 1_000_000  # labelled ids that are broadcast, 8 bytes each and their table
 
 
 def ngram_buckets(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,23 +46,21 @@ def ngram_buckets(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[n
     return np.concatenate([one, two])[order], np.concatenate([[0], np.cumsum(counts)])
 
 
-def counted(docs: DataFrame, ids: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram counts by bucket over all texts of docs(doc_id, text), and over those whose doc_id is in the sorted ids."""
-    wanted = docs.sparkSession.sparkContext.broadcast(ids)
+def counted(docs: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram counts by bucket over all texts of docs(text, wanted), and over the wanted ones."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for big in batches:
             for batch in pieces(big):
                 bucket, begin = ngram_buckets(*utf8(batch.column("text")), buckets)
+                hit = batch.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
                 total[0] += np.bincount(bucket, minlength=buckets)
-                own = ids_of(batch.column("doc_id"))
-                at = np.minimum(np.searchsorted(wanted.value, own), max(len(wanted.value) - 1, 0))
-                hit = wanted.value[at] == own if len(wanted.value) else np.zeros(len(own), bool)
                 total[1] += np.bincount(bucket[np.repeat(hit, np.diff(begin))], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(total[0]), pa.array(total[1])], ["bucket", "n", "t"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(count, "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+    rows = docs.select("text", "wanted").mapInArrow(count, "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
     out = np.zeros((2, buckets), np.int64)
     for i, c in enumerate("nt"):
         out[i, rows["bucket"].to_numpy()] = rows[c].to_numpy()
@@ -71,19 +68,11 @@ def counted(docs: DataFrame, ids: np.ndarray, buckets: int = BUCKETS) -> tuple[n
 
 
 def models(docs: DataFrame, wanted: DataFrame, buckets: int = BUCKETS, most: int = IDS) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all documents and of the wanted ones. Texts are not shuffled to meet their labels: up to most ids are broadcast;
-    more are taken in ranges of about so many, each in a scan of the documents in that range."""
-    n = wanted.count()
-    ids = lambda d: np.sort(d.toArrow()["doc_id"].to_numpy())
-    if n <= most:
-        return counted(docs, ids(wanted), buckets)
-    raw, target = counted(docs, np.zeros(0, np.int64), buckets)
-    k = -(-2 * n // most)
-    cuts = wanted.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.1 / k)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        inside = (F.lit(True) if low is None else F.col("doc_id") >= int(low)) & (F.lit(True) if high is None else F.col("doc_id") < int(high))
-        target = target + counted(docs.where(inside), ids(wanted.where(inside)), buckets)[1]
-    return raw, target
+    """Counts of all documents and of the wanted ones (distinct doc_id), in one pass over the texts. Up to most ids are broadcast to
+    them; more meet them in a shuffle by doc_id."""
+    ids = wanted.select("doc_id", F.lit(True).alias("wanted"))
+    ids = F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_merge")
+    return counted(docs.join(ids, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted")), buckets)
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -118,13 +107,15 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = 1, most: int = IDS) -> DataFrame:
-    """doc_id, n_ngrams, log_weight, sample_key, kept. target: (doc_id) of the documents to be like."""
+def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = 1, most: int = IDS, effective: int | None = None) -> DataFrame:
+    """doc_id, n_ngrams, log_weight, sample_key, kept. target: (doc_id) of the documents to be like. With effective, the log weight of
+    a text of more n-grams is scaled down to that many, so that length decides less."""
     d = texts(docs)
     wanted = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
     raw, like = models(d, wanted, most=most)
     ratios = d.sparkSession.sparkContext.broadcast(log_ratios(like, raw))
 
+    @frugal
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces(big):
@@ -132,7 +123,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int
                 sums = np.concatenate([[0.0], np.cumsum(ratios.value[bucket])])
                 n = np.diff(begin)
                 total = sums[begin[1:]] - sums[begin[:-1]]
-                weight = total * np.minimum(1.0, EFFECTIVE / np.maximum(n, 1))
+                weight = total * np.minimum(1.0, effective / np.maximum(n, 1)) if effective else total
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(weight, mask=n == 0)], ["doc_id", "n_ngrams", "log_weight"])
 
     weighed = d.mapInArrow(weigh, "doc_id long, n_ngrams long, log_weight double")

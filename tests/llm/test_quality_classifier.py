@@ -3,9 +3,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm.near_duplicates import words_of
-from quillon.llm.quality_classifier import BUCKETS, EFFECTIVE, kth_largest, log_ratios, ngram_buckets, resample
+from quillon.llm.quality_classifier import BUCKETS, kth_largest, log_ratios, ngram_buckets, resample
 
 
 def arrays(texts):
@@ -35,15 +36,28 @@ def test_weights_and_draw(spark, documents):
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
     counts = {i: np.bincount(ngram_buckets(*arrays([t]), BUCKETS)[0], minlength=BUCKETS) for i, t in texts.items()}
     ratios = log_ratios(sum(counts[i] for i in good & set(texts)), sum(counts.values()))
+    scaled = {r.doc_id: r for r in resample(documents, labels.where("quality = 1"), 0.5, effective=64).collect()}
     for r in rows:
         n = int(counts[r.doc_id].sum())
-        assert r.n_ngrams == n and r.log_weight == pytest.approx(float((counts[r.doc_id] * ratios).sum()) * min(1, EFFECTIVE / n))
+        assert r.n_ngrams == n and r.log_weight == pytest.approx(float((counts[r.doc_id] * ratios).sum()))
+        assert scaled[r.doc_id].log_weight == pytest.approx(r.log_weight * min(1, 64 / n))
     again = resample(documents, labels.where("quality = 1"), 0.5, most=20).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
     keys = sorted((r.sample_key for r in rows), reverse=True)
     assert [r.sample_key >= keys[len(rows) // 2 - 1] for r in rows] == [r.kept for r in rows]
 
 
+def test_held_out_labels(spark):
+    """Fitted on half of the labels: of the other half, good documents weigh more than bad ones."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumn("good", F.expr("quality = 1 and toxic = 0"))
+    fit, test = (labels.where(f"crc32(cast(cast(doc_id as string) as binary)) % 2 = {k}") for k in (0, 1))
+    rows = resample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), fit.where("good")).join(test, "doc_id").where("log_weight is not null").collect()
+    good, bad = ([r for r in rows if r.good == g] for g in (True, False))
+    wins = sum((a.log_weight > b.log_weight) + (a.log_weight == b.log_weight) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    print("AUC", wins, "kept good", sum(r.kept for r in good) / len(good), "kept bad", sum(r.kept for r in bad) / len(bad))
+    assert wins > 0.7
+
+
 def test_noise_is_gumbel(spark):
     from quillon.llm.quality_classifier import gumbel
 
