@@ -157,6 +157,33 @@ class Model:
 # --- learning ------------------------------------------------------------------------------------------------------
 
 
+def loss_and_gradient(weights, transitions, words, gold, lengths, feature, begin) -> tuple[float, np.ndarray, np.ndarray]:
+    """Minus the log likelihood of the gold labels of chains of words (numbers; -1 has no emission), and its gradient by weights and by
+    transitions. The features of word w are feature[begin[w]:begin[w + 1]]."""
+    size = np.diff(begin)
+    some, at = np.unique(words[words >= 0], return_inverse=True)
+    features = feature[spans(begin[some], size[some])]
+    first = np.cumsum(size[some]) - size[some]
+    norm = 1 / np.sqrt(size[some])
+    scores = np.zeros((len(words), weights.shape[1]))
+    if len(some):
+        scores[words >= 0] = (np.add.reduceat(weights[features], first, 0) * norm[:, None])[at]
+    posterior, pairs, log_z = forward_backward(scores, lengths, transitions)
+    inner = np.ones(len(gold) - 1, bool)
+    inner[np.cumsum(lengths)[:-1] - 1] = False
+    before, after = gold[:-1][inner], gold[1:][inner]
+    loss = log_z.sum() - scores[np.arange(len(gold)), gold].sum() - transitions[before, after].sum()
+    error = posterior
+    error[np.arange(len(gold)), gold] -= 1
+    per_word = np.zeros((len(some), weights.shape[1]))
+    np.add.at(per_word, at, error[words >= 0])
+    grad = np.zeros_like(weights)
+    np.add.at(grad, features, np.repeat(per_word * norm[:, None], size[some], 0))
+    seen = np.zeros_like(transitions)
+    np.add.at(seen, (before, after), 1)
+    return float(loss), grad, pairs - seen
+
+
 def fit(stretches: list[tuple[str, list[str]]], seed: int = 1) -> Model:
     """From (language, words): sequences of one to four stretches, cut at random, so that labels change within a sequence."""
     rng = np.random.default_rng(seed)
@@ -174,7 +201,6 @@ def fit(stretches: list[tuple[str, list[str]]], seed: int = 1) -> Model:
     lettered = [w for w in vocabulary if has_letter(w)]
     number = {w: i for i, w in enumerate(lettered)}
     feature, begin = word_features(lettered, lexicon) if lettered else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-    size = np.diff(begin)
     by_language = [[np.array([number.get(w, -1) for w in ws]) for x, ws in stretches if x == lang] for lang in languages]
     weights, transitions = np.zeros((FEATURES, k)), np.zeros((k, k))
     square_w, square_t = np.full((FEATURES, k), 1e-6), np.full((k, k), 1e-6)
@@ -190,27 +216,9 @@ def fit(stretches: list[tuple[str, list[str]]], seed: int = 1) -> Model:
                 gold.append(np.full(len(part), lang))
                 n += len(part)
             lengths.append(n)
-        words, gold, lengths = np.concatenate(chain), np.concatenate(gold), np.array(lengths)
-        some, at = np.unique(words[words >= 0], return_inverse=True)
-        features = spans(begin[some], size[some])
-        features = feature[features]
-        first = np.cumsum(size[some]) - size[some]
-        norm = 1 / np.sqrt(size[some])
-        scores = np.zeros((len(words), k))
-        scores[words >= 0] = (np.add.reduceat(weights[features], first, 0) * norm[:, None])[at]
-        posterior, pairs, _ = forward_backward(scores, lengths, transitions)
-        error = posterior.copy()
-        error[np.arange(len(gold)), gold] -= 1
-        per_word = np.zeros((len(some), k))
-        np.add.at(per_word, at, error[words >= 0])
-        grad = np.zeros_like(weights)
-        np.add.at(grad, features, np.repeat(per_word * norm[:, None], size[some], 0))
+        _, grad, grad_t = loss_and_gradient(weights, transitions, np.concatenate(chain), np.concatenate(gold), np.array(lengths), feature, begin)
         grad = grad / BATCH + DECAY * weights
-        inner = np.ones(len(gold) - 1, bool)
-        inner[np.cumsum(lengths)[:-1] - 1] = False
-        seen = np.zeros((k, k))
-        np.add.at(seen, (gold[:-1][inner], gold[1:][inner]), 1)
-        grad_t = (pairs - seen) / BATCH
+        grad_t = grad_t / BATCH
         square_w += grad**2
         square_t += grad_t**2
         weights -= RATE * grad / np.sqrt(square_w)
@@ -220,12 +228,12 @@ def fit(stretches: list[tuple[str, list[str]]], seed: int = 1) -> Model:
 
 def sample_stretches(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS, stretch: int = STRETCH) -> list[tuple[str, list[str]]]:
     """Stretches of words from a bounded sample of docs(doc_id, text, lang); at most per_language * windows of a language, or so."""
-    labelled = docs.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    labelled = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of")
+    dice = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    chosen = labelled.join(counts, F.col("lang") == F.col("of")).where(dice * F.col("n") < per_language * 1_000_000)
+    # Rows that share an id are chosen together: of these, one text of each language will do.
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

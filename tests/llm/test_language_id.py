@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from quillon.llm.language_id import fit, forward_backward, op1_language_id, predict, sample_stretches
+from quillon.llm.language_id import fit, forward_backward, loss_and_gradient, op1_language_id, predict, sample_stretches
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +31,43 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(posterior, want) and np.allclose(pairs, want_pairs)
 
 
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(2)
+    weights, transitions = rng.normal(size=(12, 3)), rng.normal(size=(3, 3))
+    feature, begin = rng.integers(0, 12, 20), np.array([0, 3, 4, 9, 20])
+    words, lengths = np.array([0, -1, 2, 3, 3, 1, 0, -1]), np.array([5, 1, 2])
+    gold = rng.integers(0, 3, 8)
+    loss = lambda: loss_and_gradient(weights, transitions, words, gold, lengths, feature, begin)[0]
+    _, by_weight, by_transition = loss_and_gradient(weights, transitions, words, gold, lengths, feature, begin)
+    for values, gradient in ((weights, by_weight), (transitions, by_transition)):
+        for i in np.ndindex(values.shape):
+            kept = values[i]
+            values[i] = kept + 1e-5
+            up = loss()
+            values[i] = kept - 1e-5
+            assert abs((up - loss()) / 2e-5 - gradient[i]) < 1e-5
+            values[i] = kept
+
+
+def test_document_score_is_the_mean_posterior():
+    model = fit([("de", "das haus steht nahe wasser".split()), ("en", "the house stands near water".split())] * 20)
+    texts = ["the haus stands", "42 !!", "das wasser 7 water"]
+    for text, shares in zip(texts, model.shares(texts)):
+        words = text.split()
+        paths = {}
+        scores = model.scores(words)
+        for path in itertools.product(range(2), repeat=len(words)):
+            paths[path] = np.exp(sum(scores[j, x] for j, x in enumerate(path)) + sum(model.transitions[a, b] for a, b in zip(path, path[1:])))
+        mean = [sum(p * path.count(k) for path, p in paths.items()) / sum(paths.values()) / len(words) for k in range(2)]
+        assert np.allclose(shares, mean if any(map(str.isalpha, text)) else 0)
+
+
+def test_sample_is_bounded_when_ids_repeat(spark):
+    rows = [(7, f"some words {i}", "xx") for i in range(500)] + [(i, "other words here", f"l{i % 40}") for i in range(400)]
+    got = sample_stretches(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 1)
+    assert len([x for x, _ in got if x == "xx"]) <= 1 and len(got) < 41 * 15
+
+
 def test_code_switched_words():
     a, b = "the house stands near green water today".split(), "das haus steht nahe grünem wasser heute".split()
     model = fit([("de", b * 4), ("en", a * 4)] * 20)
