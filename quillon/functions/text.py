@@ -34,12 +34,37 @@ def percent_encode(c: Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def escape_html(c: Column) -> Column:
-    for plain, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+def percent_encode_path(c: Column) -> Column:
+    """Of a page's path: the marks of namespaces, subpages and brackets stay as they are, too."""
+    c = percent_encode(c)
+    for shown, plain in (("%3A", ":"), ("%2F", "/"), ("%28", "("), ("%29", ")")):
+        c = F.replace(c, F.lit(shown), F.lit(plain))
+    return c
+
+
+#: Bytes that an anchor keeps, as hexadecimal numbers.
+UNRESERVED = "".join(chr(b) for b in range(128) if chr(b).isalnum() or chr(b) in "-_.~")
+
+
+def percent_encode_anchor(c: Column) -> Column:
+    """Everything but unreserved characters as lower-case %xx of UTF-8."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(c, "utf-8")), F.lit("(..)"), F.lit(1))
+    kept = [f"{ord(x):02X}" for x in UNRESERVED]
+    shown = F.create_map(*[x for pair in zip(map(F.lit, kept), map(F.lit, UNRESERVED)) for x in pair])
+    return F.array_join(F.transform(pairs, lambda h: F.coalesce(F.try_element_at(shown, h), F.concat(F.lit("%"), F.lower(h)))), "")
+
+
+def escape_text(c: Column) -> Column:
+    """Of text between tags: quotes stay."""
+    for plain, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(plain), F.lit(shown))
     return c
 
 
+def escape_attribute(c: Column) -> Column:
+    return F.replace(F.replace(escape_text(c), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+
+
 def age(birth: Column, now: Column) -> Column:
     early = (F.month(now) * 100 + F.day(now)) < (F.month(birth) * 100 + F.day(birth))
     return F.year(now) - F.year(birth) - early.cast("int")
@@ -55,10 +80,12 @@ def julian_day(d: Column) -> Column:
 
 
 def headings(d: DataFrame) -> DataFrame:
-    """id, n, level, heading of (id, text)."""
-    lines = d.select("id", F.posexplode(F.split("text", "\n")).alias("p", "l")).where(F.rlike("l", F.lit(r"^={1,6} .* ={1,6}$")))
+    """id, n, level, heading, folded of (id, text): lines with the same marks at both ends, one space inside each; `==# x #==` is
+    folded. A null or heading-free text has no row."""
+    lines = d.select("id", F.posexplode(F.split("text", "\r?\n")).alias("p", "l")).where(F.rlike("l", F.lit(r"^(={1,6})(#?) (.+) \2\1$")))
     nth = F.row_number().over(Window.partitionBy("id").orderBy("p")).cast("long")
-    return lines.select("id", nth.alias("n"), F.length(F.regexp_extract("l", "^(={1,6}) ", 1)).cast("long").alias("level"), F.regexp_extract("l", "^={1,6} (.*) ={1,6}$", 1).alias("heading"))
+    part = lambda k: F.regexp_extract("l", r"^(={1,6})(#?) (.+) \2\1$", k)
+    return lines.select("id", nth.alias("n"), F.length(part(1)).cast("long").alias("level"), part(3).alias("heading"), (part(2) == "#").alias("folded"))
 
 
 def level_skips(h: DataFrame) -> DataFrame:
@@ -72,9 +99,11 @@ def links(d: DataFrame) -> DataFrame:
 
 
 def redirects(d: DataFrame) -> DataFrame:
-    """The first line that starts with a redirect directive, with its anchor."""
-    found = F.regexp_extract("text", r"(?m)^#(?:redirect|넘겨주기) ([^\n]*)", 1)
-    return d.withColumn("x", found).where("x <> ''").select("id", F.substring_index("x", "#", 1).alias("target"), F.element_at(F.split("x", "#"), -1).alias("anchor"))
+    """id, target, anchor: the first line that is a redirect, cut at its last `#`; without one the anchor is null."""
+    found = F.trim(F.regexp_extract("text", r"(?m)^#(?:redirect|넘겨주기) ([^\n]*)", 1))
+    d = d.withColumn("x", found).where("x <> ''")
+    anchor = F.nullif(F.substring_index("x", "#", -1), F.lit(""))
+    return d.select("id", F.regexp_replace("x", "#[^#]*$", "").alias("target"), F.when(F.contains("x", F.lit("#")), anchor).alias("anchor"))
 
 
 def residue(d: DataFrame) -> DataFrame:

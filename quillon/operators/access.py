@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .pages import display, with_author, with_titles
 
@@ -47,27 +46,30 @@ def actor_classes(w, action: str, as_of: str) -> DataFrame:
     return who.select("actor_id", F.to_json(F.struct("named", "groups")).alias("class"), "named", "groups")
 
 
-def matching(rules: DataFrame, classes: DataFrame, strict: bool) -> DataFrame:
-    """(document_id, class, ...) of rules that apply. An unknown permission matches everybody, or nobody if strict."""
+def matching(rules: DataFrame, classes: DataFrame, strict: bool, scope: str) -> DataFrame:
+    """(scope column, class, order, rule_id, allowed) of rules that apply. An unknown permission matches everybody, or nobody if strict."""
     everyone = rules.where("kind = 'perm'").join(F.broadcast(classes.select("class", "named")))
     value = F.col("value")
     applies = F.when(value == "any", F.lit(True)).when(value == "member", F.col("named")).when(value == "ip", ~F.col("named")).otherwise(F.lit(not strict))
     grouped = rules.where("kind = 'group'").join(F.broadcast(classes.select("class", F.explode("groups").alias("grp"))), F.col("value") == F.col("grp"))
-    keep = ["document_id", "class", "scope", "evaluation_order", "rule_id", "allowed"]
+    keep = [scope, "class", "evaluation_order", "rule_id", "allowed"]
     return everyone.where(applies).select(keep).unionByName(grouped.select(keep))
 
 
 def decisions(w, action: str, as_of: str, strict: bool = True) -> DataFrame:
     """Every document's decision for every actor, as two kinds of rows: (document_id, class, allowed, rule_id), one per document and
     class of actors, and (actor_id, class), one per actor. First matching rule by scope, order and id; none means denied.
-    Classes are at most two for each set of groups that rules name, however many actors there are, so they are broadcast."""
+    Rules of namespaces are settled once per namespace and class, those of documents only for documents that have some. Classes are
+    at most two for each set of groups that rules name, however many actors there are, so they are broadcast."""
     actors = actor_classes(w, action, as_of)
     classes = actors.select("class", "named", "groups").distinct()
-    none = w.document.select(F.col("id").alias("document_id")).join(F.broadcast(classes.select("class")))
-    none = none.select("document_id", "class", F.lit(2).alias("scope"), F.lit(0).alias("evaluation_order"), F.lit(None).cast("long").alias("rule_id"), F.lit(False).alias("allowed"))
-    rules = candidate_rules(w, action).join(w.document.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    first = matching(rules, classes, strict).unionByName(none).groupBy("document_id", "class").agg(F.min(F.struct("scope", "evaluation_order", "rule_id", "allowed")).alias("r"))
-    return first.select("document_id", F.lit(None).cast("long").alias("actor_id"), "class", "r.allowed", "r.rule_id").unionByName(
+    rules = w.acl_rule.where(F.col("action") == action).withColumn("rule_id", F.col("id"))
+    first = F.min(F.struct("evaluation_order", "rule_id", "allowed"))
+    own = matching(rules.where("document_id IS NOT NULL"), classes, strict, "document_id").groupBy("document_id", "class").agg(first.alias("own"))
+    shared = matching(rules.where("document_id IS NULL"), classes, strict, "namespace_id").groupBy("namespace_id", "class").agg(first.alias("shared"))
+    each = w.document.select(F.col("id").alias("document_id"), "namespace_id").join(F.broadcast(classes.select("class")))
+    settled = each.join(F.broadcast(shared), ["namespace_id", "class"], "left").join(own, ["document_id", "class"], "left").withColumn("r", F.coalesce("own", "shared"))
+    return settled.select("document_id", F.lit(None).cast("long").alias("actor_id"), "class", F.coalesce("r.allowed", F.lit(False)).alias("allowed"), "r.rule_id").unionByName(
         actors.select(F.lit(None).cast("long").alias("document_id"), "actor_id", "class", F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("long").alias("rule_id"))
     )
 
@@ -78,7 +80,7 @@ def permission_log(w, limit: int = 100) -> DataFrame:
 
 
 def granted_permissions(w) -> DataFrame:
-    return w.user_permission.where("revoked_at IS NULL").select("user_id", "permission").distinct()
+    return w.user_permission.where("revoked_at IS NULL").select("user_id", "permission").distinct().orderBy("user_id", "permission")
 
 
 def threads(w, status: str | None = None, limit: int = 100) -> DataFrame:
@@ -97,7 +99,7 @@ def threads_of(w, namespace: str, title: str) -> DataFrame:
 
 def timeline(w) -> DataFrame:
     """Comments with hidden ones blanked."""
-    return w.thread_comment.select("thread_id", "sequence", "author", F.when(F.col("hidden"), F.lit("")).otherwise(F.col("content")).alias("content"), "hidden")
+    return w.thread_comment.orderBy("thread_id", "sequence").select("thread_id", "sequence", "author", F.when(F.col("hidden"), F.lit("")).otherwise(F.col("content")).alias("content"), "hidden")
 
 
 def thread_status_counts(w) -> DataFrame:
@@ -119,14 +121,14 @@ def unread_counts(w) -> DataFrame:
 
 
 def starred_documents(w, user: int) -> DataFrame:
-    return with_titles(w.star.where(F.col("user_id") == user), w.document, w.namespace).select(display().alias("title"), "created_at")
+    return with_titles(w.star.where(F.col("user_id") == user), w.document, w.namespace).orderBy(F.desc("created_at"), "document_id").select(display().alias("title"), "created_at")
 
 
 def subscribers_fanout(w) -> DataFrame:
-    """Who is told of each change: users with a star on the document, the author left out."""
-    s = w.star.select("document_id", F.col("user_id").alias("subscriber"))
-    return w.revision.select(F.col("id").alias("revision_id"), "document_id", "actor_id").join(s, "document_id").where("subscriber <> actor_id").groupBy("revision_id").agg(F.count(F.lit(1)).alias("told"))
-
-
-def latest_rank(d: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return d.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("rn = 1").drop("rn")
+    """How many are told of each change: users with a star on the document, the author left out. Stars are counted per document, so no
+    pair of a change and a star is made."""
+    s = w.star.select("document_id", "user_id").distinct()
+    stars = s.groupBy("document_id").agg(F.count(F.lit(1)).alias("stars"))
+    own = s.select("document_id", F.col("user_id").alias("actor_id"), F.lit(1).alias("own"))
+    d = w.revision.select(F.col("id").alias("revision_id"), "document_id", "actor_id").join(stars, "document_id").join(own, ["document_id", "actor_id"], "left")
+    return d.select("revision_id", (F.col("stars") - F.coalesce("own", F.lit(0))).alias("told")).where("told > 0")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -17,9 +18,10 @@ from ..functions.condition import evaluate
 STEP = 1_000_000
 
 
-def rows_of(d: DataFrame, columns: list[str], make: Callable[..., list[tuple]], schema: str) -> DataFrame:
-    """make(text columns) gives rows; each comes with its id. Nulls are empty texts."""
-    kind = StructType.fromDDL("id long, " + schema)
+def rows_of(d: DataFrame, columns: list[str], make: Callable[..., list[tuple]], schema: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """make(text columns) gives rows; each comes with its keys (longs). Nulls are empty texts; a row whose key is null keeps it; other
+    columns are ignored; repeated rows are worked on one by one."""
+    kind = StructType.fromDDL(", ".join([*(f"{k} long" for k in keys), schema]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_schema = to_arrow_schema(kind)
@@ -29,16 +31,17 @@ def rows_of(d: DataFrame, columns: list[str], make: Callable[..., list[tuple]],
 
         for batch in batches:
             out, size = [], 0
-            for i, *values in zip(*(batch.column(c) for c in ["id", *columns]), strict=True):
-                texts = [v.as_py() or "" for v in values]
-                out += [(i.as_py(), *row) for row in make(*texts)]
+            for values in zip(*(batch.column(c) for c in [*keys, *columns]), strict=True):
+                key = tuple(v.as_py() for v in values[: len(keys)])
+                texts = [v.as_py() or "" for v in values[len(keys) :]]
+                out += [(*key, *row) for row in make(*texts)]
                 size += sum(map(len, texts))
                 if size >= STEP:  # whole texts: the rows of a batch go out in parts
                     yield packed(out)
                     out, size = [], 0
             yield packed(out)
 
-    return d.select("id", *columns).mapInArrow(run, kind)
+    return d.select(*(F.col(k).cast("long").alias(k) for k in keys), *columns).mapInArrow(run, kind)
 
 
 def parse_tokens(d: DataFrame) -> DataFrame:
@@ -65,13 +68,19 @@ def sanitize(d: DataFrame) -> DataFrame:
     return rows_of(d, ["text"], lambda t: [(M.sanitize(t),)], "html string")
 
 
-def diff_lines(d: DataFrame) -> DataFrame:
-    """Of (id, before, after): numbered lines with = - or +."""
-    return rows_of(d, ["before", "after"], lambda a, b: [(i, op, line) for i, (op, line) in enumerate(M.diff_lines(a, b))], "n int, op string, line string")
+def diff_lines(d: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Of (keys, before, after): numbered lines with = - or +."""
+    return rows_of(d, ["before", "after"], lambda a, b: [(i, op, line) for i, (op, line) in enumerate(M.diff_lines(a, b))], "n int, op string, line string", keys)
 
 
-def merge_edits(d: DataFrame) -> DataFrame:
-    return rows_of(d, ["base", "current", "proposed"], lambda o, a, b: [M.merge3(o, a, b)], "merged string, conflict boolean")
+def diff_hunks(d: DataFrame, keys: tuple[str, ...] = ("id",), context: int = 3) -> DataFrame:
+    """Of (keys, before, after): the lines of unified hunks, by number of hunk, with where each side's hunk begins."""
+    return rows_of(d, ["before", "after"], lambda a, b: M.hunks(a, b, context), "hunk int, old_start int, new_start int, op string, line string", keys)
+
+
+def merge_edits(d: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Of (keys, base, current, proposed): both changes together, or with marks of conflict."""
+    return rows_of(d, ["base", "current", "proposed"], lambda o, a, b: [M.merge3(o, a, b)], "merged string, conflict boolean", keys)
 
 
 def render_json(d: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def author(d: DataFrame | None = None) -> Column:
+def author() -> Column:
     return F.coalesce("user_name", "ip", F.lit(""))
 
 

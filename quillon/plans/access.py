@@ -20,11 +20,15 @@ def _decisions(strict: bool):
 
 def _decisions_sql(strict: bool) -> str:
     other = "FALSE" if strict else "TRUE"
-    return f"""WITH who AS (SELECT id AS actor_id, user_name FROM {{actor}} WHERE id % 10 = 1), docs AS (SELECT id AS document_id, namespace_id FROM {{document}} WHERE id < 60),
-      hit AS (SELECT d.document_id, w.actor_id, r.allowed, r.id, row_number() OVER (PARTITION BY d.document_id, w.actor_id ORDER BY CASE WHEN r.document_id IS NULL THEN 1 ELSE 0 END, r.evaluation_order, r.id) AS k
-        FROM docs d, who w, {{acl_rule}} r WHERE r.action = 'edit' AND (r.document_id = d.document_id OR r.namespace_id = d.namespace_id)
-          AND CASE WHEN r.kind = 'group' THEN EXISTS (SELECT 1 FROM {ACTIVE} g WHERE g.name = r.value AND g.actor_id = w.actor_id) WHEN r.value = 'any' THEN TRUE WHEN r.value = 'member' THEN w.user_name IS NOT NULL WHEN r.value = 'ip' THEN w.user_name IS NULL ELSE {other} END)
-      SELECT d.document_id, w.actor_id, coalesce(h.allowed, FALSE) AS allowed, h.id AS rule_id FROM docs d CROSS JOIN who w LEFT JOIN hit h ON h.document_id = d.document_id AND h.actor_id = w.actor_id AND h.k = 1"""
+    return f"""WITH g AS (SELECT actor_id, list_sort(list(DISTINCT name)) AS groups FROM {ACTIVE} m WHERE name IN (SELECT value FROM {{acl_rule}} WHERE action = 'edit' AND kind = 'group') GROUP BY actor_id),
+      who AS (SELECT a.id AS actor_id, a.user_name IS NOT NULL AS named, coalesce(g.groups, []) AS groups FROM {{actor}} a LEFT JOIN g ON g.actor_id = a.id),
+      k AS (SELECT *, '{{{{"named":' || CAST(named AS VARCHAR) || ',"groups":[' || array_to_string(list_transform(groups, lambda x: '"' || x || '"'), ',') || ']}}}}' AS class FROM who),
+      c AS (SELECT DISTINCT class, named, groups FROM k),
+      hit AS (SELECT d.id AS document_id, c.class, r.allowed, r.id, row_number() OVER (PARTITION BY d.id, c.class ORDER BY CASE WHEN r.document_id IS NULL THEN 1 ELSE 0 END, r.evaluation_order, r.id) AS n
+        FROM {{document}} d JOIN {{acl_rule}} r ON r.action = 'edit' AND (r.document_id = d.id OR r.namespace_id = d.namespace_id)
+        JOIN c ON CASE WHEN r.kind = 'group' THEN list_contains(c.groups, r.value) WHEN r.value = 'any' THEN TRUE WHEN r.value = 'member' THEN c.named WHEN r.value = 'ip' THEN NOT c.named ELSE {other} END)
+      SELECT d.id AS document_id, CAST(NULL AS BIGINT) AS actor_id, c.class, coalesce(h.allowed, FALSE) AS allowed, h.id AS rule_id FROM {{document}} d CROSS JOIN c LEFT JOIN hit h ON h.document_id = d.id AND h.class = c.class AND h.n = 1
+      UNION ALL SELECT NULL, actor_id, class, NULL, NULL FROM k"""
 
 
 def _cidr(w: World):
@@ -48,7 +52,7 @@ _Q = {
     "granted_permissions": (A.granted_permissions, "SELECT DISTINCT user_id, permission FROM {user_permission} WHERE revoked_at IS NULL"),
     "recent_threads": (A.threads, f"SELECT r.id, r.topic, r.status, {DISPLAY} AS title FROM (SELECT * FROM {{thread}} ORDER BY id DESC LIMIT 100) r {NAMED}"),
     "recent_threads_by_status": (lambda w: A.threads(w, "pause", 20), f"SELECT r.id, r.topic, r.status, {DISPLAY} AS title FROM (SELECT * FROM {{thread}} WHERE status = 'pause' ORDER BY id DESC LIMIT 20) r {NAMED}"),
-    "threads_of_document": (lambda w: A.threads_of(w, "main", "Doc 5"), f"SELECT r.id, r.topic, r.status, {DISPLAY} AS title FROM (SELECT * FROM {{thread}} ORDER BY id DESC LIMIT 100) r {NAMED} WHERE d.title = 'Doc 5' AND ns.name = 'main'"),
+    "threads_of_document": (lambda w: A.threads_of(w, "main", "Doc 5"), f"SELECT r.id, r.topic, r.status, {DISPLAY} AS title FROM {{thread}} r {NAMED} WHERE d.title = 'Doc 5' AND ns.name = 'main'"),
     "thread_status_counts": (A.thread_status_counts, "SELECT status, count(*) AS n FROM {thread} GROUP BY 1"),
     "thread_timeline_masked": (A.timeline, "SELECT thread_id, sequence, author, CASE WHEN hidden THEN '' ELSE content END AS content, hidden FROM {thread_comment}"),
     "open_edit_requests": (A.open_edit_requests, f"SELECT r.id, {DISPLAY} AS title, {AUTHOR} AS author, r.created_at FROM (SELECT * FROM {{edit_request}} WHERE status = 'open' ORDER BY created_at DESC, id DESC LIMIT 100) r {NAMED} JOIN {{actor}} a ON a.id = r.actor_id"),
@@ -65,4 +69,4 @@ def _query(build):
     return lambda spark, sf_dir: build(World(spark, sf_dir))
 
 
-QUERIES = {name: (_query(build), ctes(sql)) for name, (build, sql) in _Q.items()}
+QUERIES = {name: (_query(build), ctes(sql.replace("{{", "\0").replace("}}", "\1")).replace("\0", "{").replace("\1", "}")) for name, (build, sql) in _Q.items()}

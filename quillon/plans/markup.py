@@ -9,14 +9,17 @@ from ..operators import pages as P
 from ..sources.world import World, ctes
 
 
+_PAIR = ("document_id", "sequence")
+
+
 def _diff(w: World):
-    return M.diff_lines(P.previous_revisions(w).select((F.col("document_id") * 1000 + F.col("sequence")).alias("id"), "before", "after"))
+    return M.diff_lines(P.previous_revisions(w), _PAIR)
 
 
 def _merge(w: World):
     p = P.previous_revisions(w)
     nxt = p.select("document_id", (F.col("sequence") - 1).alias("sequence"), F.col("after").alias("proposed"))
-    return M.merge_edits(p.join(nxt, ["document_id", "sequence"]).select((F.col("document_id") * 1000 + F.col("sequence")).alias("id"), F.col("before").alias("base"), F.col("after").alias("current"), "proposed"))
+    return M.merge_edits(p.join(nxt, ["document_id", "sequence"]).select(*_PAIR, F.col("before").alias("base"), F.col("after").alias("current"), "proposed"), _PAIR)
 
 
 _PAGES = lambda w: w.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"))
@@ -34,6 +37,7 @@ _Q = {
     "condition_eval": (lambda w: M.conditions(w.document.select("id", F.concat(F.lit("top = name != null ? name : title; "), (F.col("id") % 3).cast("string"), F.lit(" == n")).alias("text")), {"n": 1, "title": "Page"}).select("id", "holds", F.array_join("names", ",").alias("names")), "SELECT id, id % 3 = 1 AS holds, CASE WHEN id % 3 = 1 THEN 'n=1,title=Page,top=Page' ELSE '' END AS names FROM {document}"),
     "html_fingerprint_diff": (lambda w: M.html_differences(_PAGES(w).select("id", F.col("text").alias("left"), F.replace(F.replace("text", F.lit("<h1>"), F.lit("<h2 id='x'>")), F.lit("</h1>"), F.lit("</h2>")).alias("right"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("left").alias("sample")), None),
     "diff_lines": (_diff, None),
+    "diff_hunks": (lambda w: M.diff_hunks(P.previous_revisions(w), _PAIR), None),
     "merge_edits": (_merge, None),
 }
 

@@ -69,16 +69,20 @@ _Q = {
 
 from ..functions import text as T  # noqa: E402
 
+_MARKS = "|".join("=" * k + f + " .+ " + f + "=" * k for k in range(1, 7) for f in ("", "#"))
+_HEADS = f"(SELECT id, p, l, CAST(length(regexp_extract(l, '^=+')) AS BIGINT) AS level, CASE WHEN regexp_matches(l, '^=+#') THEN 1 ELSE 0 END AS folded FROM (SELECT id, unnest(range(0, len(ls))) AS p, unnest(ls) AS l FROM (SELECT id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM {{marked_text}})) WHERE regexp_matches(l, '^(?:{_MARKS})$'))"
+
 _Q |= {
     "byte_lengths": (lambda w: w.documents.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("characters")), "SELECT doc_id, strlen(text) AS bytes, length(text) AS characters FROM {documents}"),
-    "percent_encode_titles": (lambda w: w.documents.select("doc_id", T.percent_encode(F.col("text")).alias("encoded")), "SELECT doc_id, url_encode(substr(text, 1, 60)) AS encoded FROM {documents}"),
-    "html_escape_text": (lambda w: w.documents.select("doc_id", T.escape_html(F.col("text")).alias("escaped")), "SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM {documents}"),
-    "heading_outline": (lambda w: T.headings(w.marked_text), "SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY p) AS BIGINT) AS n, CAST(length(regexp_extract(l, '^(={1,6}) ', 1)) AS BIGINT) AS level, regexp_extract(l, '^={1,6} (.*) ={1,6}$', 1) AS heading FROM (SELECT id, unnest(range(0, len(ls))) AS p, unnest(ls) AS l FROM (SELECT id, string_split(text, chr(10)) AS ls FROM {marked_text})) WHERE regexp_matches(l, '^={1,6} .* ={1,6}$')"),
-    "heading_level_skips": (lambda w: T.level_skips(T.headings(w.marked_text)), "WITH h AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY p) AS n, length(regexp_extract(l, '^(={1,6}) ', 1)) AS level FROM (SELECT id, unnest(range(0, len(ls))) AS p, unnest(ls) AS l FROM (SELECT id, string_split(text, chr(10)) AS ls FROM {marked_text})) WHERE regexp_matches(l, '^={1,6} .* ={1,6}$')) SELECT id, CAST(n AS BIGINT) AS n, CAST(level AS BIGINT) AS level, CAST(before AS BIGINT) AS before FROM (SELECT *, lag(level) OVER (PARTITION BY id ORDER BY n) AS before FROM h) WHERE level > before + 1"),
+    "percent_encode_titles": (lambda w: w.documents.select("doc_id", T.percent_encode_path(F.col("text")).alias("encoded")), "SELECT doc_id, replace(replace(replace(replace(url_encode(text), '%3A', ':'), '%2F', '/'), '%28', '('), '%29', ')') AS encoded FROM {documents}"),
+    "percent_encode_anchors": (lambda w: w.documents.select("doc_id", T.percent_encode_anchor(F.col("text")).alias("encoded")), f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CASE WHEN contains('{T.UNRESERVED}', chr(CAST('0x' || h AS INTEGER))) AND CAST('0x' || h AS INTEGER) < 128 THEN chr(CAST('0x' || h AS INTEGER)) ELSE '%' || lower(h) END), '') AS encoded FROM {{documents}}"),
+    "html_escape_text": (lambda w: w.documents.select("doc_id", T.escape_text(F.col("text")).alias("escaped"), T.escape_attribute(F.col("text")).alias("quoted")), "SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\'\'', '&#x27;') AS quoted FROM {documents}"),
+    "heading_outline": (lambda w: T.headings(w.marked_text), f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY p) AS BIGINT) AS n, level, substr(l, level + 2 + folded, length(l) - 2 * (level + 1 + folded)) AS heading, folded = 1 AS folded FROM {_HEADS}"),
+    "heading_level_skips": (lambda w: T.level_skips(T.headings(w.marked_text)), f"WITH h AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY p) AS n, level FROM {_HEADS}) SELECT id, CAST(n AS BIGINT) AS n, level, before FROM (SELECT id, n, level, lag(level) OVER (PARTITION BY id ORDER BY n) AS before FROM h) WHERE level > before + 1"),
     "link_targets": (lambda w: T.links(w.marked_text), "SELECT id, CASE WHEN contains(x, '|') THEN split_part(x, '|', 1) ELSE x END AS target FROM (SELECT id, unnest(regexp_extract_all(text, '\\[\\[([^\\[\\]]*)\\]\\]', 1)) AS x FROM {marked_text})"),
     "relative_link_targets": (lambda w: T.links(w.marked_text).select("id", "target", T.relative_title(F.col("target"), F.concat(F.lit("Page/"), F.col("id").cast("string"))).alias("resolved")), "SELECT id, target, CASE WHEN starts_with(target, '문서:') THEN substr(target, 4) WHEN starts_with(target, '../') THEN 'Page' || CASE WHEN length(target) > 3 THEN '/' || substr(target, 4) ELSE '' END WHEN starts_with(target, '/') THEN 'Page/' || CAST(id AS VARCHAR) || target ELSE target END AS resolved FROM (SELECT id, CASE WHEN contains(x, '|') THEN split_part(x, '|', 1) ELSE x END AS target FROM (SELECT id, unnest(regexp_extract_all(text, '\\[\\[([^\\[\\]]*)\\]\\]', 1)) AS x FROM {marked_text}))"),
     "category_extract": (lambda w: T.links(w.marked_text).where(F.col("target").startswith("분류:")).select("id", F.substr("target", F.lit(4)).alias("category")), "SELECT id, regexp_extract(text, '\\[\\[분류:([^\\[\\]]*)\\]\\]', 1) AS category FROM {marked_text} WHERE contains(text, '[[분류:')"),
-    "redirect_extract": (lambda w: T.redirects(w.redirects), "SELECT id, split_part(substr(text, 11), '#', 1) AS target, 'anchor' AS anchor FROM {redirects} WHERE starts_with(text, '#redirect ')"),
+    "redirect_extract": (lambda w: T.redirects(w.redirects), "SELECT id, split_part(substr(text, 11), '#', 1) AS target, CASE WHEN contains(substr(text, 11), '#') THEN split_part(substr(text, 11), '#', 2) END AS anchor FROM {redirects} WHERE starts_with(text, '#redirect ')"),
     "template_variables": (lambda w: w.marked_text.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"@([^@=\s]+)(?:=[^@\n]*)?@"), F.lit(1))).alias("variable")).distinct(), "SELECT DISTINCT id, unnest(regexp_extract_all(text, '@([^@=\\s]+)(?:=[^@\\n]*)?@', 1)) AS variable FROM {marked_text}"),
     "marker_residue": (lambda w: T.residue(w.marked_text), "SELECT id, " + ", ".join(f"CAST((length(text) - length(replace(text, '{m.replace(chr(39), chr(39) * 2)}', ''))) / {len(m)} AS BIGINT) AS {n}" for n, m in T.MARKERS) + " FROM {marked_text}"),
     "html_link_backlinks": (lambda w: w.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("pages")), "SELECT target, count(*) AS links, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM {pages}) GROUP BY 1"),

@@ -40,8 +40,8 @@ VIEWS = {
     "acl_rule": f"SELECT CAST(id AS BIGINT) AS id, CAST(document_id AS BIGINT) AS document_id, CAST(namespace_id AS BIGINT) AS namespace_id, action, evaluation_order, kind, value, allowed FROM {_values(RULES, 'id, document_id, namespace_id, action, evaluation_order, kind, value, allowed')}",
     "acl_group_member": "SELECT c_mktsegment AS name, c_custkey AS actor_id, CASE WHEN c_custkey % 5 = 0 THEN CAST('2024-01-05 00:00:00' AS TIMESTAMP) END AS removed_at, CASE WHEN c_custkey % 3 = 0 THEN CAST('2024-06-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * CAST(c_custkey % 60 AS INT) END AS expires_at FROM {customer}",
     "user_permission": "SELECT c_custkey AS user_id, CASE c_nationkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'delete_thread' WHEN 2 THEN 'hide_revision' ELSE 'acl' END AS permission, CASE WHEN c_custkey % 6 = 0 THEN CAST('2024-03-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * CAST(c_custkey % 90 AS INT) END AS revoked_at, CAST('2024-01-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * CAST(c_custkey % 365 AS INT) AS created_at FROM {customer}",
-    "marked_text": "SELECT doc_id AS id, '== Head ' || lang || ' ==' || chr(10) || 'See [[Doc ' || CAST(7 * doc_id % 100 AS STRING) || '|label]] and [[../Sub ' || CAST(doc_id % 5 AS STRING) || ']] ' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '==== Deep ====' ELSE '=== Next ===' END || chr(10) || '[[분류:' || lang || ']]' || '[include(틀:Box, a=1, b=@who@)] @name=guest@ [* note] ' || repeat(chr(123), 3) || 'code' || repeat(chr(125), 3) || chr(10) || text AS text FROM {documents}",
-    "redirects": "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN '#redirect Doc ' || CAST(doc_id + 1 AS STRING) || '#anchor' ELSE 'plain' END AS text FROM {documents}",
+    "marked_text": "SELECT doc_id AS id, '== Head ' || lang || ' ==' || chr(10) || 'See [[Doc ' || CAST(7 * doc_id % 100 AS STRING) || '|label]] and [[../Sub ' || CAST(doc_id % 5 AS STRING) || ']] ' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '==== Deep ====' ELSE '=== Next ===' END || chr(10) || '[[분류:' || lang || ']]' || '[include(틀:Box, a=1, b=@who@)] @name=guest@ [* note] [no' || lang || '(1)] ' || repeat(chr(123), 3) || 'code' || repeat(chr(125), 3) || chr(10) || text AS text FROM {documents}",
+    "redirects": "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN '#redirect Doc ' || CAST(doc_id + 1 AS STRING) || CASE WHEN doc_id % 2 = 0 THEN '#anchor' ELSE '' END ELSE 'plain' END AS text FROM {documents}",
 }
 
 
