@@ -1,11 +1,28 @@
-"""Ranked search over character bigrams and trigrams, by BM25."""
+"""Ranked full-text search over character bigrams and trigrams, by BM25: straight over texts, or through a stored index.
+
+A word of the query matches a field (title or content) that holds all of its grams, and a document matches when any word matches any
+of its fields. Its score adds up over fields and query grams. Order: score, namespace, title.
+
+Defined results: null and very short texts have no grams; a word of one character matches nothing, so a query of such words finds
+nothing; an empty table finds nothing. Rows that share a key are one document of the index, and the row that comes last by text
+counts. Extra columns are ignored.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pages import live, with_titles
+
 K1, B = 1.2, 0.75
+BUCKETS = 64  # folders of an index's postings, by gram
+FIELDS = ("title", "content")
 
 
 def grams(word: str) -> list[str]:
@@ -16,31 +33,194 @@ def query_grams(query: str) -> list[str]:
     return sorted({g for w in query.split() for g in grams(w)})
 
 
+def checked(query: str) -> str:
+    """The query, or an error that says what can't be read in it."""
+    if query.count('"') % 2:
+        raise ValueError("a quotation mark is not closed")
+    depth = 0
+    for c in query:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            break
+    if depth:
+        raise ValueError("brackets do not match")
+    if m := re.search(r"(?:^|\s)(AND|OR)\s*$|^\s*(AND|OR)(?:\s|$)", query):
+        raise ValueError(f"{m[1] or m[2]} needs a word on both sides")
+    if m := re.search(r"(?:^|\s)(\w+):(?=\s|$)", query):
+        raise ValueError(f"nothing to look for in {m[1]}")
+    return query
+
+
+def n_grams(text: Column) -> Column:
+    """How many bigrams and trigrams a text has, repeats counted."""
+    n = F.coalesce(F.length(text), F.lit(0))
+    return (F.greatest(n - 1, F.lit(0)) + F.greatest(n - 2, F.lit(0))).cast("long")
+
+
+def hits(fields: DataFrame, wanted: list[str], keys: list[str]) -> DataFrame:
+    """keys, field, len, gram, tf of fields(keys, field, text). Each wanted gram is counted in one pass over the text, matches that
+    overlap included; nothing is shuffled."""
+    count = lambda g: F.struct(F.lit(g).alias("gram"), F.regexp_count("text", F.lit(f"(?={re.escape(g)})")).cast("long").alias("tf"))
+    found = F.filter(F.array(*map(count, wanted)), lambda h: h["tf"] > 0) if wanted else F.array().cast("array<struct<gram: string, tf: bigint>>")
+    return fields.select(*keys, "field", n_grams(F.col("text")).alias("len"), F.explode(found).alias("h")).select(*keys, "field", "len", "h.gram", "h.tf")
+
+
 def gram_counts(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """doc_id, len (all grams of the text), gram, tf of the wanted grams. A text's grams are made and filtered inside one array, so
-    that only wanted ones become rows."""
-    n = F.length("text")
-    every = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring("text", i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    hits = F.filter(F.concat(every(2), every(3)), lambda g: g.isin(wanted))
-    d = docs.where(n >= 3).select("doc_id", (2 * n - 3).cast("long").alias("len"), F.explode(hits).alias("gram"))
-    return d.groupBy("doc_id", "len", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    """doc_id, len, gram, tf of (doc_id, text)."""
+    return hits(docs.withColumn("field", F.lit("content")), wanted, ["doc_id"]).drop("field")
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("gram").agg(F.count(F.lit(1)).alias("documents"))
+def document_frequency(counts: DataFrame, *by: str) -> DataFrame:
+    return counts.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def search(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """doc_id, score. A document matches when it has all grams of any word of the query."""
-    t = gram_counts(docs, query_grams(query))
-    size = docs.select(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.lit(0), 2 * F.length("text") - 3)).alias("mean"))
-    all_of = [F.array_size(F.array_intersect("have", F.array(*map(F.lit, grams(w))))) == len(grams(w)) for w in query.split() if grams(w)]
-    match = F.lit(False)
-    for m in all_of:
-        match = match | m
-    # The frequencies are as many rows as the query has grams, and size is one row: both are broadcast.
-    s = t.join(F.broadcast(document_frequency(t)), "gram").crossJoin(F.broadcast(size))
+def ranked(found: DataFrame, sizes: DataFrame, query: str, keys: list[str], limit: int) -> DataFrame:
+    """keys, score of found(keys, field, len, gram, tf) and sizes(field, n, mean), both of all documents."""
+    # The frequencies are as many rows as the query has grams in each field, and sizes one for each field: both are broadcast.
+    s = found.join(F.broadcast(document_frequency(found, "field")), ["field", "gram"]).join(F.broadcast(sizes), "field")
     idf = F.log(1 + (F.col("n") - F.col("documents") + 0.5) / (F.col("documents") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    d = s.groupBy("doc_id").agg(F.collect_set("gram").alias("have"), F.round(F.sum(part), 6).alias("score"))
-    return d.where(match).orderBy(F.desc("score"), "doc_id").limit(limit).select("doc_id", "score")
+    have = s.withColumn("part", part).groupBy(*keys, "field").agg(F.collect_set("gram").alias("have"), F.sum("part").alias("score"))
+    match = F.lit(False)
+    for w in query.split():
+        if own := grams(w):
+            match = match | (F.array_size(F.array_intersect("have", F.array(*map(F.lit, own)))) == len(own))
+    d = have.groupBy(*keys).agg(F.max(match).alias("match"), F.round(F.sum("score"), 6).alias("score"))
+    return d.where("match").orderBy(F.desc("score"), *keys).limit(limit).select(*keys, "score")
+
+
+def sizes_of(fields: DataFrame) -> DataFrame:
+    return fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(n_grams(F.col("text"))).alias("mean"))
+
+
+def as_fields(pages: DataFrame) -> DataFrame:
+    """(namespace, title, content) as (namespace, title, field, text)."""
+    return pages.select("namespace", "title", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])).alias("f")).select("namespace", "title", "f.field", "f.text")
+
+
+def search(pages: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """namespace, title, score over pages(namespace, title, content), read straight."""
+    fields = as_fields(pages)
+    return ranked(hits(fields, query_grams(checked(query)), ["namespace", "title"]), sizes_of(fields), query, ["namespace", "title"], limit)
+
+
+def live_pages(w) -> DataFrame:
+    """namespace, title, content of all live pages."""
+    return with_titles(live(w.revision).select("document_id", "content"), w.document, w.namespace).select("namespace", "title", "content")
+
+
+def redirects_to(w, queries: DataFrame) -> DataFrame:
+    """Of queries(query, namespace, title), titles read already: query, redirect, the shown title of the live page that is called so."""
+    shown = F.when(F.col("namespace") == "main", F.col("title")).otherwise(F.concat_ws(":", "namespace", "title"))
+    alive = live_pages(w).select("namespace", "title", shown.alias("redirect"))
+    return queries.join(alive, ["namespace", "title"], "left").select("query", "redirect")
+
+
+class Index:
+    """A stored index of pages by (namespace, title). Below path lie segments: postings by bucket of their gram, and entries, which say
+    what a segment puts and removes. A commit writes one segment, its entries last, so that readers see all of it or nothing; the
+    newest entry of a key counts, and merge() writes everything that counts as one segment. A search reads the buckets of its
+    grams alone.
+    """
+
+    KEYS = ["namespace", "title"]
+    ENTRY = "namespace string, title string, alive boolean, title_len long, content_len long, segment long"
+    POSTING = "namespace string, title string, field string, len long, gram string, tf long, segment long, bucket int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._put: list[DataFrame] = []
+        self._removed: list[DataFrame] = []
+
+    def _read(self, what: str, schema: str) -> DataFrame:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(f"{self.path}/{what}")
+
+    def entries(self) -> DataFrame:
+        """The pages that the index holds."""
+        newest = F.max(F.struct("segment", "alive", "title_len", "content_len")).alias("e")
+        return self._read("entries", self.ENTRY).groupBy(*self.KEYS).agg(newest).select(*self.KEYS, "e.*").where("alive").drop("alive")
+
+    def is_empty(self) -> bool:
+        return self.entries().isEmpty()
+
+    def put(self, pages: DataFrame) -> None:
+        """Pages (namespace, title, content) that take the place of what the index has by their keys, after the next commit."""
+        self._put.append(pages.select(*self.KEYS, "content"))
+
+    def remove(self, keys: DataFrame) -> None:
+        self._removed.append(keys.select(*self.KEYS))
+
+    def commit(self) -> None:
+        put = self.spark.createDataFrame([], "namespace string, title string, content string")
+        for d in self._put:
+            put = put.unionByName(d)
+        put = put.groupBy(*self.KEYS).agg(F.max("content").alias("content"))
+        gone = self.spark.createDataFrame([], "namespace string, title string")
+        for d in self._removed:
+            gone = gone.unionByName(d)
+        gone = gone.distinct().join(put, self.KEYS, "left_anti")
+        number = (self._read("entries", self.ENTRY).agg(F.max("segment")).first()[0] or 0) + 1
+        self._write(self._postings(as_fields(put)), number)
+        alive = put.select(*self.KEYS, F.lit(True).alias("alive"), n_grams(F.col("title")).alias("title_len"), n_grams(F.col("content")).alias("content_len"))
+        dead = gone.select(*self.KEYS, F.lit(False).alias("alive"), F.lit(0).cast("long").alias("title_len"), F.lit(0).cast("long").alias("content_len"))
+        alive.unionByName(dead).write.mode("overwrite").parquet(f"{self.path}/entries/segment={number}")
+        self._put, self._removed = [], []
+
+    def _write(self, postings: DataFrame, number: int) -> None:
+        postings = postings.withColumn("bucket", F.pmod(F.hash("gram"), F.lit(BUCKETS)))
+        # Grams lie sorted in their files, whose statistics then keep a search from reading other grams' rows.
+        postings.repartition("bucket", F.pmod(F.hash("title"), F.lit(8))).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
+
+    def _postings(self, fields: DataFrame) -> DataFrame:
+        """keys, field, len, gram, tf: a text's grams are counted where it is read, all at once."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, text in enumerate(batch.column("text")):
+                    t = text.as_py() or ""
+                    if len(t) < 2:
+                        continue
+                    code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+                    two, three = code[:-1] << np.uint64(21) | code[1:], code[:-2] << np.uint64(42) | code[1:-1] << np.uint64(21) | code[2:]
+                    out, counts = [], []
+                    for packed, size in ((two, 2), (three, 3)):
+                        _, first, n = np.unique(packed, return_index=True, return_counts=True)
+                        out += [t[a : a + size] for a in first.tolist()]
+                        counts.append(n)
+                    k = len(out)
+                    same = [pa.array([batch.column(c)[i].as_py()] * k, pa.string()) for c in (*Index.KEYS, "field")]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array([2 * len(t) - 3] * k, pa.int64()), pa.array(out, pa.string()), pa.array(np.concatenate(counts), pa.int64())], [*Index.KEYS, "field", "len", "gram", "tf"])
+
+        return fields.mapInArrow(run, "namespace string, title string, field string, len long, gram string, tf long")
+
+    def postings(self, wanted: list[str] | None = None) -> DataFrame:
+        """Of the pages that the index holds; of the wanted grams alone, if they are given."""
+        d = self._read("postings", self.POSTING)
+        if wanted is not None:
+            buckets = [r[0] for r in self.spark.createDataFrame([(g,) for g in wanted], "gram string").select(F.pmod(F.hash("gram"), F.lit(BUCKETS))).distinct().collect()] if wanted else []
+            d = d.where(F.col("bucket").isin(buckets) & F.col("gram").isin(wanted)) if wanted else d.where("false")
+        return d.join(self.entries().select(*self.KEYS, "segment"), [*self.KEYS, "segment"], "left_semi").select(*self.KEYS, "field", "len", "gram", "tf")
+
+    def merge(self) -> None:
+        """Everything that counts as one new segment, so that later reads need not look at older ones' rows for it."""
+        entries = self.entries()
+        number = (self._read("entries", self.ENTRY).agg(F.max("segment")).first()[0] or 0) + 1
+        self._write(self.postings(), number)
+        entries.drop("segment").withColumn("alive", F.lit(True)).write.mode("overwrite").parquet(f"{self.path}/entries/segment={number}")
+
+    def search(self, query: str, limit: int = 50) -> DataFrame:
+        """namespace, title, score."""
+        e = self.entries()
+        sizes = e.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_len").alias("len")) for f in FIELDS])).alias("s")).groupBy("s.field").agg(F.count(F.lit(1)).alias("n"), F.avg("s.len").alias("mean"))
+        return ranked(self.postings(query_grams(checked(query))), sizes, query, self.KEYS, limit)
+
+
+def rebuilt(w, path: str) -> Index:
+    """An index of all live pages."""
+    index = Index(w.document.sparkSession, path)
+    index.put(live_pages(w))
+    index.commit()
+    return index

@@ -41,7 +41,7 @@ _NUMBER = "CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(
 _CIDR_SQL = (
     "SELECT a.id, n.net FROM {actor} a, (VALUES " + ", ".join(f"('{r}')" for r in RANGES if "/" in r) + ") AS n(net) WHERE a.ip IS NOT NULL AND floor((" + _NUMBER.replace("{0}", "a.ip") + ") / pow(2, 32 - CAST(split_part(n.net, '/', 2) AS INT))) = floor((" + _NUMBER.replace("{0}", "split_part(n.net, '/', 1)") + ") / pow(2, 32 - CAST(split_part(n.net, '/', 2) AS INT)))"
 )
-_GRAMS = "SELECT doc_id, len, CAST(count(*) AS BIGINT) AS tf, g FROM (SELECT doc_id, 2 * length(text) - 3 AS len, unnest(list_concat(list_transform(range(1, length(text)), lambda i: substr(text, i, 2)), list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))) AS g FROM {documents} WHERE length(text) >= 3) WHERE g IN (" + ", ".join(f"'{g}'" for g in S.query_grams("thing éle")) + ") GROUP BY doc_id, len, g"
+_GRAMS = "SELECT doc_id, len, CAST(count(*) AS BIGINT) AS tf, g FROM (SELECT doc_id, 2 * length(text) - 3 AS len, unnest(list_concat(list_transform(range(1, length(text)), lambda i: substr(text, i, 2)), list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))) AS g FROM {documents} WHERE length(text) >= 2) WHERE g IN (" + ", ".join(f"'{g}'" for g in S.query_grams("thing éle")) + ") GROUP BY doc_id, len, g"
 _Q = {
     "acl_rules_for_docs": (lambda w: A.candidate_rules(w, "edit").select("document_id", "rule_id", F.col("scope").cast("long").alias("scope")), "SELECT d.id AS document_id, r.id AS rule_id, CAST(CASE WHEN r.document_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS scope FROM {acl_rule} r JOIN {document} d ON r.namespace_id = d.namespace_id UNION ALL SELECT r.document_id, r.id, CAST(0 AS BIGINT) FROM {acl_rule} r WHERE r.document_id IS NOT NULL"),
     "acl_group_membership": (lambda w: A.active_members(w, NOW), f"SELECT * FROM {ACTIVE} g"),
@@ -61,7 +61,6 @@ _Q = {
     "starred_documents": (lambda w: A.starred_documents(w, 7), f"SELECT {DISPLAY} AS title, r.created_at FROM (SELECT * FROM {{star}} WHERE user_id = 7) r {NAMED}"),
     "subscribers_fanout": (A.subscribers_fanout, "SELECT r.id AS revision_id, count(*) AS told FROM {revision} r JOIN {star} s ON s.document_id = r.document_id WHERE s.user_id <> r.actor_id GROUP BY 1"),
     "ngram_document_frequency": (lambda w: S.document_frequency(S.gram_counts(w.documents, S.query_grams("thing éle"))), f"SELECT g AS gram, count(*) AS documents FROM ({_GRAMS}) x GROUP BY 1"),
-    "bm25_search_topk": (lambda w: S.search(w.documents, "thing éle", 50), f"WITH t AS ({_GRAMS}), s AS (SELECT count(*) AS n, avg(greatest(2 * length(text) - 3, 0)) AS mean FROM {{documents}}), f AS (SELECT g, count(*) AS df FROM t GROUP BY g), words AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{g}', {len(S.grams(w))})" for w in "thing éle".split() for g in S.grams(w)) + ") AS v(word, g, size)), ok AS (SELECT DISTINCT doc_id FROM (SELECT t.doc_id, w.word FROM t JOIN words w USING (g) GROUP BY ALL HAVING count(*) = max(w.size)) z) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM t JOIN f USING (g) CROSS JOIN s WHERE doc_id IN (SELECT doc_id FROM ok) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50"),
 }
 
 

@@ -1,5 +1,5 @@
 """Every query by name, with its DuckDB twin or None."""
 
-from . import access, markup, pages, streams
+from . import access, markup, pages, search, streams
 
-QUERIES = pages.QUERIES | access.QUERIES | markup.QUERIES | streams.QUERIES
+QUERIES = pages.QUERIES | access.QUERIES | search.QUERIES | markup.QUERIES | streams.QUERIES

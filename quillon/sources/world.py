@@ -29,6 +29,7 @@ _N = "(SELECT count(*) AS n FROM {documents}) c"
 VIEWS = {
     "namespace": f"SELECT CAST(id AS BIGINT) AS id, name FROM {_values(NAMESPACES, 'id, name')}",
     "document": "SELECT doc_id AS id, CASE WHEN doc_id % 10 IN (1, 2, 3) THEN doc_id % 10 ELSE 0 END AS namespace_id, 'Doc ' || CAST(doc_id AS STRING) AS title, n_chars FROM {documents}",
+    "page": "SELECT n.name AS namespace, d.title, t.text AS content, d.id FROM {document} d JOIN {namespace} n ON n.id = d.namespace_id JOIN {documents} t ON t.doc_id = d.id",
     "actor": "SELECT user_id AS id, CASE WHEN user_id % 3 <> 0 THEN 'user' || CAST(user_id AS STRING) END AS user_name, CASE WHEN user_id % 3 = 0 THEN '10.' || CAST(user_id % 4 AS STRING) || '.' || CAST(user_id % 256 AS STRING) || '.' || CAST(user_id % 100 AS STRING) END AS ip FROM (SELECT DISTINCT user_id FROM {events}) e",
     "revision": f"SELECT event_id AS id, event_id % n AS document_id, CAST(row_number() OVER (PARTITION BY event_id % n ORDER BY ts, event_id) AS BIGINT) AS sequence, {_KIND} AS kind, user_id AS actor_id, value > 200 AS hidden, CAST(round(value) AS BIGINT) AS content_bytes, CASE WHEN event_type <> 'error' THEN 'alpha ' || CAST(event_id % 2 AS STRING) || chr(10) || 'beta ' || CAST(event_id % 3 AS STRING) || chr(10) || 'gamma ' || CAST(user_id % 5 AS STRING) END AS content, 'note ' || CAST(event_id % 9 AS STRING) AS comment, ts AS created_at FROM {{events}}, {_N}",
     "reference": f"SELECT doc_id AS source_id, CASE WHEN k = 2 THEN 2 ELSE (7 * doc_id + 13 * k) % m % 4 END AS target_namespace_id, 'Doc ' || CAST((7 * doc_id + 13 * k) % m AS STRING) AS target_title, CASE k WHEN 0 THEN 'link' WHEN 1 THEN 'include' ELSE 'category' END AS kind FROM (SELECT doc_id, CAST(floor(n * 1.25) AS BIGINT) AS m FROM {{documents}}, {_N}) d CROSS JOIN {_values(((0,), (1,), (2,)), 'k')} WHERE NOT (k = 2 AND doc_id % 3 = 0)",
