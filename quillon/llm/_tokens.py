@@ -12,12 +12,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+assert array("I").itemsize == 4 and np.array(1, "=u4").astype("<u4").tobytes() == np.array(1, "=u4").tobytes()
 
 #: Entries of a table's younger half; when it is full it becomes the older half. About 150 bytes each.
 MAX_CHUNKS, MAX_PIECES = 400_000, 300_000
@@ -73,11 +75,23 @@ class Encoder:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        if not piece.isascii():
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+        elif piece.isalpha():
+            shown = piece
+        elif piece[0] == " " and piece[1:].isalpha():
+            shown = self.letters[0x20] + piece[1:]
+        else:
+            shown = piece.translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _chunk(self, key: str) -> bytes:
-        return self.chunk(key if self.kind == "word" else key[1:] if key[:1] == "\0" else " " + key)
+        if self.kind == "word":
+            lower = key.lower()
+            return self.pieces[lower] if lower.isalpha() and self.plain(key) else self.chunk(key)
+        if key.isalpha() and self.plain(key):  # letters alone are one piece
+            return self.pieces[" " + key]
+        return self.chunk(key[1:] if key[:1] == "\0" else " " + key)
 
     def chunk(self, chunk: str) -> bytes:
         if not self.plain(chunk):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import frugal, id_column, ids_of, pieces, shared_dir, stored, table, texts
+from ._common import id_column, ids_of, pieces, shared_dir, stored, table, texts
 from ._tokens import encoder, vocabulary
 
 MAX_BITS = 16
@@ -206,7 +206,6 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard: int =
                 to[i] = low[i] + np.searchsorted(cut_tie[low[i] : high[i]], tie[i], "right")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(to, pa.int32())], [*names, "shard"])
 
-    @frugal
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = code.value
         codes = canonical(lengths)[0]
