@@ -1,7 +1,7 @@
 """Wiki markup in pure Python: a lossless block and inline reader, and what is derived from its tree.
 
 A node is (kind, start, end, value, children); offsets are characters of the source. Work is bounded: closing marks are looked up
-in tables made once per text, nesting is cut at MAX_DEPTH, and a group that is never closed is plain text.
+in tables made once per text, nesting is cut at MAX_DEPTH (far above what people write), and a group that is never closed is plain text.
 """
 
 from __future__ import annotations
@@ -9,15 +9,20 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from .condition import evaluate
 
-MAX_DEPTH = 60
+Span = tuple[int, int]
+#: Quotes, lists and groups within each other; deeper ones are plain text. Readers of trees call themselves as often.
+MAX_DEPTH = 500
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 HEADING = re.compile(r"^(={1,6})(#?) (.+) \2\1$")
 RULE = re.compile(r"^-{4,9}$")
 REDIRECT = re.compile(r"^#(?:redirect|넘겨주기) (.+)$")
+CAPTION = re.compile(r"^\|([^|\n]+)\|(?!\|)")
 LIST = re.compile(r"^( +)(\*|1\.|a\.|A\.|i\.|I\.)(#\d+)? ?(.*)$")
 #: Inline styles: mark and name, longer marks first.
 STYLES = (("'''", "bold"), ("''", "italic"), ("~~", "strike"), ("--", "strike"), ("__", "underline"), ("^^", "superscript"), (",,", "subscript"))
@@ -71,7 +76,7 @@ class Reader:
     # --- blocks ------------------------------------------------------------------------------------------------
 
     def document(self) -> Node:
-        return Node("document", 0, len(self.s), "", self.blocks(0, len(self.s)))
+        return Node("document", 0, len(self.s), "", self.blocks(list(self.lines(0, len(self.s)))))
 
     def lines(self, start: int, end: int):
         while start < end:
@@ -80,67 +85,129 @@ class Reader:
             yield start, to
             start = to
 
-    def logical(self, start: int, end: int):
-        """Lines, but a line that leaves a brace group open goes on to the line that closes it."""
-        at = start
-        while at < end:
-            to = self.next_of("\n", at, end)
-            to = end if to < 0 else to + 1
-            i = at
-            while (opened := self.next_of("{{{", i, to)) >= 0:
-                shut = self.closing("{{{", "}}}", opened + 3, end)
-                if shut < 0:
-                    break
-                i = shut + 3
-                if i > to:
-                    to = self.next_of("\n", i, end)
-                    to = end if to < 0 else to + 1
-            yield at, to
-            at = to
-
-    def blocks(self, start: int, end: int, depth: int = 0) -> list[Node]:
+    def logical(self, spans: list[Span], i: int) -> tuple[int, int]:
+        """Where line i ends, and the line after it: one that leaves a brace group open goes on to the line that closes it."""
+        at, to = spans[i]
+        limit, k = spans[-1][1], i + 1
+        while (opened := self.next_of("{{{", at, to)) >= 0:
+            shut = self.closing("{{{", "}}}", opened + 3, limit)
+            if shut < 0:
+                break
+            at = shut + 3
+            while to < at:
+                to, k = spans[k][1], k + 1
+        return to, k
+
+    def body(self, a: int, b: int) -> str:
+        return self.s[a:b].removesuffix("\n").removesuffix("\r")
+
+    def blocks(self, spans: list[Span], depth: int = 0) -> list[Node]:
+        """Blocks of the given lines, each from where its own text begins: what outer quotes and lists took from it lies before."""
         out: list[Node] = []
-        for a, b in self.logical(start, end):
-            body = b - 1 if b > a and self.s[b - 1] == "\n" else b
-            text = self.s[a:body].removesuffix("\r")
-            body = a + len(text)
+        closers: list[int] | None = None  # lines that end a row of a table
+        i = 0
+        while i < len(spans):
+            a = spans[i][0]
+            b, after = self.logical(spans, i)
+            text, line = self.body(a, b), self.body(*spans[i])
+            end = a + len(text)
             last = out[-1] if out else None
-            if text.startswith("##"):
-                out.append(Node("comment", a, b, text[2:]))
+            if text.startswith("##") and self.s[a - 1 : a] in ("", "\n"):
+                node = Node("comment", a, b, text[2:])
+                if last is not None and last.kind in ("paragraph", "table"):  # a comment breaks neither
+                    last.children.append(node)
+                    last.end = b
+                else:
+                    out.append(node)
             elif m := REDIRECT.match(text):
-                out.append(Node("redirect", a, b, m[1]))
+                out.append(Node("redirect", a, b, m[1].strip()))
             elif m := HEADING.match(text):
-                inner = a + m.start(3)
-                out.append(Node("heading", a, b, f"{len(m[1])}{m[2]}", self.inline(inner, a + m.end(3), depth)))
+                out.append(Node("heading", a, b, f"{len(m[1])}{m[2]}", self.inline(a + m.start(3), a + m.end(3), depth)))
             elif RULE.match(text):
                 out.append(Node("rule", a, b))
-            elif text.startswith(">"):
-                part = Node("line", a, b, ">", self.inline(a + 1 + text[1:].startswith(" "), body, depth))
-                self._join(out, last, "quote", part)
-            elif m := LIST.match(text):
-                part = Node("item", a, b, str(len(m[1])), self.inline(a + m.start(4), body, depth))
-                self._join(out, last, "list", part, m[2])
-            elif text.startswith("||") and text.rstrip().endswith("||") and len(text.rstrip()) > 2:
-                self._join(out, last, "table", self.row(a, a + len(text.rstrip()), b, depth))
-            elif last is not None and last.kind == "paragraph":
-                last.children += self.inline(a, body, depth)
-                last.end = b
-                if b > body:
-                    last.children.append(Node("break", body, b))
+            elif text[:1] == ">" and depth < MAX_DEPTH:
+                inner, after = self.marked(spans, i, lambda t: t[:1] == ">")
+                out.append(Node("quote", a, inner[-1][1], "", self.blocks(inner, depth + 1)))
+            elif (m := LIST.match(line)) and depth < MAX_DEPTH:
+                node, after = self.list(spans, i, m, depth + 1)
+                out.append(node)
+            elif line[:1] == " " and line.strip() and depth < MAX_DEPTH:
+                inner, after = self.marked(spans, i, lambda t: t[:1] == " " and bool(t.strip()) and not LIST.match(t))
+                out.append(Node("indent", a, inner[-1][1], "", self.blocks(inner, depth + 1)))
             else:
-                out.append(Node("paragraph", a, b, "", self.inline(a, body, depth) + ([Node("break", body, b)] if b > body else [])))
+                row = None
+                if text[:2] == "||" or CAPTION.match(line):
+                    if closers is None:
+                        closers = [k for k, (x, y) in enumerate(spans) if self.body(x, y).rstrip().endswith("||")]
+                    row = self.row(spans, i, closers, depth)
+                if row is not None:
+                    node, after = row
+                    if last is not None and last.kind == "table" and not node.value:
+                        last.children.append(node)
+                        last.end = node.end
+                    else:
+                        out.append(Node("table", node.start, node.end, node.value, [node]))
+                else:
+                    inside = self.inline(a, end, depth) + ([Node("break", end, b)] if b > end else [])
+                    if last is not None and last.kind == "paragraph":
+                        last.children += inside
+                        last.end = b
+                    else:
+                        out.append(Node("paragraph", a, b, "", inside))
+            i = after
         return out
 
-    @staticmethod
-    def _join(out: list[Node], last: Node | None, kind: str, part: Node, value: str = "") -> None:
-        if last is not None and last.kind == kind and last.value == value:
-            last.children.append(part)
-            last.end = part.end
-        else:
-            out.append(Node(kind, part.start, part.end, value, [part]))
+    def marked(self, spans: list[Span], i: int, fits) -> tuple[list[Span], int]:
+        """Lines from i on that fit, without their first character, and the lines that groups opened in them go on to."""
+        inner: list[Span] = []
+        while i < len(spans) and fits(self.body(*spans[i])):
+            _, after = self.logical(spans, i)
+            inner += [(spans[i][0] + 1, spans[i][1]), *spans[i + 1 : after]]
+            i = after
+        return inner, i
+
+    def list(self, spans: list[Span], i: int, m: re.Match, depth: int) -> tuple[Node, int]:
+        """A list of one kind at one depth of spaces. What stands deeper, or as deep without a mark, belongs to the item before it."""
+        kind, margin, first = m[2], len(m[1]), spans[i][0]
+        items: list[tuple[int, str, list[Span]]] = []
+        while i < len(spans):
+            a, b = spans[i]
+            text = self.body(a, b)
+            deep = len(text) - len(text.lstrip(" "))
+            m = LIST.match(text)
+            if not text.strip() or deep < margin or (deep == margin and m and m[2] != kind):
+                break
+            _, after = self.logical(spans, i)
+            if deep == margin and m:
+                items.append((a, (m[3] or "")[1:], [(a + m.start(4), b)]))
+            else:
+                items[-1][2].append((a + margin, b))
+            items[-1][2].extend(spans[i + 1 : after])
+            i = after
+        nodes = [Node("item", a, inner[-1][1], start, self.blocks(inner, depth)) for a, start, inner in items]
+        return Node("list", first, nodes[-1].end, kind, nodes), i
+
+    def row(self, spans: list[Span], i: int, closers: list[int], depth: int) -> tuple[Node, int] | None:
+        """A row of a table, over as many lines as it takes until one ends with its mark; None if none does."""
+        a, b = spans[i]
+        m = CAPTION.match(self.body(a, b))
+        begin = a + (m.end() if m else 2)
+        k = bisect_left(closers, i)
+        while k < len(closers):
+            j = closers[k]
+            end = spans[j][0] + len(self.body(*spans[j]).rstrip())
+            if end > begin:
+                cells = self.cells(begin, end, depth)
+                if cells is not None:
+                    return Node("row", a, spans[j][1], m[1] if m else "", cells), j + 1
+            k += 1
+            if k - bisect_left(closers, i) > 8:  # a group that hides this many ends in a row is never closed
+                return None
+        return None
 
-    def row(self, start: int, end: int, line_end: int, depth: int) -> Node:
-        cells, at, begin = [], start + 2, start + 2
+    def cells(self, start: int, end: int, depth: int) -> list[Node] | None:
+        """The cells of a row; empty ones before a cell widen it. None if the row's last mark lies inside of something."""
+        cells, at, begin, wide = [], start, start, 1
         while at < end:
             for opening, shutting in (("{{{", "}}}"), ("[[", "]]")):
                 if self.s.startswith(opening, at):
@@ -148,18 +215,24 @@ class Reader:
                     if shut >= 0:
                         at = shut + len(shutting)
                         break
+                    if opening == "{{{" and self.closing(opening, shutting, at + 3, len(self.s)) >= 0:
+                        return None
             else:
                 if self.s[at] == "\\":
                     at += 2
                 elif self.s.startswith("||", at):
-                    cells.append(self.cell(begin, at, depth))
+                    if at == begin and at + 2 < end:
+                        wide += 1
+                    else:
+                        cells.append(self.cell(begin, at, depth, wide))
+                        wide = 1
                     at = begin = at + 2
                 else:
                     at += 1
-        return Node("row", start, line_end, "", cells)
+        return cells if begin == end else None
 
-    def cell(self, start: int, end: int, depth: int) -> Node:
-        options, at = [], start
+    def cell(self, start: int, end: int, depth: int, wide: int = 1) -> Node:
+        options, at = [f"-{wide}"] if wide > 1 else [], start
         while m := re.compile(r"<([^<>\n]+)>").match(self.s, at, end):
             if not re.fullmatch(r"[(:)]|-\d+|[v^]?\|\d+|nopad|(?:row|col)?keepall|#\w+|[\w ]*[\w]+=[^<>]*", m[1]):
                 break
@@ -237,7 +310,7 @@ class Reader:
         if m := re.match(r"#!(syntax|wiki|if|folding|html)(?:[ \t]+([^\n]*))?(\n|$| )?", body):
             inner = i + 3 + m.end()
             if m[1] in ("wiki", "folding", "if") and inner <= shut:
-                return Node(m[1], i, shut + 3, m[2] or "", self.blocks(inner, shut, depth) if depth < MAX_DEPTH else [])
+                return Node(m[1], i, shut + 3, m[2] or "", self.blocks(list(self.lines(inner, shut)), depth) if depth < MAX_DEPTH else [])
             return Node(m[1], i, shut + 3, (m[2] or "") + "\n" + s[inner:shut])
         if m := re.match(r"([+-][1-5]) ", body):
             return Node("size", i, shut + 3, m[1], self.inline(i + 3 + m.end(), shut, depth))
@@ -345,6 +418,13 @@ def diagnostics(source: str) -> list[tuple[int, str, str]]:
     return sorted(out, key=lambda d: d[0])
 
 
+def outline(source: str) -> list[tuple[str, int, str]]:
+    """(number, level, title) of the headings in order."""
+    heads = [n for n, _ in walk(parse(source)) if n.kind == "heading"]
+    levels = [int(n.value[0]) for n in heads]
+    return list(zip(heading_numbers(levels), levels, [plain_text(n) for n in heads], strict=True))
+
+
 def heading_numbers(levels: list[int]) -> list[str]:
     """1, 1.1, 2 ...; a level that skips depths counts as one deeper."""
     stack: list[list[int]] = []
@@ -376,7 +456,7 @@ class _Html:
     def one(self, n: Node) -> str:
         esc, kind = html.escape, n.kind
         if kind in ("text", "escape"):
-            return esc(n.value)
+            return esc(n.value, quote=False)
         if kind == "break":
             return "<br>"
         if kind in STYLE_TAGS:
@@ -390,12 +470,16 @@ class _Html:
         if kind == "rule":
             return "<hr>"
         if kind == "quote":
-            return f"<blockquote>{'<br>'.join(self.many(c.children) for c in n.children)}</blockquote>"
+            return f"<blockquote>{self.many(n.children)}</blockquote>"
+        if kind == "indent":
+            return f'<div class="indent">{self.many(n.children)}</div>'
         if kind == "list":
-            tag = "ul" if n.value == "*" else "ol"
-            return f"<{tag}>{''.join(f'<li>{self.many(c.children)}</li>' for c in n.children)}</{tag}>"
+            tag, start = "ul" if n.value == "*" else "ol", n.children[0].value
+            kind = {"*": "", "1.": ""}.get(n.value, f' type="{n.value[0]}"')
+            return f"<{tag}{kind}{f' start={chr(34)}{start}{chr(34)}' if start and tag == 'ol' else ''}>{''.join(f'<li>{self.many(c.children)}</li>' for c in n.children)}</{tag}>"
         if kind == "table":
-            return f"<table>{''.join('<tr>' + ''.join(self.table_cell(c) for c in r.children) + '</tr>' for r in n.children)}</table>"
+            caption = f"<caption>{esc(n.value, quote=False)}</caption>" if n.value else ""
+            return f"<table>{caption}{''.join('<tr>' + ''.join(self.table_cell(c) for c in r.children) + '</tr>' for r in n.children if r.kind == 'row')}</table>"
         if kind == "link":
             if "://" in n.value:
                 return f'<a class="external" href="{esc(n.value)}">{self.many(n.children) or esc(n.value)}</a>' if re.match(r"(?:https?|ftp)://", n.value) else esc(n.value)

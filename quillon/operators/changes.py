@@ -59,6 +59,7 @@ def ensured_actors(w, people: DataFrame) -> DataFrame:
 def recorded(w, batch: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
     """Documents and revisions to append for batch(id, namespace_id, title, kind, actor_id, content, comment), numbered in the order of
     id within a page."""
+    batch = batch.select("id", "namespace_id", "title", "kind", "actor_id", "content", "comment")
     documents = stored(ensured_documents(w, batch, at))
     known = w.document.select(F.col("id").alias("document_id"), "namespace_id", "title").unionByName(documents.select(F.col("id").alias("document_id"), "namespace_id", "title"))
     rows = batch.join(known, ["namespace_id", "title"])
@@ -75,6 +76,7 @@ def _numbered_revisions(w, rows: DataFrame, at: datetime) -> DataFrame:
 def reverted(w, batch: DataFrame, at: datetime) -> DataFrame:
     """The revisions that batch(id, document_id, revision_id, actor_id) appends: the old text of a revision of that document, if it has
     one."""
+    batch = batch.select("id", "document_id", "revision_id", "actor_id")
     old = w.revision.where("content is not null").select("document_id", F.col("id").alias("revision_id"), "content")
     rows = batch.join(old, ["document_id", "revision_id"]).select("id", "document_id", F.lit("revert").alias("kind"), "actor_id", "content", F.lit(REVERTED).alias("comment"))
     return _numbered_revisions(w, rows, at)
@@ -92,6 +94,7 @@ def edited(w, batch: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
     of edits that conflict, with marks, for their authors to settle. An edit based on the newest revision is taken as it is; any
     other is merged with what came between. Of several edits of a page the one with the least id is taken, the others wait for
     the next batch, as each changes what the next is based on."""
+    batch = batch.select("id", "document_id", "base_revision_id", "actor_id", "content")
     first = batch.groupBy("document_id").agg(F.min("id").alias("id"))
     now = latest(w.revision).select("document_id", F.col("id").alias("latest_id"), F.coalesce("content", F.lit("")).alias("current"))
     base = w.revision.select("document_id", F.col("id").alias("base_revision_id"), F.coalesce("content", F.lit("")).alias("base"))
@@ -151,6 +154,7 @@ def uploaded(w, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What batch(id, name, license, category, description, media_type, bytes) leads to: pages (id, title, text, hash, license) of the
     uploads that say all they must, of a medium that is taken; and the contents (hash, media_type, byte_size) that are new, once
     each."""
+    batch = batch.select("id", "name", "license", "category", "description", "media_type", "bytes")
     full = (F.trim("name") != "") & (F.col("license") != "") & (F.trim("category") != "") & good_media(F.col("media_type"))
     d = batch.where(full).join(F.broadcast(w.licence.select(F.col("name").alias("license"))), "license", "left_semi").withColumn("hash", F.sha2(F.col("bytes").cast("binary"), 256))
     text = F.concat(F.coalesce(F.trim("description"), F.lit("")), F.lit("\n[[분류:"), F.trim("category"), F.lit("]]"))
@@ -176,6 +180,7 @@ def _comments(w, rows: DataFrame) -> DataFrame:
 
 def created_threads(w, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Threads and first comments to append for batch(key, document_id, topic, author, content) on documents that exist."""
+    batch = batch.select("key", "document_id", "topic", "author", "content")
     there = batch.join(w.document.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     top = w.thread.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     t = stored(numbered(there, ["key"], F.lit(top)))
@@ -184,6 +189,7 @@ def created_threads(w, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def added_comments(w, batch: DataFrame) -> DataFrame:
     """Comments to append for batch(id, thread_id, author, content): threads that are not normal take none."""
+    batch = batch.select("id", "thread_id", "author", "content")
     taking = w.thread.where("status = 'normal'").select(F.col("id").alias("thread_id"))
     rows = batch.join(taking, "thread_id", "left_semi").select("thread_id", "id", F.lit("comment").alias("kind"), "author", "content", F.lit(None).cast("string").alias("metadata"))
     return _comments(w, rows)
@@ -192,6 +198,7 @@ def added_comments(w, batch: DataFrame) -> DataFrame:
 def changed_threads(w, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Threads after batch(id, thread_id, author, what, to), what being status or topic, and the comments that tell of it. Of several
     changes of one kind the last by id counts."""
+    batch = batch.select("id", "thread_id", "author", "what", "to")
     known = batch.join(w.thread.select(F.col("id").alias("thread_id")), "thread_id", "left_semi")
     last = known.groupBy("thread_id").agg(*[F.max(F.when(F.col("what") == c, F.struct("id", "to")))["to"].alias(f"new_{c}") for c in ("status", "topic")])
     threads = w.thread.join(last.withColumnRenamed("thread_id", "id"), "id", "left").select("id", "document_id", F.coalesce("new_status", "status").alias("status"), F.coalesce("new_topic", "topic").alias("topic"))
@@ -209,6 +216,7 @@ def hidden_comments(w, batch: DataFrame, at: datetime) -> DataFrame:
 def submitted_requests(w, batch: DataFrame, at: datetime) -> DataFrame:
     """Edit requests to append for batch(key, document_id, base_revision_id, actor_id, content) on documents that exist; a base that
     isn't there is none."""
+    batch = batch.select("key", "document_id", "base_revision_id", "actor_id", "content")
     there = batch.join(w.document.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     base = w.revision.select(F.col("id").alias("base_revision_id"), F.col("id").alias("base"))
     top = w.edit_request.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]

@@ -15,7 +15,8 @@ def scanned(spark: SparkSession, path: str, pattern: str = "*.namu") -> DataFram
 
 
 def title_of(path: Column) -> tuple[Column, Column]:
-    """Namespace and title that a file's name stands for: without its ending, with spaces for low lines."""
+    """Namespace and title that a file's name stands for: without its ending, with spaces for low lines. Spark's readers take no name with
+    a colon; it is written %3A, as in addresses."""
     name = F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
     return parse_title(F.replace(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.lit("_"), F.lit(" ")))
 
@@ -55,7 +56,7 @@ def store_contents(contents: DataFrame, path: str) -> DataFrame:
 def corpus_cases(spark: SparkSession, path: str) -> DataFrame:
     """path, grade, description, source, semantics, ir, markup of corpus case files. The first line gives the grade, the numbers of lines
     of the four sections that follow, and a description, with bars between; files that are not so are left out."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.split("value", "\n").alias("l"))
+    d = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\n").alias("l"))
     head = F.split(F.get("l", F.lit(0)), r" \| ", 6)
     n = [F.regexp_extract(F.get(head, F.lit(i)), r"^(?:원문|의미론|IR|렌더링): (\d+)줄$", 1).try_cast("int") for i in range(1, 5)]
     d = d.select("path", "l", head.alias("head"), *[x.alias(f"n{i}") for i, x in enumerate(n)]).where("n0 is not null and n1 is not null and n2 is not null and n3 is not null")
