@@ -431,9 +431,7 @@ def heading_numbers(levels: list[int]) -> list[str]:
     out = []
     for level in levels:
         while stack and stack[-1][0] > level:
-            last = stack.pop()
-            if not stack or stack[-1][0] < level:
-                stack.append([level, last[1]])
+            stack.pop()
         if stack and stack[-1][0] == level:
             stack[-1][1] += 1
         else:

@@ -40,58 +40,47 @@ def _each(make, *columns: pd.Series) -> pd.Series:
     return pd.Series([make(*(None if pd.isna(v) else v for v in row)) for row in zip(*columns, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
 def render_html(text: pd.Series) -> pd.Series:
     return _each(lambda t: M.render_html(t or ""), text)
 
 
-@F.pandas_udf("string")
 def render_json(text: pd.Series) -> pd.Series:
     return _each(lambda t: M.tree_json(t or ""), text)
 
 
-@F.pandas_udf("string")
 def plain_text(text: pd.Series) -> pd.Series:
     return _each(lambda t: M.plain_text(M.parse(t or "")), text)
 
 
-@F.pandas_udf("string")
 def sanitize_html(html: pd.Series) -> pd.Series:
     return _each(lambda t: M.sanitize(t or ""), html)
 
 
-@F.pandas_udf("boolean")
 def eval_condition(condition: pd.Series) -> pd.Series:
     return _each(lambda t: evaluate(t or "", {}) is not None, condition)
 
 
-@F.pandas_udf("merged string, conflict boolean")
 def merge3(base: pd.Series, current: pd.Series, proposed: pd.Series) -> pd.DataFrame:
     rows = [M.merge3(*(v or "" for v in row)) for row in zip(base, current, proposed, strict=True)]
     return pd.DataFrame(rows, columns=["merged", "conflict"])
 
 
-@F.pandas_udf("array<struct<op: string, line: string>>")
 def diff_lines(before: pd.Series, after: pd.Series) -> pd.Series:
     return _each(lambda a, b: [{"op": op, "line": line} for op, line in M.diff_lines(a or "", b or "")], before, after)
 
 
-@F.pandas_udf("boolean")
 def cidr_contains(network: pd.Series, address: pd.Series) -> pd.Series:
     return _each(contains, network, address)
 
 
-@F.pandas_udf("string")
 def ip_bits(address: pd.Series) -> pd.Series:
     return _each(address_bits, address)
 
 
-@F.pandas_udf("string")
 def net_bits(network: pd.Series) -> pd.Series:
     return _each(network_bits, network)
 
 
-@F.pandas_udf("string")
 def taken_style(style: pd.Series, kind: pd.Series) -> pd.Series:
     """The declarations that are taken of a style, of a wiki group or of an html element; null if all of it is refused."""
 
@@ -122,7 +111,20 @@ class Outline:
         yield from M.outline(text or "")
 
 
-SCALARS = {f.__name__: f for f in (render_html, render_json, plain_text, sanitize_html, eval_condition, merge3, diff_lines, cidr_contains)}
+#: Name to function and type of its results.
+SCALARS = {
+    "render_html": (render_html, "string"),
+    "render_json": (render_json, "string"),
+    "plain_text": (plain_text, "string"),
+    "sanitize_html": (sanitize_html, "string"),
+    "eval_condition": (eval_condition, "boolean"),
+    "merge3": (merge3, "merged string, conflict boolean"),
+    "diff_lines": (diff_lines, "array<struct<op: string, line: string>>"),
+    "cidr_contains": (cidr_contains, "boolean"),
+    "ip_bits": (ip_bits, "string"),
+    "net_bits": (net_bits, "string"),
+    "taken_style": (taken_style, "string"),
+}
 TABLES = {
     "parse_tokens": (ParseTokens, "pos int, kind string, parent string, start int, end int, text string"),
     "scan_refs": (ScanRefs, "kind string, target string"),
@@ -131,9 +133,15 @@ TABLES = {
 }
 
 
+def scalar(name: str):
+    """One of SCALARS as a function of columns; made once there is a session."""
+    function, kind = SCALARS[name]
+    return F.pandas_udf(function, returnType=kind)
+
+
 def register(spark: SparkSession) -> None:
     """Makes all of them known to SQL of this session."""
-    for name, f in SCALARS.items():
-        spark.udf.register(name, f)
+    for name in SCALARS:
+        spark.udf.register(name, scalar(name))
     for name, (cls, schema) in TABLES.items():
         spark.udtf.register(name, F.udtf(cls, returnType=schema))

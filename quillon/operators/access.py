@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.registered import scalar
 from .pages import display, with_author, with_titles
 
 
@@ -36,11 +37,26 @@ def candidate_rules(w, action: str) -> DataFrame:
     return own.unionByName(by_namespace.select("document_id", F.lit(1).alias("scope"), "evaluation_order", F.col("id").alias("rule_id"), "kind", "value", "allowed"))
 
 
+def in_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
+    """Distinct (ip, net) of addresses(ip) and networks(net) of either family where one holds the other. Each address meets the
+    networks by the bits that they share, for the lengths that occur, in an equi-join; what can't be read matches nothing."""
+    nets = networks.select("net").distinct().withColumn("shared", scalar("net_bits")("net")).where("shared is not null").withColumn("size", F.length("shared"))
+    sizes = sorted(r["size"] for r in nets.select("size").distinct().collect())  # at most 162 lengths
+    bits = addresses.select("ip").distinct().withColumn("bits", scalar("ip_bits")("ip")).where("bits is not null")
+    each = bits.select("ip", "bits", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where("length(bits) >= size")
+    return each.select("ip", "size", F.substr("bits", F.lit(1), F.col("size")).alias("shared")).join(nets, ["size", "shared"]).select("ip", "net")
+
+
 def actor_classes(w, action: str, as_of: str) -> DataFrame:
-    """(actor_id, class, named, groups): rules can tell actors apart only by whether they have a name and by their active groups, of
-    which those that no rule of the action names are left out."""
-    asked = w.acl_rule.where((F.col("action") == action) & (F.col("kind") == "group")).select(F.col("value").alias("name")).distinct()
-    groups = active_members(w, as_of).join(asked, "name", "left_semi").groupBy("actor_id").agg(F.array_sort(F.collect_set("name")).alias("groups"))
+    """(actor_id, class, named, groups): rules can tell actors apart only by whether they have a name, by their active groups, and by
+    the names and networks that rules name; groups holds of these what is true of the actor, the last two as `user:` and `ip:`."""
+    asked = w.acl_rule.where(F.col("action") == action).select("kind", "value").distinct()
+    of = lambda kind, name: asked.where(F.col("kind") == kind).select(F.col("value").alias(name))
+    member = active_members(w, as_of).join(of("group", "name"), "name", "left_semi").select("actor_id", "name")
+    called = w.actor.join(of("user", "user_name"), "user_name").select(F.col("id").alias("actor_id"), F.concat(F.lit("user:"), "user_name").alias("name"))
+    inside = in_networks(w.actor.where("ip is not null").select("ip"), of("ip", "net"))
+    at = w.actor.join(inside, "ip").select(F.col("id").alias("actor_id"), F.concat(F.lit("ip:"), "net").alias("name"))
+    groups = member.union(called).union(at).groupBy("actor_id").agg(F.array_sort(F.collect_set("name")).alias("groups"))
     who = w.actor.select(F.col("id").alias("actor_id"), F.col("user_name").isNotNull().alias("named")).join(groups, "actor_id", "left")
     who = who.withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
     return who.select("actor_id", F.to_json(F.struct("named", "groups")).alias("class"), "named", "groups")
@@ -51,7 +67,8 @@ def matching(rules: DataFrame, classes: DataFrame, strict: bool, scope: str) ->
     everyone = rules.where("kind = 'perm'").join(F.broadcast(classes.select("class", "named")))
     value = F.col("value")
     applies = F.when(value == "any", F.lit(True)).when(value == "member", F.col("named")).when(value == "ip", ~F.col("named")).otherwise(F.lit(not strict))
-    grouped = rules.where("kind = 'group'").join(F.broadcast(classes.select("class", F.explode("groups").alias("grp"))), F.col("value") == F.col("grp"))
+    name = F.when(F.col("kind") == "group", value).otherwise(F.concat_ws(":", "kind", value))
+    grouped = rules.where("kind <> 'perm'").join(F.broadcast(classes.select("class", F.explode("groups").alias("grp"))), name == F.col("grp"))
     keep = [scope, "class", "evaluation_order", "rule_id", "allowed"]
     return everyone.where(applies).select(keep).unionByName(grouped.select(keep))
 

@@ -21,12 +21,13 @@ def _decisions(strict: bool):
 def _decisions_sql(strict: bool) -> str:
     other = "FALSE" if strict else "TRUE"
     return f"""WITH g AS (SELECT actor_id, list_sort(list(DISTINCT name)) AS groups FROM {ACTIVE} m WHERE name IN (SELECT value FROM {{acl_rule}} WHERE action = 'edit' AND kind = 'group') GROUP BY actor_id),
-      who AS (SELECT a.id AS actor_id, a.user_name IS NOT NULL AS named, coalesce(g.groups, []) AS groups FROM {{actor}} a LEFT JOIN g ON g.actor_id = a.id),
+      more AS (SELECT a.id AS actor_id, list(DISTINCT r.kind || ':' || r.value) AS labels FROM {{actor}} a JOIN {{acl_rule}} r ON r.action = 'edit' AND (r.kind = 'user' AND r.value = a.user_name OR r.kind = 'ip' AND r.value = '10.1.0.0/16' AND starts_with(a.ip, '10.1.')) GROUP BY 1),
+      who AS (SELECT a.id AS actor_id, a.user_name IS NOT NULL AS named, list_sort(list_concat(coalesce(g.groups, []), coalesce(more.labels, []))) AS groups FROM {{actor}} a LEFT JOIN g ON g.actor_id = a.id LEFT JOIN more ON more.actor_id = a.id),
       k AS (SELECT *, '{{{{"named":' || CAST(named AS VARCHAR) || ',"groups":[' || array_to_string(list_transform(groups, lambda x: '"' || x || '"'), ',') || ']}}}}' AS class FROM who),
       c AS (SELECT DISTINCT class, named, groups FROM k),
       hit AS (SELECT d.id AS document_id, c.class, r.allowed, r.id, row_number() OVER (PARTITION BY d.id, c.class ORDER BY CASE WHEN r.document_id IS NULL THEN 1 ELSE 0 END, r.evaluation_order, r.id) AS n
         FROM {{document}} d JOIN {{acl_rule}} r ON r.action = 'edit' AND (r.document_id = d.id OR r.namespace_id = d.namespace_id)
-        JOIN c ON CASE WHEN r.kind = 'group' THEN list_contains(c.groups, r.value) WHEN r.value = 'any' THEN TRUE WHEN r.value = 'member' THEN c.named WHEN r.value = 'ip' THEN NOT c.named ELSE {other} END)
+        JOIN c ON CASE WHEN r.kind = 'group' THEN list_contains(c.groups, r.value) WHEN r.kind <> 'perm' THEN list_contains(c.groups, r.kind || ':' || r.value) WHEN r.value = 'any' THEN TRUE WHEN r.value = 'member' THEN c.named WHEN r.value = 'ip' THEN NOT c.named ELSE {other} END)
       SELECT d.id AS document_id, CAST(NULL AS BIGINT) AS actor_id, c.class, coalesce(h.allowed, FALSE) AS allowed, h.id AS rule_id FROM {{document}} d CROSS JOIN c LEFT JOIN hit h ON h.document_id = d.id AND h.class = c.class AND h.n = 1
       UNION ALL SELECT NULL, actor_id, class, NULL, NULL FROM k"""
 
@@ -37,6 +38,13 @@ def _cidr(w: World):
     return w.actor.select("id", F.coalesce("ip", F.lit("none")).alias("ip")).join(F.broadcast(ranges), A.in_range(F.col("ip"), F.col("net"))).select("id", "net")
 
 
+def _networks(w: World):
+    """Addresses of both families against networks of both."""
+    spark = w.actor.sparkSession
+    addresses = w.actor.select(F.coalesce("ip", F.concat(F.lit("2001:db8:"), (F.col("id") % 4).cast("string"), F.lit("::"), (F.col("id") % 10).cast("string"))).alias("ip"))
+    return A.in_networks(addresses, spark.createDataFrame([(n,) for n in (*RANGES, "2001:db8:1::/48", "2001:0db8:0002:0::3", "::/0", "2001::/129")], "net string"))
+
+
 _NUMBER = "CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({0}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({0}, '.', 3) AS BIGINT) * 256 + CAST(split_part({0}, '.', 4) AS BIGINT)"
 _CIDR_SQL = (
     "SELECT a.id, n.net FROM {actor} a, (VALUES " + ", ".join(f"('{r}')" for r in RANGES if "/" in r) + ") AS n(net) WHERE a.ip IS NOT NULL AND floor((" + _NUMBER.replace("{0}", "a.ip") + ") / pow(2, 32 - CAST(split_part(n.net, '/', 2) AS INT))) = floor((" + _NUMBER.replace("{0}", "split_part(n.net, '/', 1)") + ") / pow(2, 32 - CAST(split_part(n.net, '/', 2) AS INT)))"
@@ -48,6 +56,7 @@ _Q = {
     "acl_decisions": (_decisions(True), _decisions_sql(True)),
     "acl_decisions_compat": (_decisions(False), _decisions_sql(False)),
     "cidr_v4_matches": (_cidr, _CIDR_SQL),
+    "cidr_matches": (_networks, "WITH a AS (SELECT DISTINCT ip, '2001:db8:' || CAST(id % 4 AS VARCHAR) || '::' || CAST(id % 10 AS VARCHAR) AS six FROM {actor}) SELECT DISTINCT ip, net FROM (" + _CIDR_SQL.replace("SELECT a.id, n.net", "SELECT a.ip, n.net") + ") x UNION SELECT six, net FROM a, (VALUES ('2001:db8:1::/48'), ('2001:0db8:0002:0::3'), ('::/0')) AS n(net) WHERE ip IS NULL AND (net = '::/0' OR net = '2001:db8:1::/48' AND starts_with(six, '2001:db8:1::') OR six = '2001:db8:2::3' AND net LIKE '%3')"),
     "permission_log": (A.permission_log, "SELECT user_id, permission, revoked_at IS NOT NULL AS revoked, strftime(coalesce(revoked_at, created_at), '%Y-%m-%d') AS at FROM {user_permission} ORDER BY coalesce(revoked_at, created_at) DESC, user_id LIMIT 100"),
     "granted_permissions": (A.granted_permissions, "SELECT DISTINCT user_id, permission FROM {user_permission} WHERE revoked_at IS NULL"),
     "recent_threads": (A.threads, f"SELECT r.id, r.topic, r.status, {DISPLAY} AS title FROM (SELECT * FROM {{thread}} ORDER BY id DESC LIMIT 100) r {NAMED}"),

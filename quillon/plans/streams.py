@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ..sources.world import World, ctes
+from ..sources.world import VIEWS, World, ctes
 from ..streaming import changes as C
+from . import markup
 
 QUERIES = {
     "latest_revision_stream": (C.latest_stream, "SELECT event_id % n AS document_id, event_id, event_type FROM events, (SELECT count(*) AS n FROM documents) c QUALIFY row_number() OVER (PARTITION BY event_id % n ORDER BY ts DESC, event_id DESC) = 1"),
     "change_counts_windowed": (C.windowed_stream, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, max(value) AS top FROM events WHERE date_trunc('day', ts) + INTERVAL '1' DAY <= (SELECT max(ts) - INTERVAL '1' HOUR FROM events) GROUP BY 1, 2"),
+    "reference_stream": (lambda spark, sf_dir: C.references_stream(spark, sf_dir, VIEWS["marked_text"]), markup.QUERIES["scan_refs"][1]),
     "notify_stream": (lambda spark, sf_dir: C.notify_stream(spark, sf_dir, World(spark, sf_dir).star), ctes("SELECT r.id AS revision_id, s.user_id AS follower FROM {revision} r JOIN {star} s ON s.document_id = r.document_id WHERE s.user_id <> r.actor_id")),
 }

@@ -16,6 +16,7 @@ KINDS = (("signup", "create"), ("click", "edit"), ("view", "revert"), ("purchase
 RULES = (
     (1, None, 0, "edit", 100, "perm", "any", True), (2, None, 1, "edit", 100, "perm", "member", True), (3, None, 2, "edit", 100, "perm", "any", True), (4, None, 3, "edit", 50, "perm", "ip", False),
     (5, None, 0, "edit", 10, "group", "BUILDING", False), (6, 10, None, "edit", 10, "perm", "ip", False), (7, 20, None, "edit", 5, "group", "MACHINERY", True), (8, None, 1, "edit", 20, "perm", "admin", False), (9, None, 3, "edit", 60, "perm", "any", True),
+    (10, None, 0, "edit", 5, "user", "user7", False), (11, None, 1, "edit", 5, "ip", "10.1.0.0/16", False), (12, 30, None, "edit", 1, "user", "user4", False), (13, 20, None, "edit", 1, "ip", "2001:db8::/32", True),
 )
 
 

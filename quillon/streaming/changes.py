@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.markup import scan_references
 from ..sources.storage import shared_path
 
 
@@ -56,3 +57,14 @@ def notify_stream(spark: SparkSession, sf_dir: str, star: DataFrame) -> DataFram
     changes = event_stream(spark, sf_dir).select(F.col("event_id").alias("revision_id"), (F.col("event_id") % n).alias("document_id"), F.col("user_id").alias("author"))
     told = changes.join(star.select("document_id", F.col("user_id").alias("follower")), "document_id").where("follower <> author")
     return drained(told.select("revision_id", "follower"), "append").drop("batch")
+
+
+def references_stream(spark: SparkSession, sf_dir: str, markup: str) -> DataFrame:
+    """The references of pages, kept up with a stream of their texts: each batch replaces those of the pages it brings, whatever stood
+    there before. markup is a SELECT of (id, text) over {documents}."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    texts = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    pages = spark.sql(markup, documents=texts)
+    out = drained(scan_references(pages).select("id", "kind", "target"), "append")
+    newest = out.groupBy("id").agg(F.max("batch").alias("batch"))
+    return out.join(newest, ["id", "batch"]).drop("batch").distinct()

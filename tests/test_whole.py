@@ -2,6 +2,7 @@
 
 import html
 import re
+from ipaddress import ip_address, ip_network
 from datetime import datetime
 from types import SimpleNamespace
 from urllib.parse import quote
@@ -86,7 +87,9 @@ def test_every_actor_gets_a_decision_on_every_document(spark, name):
     assert set(class_of) == {a.id for a in actors} and {d for d, _ in of_class} == {d.id for d in documents}
     for a in actors:
         known = {"any": True, "member": a.user_name is not None, "ip": a.user_name is None}
-        applies = [r for r in rules if ((r.value, a.id) in member if r.kind == "group" else known.get(r.value, name == "acl_decisions_compat"))]
+        inside = lambda net: a.ip is not None and ip_address(a.ip) in ip_network(net)  # noqa: B023, E731
+        other = {"group": lambda v: (v, a.id) in member, "user": lambda v: v == a.user_name, "ip": inside}  # noqa: B023
+        applies = [r for r in rules if (other[r.kind](r.value) if r.kind in other else known.get(r.value, name == "acl_decisions_compat"))]
         for d in documents:
             r = next((r for r in applies if r.document_id == d.id or r.document_id is None and r.namespace_id == d.namespace_id), None)
             assert of_class[d.id, class_of[a.id]] == ((r.allowed, r.id) if r else (False, None))
