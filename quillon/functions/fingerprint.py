@@ -5,36 +5,52 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+from .values import normal_style
+
 SKIPPED = frozenset("script style noscript template".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Attributes that say nothing about structure.
-IGNORED = frozenset("id style data-v".split())
+#: Attributes that say nothing about structure, and classes of parts that belong to the screen and not to the page.
+IGNORED = frozenset("id data-dark-style".split())
+SCREEN = frozenset("wiki-edit-section wiki-categories".split())
+
+
+def unwrapped(tag: str, attributes: dict[str, str]) -> bool:
+    """Spans that only anchor a paragraph or colour a word of code."""
+    return tag == "span" and ("id" in attributes and not {"style", "class"} & set(attributes) or any(c.startswith("hljs-") for c in attributes.get("class", "").split()))
 
 
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[str] = []
-        self.stack: list[str] = []
-        self.skipping = 0
+        self.stack: list[tuple[str, bool]] = []  # element, whether it leaves a line
+        self.skipping: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skipping += 1
-        if self.skipping:
+        given = {k: v or "" for k, v in attrs}
+        if self.skipping or tag in SKIPPED or SCREEN & set(given.get("class", "").split()):
+            if tag not in EMPTY:
+                self.skipping.append(tag)
             return
-        kept = sorted((k, " ".join((v or "").split())) for k, v in attrs if k not in IGNORED and not k.startswith("on"))
-        self.lines.append(f"<{tag}{''.join(f' {k}={v}' for k, v in kept)}>")
+        shown = not unwrapped(tag, given)
+        if shown:
+            kept = {k: normal_style(v) if k == "style" else " ".join(v.split()) for k, v in given.items() if k not in IGNORED and not k.startswith(("on", "data-v-"))}
+            self.lines.append(f"<{tag}{''.join(f' {k}={v}' for k, v in sorted(kept.items()) if k != 'style' or v)}>")
         if tag not in EMPTY:
-            self.stack.append(tag)
+            self.stack.append((tag, shown))
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skipping = max(0, self.skipping - 1)
-        elif not self.skipping and tag in self.stack:
-            while (top := self.stack.pop()) != tag:
-                self.lines.append(f"</{top}>")
-            self.lines.append(f"</{tag}>")
+        if self.skipping:
+            if tag in self.skipping:
+                while self.skipping.pop() != tag:
+                    pass
+        elif any(t == tag for t, _ in self.stack):
+            while True:
+                top, shown = self.stack.pop()
+                if shown:
+                    self.lines.append(f"</{top}>")
+                if top == tag:
+                    break
 
     def handle_data(self, data):
         text = " ".join(data.split())
@@ -50,7 +66,7 @@ def fingerprint(source: str) -> list[str]:
     p = _Lines()
     p.feed(source)
     p.close()
-    return p.lines + [f"</{t}>" for t in reversed(p.stack)]
+    return p.lines + [f"</{t}>" for t, shown in reversed(p.stack) if shown]
 
 
 def differences(left: list[str], right: list[str], window: int = 8, known: tuple[str, ...] = ()) -> list[tuple[str, str]]:

@@ -14,6 +14,7 @@ from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from .condition import evaluate
+from .values import decoded, html_style
 
 Span = tuple[int, int]
 #: Quotes, lists and groups within each other; deeper ones are plain text. Readers of trees call themselves as often.
@@ -391,33 +392,53 @@ def plain_text(node: Node) -> str:
     return "".join(out)
 
 
-def diagnostics(source: str) -> list[tuple[int, str, str]]:
-    """(start, code, detail) in order of start."""
+#: How grave each finding is, and of what kind.
+GRADES = {
+    "redirect-trailing-content": ("warning", "correctness"), "duplicate-redirect": ("warning", "correctness"), "heading-level-skip": ("suggestion", "style"), "duplicate-category": ("suggestion", "style"), "duplicate-footnote-definition": ("warning", "correctness"),
+    "unsupported-macro": ("info", "unsupported"), "invalid-macro-argument": ("warning", "correctness"), "include-target-missing": ("warning", "correctness"), "self-redirect": ("warning", "correctness"),
+}
+
+
+def findings(source: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, code, detail) of what can be said without knowing other pages, in order of start."""
     tree, out = parse(source), []
     redirects = [n for n in tree.children if n.kind == "redirect"]
-    if redirects and any(n.kind not in ("redirect", "comment") and source[n.start : n.end].strip() for n in tree.children):
-        out.append((redirects[0].start, "redirect-trailing-content", redirects[0].value))
-    out += [(n.start, "duplicate-redirect", n.value) for n in redirects[1:]]
+    if redirects:
+        after = [n for n in tree.children if n.start >= redirects[0].end and n.kind not in ("redirect", "comment") and source[n.start : n.end].strip()]
+        if after:
+            out.append((after[0].start, after[-1].end, "redirect-trailing-content", redirects[0].value))
+    out += [(n.start, n.end, "duplicate-redirect", n.value) for n in redirects[1:]]
     level, seen, notes = 0, set(), set()
-    for n, _ in walk(tree):
+    for n in tree.children:
         if n.kind == "heading":
             now = int(n.value[0])
             if level and now > level + 1:
-                out.append((n.start, "heading-level-skip", f"{level}->{now}"))
+                out.append((n.start, n.end, "heading-level-skip", f"{level}->{now}"))
             level = now
-        elif n.kind == "category":
+    for n, _ in walk(tree):
+        if n.kind == "category":
             if n.value in seen:
-                out.append((n.start, "duplicate-category", n.value))
+                out.append((n.start, n.end, "duplicate-category", n.value))
             seen.add(n.value)
-        elif n.kind == "footnote" and n.value and n.children:
+        elif n.kind == "footnote" and n.value and any(c.kind != "text" or c.value.strip() for c in n.children):
             if n.value in notes:
-                out.append((n.start, "duplicate-footnote-definition", n.value))
+                out.append((n.start, n.end, "duplicate-footnote-definition", n.value))
             notes.add(n.value)
         elif n.kind == "macro" and n.value.lower() not in MACROS:
-            out.append((n.start, "unsupported-macro", n.value))
+            out.append((n.start, n.end, "unsupported-macro", n.value))
     return sorted(out, key=lambda d: d[0])
 
 
+def graded(source: str) -> list[tuple[int, int, str, str, str, str]]:
+    """(start, end, code, severity, category, detail)."""
+    return [(a, b, code, *GRADES[code], detail) for a, b, code, detail in findings(source)]
+
+
+def diagnostics(source: str) -> list[tuple[int, str, str]]:
+    """(start, code, detail) in order of start."""
+    return [(a, code, detail) for a, _, code, detail in findings(source)]
+
+
 def outline(source: str) -> list[tuple[str, int, str]]:
     """(number, level, title) of the headings in order."""
     heads = [n for n, _ in walk(parse(source)) if n.kind == "heading"]
@@ -592,36 +613,67 @@ def tree_json(source: str) -> str:
     return json.dumps(show(parse(source)), ensure_ascii=False)
 
 
-ALLOWED = frozenset("a b i u s em strong del ins sub sup br span div p ul ol li".split())
-DROPPED = frozenset("script style iframe object embed noscript template".split())
-ATTRIBUTES = frozenset("href class style title id colspan rowspan".split())
+#: Elements that may stand in a page, those whose content is code, and those without content.
+ALLOWED = frozenset("a b i u s strong em sub sup br span div code small big wbr video".split())
+CODE_BEARING = frozenset("script style iframe object embed".split())
+VOID = frozenset("br wbr".split())
+_TAG = re.compile(r"<((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
+_ATTRIBUTE = re.compile(r"([^\s=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S*)))?")
+
+
+def _kept_attributes(name: str, source: str) -> dict[str, str | None]:
+    """The first value of each attribute that the element may have."""
+    out: dict[str, str | None] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        key, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
+        if key == "style":
+            if not out.get("style") and (taken := html_style(value)):
+                out["style"] = "; ".join(f"{p}: {v}" for p, v in taken)
+        elif key in ("href", "src"):
+            if (name, key) in (("a", "href"), ("video", "src")) and key not in out and re.match(r"(?:https?|ftp)://", value.strip(), re.I):
+                out[key] = value.strip()
+        elif key == "class" or name == "video" and key in ("width", "height"):
+            out.setdefault(key, value)
+        elif name == "video" and key == "controls":
+            out["controls"] = None
+    return out
 
 
 def sanitize(source: str) -> str:
-    """Allowed tags and attributes only; code is dropped with its content, other tags are unwrapped, open tags are closed."""
+    """Allowed elements and attributes only. Code is dropped with its content, other elements are unwrapped, and so is a link that leads
+    nowhere; an end tag closes the innermost element or nothing, what is open at the end is closed, and from a tag that never ends
+    on everything is text."""
     out, stack, at = [], [], 0
-    tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-    while m := tag.search(source, at):
-        out.append(html.escape(html.unescape(source[at : m.start()]), quote=False))
-        at, name = m.end(), (m[2] or "").lower()
-        if name in DROPPED and not m[1]:
-            shut = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+    say = lambda text: out.append(html.escape(decoded(text), quote=False))
+    shown = lambda attributes: "".join(f" {k}" if v is None else f' {k}="{html.escape(v)}"' for k, v in attributes.items())
+    while (begin := source.find("<", at)) >= 0:
+        say(source[at:begin])
+        m = _TAG.match(source, begin)
+        if not m:
+            at = begin
+            break
+        inner, at = m[1], m.end()
+        if inner[:1] == "/":
+            if stack and stack[-1] == inner[1:].strip().lower():
+                out.append(f"</{stack.pop()}>")
+            continue
+        if inner[:1] == "!":
+            continue
+        name, *more = re.split(r"(?=\s)", inner.removesuffix("/"), maxsplit=1)
+        name = name.lower()
+        if name in CODE_BEARING:
+            shut = re.compile(rf"</{name}[^>]*>", re.I).search(source, at)
             at = shut.end() if shut else len(source)
-        elif name in ALLOWED and m[1]:
-            if name in stack:
-                while (top := stack.pop()) != name:
-                    out.append(f"</{top}>")
-                out.append(f"</{name}>")
-        elif name in ALLOWED:
-            kept = []
-            for a in re.finditer(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", m[3]):
-                value = html.unescape(next(v for v in a.groups()[1:] if v is not None))
-                if a[1].lower() in ATTRIBUTES and (a[1].lower() != "href" or re.match(r"(?:https?|ftp)://", value, re.I)):
-                    kept.append(f' {a[1].lower()}="{html.escape(value)}"')
-            out.append(f"<{name}{''.join(kept)}>")
-            if name != "br":
-                stack.append(name)
-    out.append(html.escape(html.unescape(source[at:]), quote=False))
+            continue
+        if name not in ALLOWED:
+            continue
+        attributes = _kept_attributes(name, more[0] if more else "")
+        if name == "a" and "href" not in attributes:
+            continue
+        out.append(f"<{name}{shown(attributes)}>")
+        if name not in VOID:
+            stack.append(name)
+    say(source[at:])
     return "".join(out + [f"</{t}>" for t in reversed(stack)])
 
 

@@ -115,10 +115,16 @@ def threads_of(w, namespace: str, title: str) -> DataFrame:
 
 
 def timeline(w) -> DataFrame:
-    """Comments with hidden ones blanked."""
+    """Comments in order, hidden ones blank."""
     return w.thread_comment.orderBy("thread_id", "sequence").select("thread_id", "sequence", "author", F.when(F.col("hidden"), F.lit("")).otherwise(F.col("content")).alias("content"), "hidden")
 
 
+def detail(kind: Column, metadata: Column) -> Column:
+    """What a line of a thread's timeline tells besides its text: the new status, topic or document of a change."""
+    of = lambda key: F.get_json_object(metadata, f"$.{key}")
+    return F.when(kind == "status_change", of("to")).when(kind == "topic_change", of("topic")).when(kind == "document_move", of("document"))
+
+
 def thread_status_counts(w) -> DataFrame:
     return w.thread.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

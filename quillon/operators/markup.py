@@ -53,7 +53,8 @@ def scan_references(d: DataFrame, page: str = "Page/Sub") -> DataFrame:
 
 
 def diagnose(d: DataFrame) -> DataFrame:
-    return rows_of(d, ["text"], M.diagnostics, "start int, code string, detail string")
+    """What can be said of a page without knowing others, where, and how grave it is."""
+    return rows_of(d, ["text"], M.graded, "start int, end int, code string, severity string, category string, detail string")
 
 
 def render_html(d: DataFrame) -> DataFrame:

@@ -39,10 +39,11 @@ def live(revision: DataFrame) -> DataFrame:
 
 
 def recent_changes(w, limit: int = 100) -> DataFrame:
-    # The newest ids are picked before anything is joined to them.
-    top = w.revision.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
-    d = with_author(with_titles(top, w.document, w.namespace), w.actor)
-    return d.select("id", display().alias("title"), "sequence", "kind", "author", "comment", "content_bytes", "created_at")
+    # The newest ids are picked from two columns before anything is joined to them, and only their documents' revisions are numbered.
+    top = w.revision.select("id", "document_id", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(limit).select("id", "document_id")
+    of_them = w.revision.join(F.broadcast(top.select("document_id").distinct()), "document_id", "left_semi").join(F.broadcast(top.select("id")), "id", "left_semi")
+    d = with_author(with_titles(of_them, w.document, w.namespace), w.actor)
+    return d.orderBy(F.desc("created_at"), F.desc("id")).select("id", display().alias("title"), "sequence", "kind", "author", "comment", "content_bytes", "created_at")
 
 
 def revision_history(w, document_id: int, limit: int = 100) -> DataFrame:
@@ -82,7 +83,10 @@ def pages_by_length(w, longest: bool, limit: int = 200) -> DataFrame:
 
 
 def title_suggest(w, prefix: str, limit: int = 10, escape: bool = False) -> DataFrame:
-    """Without escape, % and _ in the prefix are wildcards."""
+    """Without escape, % and _ in the prefix are wildcards. Blanks around the prefix don't count; nothing suggests nothing."""
+    prefix = prefix.strip()
+    if not prefix:
+        return live_titles(w).where("false")
     pattern = (prefix.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") if escape else prefix) + "%"
     return live_titles(w).where(F.col("title").ilike(pattern)).orderBy(F.length("title"), "title", "namespace").limit(limit)
 

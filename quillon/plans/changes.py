@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..operators import access as A
 from ..operators import changes as C
 from ..sources.world import World, ctes
 from .pages import LIVE
@@ -75,6 +76,7 @@ _Q = {
     "add_comments": (lambda w: C.added_comments(w, _comment_batch(w)).select("thread_id", "sequence", "author", "content"), f"SELECT c.thread_id, t.top + c.sequence AS sequence, c.author, 're: ' || CAST(c.sequence AS VARCHAR) AS content FROM {{thread_comment}} c JOIN {_MAX_SEQ} t USING (thread_id) JOIN {{thread}} h ON h.id = c.thread_id WHERE c.sequence <= 2 AND h.status = 'normal'"),
     "change_threads": (lambda w: C.changed_threads(w, _thread_changes(w))[0], "SELECT id, document_id, CASE WHEN id % 4 = 0 THEN 'close' ELSE status END AS status, CASE WHEN id % 4 = 2 THEN 'New topic' ELSE topic END AS topic FROM {thread}"),
     "change_thread_comments": (lambda w: C.changed_threads(w, _thread_changes(w))[1], f"SELECT h.id AS thread_id, t.top + 1 AS sequence, CASE WHEN h.id % 4 = 0 THEN 'status_change' ELSE 'topic_change' END AS kind, 'mod' AS author, '' AS content, CASE WHEN h.id % 4 = 0 THEN '{{{{\"to\":\"close\"}}}}' ELSE '{{{{\"topic\":\"New topic\"}}}}' END AS metadata FROM {{thread}} h JOIN {_MAX_SEQ} t ON t.thread_id = h.id WHERE h.id % 2 = 0"),
+    "change_details": (lambda w: C.changed_threads(w, _thread_changes(w))[1].select("thread_id", "kind", A.detail(F.col("kind"), F.col("metadata")).alias("detail")), "SELECT id AS thread_id, CASE WHEN id % 4 = 0 THEN 'status_change' ELSE 'topic_change' END AS kind, CASE WHEN id % 4 = 0 THEN 'close' ELSE 'New topic' END AS detail FROM {thread} WHERE id % 2 = 0"),
     "hide_comments": (lambda w: C.hidden_comments(w, w.thread_comment.where("sequence = 2").select("thread_id", "sequence", F.col("thread_id").alias("actor_id")), AT), f"SELECT thread_id, sequence, hidden OR sequence = 2 AS hidden, CASE WHEN sequence = 2 THEN thread_id END AS hidden_by, CASE WHEN sequence = 2 THEN {_AT} END AS hidden_at FROM {{thread_comment}}"),
     "submit_edit_requests": (lambda w: C.submitted_requests(w, w.revision.where("kind = 'edit'").select(F.col("id").alias("key"), (F.col("document_id") * 3).alias("document_id"), (F.col("id") * 2).alias("base_revision_id"), "actor_id", "content"), AT), f"SELECT (SELECT max(id) FROM {{edit_request}}) + row_number() OVER (ORDER BY id) AS id, document_id * 3 AS document_id, CASE WHEN id * 2 IN (SELECT id FROM {{revision}}) THEN id * 2 END AS base_revision_id, actor_id, content, 'open' AS status, {_AT} AS created_at FROM {{revision}} WHERE kind = 'edit' AND document_id * 3 IN (SELECT id FROM {{document}})"),
     "settle_edit_requests": (lambda w: C.settled_requests(w, w.edit_request.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, "accepted").otherwise("closed").alias("status"), F.col("actor_id").alias("reviewer"))), "SELECT id, CASE WHEN status = 'open' AND id % 4 = 0 THEN 'accepted' WHEN status = 'open' AND id % 2 = 0 THEN 'closed' ELSE status END AS status, CASE WHEN status = 'open' AND id % 2 = 0 THEN actor_id END AS reviewed_by FROM {edit_request}"),

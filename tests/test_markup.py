@@ -42,14 +42,16 @@ def test_references_and_diagnostics():
     got = M.references(s, "up/child")
     assert set(got) == {("link", "up/child/sub"), ("link", "up"), ("link", "up/sib"), ("link", "/abs"), ("include", "틀:A"), ("image", "f.png"), ("category", "C"), ("link", "분류:D")}
     codes = [c for _, c, _ in M.diagnostics("#redirect A\n#redirect B\n== a ==\n==== b ====\n[[분류:X]][[분류:X]][*n a][*n b][nope]")]
-    assert codes == ["redirect-trailing-content", "duplicate-redirect", "heading-level-skip", "duplicate-category", "duplicate-footnote-definition", "unsupported-macro"]
+    assert codes == ["duplicate-redirect", "redirect-trailing-content", "heading-level-skip", "duplicate-category", "duplicate-footnote-definition", "unsupported-macro"]
 
 
 def test_render():
     assert M.heading_numbers([2, 3, 2]) == ["1", "1.1", "2"] and M.heading_numbers([2, 4]) == ["1", "1.1"]
     h = M.render_html("== T ==\na [[B]] <x> [* note] '''b'''\n[[분류:C]]", exists=lambda t: t != "B")
     assert '<h2 id="s-1">' in h and 'class="missing"' in h and "&lt;x&gt;" in h and "<strong>b</strong>" in h and "[1] note" in h and "<footer>분류:C</footer>" in h
-    assert M.sanitize("<script>x</script><b onclick=1>y<blink>z</blink><a href='javascript:1'>q") == "<b>yz<a>q</a></b>"
+    assert M.sanitize("<script>x</script><b onclick=1>y<blink>z</blink><a href='javascript:1'>q") == "<b>yzq</b>"
+    assert M.sanitize("<a href=HTTP://x.y class=c id=i style='color: red; x'>q</b></a></a>&lt;&copy;<br/><video src='ftp://v' controls width=3 onplay=x>") == '<a href="HTTP://x.y" class="c" style="color: red">q</a>&lt;&amp;copy;<br><video src="ftp://v" controls width="3"></video>'
+    assert M.sanitize("a<iframe>b</IFRAME >c<p>d</p>1 < 2<b>") == "acd1 &lt; 2&lt;b&gt;" and M.sanitize("<span style='background:url(x)'>s") == "<span>s</span>"
 
 
 def test_diff_and_merge():
@@ -94,5 +96,6 @@ def test_fingerprints():
     from quillon.functions.fingerprint import differences, fingerprint
 
     a = fingerprint("<p id=1 class=b>x  y<script>q</script><br></p>")
+    assert fingerprint("<div class='wiki-categories'><p>no</p></div><span id=a>x</span><b style='COLOR: #FFF;' data-v-1=2>y</b>") == ["x", "<b style=color:#ffffff>", "y", "</b>"]
     assert a == ["<p class=b>", "x y", "<br>", "</p>"] and differences(a, a) == []
     assert differences(["a", "b", "c"], ["a", "x", "c", "d"]) == [("b", "x"), ("", "d")] and differences(["k1"], ["k2"], known=("k",)) == []
