@@ -10,14 +10,17 @@ counts. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .pages import live, with_titles
 
 K1, B = 1.2, 0.75
@@ -57,10 +60,18 @@ def n_grams(text: Column) -> Column:
     return (F.greatest(n - 1, F.lit(0)) + F.greatest(n - 2, F.lit(0))).cast("long")
 
 
+def times(text: Column, gram: str) -> Column:
+    """How often a gram stands in a text, overlaps included: one pass over its bytes. Only grams that begin as they end can overlap
+    themselves, and these are counted by a look-ahead."""
+    if gram[0] == gram[-1]:
+        return F.regexp_count(text, F.lit(f"(?={re.escape(gram)})")).cast("long")
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(gram), F.lit("")))
+    return (gone / len(gram.encode())).cast("long")
+
+
 def hits(fields: DataFrame, wanted: list[str], keys: list[str]) -> DataFrame:
-    """keys, field, len, gram, tf of fields(keys, field, text). Each wanted gram is counted in one pass over the text, matches that
-    overlap included; nothing is shuffled."""
-    count = lambda g: F.struct(F.lit(g).alias("gram"), F.regexp_count("text", F.lit(f"(?={re.escape(g)})")).cast("long").alias("tf"))
+    """keys, field, len, gram, tf of fields(keys, field, text); nothing is shuffled."""
+    count = lambda g: F.struct(F.lit(g).alias("gram"), times(F.col("text"), g).alias("tf"))
     found = F.filter(F.array(*map(count, wanted)), lambda h: h["tf"] > 0) if wanted else F.array().cast("array<struct<gram: string, tf: bigint>>")
     return fields.select(*keys, "field", n_grams(F.col("text")).alias("len"), F.explode(found).alias("h")).select(*keys, "field", "len", "h.gram", "h.tf")
 
@@ -75,7 +86,7 @@ def document_frequency(counts: DataFrame, *by: str) -> DataFrame:
 
 
 def ranked(found: DataFrame, sizes: DataFrame, query: str, keys: list[str], limit: int) -> DataFrame:
-    """keys, score of found(keys, field, len, gram, tf) and sizes(field, n, mean), both of all documents."""
+    """keys, score of found(keys, field, len, gram, tf), an index's rows of the query's grams, and sizes(field, n, mean) of all pages."""
     # The frequencies are as many rows as the query has grams in each field, and sizes one for each field: both are broadcast.
     s = found.join(F.broadcast(document_frequency(found, "field")), ["field", "gram"]).join(F.broadcast(sizes), "field")
     idf = F.log(1 + (F.col("n") - F.col("documents") + 0.5) / (F.col("documents") + 0.5))
@@ -89,19 +100,30 @@ def ranked(found: DataFrame, sizes: DataFrame, query: str, keys: list[str], limi
     return d.where("match").orderBy(F.desc("score"), *keys).limit(limit).select(*keys, "score")
 
 
-def sizes_of(fields: DataFrame) -> DataFrame:
-    return fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(n_grams(F.col("text"))).alias("mean"))
-
-
 def as_fields(pages: DataFrame) -> DataFrame:
     """(namespace, title, content) as (namespace, title, field, text)."""
     return pages.select("namespace", "title", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])).alias("f")).select("namespace", "title", "f.field", "f.text")
 
 
 def search(pages: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """namespace, title, score over pages(namespace, title, content), read straight."""
-    fields = as_fields(pages)
-    return ranked(hits(fields, query_grams(checked(query)), ["namespace", "title"]), sizes_of(fields), query, ["namespace", "title"], limit)
+    """namespace, title, score over pages(namespace, title, content), read straight: texts are read once, for the counts of the query's
+    grams; these are added up to one row of frequencies, and each page is scored where it is. Nothing is shuffled."""
+    wanted = query_grams(checked(query))
+    counts = [F.array(*[F.coalesce(times(F.col(f), g), F.lit(0)) for g in wanted]).cast("array<bigint>").alias(f"{f}_tf") for f in FIELDS]
+    seen = stored(pages.select("namespace", "title", *counts, *[n_grams(F.col(f)).alias(f"{f}_len") for f in FIELDS]))
+    totals = seen.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"{f}_len").alias(f"{f}_mean") for f in FIELDS], *[F.count_if(F.col(f"{f}_tf")[i] > 0).alias(f"{f}_{i}") for f in FIELDS for i in range(len(wanted))]).first()
+    score, match = F.lit(0.0), F.lit(False)
+    for f in FIELDS:
+        have = lambda g: F.col(f"{f}_tf")[wanted.index(g)]  # noqa: B023, E731
+        for w in query.split():
+            if own := grams(w):
+                match = match | reduce(Column.__and__, [have(g) > 0 for g in own])
+        for i, g in enumerate(wanted):
+            n, df, mean = totals["n"], totals[f"{f}_{i}"], totals[f"{f}_mean"]
+            if df:
+                idf, tf = math.log(1 + (n - df + 0.5) / (df + 0.5)), have(g)
+                score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"{f}_len") / mean))
+    return seen.where(match).select("namespace", "title", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "namespace", "title").limit(limit)
 
 
 def live_pages(w) -> DataFrame:
