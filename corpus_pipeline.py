@@ -2,6 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; what it returns is written as Parquet and
 read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results, stage by stage:
+
+* A null, empty or word-free text breaks a quality rule and goes at once; no later stage sees one unless its caller starts there. Then
+  it is near to nothing, repeats nothing, holds no test item, and is packed as its end id alone.
+* A null doc_id is linked with nothing and kept; rows that share an id and a text are one document, of which one row stays after
+  near_duplicate_groups; rows that share an id with different texts are judged each by its own text, and go together if
+  their id is another document's near-duplicate.
+* Ties (equal texts of different ids) keep the least id. A text that loses all its bytes to repeated_passages stays as an empty one.
+* Very long texts are worked on whole. An empty table gives an empty result. Columns beyond those of documents are left behind.
 """
 
 from __future__ import annotations
@@ -26,9 +36,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id."""
-    gone = near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id, once."""
+    found = near_duplicates(docs, size=5, percent=80).where("doc_id is not null").select("doc_id", "kept")
+    marked = stored(found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("not kept or times > 1"))
+    left = docs.select(COLUMNS).join(marked.hint("merge"), "doc_id", "left").where("kept is null or kept")
+    if marked.where("kept").isEmpty():
+        return left.select(COLUMNS)
+    # Some ids stand in several rows: only these rows are compared with each other.
+    left = stored(left)
+    return left.where("times is null").select(COLUMNS).union(left.where("times is not null").select(COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

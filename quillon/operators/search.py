@@ -24,7 +24,7 @@ from ..sources.storage import stored
 from .pages import live, with_titles
 
 K1, B = 1.2, 0.75
-BUCKETS = 64  # folders of an index's postings, by gram
+BUCKETS = 16  # folders of an index's postings, by gram
 FIELDS = ("title", "content")
 
 
