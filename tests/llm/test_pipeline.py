@@ -46,6 +46,25 @@ def test_pipeline_equals_brute_force(spark):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) == want
 
 
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Repeated rows, shared and missing ids, and empty texts after each stage and at the end."""
+    long = lambda k: " ".join(f"the word{(i * k) % 997}x{k} and" for i in range(60))
+    rows = [(1, long(3)), (1, long(3)), (2, long(3)), (3, None), (4, ""), (None, long(5)), (5, long(7)), (5, long(11)), (6, long(13))]
+    docs = [(i, t, "xx", "s", 1, "extra") for i, t in rows]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left, seen = frame, {}
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, str(tmp_path))
+        seen[name] = Counter((r.doc_id, r.text if "text" in r else r.piece) for r in left.collect())
+    assert seen["quality_rules"] == Counter(r for r in rows if r[1])
+    want = Counter([(1, long(3)), (None, long(5)), (5, long(7)), (5, long(11)), (6, long(13))])
+    assert seen["near_duplicate_groups"] == seen["repeated_passages"] == seen["benchmark_decontamination"] == want
+    assert seen["best_fit_packing"] == Counter((i, 0) for i, _ in want.elements())
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(i for i, _ in want.elements())
+
+
 def test_stages_keep_the_columns(spark, odd):
     from pyspark.sql import functions as F
 
