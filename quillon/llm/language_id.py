@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, mixed, pieces, spans, table, texts
+from ._common import U64, frugal, mixed, pieces, spans, stored, table, texts
 
 PER_LANGUAGE = 400
 WINDOWS = 4
@@ -229,7 +229,8 @@ def fit(stretches: list[tuple[str, list[str]]], seed: int = 1) -> Model:
 def sample_stretches(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS, stretch: int = STRETCH) -> list[tuple[str, list[str]]]:
     """Stretches of words from a bounded sample of docs(doc_id, text, lang); at most per_language * windows of a language, or so."""
     labelled = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of")
+    # Stored, so that its size is known: a list of languages of usual length is broadcast, and no text is shuffled to meet it.
+    counts = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of"))
     dice = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
     chosen = labelled.join(counts, F.col("lang") == F.col("of")).where(dice * F.col("n") < per_language * 1_000_000)
     # Rows that share an id are chosen together: of these, one text of each language will do.
@@ -258,6 +259,7 @@ def predict(docs: DataFrame, model: Model, spans_too: bool = False) -> DataFrame
         return texts(docs).select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *none)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for big in batches:
