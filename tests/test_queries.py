@@ -31,7 +31,8 @@ def test_query(spark, duck, name):
     names = sorted(df.columns)
     got = Counter(tuple(plain(r[c]) for c in names) for r in df.collect())
     if sql is None:
-        assert got is not None and len(names) == len(set(names))
+        # What these give is checked against plain functions and brute force elsewhere; here, that they give something.
+        assert got and len(names) == len(set(names))
         return
     result = duck.execute(sql)
     columns = [d[0] for d in result.description]
