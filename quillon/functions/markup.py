@@ -14,7 +14,7 @@ from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from .condition import evaluate
-from .values import decoded, html_style
+from .values import COLOURS, decoded, html_style
 
 Span = tuple[int, int]
 #: Quotes, lists and groups within each other; deeper ones are plain text. Readers of trees call themselves as often.
@@ -106,33 +106,47 @@ class Reader:
         """Blocks of the given lines, each from where its own text begins: what outer quotes and lists took from it lies before."""
         out: list[Node] = []
         closers: list[int] | None = None  # lines that end a row of a table
+        run: Span | None = None  # lines of the last paragraph that lie side by side and wait to be read together
         i = 0
+
+        def read() -> None:
+            nonlocal run
+            if run is not None:
+                out[-1].children += self.inline(*run, depth)
+                run = None
+
         while i < len(spans):
             a = spans[i][0]
             b, after = self.logical(spans, i)
             text, line = self.body(a, b), self.body(*spans[i])
-            end = a + len(text)
             last = out[-1] if out else None
             if text.startswith("##") and self.s[a - 1 : a] in ("", "\n"):
                 node = Node("comment", a, b, text[2:])
+                read()
                 if last is not None and last.kind in ("paragraph", "table"):  # a comment breaks neither
                     last.children.append(node)
                     last.end = b
                 else:
                     out.append(node)
             elif m := REDIRECT.match(text):
+                read()
                 out.append(Node("redirect", a, b, m[1].strip()))
             elif m := HEADING.match(text):
+                read()
                 out.append(Node("heading", a, b, f"{len(m[1])}{m[2]}", self.inline(a + m.start(3), a + m.end(3), depth)))
             elif RULE.match(text):
+                read()
                 out.append(Node("rule", a, b))
             elif text[:1] == ">" and depth < MAX_DEPTH:
+                read()
                 inner, after = self.marked(spans, i, lambda t: t[:1] == ">")
                 out.append(Node("quote", a, inner[-1][1], "", self.blocks(inner, depth + 1)))
             elif (m := LIST.match(line)) and depth < MAX_DEPTH:
+                read()
                 node, after = self.list(spans, i, m, depth + 1)
                 out.append(node)
             elif line[:1] == " " and line.strip() and depth < MAX_DEPTH:
+                read()
                 inner, after = self.marked(spans, i, lambda t: t[:1] == " " and bool(t.strip()) and not LIST.match(t))
                 out.append(Node("indent", a, inner[-1][1], "", self.blocks(inner, depth + 1)))
             else:
@@ -142,6 +156,7 @@ class Reader:
                         closers = [k for k, (x, y) in enumerate(spans) if self.body(x, y).rstrip().endswith("||")]
                     row = self.row(spans, i, closers, depth)
                 if row is not None:
+                    read()
                     node, after = row
                     if last is not None and last.kind == "table" and not node.value:
                         last.children.append(node)
@@ -149,13 +164,14 @@ class Reader:
                     else:
                         out.append(Node("table", node.start, node.end, node.value, [node]))
                 else:
-                    inside = self.inline(a, end, depth) + ([Node("break", end, b)] if b > end else [])
-                    if last is not None and last.kind == "paragraph":
-                        last.children += inside
-                        last.end = b
-                    else:
-                        out.append(Node("paragraph", a, b, "", inside))
+                    if last is None or last.kind != "paragraph":
+                        out.append(Node("paragraph", a, b))
+                    elif run is not None and run[1] != a:
+                        read()
+                    run = (run[0] if run is not None else a, b)
+                    out[-1].end = b
             i = after
+        read()
         return out
 
     def marked(self, spans: list[Span], i: int, fits) -> tuple[list[Span], int]:
@@ -232,18 +248,26 @@ class Reader:
                     at += 1
         return cells if begin == end else None
 
+    OPTION = re.compile(r"[(:)]|-\d+|[v^]?\|\d+|nopad|(?:row|col)?keepall|#\w+(?:,#\w+)?|[A-Za-z]+|(?:table|row|col)? ?(?:bgcolor|color|bordercolor|width|height|textalign|align|class) ?=[^<>]*", re.I)
+
     def cell(self, start: int, end: int, depth: int, wide: int = 1) -> Node:
+        """A cell with its options, one a line, and its blocks. Blanks at its ends say how it is set, unless an option does."""
         options, at = [f"-{wide}"] if wide > 1 else [], start
-        while m := re.compile(r"<([^<>\n]+)>").match(self.s, at, end):
-            if not re.fullmatch(r"[(:)]|-\d+|[v^]?\|\d+|nopad|(?:row|col)?keepall|#\w+|[\w ]*[\w]+=[^<>]*", m[1]):
+        while (m := re.compile(r"<([^<>\n]+)>").match(self.s, at, end)) and self.OPTION.fullmatch(m[1].strip()):
+            if m[1].strip().isalpha() and m[1].strip().lower() not in ("nopad", "keepall", "rowkeepall", "colkeepall", "transparent", *COLOURS):
                 break
-            options.append(m[1])
+            options.append(m[1].strip())
             at = m.end()
-        return Node("cell", start, end, "\n".join(options), self.inline(at, end, depth))
+        text = self.s[at:end]
+        left, right = text[:1] == " ", text[-1:] == " "
+        if (left or right) and not {"(", ":", ")"} & set(options):
+            options.append(":" if left and right else ")" if left else "(")
+        first, last = at + len(text) - len(text.lstrip(" ")), end - len(text) + len(text.rstrip(" "))
+        return Node("cell", start, end, "\n".join(options), self.blocks(list(self.lines(first, last)), depth + 1) if first < last and depth < MAX_DEPTH else [])
 
     # --- inline ------------------------------------------------------------------------------------------------
 
-    MARK = re.compile(r"\\.|\{\{\{|\[\[|\[\*|@|\[|'''|''|~~|--|__|\^\^|,,|\n", re.S)
+    MARK = re.compile(r"\\[^\r\n]|\{\{\{|\[\[|\[\*|@|\[|'''|''|~~|--|__|\^\^|,,|\r?\n")
 
     def inline(self, start: int, end: int, depth: int = 0) -> list[Node]:
         out: list[Node] = []
@@ -258,8 +282,8 @@ class Reader:
             node = None
             if mark[0] == "\\":
                 node = Node("escape", i, m.end(), mark[1])
-            elif mark == "\n":
-                node = Node("break", i, i + 1)
+            elif mark[-1] == "\n":
+                node = Node("break", i, m.end())
             elif depth < MAX_DEPTH:
                 node = self.group(mark, i, end, depth + 1)
             if node is None:
@@ -281,6 +305,8 @@ class Reader:
             if shut < 0:
                 return None
             bar = self.next_of("|", i + 2, shut)
+            while bar > 0 and (bar - len(s[i + 2 : bar].rstrip("\\")) - i) % 2 == 1:  # an escaped bar is a letter
+                bar = self.next_of("|", bar + 1, shut)
             target = s[i + 2 : bar if bar >= 0 else shut]
             kind = "image" if target.startswith(("파일:", "file:")) else "category" if target.startswith(("분류:", "category:")) else "link"
             shown = self.inline(bar + 1, shut, depth) if bar >= 0 and kind == "link" else [Node("options", bar + 1, shut, s[bar + 1 : shut])] if bar >= 0 else []
@@ -300,8 +326,7 @@ class Reader:
             return m and Node("macro", i, m.end(), m[1], [Node("arguments", m.start(2), m.end(2), m[2])] if m[2] is not None else [])
         name = dict(STYLES)[mark]
         shut = self.next_of(mark, i + len(mark), end)
-        line = self.next_of("\n", i, end)
-        if shut <= i + len(mark) or 0 <= line < shut:
+        if shut <= i + len(mark):
             return None
         return Node(name, i, shut + len(mark), mark, self.inline(i + len(mark), shut, depth))
 
@@ -310,6 +335,9 @@ class Reader:
         body = s[i + 3 : shut]
         if m := re.match(r"#!(syntax|wiki|if|folding|html)(?:[ \t]+([^\n]*))?(\n|$| )?", body):
             inner = i + 3 + m.end()
+            if m[1] == "wiki" and not (m[3] or "").endswith("\n") and (given := re.match(r"(?:\s*[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*", m[2] or "")):
+                inner = i + 3 + m.start(2) + given.end() + (m[2][given.end() :][:1] == " ") if m[2] else inner
+                return Node("wiki", i, shut + 3, given[0], self.blocks(list(self.lines(inner, shut)), depth) if depth < MAX_DEPTH else [])
             if m[1] in ("wiki", "folding", "if") and inner <= shut:
                 return Node(m[1], i, shut + 3, m[2] or "", self.blocks(list(self.lines(inner, shut)), depth) if depth < MAX_DEPTH else [])
             return Node(m[1], i, shut + 3, (m[2] or "") + "\n" + s[inner:shut])

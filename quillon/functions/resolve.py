@@ -18,7 +18,7 @@ from .values import colour, colours, dimension, wiki_style
 
 STYLES = {"bold": "bold", "italic": "italic", "strike": "strikethrough", "underline": "underline", "superscript": "superscript", "subscript": "subscript"}
 VIDEOS = {"youtube": "youtube", "kakaotv": "kakaoTv", "nicovideo": "nicoVideo"}
-LISTS = {"*": "bullet", "1.": "decimal", "a.": "lowerAlpha", "A.": "upperAlpha", "i.": "lowerRoman", "I.": "upperRoman"}
+LISTS = {"*": "unordered", "1.": "decimal", "a.": "lowerAlphabet", "A.": "upperAlphabet", "i.": "lowerRoman", "I.": "upperRoman"}
 VARIABLE = re.compile(r"@([^@=\s]+)(?:=([^@\n]*))?@")
 EXTERNAL = re.compile(r"(?:https?|ftp)://", re.I)
 
@@ -110,7 +110,8 @@ class Resolver:
         return out
 
     def paragraph(self, nodes: list[Node], scope: dict | None) -> list[dict]:
-        """Lines that hold nothing but categories and includes vanish; an include that begins a line becomes blocks of its own."""
+        """Lines that hold nothing but categories, includes and conditional groups vanish; an include or a group that begins a line becomes
+        blocks of its own."""
         lines: list[list[Node]] = [[]]
         for n in nodes:
             if n.kind == "break":
@@ -130,7 +131,7 @@ class Resolver:
                 now.clear()
 
         for line in lines:
-            special = [n for n in line if n.kind == "category" or self.is_include(n)]
+            special = [n for n in line if n.kind in ("category", "if") or self.is_include(n)]
             rest = [n for n in line if n not in special]
             if special and not any(n.kind != "text" or n.value.strip() for n in rest):
                 for n in special:
@@ -138,16 +139,28 @@ class Resolver:
                         self.category(n, scope)
                     else:
                         flush()
-                        out.extend(self.include(n))
-            elif line and self.is_include(line[0]):
+                        out.extend(self.promoted(n, scope))
+            elif line and (line[0].kind == "if" or self.is_include(line[0])):
                 flush()
-                out.extend(self.include(line[0]))
+                out.extend(self.promoted(line[0], scope))
                 now.append(self.inlines(line[1:], scope))
             else:
                 now.append(self.inlines(line, scope))
         flush()
         return out
 
+    def promoted(self, n: Node, scope: dict | None) -> list[dict]:
+        return self.include(n) if n.kind == "macro" else self.condition(n, scope)
+
+    def condition(self, n: Node, scope: dict | None) -> list[dict]:
+        """The blocks of a conditional group, if its condition holds; what it binds holds for what follows in the template."""
+        names = scope if scope is not None else {}
+        bound = evaluate(n.value, names)
+        if bound is None:
+            return []
+        names.update(bound)
+        return self.blocks(n.children, names)
+
     @staticmethod
     def is_include(n: Node) -> bool:
         return n.kind == "macro" and n.value.lower() == "include"
@@ -171,19 +184,16 @@ class Resolver:
                 out["rowSpan"] = max(1, int(m[2]))
                 out["verticalAlignment"] = {"^": "top", "v": "bottom", "": None}[m[1]]
             elif o == "nopad":
-                out["attributes"].append({"scope": "cell", "property": {"type": "noPadding"}})
+                out["attributes"].append({"scope": {"type": "cell"}, "property": {"type": "noPadding"}})
             elif o[0] == "#" or "=" not in o:
-                if shade := colour(o):
-                    out["attributes"].append({"scope": "cell", "property": {"type": "backgroundColor", "color": shade}})
+                if shade := colour(o.split(",")[0]):
+                    out["attributes"].append({"scope": {"type": "cell"}, "property": {"type": "backgroundColor", "color": shade}})
             elif p := table_property(*map(str.strip, self.fill(o, scope).split("=", 1))):
                 out["attributes"].append(p)
-        inner = c.children
-        if out["horizontalAlignment"] is None and inner:
-            left = inner[0].kind == "text" and inner[0].value[:1] == " "
-            right = inner[-1].kind == "text" and inner[-1].value[-1:] == " "
-            out["horizontalAlignment"] = "center" if left and right else "right" if left else "left" if right else None
-        content = strip(self.inlines([x for x in inner if x.kind != "comment"], scope))
-        return out | {"blocks": [{"type": "paragraph", "content": content}] if content else []}
+        for a in out["attributes"]:
+            if a["scope"]["type"] == "column":
+                a["scope"]["columns"] = out["columnSpan"] or 1
+        return out | {"blocks": self.blocks(c.children, scope)}
 
     # --- inlines -----------------------------------------------------------------------------------------------
 
@@ -193,12 +203,14 @@ class Resolver:
 
     def inlines(self, nodes: list[Node], scope: dict | None) -> list[dict]:
         out: list[dict] = []
+        before = None
         for n in nodes:
-            for x in self.inline(n, scope):
-                if x["type"] == "text" and out and out[-1]["type"] == "text":
-                    out[-1] = {"type": "text", "text": out[-1]["text"] + x["text"]}
-                elif x["type"] != "text" or x["text"]:
-                    out.append(x)
+            new = self.inline(n, scope)
+            if before is not None and before.kind in ("text", "escape") and n.kind in ("text", "escape"):
+                out[-1] = {"type": "text", "text": out[-1]["text"] + new[0]["text"]}
+            else:
+                out += new
+            before = n
         return out
 
     def inline(self, n: Node, scope: dict | None) -> list[dict]:
@@ -212,6 +224,8 @@ class Resolver:
         if kind == "variable":
             return [{"type": "text", "text": self.fill(f"@{n.value}{'=' + n.children[0].value if n.children else ''}@", scope)}]
         if kind == "literal":
+            if n.value[:1] == "\n":
+                return [{"type": "codeBlock", "language": None, "source": n.value[1:].removesuffix("\n")}]
             return [{"type": "literal", "text": n.value}]
         if kind == "color":
             both = colours(n.value)
@@ -230,28 +244,23 @@ class Resolver:
             return [self.image(n, scope)]
         if kind == "syntax":
             language, _, source = n.value.partition("\n")
-            return [{"type": "codeBlock", "language": language.strip() or None, "source": source}]
+            return [{"type": "codeBlock", "language": language.strip() or None, "source": source.removesuffix("\n")}]
         if kind == "html":
             return [{"type": "html", "html": M.sanitize(self.fill(n.value.partition("\n")[2], scope))}]
         if kind == "wiki":
-            styles = {m[1]: m[2] for m in re.finditer(r'([\w-]*style)\s*=\s*"([^"]*)"', self.fill(n.value, scope))}
+            styles = {m[1]: m[2] or m[3] or "" for m in re.finditer(r"""([\w-]*style)\s*=\s*(?:"([^"]*)"|'([^']*)')""", self.fill(n.value, scope))}
             shown = lambda k: [{"property": p, "value": v} for p, v in wiki_style(styles.get(k, ""))]
             return [{"type": "wikiStyle", "style": shown("style"), "darkStyle": shown("dark-style"), "blocks": self.blocks(n.children, scope)}]
         if kind == "folding":
-            return [{"type": "folding", "summary": n.value or "More", "blocks": self.blocks(n.children, scope)}]
+            return [{"type": "folding", "summary": n.value, "blocks": self.blocks(n.children, scope)}]
         if kind == "if":
-            names = scope if scope is not None else {}
-            bound = evaluate(n.value, names)
-            if bound is None:
-                return []
-            names.update(bound)
-            return [{"type": "blocks", "blocks": self.blocks(n.children, names if scope is not None else None)}]
+            return [{"type": "blocks", "blocks": b}] if (b := self.condition(n, scope)) else []
         if kind == "macro":
             return self.macro(n, scope)
         return []
 
     def category(self, n: Node, scope: dict | None) -> None:
-        name = split_anchor(self.fill(n.value.split(":", 1)[1], scope))[0].strip()
+        name = self.fill(n.value.split(":", 1)[1], scope).strip()
         if name and name not in self.categories:
             self.categories.append(name)
 
@@ -261,17 +270,20 @@ class Resolver:
         if EXTERNAL.match(written):
             return [{"type": "externalLink", "url": written, "display": shown or None}]
         target, anchor = split_anchor(written)
-        title = unescaped(M.relative(target.strip(), self.c.title)) if target.strip() else self.c.title
+        title = unescaped(M.relative(target, self.c.title)) if target else ""
+        written = unescaped(target) or f"#{anchor or ''}"
         if anchor and not target and scope is not None:
             anchor = f"i{self.instances}-{anchor}"
-        if title == self.c.title:
+        if not target and anchor:
+            state = "existing"
+        elif title in ("", self.c.title):
             state = "current"
+            if scope is None and self.redirect is not None and not anchor:
+                self.problems.append((n.start, "self-redirect", title))
         else:
             self.asked["link"].add(title)
             state = "existing" if title in self.c.exists else "missing"
-        if state == "current" and scope is None and not anchor and self.redirect is not None:
-            self.problems.append((n.start, "self-redirect", title))
-        return [{"type": "documentLink", "title": title, "anchor": anchor, "kind": state, "display": shown or [{"type": "text", "text": target.strip() or f"#{anchor or ''}"}]}]
+        return [{"type": "documentLink", "title": title, "anchor": anchor, "kind": state, "display": shown or [{"type": "text", "text": written}]}]
 
     def image(self, n: Node, scope: dict | None) -> dict:
         name = self.fill(n.value.split(":", 1)[1], scope).strip()
@@ -368,17 +380,6 @@ class _Included(Resolver):
         return []
 
 
-def strip(content: list[dict]) -> list[dict]:
-    """Inlines without blanks at both ends."""
-    content = [dict(x) for x in content]
-    for at, cut in ((0, str.lstrip), (-1, str.rstrip)):
-        while content and (content[at]["type"] == "lineBreak" or content[at]["type"] == "text" and not content[at]["text"].strip()):
-            content.pop(at)
-        if content and content[at]["type"] == "text":
-            content[at]["text"] = cut(content[at]["text"])
-    return content
-
-
 def table_property(name: str, value: str) -> dict | None:
     """`bgcolor=red`, `tablewidth=50%` and the like: what they set and for what; None if the name or the value isn't known."""
     name, value = name.replace(" ", "").lower(), value.strip().strip('"')
@@ -393,7 +394,7 @@ def table_property(name: str, value: str) -> dict | None:
         p = {"type": "textAlign" if what == "textalign" else "align", "alignment": value} if value in ("left", "center", "right") else None
     else:
         p = None
-    return {"scope": {"table": "table", "row": "row", "col": "column", "": "cell"}[scope], "property": p} if p else None
+    return {"scope": {"type": {"table": "table", "row": "row", "col": "column", "": "cell"}[scope]}, "property": p} if p else None
 
 
 def inherit(rows: list[dict]) -> None:
@@ -410,8 +411,8 @@ def inherit(rows: list[dict]) -> None:
                 at += 1
             wide = cell["columnSpan"] or 1
             own = {a["property"]["type"] for a in cell["attributes"]}
-            new = {a["property"]["type"]: a["property"] for a in cell["attributes"] if a["scope"] == "column"}
-            cell["attributes"] += [{"scope": "cell", "property": p} for k, p in columns.get(at, {}).items() if k not in own]
+            new = {a["property"]["type"]: a["property"] for a in cell["attributes"] if a["scope"]["type"] == "column"}
+            cell["attributes"] += [{"scope": {"type": "cell"}, "property": p} for k, p in columns.get(at, {}).items() if k not in own]
             for c in range(at, at + wide):
                 columns[c] = columns.get(c, {}) | new
                 if (cell["rowSpan"] or 1) > 1:
@@ -440,8 +441,8 @@ class Layout:
                 else:
                     self.stack.append([x["level"], 1])
                 x["number"] = ".".join(str(n) for _, n in self.stack)
-                x["anchor"] = f"s-{x['number']}"
                 self.walk(x["content"])
+                x["anchor"] = text_of(x["content"])
                 self.contents.append({"number": x["number"], "depth": len(self.stack), "title": contents_title(x["content"])})
             elif kind == "footnote":
                 self.note(x)

@@ -70,7 +70,7 @@ def test_headings():
 
 
 def test_includes():
-    assert tree("[include(틀:T, a=1)]")["blocks"] == [{"type": "paragraph", "content": [{"type": "text", "text": "<1|d>"}]}]
+    assert ["".join(x["text"] for x in b["content"]) for b in tree("[include(틀:T, a=1)]")["blocks"]] == ["<1|d>"]
     t, r = resolve("[include(틀:A)][include(틀:A)]\n[include(틀:없음)] [nope]", CONTEXT)
     anchors = [x["anchor"] for b in t["blocks"] for x in b["content"] if x["type"] == "documentLink"]
     assert anchors == ["i1-here", "i2-here"] and t["categories"] == ["Inner"] and r.asked["include"] == {"틀:A", "틀:없음"}
@@ -80,7 +80,7 @@ def test_includes():
 
 def test_links_and_images():
     links = [(x["title"], x["anchor"], x["kind"]) for x in content("[[/하위]][[../]][[../형제]][[문서:/절대]][[문서#a]][[알파위키|x]][[부모/자식]][[#s]]")]
-    assert links == [("부모/자식/하위", None, "missing"), ("부모", None, "missing"), ("부모/형제", None, "missing"), ("/절대", None, "missing"), ("문서", "a", "existing"), ("알파위키", None, "existing"), ("부모/자식", None, "current"), ("부모/자식", "s", "current")]
+    assert links == [("부모/자식/하위", None, "missing"), ("부모", None, "missing"), ("부모/형제", None, "missing"), ("/절대", None, "missing"), ("문서", "a", "existing"), ("알파위키", None, "existing"), ("부모/자식", None, "current"), ("", "s", "existing")]
     assert content("[[HTTP://x.y|z]]")[0]["type"] == "externalLink" and split_anchor("http://a#b") == ("http://a#b", None)
     assert split_anchor("a#b#c") == ("a#b", "c") and split_anchor(r"a\#b") == (r"a\#b", None) and split_anchor("##") == ("#", None) and unescaped(r"\|a\\") == "|a\\"
     (image,) = content("[[파일:e.png|width=21.6&height=5em&align=left&bgcolor=#FFF&theme=dark&other=1]]")
@@ -118,3 +118,55 @@ def test_values():
     assert V.decoded("&lt;&#65;&#x42&nbsp;&copy;&amp") == "<AB &copy;&" and V.strictly_decoded("&lt;&nbsp;&lt &#39;&copy;") == "< &lt '&copy;"
     assert V.normal_style("Color: RGB(255, 0, 0); border: 2px  solid #FFF;x") == "border:2px solid #ffffff;color:#ff0000"
     assert contains("2001:db8::/32", "2001:db8:1::5") and not contains("10.0.0.0/8", "::1") and not contains("nonsense", "1.2.3.4") and contains("1.2.3.4", "1.2.3.4") and not contains("10.0.0.0/8", None)
+
+
+def words(source):
+    """Paragraphs and cells as text, other things by their type: enough to tell trees apart."""
+
+    def inline(x):
+        return x["text"] if x["type"] == "text" else "/" if x["type"] == "lineBreak" else (x["type"], x.get("style"), [inline(y) for y in x["content"]]) if x["type"] in ("styled", "colored", "sized") else (x["type"], block(x["blocks"])) if "blocks" in x else x["type"]
+
+    def block(blocks):
+        out = []
+        for b in blocks:
+            if b["type"] == "table":
+                out.append([[block(c["blocks"]) for c in r["cells"]] for r in b["table"]["rows"]])
+            elif b["type"] == "list":
+                out.append((b["kind"], [(i["startNumber"], block(i["blocks"])) for i in b["items"]]))
+            else:
+                out.append((b["type"], block(b["blocks"])) if "blocks" in b else [inline(x) for x in b.get("content", [])])
+        return out
+
+    return block(tree(source)["blocks"])
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("'''far ''near''' near''", [[("styled", "bold", ["far ''near"]), " near''"]]), ("''''''", [["''''''"]]), ("--one~~", [["--one~~"]]), ("'''two\nlines'''", [[("styled", "bold", ["two", "/", "lines"])]]),
+        ("text }}}", [["text }}}"]]), ("text ]]", [["text ]]"]]), ("[[open", [["[[open"]]), ("[* open", [["[* open"]]), ("{{{#!wiki style=\"open", [["{{{#!wiki style=\"open"]]),
+        (">>>", [("quote", [("quote", [("quote", [[]])])])]), (">a[br]b", [("quote", [["a", "/", "b"]])]), (">* a", [("quote", [["* a"]])]), ("> * a", [("quote", [("unordered", [(None, [["a"]])])])]), (">a\n>>b", [("quote", [["a"], ("quote", [["b"]])])]),
+        (" one\n  two", [("indent", [["one"], ("indent", [["two"]])])]), (" ## no comment", [("indent", [["## no comment"]])]), ("##@ pinned\ntext", [["text"]]),
+        (" I.#11 x", [("upperRoman", [(11, [["x"]])])]), (" a. x\n a. y", [("lowerAlphabet", [(None, [["x"]]), (None, [["y"]])])]),
+        ("|| == head == ||", [[[[["head"]]]]]), ("||<-1>\n * item\n||", [[[[[], ("unordered", [(None, [["item"]])])]]]]), ("||<odd=1> cell ||", [[[[["<odd=1> cell"]]]]]), ("|| [* open ||", [[[[["[* open"]]]]]), ("|| a || b", [["|| a || b"]]), ("> || a ||", [("quote", [("indent", [[[[["a"]]]]])])]),
+        ("{{{\ncode '''as is'''\n}}}", [["codeBlock"]]), ("{{{#!folding\nx\n}}}", [[("folding", [["x"]])]]), ("{{{#!wiki style=\"color:red\" x}}}", [[("wikiStyle", [["x"]])]]), ("{{{#!wiki style='color: red'\nx\n}}}", [[("wikiStyle", [["x"]])]]), ("{{{{{{}}}}}}", [["literal"]]), ("{{{#!if null\nx}}}", []), ("{{{#!if 1\nx}}}", [["x"]]),
+        ("\\|| no table \\||", [["|| no table ||"]]), ("---- x", [["---- x"]]), ("before\n#redirect X", [["before"]]), ("before\n\nafter", [["before", "/", "/", "after"]]),
+    ],
+)
+def test_trees(source, want):
+    assert words(source) == want
+    assert M.pieces(M.parse(source), source) == source
+
+
+def test_details_of_trees():
+    cell = lambda s: tree(s)["blocks"][0]["table"]["rows"][0]["cells"][0]
+    assert cell("||<colbgcolor=#FF0000> x ||")["attributes"] == [{"scope": {"type": "column", "columns": 1}, "property": {"type": "backgroundColor", "color": "#ff0000"}}]
+    assert cell("||<#f00> x ||")["attributes"][0]["scope"] == {"type": "cell"} and cell("||<bgcolor=#fff,#000> x ||")["attributes"][0]["property"]["color"] == "#ffffff"
+    assert [cell(s)["horizontalAlignment"] for s in ("|| x ||", "|| x||", "||x ||", "||x||", "||<)> x ||")] == ["center", "right", "left", None, "right"]
+    assert (cell("||<^|1> x ||")["rowSpan"], cell("||<^|1> x ||")["verticalAlignment"], cell("||<v|2>x||")["verticalAlignment"]) == (1, "top", "bottom")
+    assert tree("[[분류:Kinds#blur]][[분류:More|key]]")["categories"] == ["Kinds#blur", "More"] and tree("#넘겨주기 Far away#s-1")["redirect"] == "Far away#s-1"
+    assert tree("== One --two-- ==")["blocks"][0]["anchor"] == "One two" and content("{{{#!syntax rust\nfn main() {}\n}}}")[0]["source"] == "fn main() {}"
+    links = [(x["title"], x["anchor"], x["kind"], x["display"][0]["text"]) for x in content("[[#part]][[##]][[|shown]][[\\#1]][[a\\|b]][[ 파일:x]]")]
+    assert links == [("", "part", "existing", "#part"), ("#", None, "missing", "#"), ("", None, "current", "shown"), ("#1", None, "missing", "#1"), ("a|b", None, "missing", "a|b"), (" 파일:x", None, "missing", " 파일:x")]
+    nested = tree("[* outer [* inner]]\n[각주]")
+    assert [(f["label"], f["referenceNumbers"]) for f in nested["footnotes"]] == [("1", [1]), ("2", [2])] and nested["footnotes"][0]["content"] == [{"type": "text", "text": "inner"}]
