@@ -118,3 +118,14 @@ def test_corpus_cases(spark, tmp_path):
     assert tuple(row)[1:] == ("도움말예제", "what | it shows", "first line\n second", "Document", "{}", "<p>") and os.path.basename(row.path) == "a.case"
     cases = X.corpus_cases(spark, str(tmp_path))
     assert [r.shown for r in X.evidence(cases, "a first line\nthe second one").collect()] == [True] and [r.shown for r in X.evidence(cases, "first line").collect()] == [False]
+
+
+def test_store_tables(spark, tmp_path):
+    from quillon.sources import schemas as T
+
+    assert set(T.ENUMERATIONS) <= set(T.TABLES) and len(T.TABLES) == 35
+    rows = [(1, 5, None), (2, None, "10.0.0.1"), (3, None, None), (4, 6, "10.0.0.2"), (None, 7, None)]
+    spark.createDataFrame(rows, "id long, user_id long, ip_address string").write.parquet(f"{tmp_path}/actor")
+    actor = T.read_table(spark, "actor", str(tmp_path))
+    assert actor.schema == T.schema("actor") and sorted(r.id or 0 for r in T.broken_rows("actor", actor).collect()) == [0, 3, 4]
+    assert T.broken_rows("star", spark.createDataFrame([], T.schema("star"))).collect() == []
