@@ -59,6 +59,18 @@ def notify_stream(spark: SparkSession, sf_dir: str, star: DataFrame) -> DataFram
     return drained(told.select("revision_id", "follower"), "append").drop("batch")
 
 
+def sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by kind over two days, anew every day; written once the watermark has passed a window's end."""
+    return drained(windowed_counts(event_stream(spark, sf_dir), "2 days", "1 day", "1 hour"), "append").drop("batch")
+
+
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's changes with less than six hours between them: when they began, how many and how much; written once they are over."""
+    e = event_stream(spark, sf_dir).withWatermark("ts", "1 hour")
+    d = e.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    return drained(d.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "top"), "append").drop("batch")
+
+
 def references_stream(spark: SparkSession, sf_dir: str, markup: str) -> DataFrame:
     """The references of pages, kept up with a stream of their texts: each batch replaces those of the pages it brings, whatever stood
     there before. markup is a SELECT of (id, text) over {documents}."""
