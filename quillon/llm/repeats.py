@@ -165,6 +165,19 @@ def _cut(keys: list[np.ndarray], parts: int) -> list[np.ndarray]:
     return [k[at] for k in keys]
 
 
+def gathered(parts: Iterator[list[np.ndarray]], least: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """Lists of FIELDS put together until they have so many records: fewer and larger blobs travel, and these are smaller in all."""
+    held, n = [], 0
+    for fields in parts:
+        held.append(fields)
+        n += len(fields[0])
+        if n >= least:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def _dealt(fields: list[np.ndarray], to: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Packed records by where they go."""
     if not len(to):
@@ -239,7 +252,7 @@ def sorted_round(records, source: DataFrame, n_records: int, unsure: bool) -> Da
 
     @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fields in records(batches):
+        for fields in gathered(records(batches)):
             to, blobs = _dealt(fields, _bucket(fields[:KEYS], shared.value))
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "records"])
 
