@@ -14,8 +14,8 @@ from ..functions.text import redirects
 from ..sources.world import BLOCKED, BLOCKED_ACTIONS, OPEN_ACTIONS
 from .pages import author, display, latest, live, with_author, with_titles
 
-#: Settings that a wiki has without being told, and media that may be uploaded.
-DEFAULTS = (("wiki_name", "오픈시나브로"), ("main_document", "대문"), ("content_license", "CC BY-NC-SA 2.0 KR"))
+#: Settings that a wiki has without being told (its name is our own), and, as fixed values, media that may be uploaded.
+DEFAULTS = (("wiki_name", "위키"), ("main_document", "대문"), ("content_license", "CC BY-NC-SA 2.0 KR"))
 MEDIA = ("image/png", "image/jpeg", "image/gif", "image/webp", "image/svg+xml")
 
 
