@@ -33,8 +33,9 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
     @wraps(run)
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokens := sys.modules.get("quillon.llm._tokens"):
-            tokens.encoder.cache_clear()
+        for name, kept in (("_tokens", "encoder"), ("token_alignment", "aligner")):
+            if module := sys.modules.get(f"quillon.llm.{name}"):
+                getattr(module, kept).cache_clear()
         yield from run(batches)
         Substrings.forget()
         pa.default_memory_pool().release_unused()

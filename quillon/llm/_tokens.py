@@ -37,13 +37,14 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """ids(text) gives little-endian uint32 ids as bytes."""
+    """ids(text) gives little-endian uint32 ids as bytes. plain: special strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         self.model = self.library.model
         spec = json.loads(self.library.to_str())
         self.specials = [t["content"] for t in spec["added_tokens"]]
