@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_its_twin(spark, name):
     run, sql = QUERIES[name]
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rows = run(spark, SF)
     result = duck.execute(sql)
