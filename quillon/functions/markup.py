@@ -703,96 +703,3 @@ def sanitize(source: str) -> str:
             stack.append(name)
     say(source[at:])
     return "".join(out + [f"</{t}>" for t in reversed(stack)])
-
-
-# --- revisions -----------------------------------------------------------------------------------------------------
-
-
-def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of lines, by Myers' greedy search."""
-    n, m = len(a), len(b)
-    best, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(best))
-        for k in range(-d, d + 1, 2):
-            x = best[k + 1] if k == -d or k != d and best.get(k - 1, -1) < best.get(k + 1, -1) else best[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            best[k] = x
-            if x >= n and x - k >= m:
-                return _trace(trail, n, m)
-    return []
-
-
-def _trace(trail: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int]]:
-    out = []
-    for d in range(len(trail) - 1, -1, -1):
-        best, k = trail[d], x - y
-        before = k + 1 if k == -d or k != d and best.get(k - 1, -1) < best.get(k + 1, -1) else k - 1
-        px = best[before] if d else 0
-        py = px - before if d else 0
-        while x > px and y > py:
-            x, y = x - 1, y - 1
-            out.append((x, y))
-        x, y = px, py
-    return out[::-1]
-
-
-def lines_of(text: str) -> list[str]:
-    """Lines with their line feeds; the last may have none."""
-    return re.findall(r"[^\n]*\n|[^\n]+", text)
-
-
-def diff_lines(before: str, after: str) -> list[tuple[str, str]]:
-    """('=', line), ('-', line) and ('+', line) in order."""
-    a, b = lines_of(before), lines_of(after)
-    out, i, j = [], 0, 0
-    for x, y in [*matches(a, b), (len(a), len(b))]:
-        out += [("-", t) for t in a[i:x]] + [("+", t) for t in b[j:y]]
-        if x < len(a) and y < len(b):
-            out.append(("=", a[x]))
-        i, j = x + 1, y + 1
-    return [(op, t.removesuffix("\n")) for op, t in out]
-
-
-def hunks(before: str, after: str, context: int = 3) -> list[tuple[int, int, int, str, str]]:
-    """(hunk, first old line, first new line, op, line): changes with so many lines around them; what lies between is left out."""
-    ops = diff_lines(before, after)
-    near = [False] * len(ops)
-    for i, (op, _) in enumerate(ops):
-        if op != "=":
-            near[max(0, i - context) : i + context + 1] = [True] * len(near[max(0, i - context) : i + context + 1])
-    out, old, new, number, start = [], 1, 1, 0, (1, 1)
-    for i, (op, line) in enumerate(ops):
-        if near[i]:
-            if not i or not near[i - 1]:
-                number, start = number + 1, (old, new)
-            out.append((number, *start, op, line))
-        old, new = old + (op != "+"), new + (op != "-")
-    return out
-
-
-#: The marks of a conflict.
-OURS, BASE, THEIRS, END = "<<<<<<< ours\n", "||||||| original\n", "=======\n", ">>>>>>> theirs\n"
-
-
-def merge3(base: str, current: str, proposed: str) -> tuple[str, bool]:
-    """Both changes applied to base, and whether they conflict; where they do, all three versions stand between marks."""
-    o, a, b = lines_of(base), lines_of(current), lines_of(proposed)
-    in_a, in_b = dict(matches(o, a)), dict(matches(o, b))
-    fixed = [(i, in_a[i], in_b[i]) for i in range(len(o)) if i in in_a and i in in_b] + [(len(o), len(a), len(b))]
-    out, i, j, k, conflict = [], 0, 0, 0, False
-    for x, y, z in fixed:
-        was, mine, theirs = o[i:x], a[j:y], b[k:z]
-        if mine == was or mine == theirs:
-            out += theirs
-        elif theirs == was:
-            out += mine
-        else:
-            conflict = True
-            closed = lambda part: part[:-1] + [part[-1] if part[-1].endswith("\n") else part[-1] + "\n"] if part else part
-            out += [OURS, *closed(mine), BASE, *closed(was), THEIRS, *closed(theirs), END]
-        if x < len(o):
-            out.append(o[x])
-        i, j, k = x + 1, y + 1, z + 1
-    return "".join(out), conflict

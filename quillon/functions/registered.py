@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import diff as D
 from . import markup as M
 from .condition import evaluate
 from .values import html_style, wiki_style
@@ -61,12 +62,12 @@ def eval_condition(condition: pd.Series) -> pd.Series:
 
 
 def merge3(base: pd.Series, current: pd.Series, proposed: pd.Series) -> pd.DataFrame:
-    rows = [M.merge3(*(v or "" for v in row)) for row in zip(base, current, proposed, strict=True)]
+    rows = [D.merge3(*(v or "" for v in row)) for row in zip(base, current, proposed, strict=True)]
     return pd.DataFrame(rows, columns=["merged", "conflict"])
 
 
 def diff_lines(before: pd.Series, after: pd.Series) -> pd.Series:
-    return _each(lambda a, b: [{"op": op, "line": line} for op, line in M.diff_lines(a or "", b or "")], before, after)
+    return _each(lambda a, b: [{"op": op, "line": line} for op, line in D.diff_lines(a or "", b or "")], before, after)
 
 
 def cidr_contains(network: pd.Series, address: pd.Series) -> pd.Series:

@@ -1,25 +1,29 @@
 """Changes of a wiki as jobs over whole batches: each takes tables and a batch, and gives the rows to append or the table afterwards.
 
-Times are parameters, never the clock. Defined results: rows of a batch that name what isn't there, or may not be done, change
+Times are parameters, never the clock. A batch reads the revisions of its own pages alone; the rest of the log is never grouped or
+sorted. Defined results: rows of a batch that name what isn't there, or may not be done, change
 nothing; repeated rows of a batch count as often as they stand there where rows are appended, and once where a state is set; a null
 key matches nothing; an empty batch changes nothing. Further columns of a batch are left behind.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.diff import merge3
 from ..sources.storage import stored
-from .markup import merge_edits, scan_references
+from .markup import scan_references
 from .pages import content_before, latest, live, next_sequence
 from .reads import good_media
 
 #: Comments that the wiki writes itself.
-REVERTED, UPLOADED, MAIN_MADE = "되돌림", "파일 올림", "대문 만들기"
+REVERTED, BATCH_REVERTED, UPLOADED, MAIN_MADE = "되돌림", "{}의 편집 일괄 되돌림", "파일 올림", "대문 만들기"
 
 
 def _at(at: datetime) -> Column:
@@ -56,6 +60,22 @@ def ensured_actors(w, people: DataFrame) -> DataFrame:
     return numbered(new.withColumn("key", F.coalesce("user_name", "ip")), ["key"], F.lit(top)).select("id", "user_name", "ip")
 
 
+def of_pages(w, pages: DataFrame) -> DataFrame:
+    """The revisions of pages(document_id) alone."""
+    return w.revision.join(pages.select("document_id").where("document_id is not null").distinct(), "document_id", "left_semi")
+
+
+def sequenced(w, rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with a sequence each, after the highest that their document has, in the order of the columns in by. Every row is numbered where
+    a range sort over documents and order puts it, so that repeated rows stay rows of their own, and a page with many of them is
+    spread over tasks like any others."""
+    placed = numbered(rows.where("document_id is not null"), ["document_id", *by], F.lit(0), "_nth")
+    first = placed.groupBy("document_id").agg(F.min("_nth").alias("_first"))
+    top = of_pages(w, first).groupBy("document_id").agg(F.max("sequence").alias("_top"))
+    known = first.join(top, "document_id", "left").select("document_id", (F.coalesce("_top", F.lit(0)) - F.col("_first") + 1).alias("_before"))
+    return placed.join(known, "document_id").withColumn("sequence", F.col("_before") + F.col("_nth")).drop("_nth", "_before")
+
+
 def recorded(w, batch: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
     """Documents and revisions to append for batch(id, namespace_id, title, kind, actor_id, content, comment), numbered in the order of
     id within a page."""
@@ -66,52 +86,96 @@ def recorded(w, batch: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
     return documents, _numbered_revisions(w, rows.select("id", "document_id", "kind", "actor_id", "content", "comment"), at)
 
 
-def _numbered_revisions(w, rows: DataFrame, at: datetime) -> DataFrame:
-    """document_id, sequence and the rest of rows(id, document_id, kind, actor_id, content, comment)."""
-    n = next_sequence(w, rows.select("document_id", "id"))
+REVISION = ["document_id", "sequence", "id", "kind", "actor_id", "content", "comment", "metadata", "content_bytes", "created_at"]
+
+
+def _as_revisions(rows: DataFrame, at: datetime) -> DataFrame:
+    if "metadata" not in rows.columns:
+        rows = rows.withColumn("metadata", F.lit(None).cast("string"))
     size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
-    return rows.join(n, ["document_id", "id"]).select("document_id", "sequence", "id", "kind", "actor_id", "content", "comment", size.alias("content_bytes"), _at(at).alias("created_at"))
+    return rows.withColumn("content_bytes", size).withColumn("created_at", _at(at)).select(REVISION)
+
+
+def _numbered_revisions(w, rows: DataFrame, at: datetime) -> DataFrame:
+    """Revisions of rows(id, document_id, kind, actor_id, content, comment and perhaps metadata)."""
+    return _as_revisions(sequenced(w, rows, ["id"]), at)
 
 
 def reverted(w, batch: DataFrame, at: datetime) -> DataFrame:
     """The revisions that batch(id, document_id, revision_id, actor_id) appends: the old text of a revision of that document, if it has
-    one."""
+    one, and which revision that was as JSON."""
     batch = batch.select("id", "document_id", "revision_id", "actor_id")
-    old = w.revision.where("content is not null").select("document_id", F.col("id").alias("revision_id"), "content")
-    rows = batch.join(old, ["document_id", "revision_id"]).select("id", "document_id", F.lit("revert").alias("kind"), "actor_id", "content", F.lit(REVERTED).alias("comment"))
+    old = of_pages(w, batch).where("content is not null").select("document_id", F.col("id").alias("revision_id"), "content")
+    whence = F.to_json(F.struct(F.col("revision_id").alias("to_revision"))).alias("metadata")
+    rows = batch.join(old, ["document_id", "revision_id"]).select("id", "document_id", F.lit("revert").alias("kind"), "actor_id", "content", F.lit(REVERTED).alias("comment"), whence)
     return _numbered_revisions(w, rows, at)
 
 
 def batch_reverted(w, who: str, actor_id: int, at: datetime, limit: int = 100) -> DataFrame:
     """The revisions that bring pages last edited by who back to what stood there before them; the first pages by id, a bounded report."""
     plan = content_before(w).where(F.col("last_author") == who).orderBy("document_id").limit(limit)
-    rows = plan.select(F.col("document_id").alias("id"), "document_id", F.lit("revert").alias("kind"), F.lit(actor_id).cast("long").alias("actor_id"), "content", F.lit(REVERTED).alias("comment"))
+    whose = F.to_json(F.struct(F.lit(who).alias("batch_revert"))).alias("metadata")
+    comment = F.lit(BATCH_REVERTED.format(who)).alias("comment")
+    rows = plan.select(F.col("document_id").alias("id"), "document_id", F.lit("revert").alias("kind"), F.lit(actor_id).cast("long").alias("actor_id"), "content", comment, whose)
     return _numbered_revisions(w, rows, at)
 
 
+#: What an edit leads to. base_revision_id is that of a conflict: what its author has to start from.
+OUTCOME = "document_id long, sequence long, id long, kind string, actor_id long, content string, comment string, conflict boolean, base_revision_id long"
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pages in order: what stands in a page, then its edits one after another, each applied to the result of the one before. Held
+    are the page's text and the texts of those edits that later ones are based on."""
+    page, latest_id, sequence, text, made = object(), None, 0, "", {}
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            if r["document_id"] != page:
+                page, latest_id, sequence, text, made = r["document_id"], None, 0, "", {}
+            if r["stands"]:
+                latest_id, sequence, text = r["id"], r["sequence"], r["content"] or ""
+                continue
+            content, conflict = r["content"] or "", False
+            if r["base_revision_id"] != latest_id:
+                base = r["base"] if r["base"] is not None else made.get(r["base_revision_id"], "")
+                content, conflict = merge3(base, text, content)
+            if conflict:
+                rows.append((page, None, r["id"], None, r["actor_id"], content, r["comment"], True, latest_id))
+                continue
+            sequence += 1
+            rows.append((page, sequence, r["id"], "edit" if text else "create", r["actor_id"], content, r["comment"], False, None))
+            latest_id, text = r["id"], content
+            if r["asked"]:
+                made[latest_id] = text
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split(" ")[0] for c in OUTCOME.split(", ")])
+
+
 def edited(w, batch: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
-    """What batch(id, document_id, base_revision_id, actor_id, content) leads to: revisions to append, and (id, content, base_revision_id)
-    of edits that conflict, with marks, for their authors to settle. An edit based on the newest revision is taken as it is; any
-    other is merged with what came between. Of several edits of a page the one with the least id is taken, the others wait for
-    the next batch, as each changes what the next is based on."""
-    batch = batch.select("id", "document_id", "base_revision_id", "actor_id", "content")
-    first = batch.groupBy("document_id").agg(F.min("id").alias("id"))
-    now = latest(w.revision).select("document_id", F.col("id").alias("latest_id"), F.coalesce("content", F.lit("")).alias("current"))
-    base = w.revision.select("document_id", F.col("id").alias("base_revision_id"), F.coalesce("content", F.lit("")).alias("base"))
-    d = batch.join(first, ["document_id", "id"]).join(now, "document_id", "left").join(base, ["document_id", "base_revision_id"], "left")
-    d = stored(d.withColumn("behind", ~F.col("latest_id").eqNullSafe(F.col("base_revision_id"))))
-    merged = merge_edits(d.where("behind").select("id", "base", "current", F.col("content").alias("proposed")))
-    d = d.join(merged, "id", "left").withColumn("text", F.when(F.col("behind"), F.col("merged")).otherwise(F.col("content")))
-    kind = F.when(F.coalesce("current", F.lit("")) == "", "create").otherwise("edit")
-    fine = d.where(~F.coalesce("conflict", F.lit(False))).select("id", "document_id", kind.alias("kind"), "actor_id", F.col("text").alias("content"), F.lit("").alias("comment"))
-    return _numbered_revisions(w, fine, at), d.where("conflict").select("id", F.col("text").alias("content"), F.col("latest_id").alias("base_revision_id"))
+    """What batch(id, document_id, base_revision_id, actor_id, content and perhaps comment) leads to: revisions to append, and (id, content,
+    base_revision_id) of edits that conflict, with marks, for their authors to settle. A page's edits are taken in the order of id, each
+    with what the one before has made: an edit based on the newest revision stays as it is, any other is merged with what came
+    between, an edit of the same batch being a base like a stored one. n edits have n outcomes. Pages are folded side by side;
+    a page's own edits follow each other, as a stream that holds one text."""
+    comment = F.col("comment") if "comment" in batch.columns else F.lit("")
+    batch = batch.select("id", "document_id", "base_revision_id", "actor_id", "content", F.coalesce(comment, F.lit("")).alias("comment")).where("document_id is not null")
+    log = of_pages(w, batch)
+    base = log.select("document_id", F.col("id").alias("base_revision_id"), F.coalesce("content", F.lit("")).alias("base"))
+    asked = batch.select("document_id", F.col("base_revision_id").alias("id"), F.lit(True).alias("asked")).where("id is not null").distinct()
+    edits = batch.join(base, ["document_id", "base_revision_id"], "left").join(asked, ["document_id", "id"], "left").withColumn("stands", F.lit(False))
+    now = latest(log).select("document_id", "id", "sequence", "content", F.lit(True).alias("stands"))
+    rows = edits.unionByName(now, allowMissingColumns=True).repartition("document_id").sortWithinPartitions("document_id", F.desc("stands"), "id", "base_revision_id", "content")
+    outcome = stored(rows.mapInArrow(_folded, OUTCOME))
+    return _as_revisions(outcome.where("not conflict"), at), outcome.where("conflict").select("id", "content", "base_revision_id")
 
 
 def move_revision(w, source: int, target_title: str, actor_id: int, at: datetime) -> DataFrame:
     """The revision that a rename of a live page appends: its text, and whence and whither as JSON."""
     now = live(w.revision).where(F.col("document_id") == source).select("document_id", "content", F.col("document_id").alias("id"))
     d = now.join(w.document.where(F.col("id") == source).select(F.col("id").alias("document_id"), F.col("title").alias("from"), F.lit(target_title).alias("to")), "document_id")
-    n = next_sequence(w, d.select("document_id", "id"))
+    n = next_sequence(w, d.select("document_id", "id"))  # of one page
     return d.join(n, ["document_id", "id"]).select("document_id", "sequence", F.lit("move").alias("kind"), F.lit(actor_id).cast("long").alias("actor_id"), "content", F.to_json(F.struct("from", "to")).alias("metadata"), _at(at).alias("created_at"))
 
 

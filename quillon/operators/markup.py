@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import diff as D
 from ..functions import fingerprint as H
 from ..functions import markup as M
 from ..functions.condition import evaluate
@@ -71,17 +72,17 @@ def sanitize(d: DataFrame) -> DataFrame:
 
 def diff_lines(d: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """Of (keys, before, after): numbered lines with = - or +."""
-    return rows_of(d, ["before", "after"], lambda a, b: [(i, op, line) for i, (op, line) in enumerate(M.diff_lines(a, b))], "n int, op string, line string", keys)
+    return rows_of(d, ["before", "after"], lambda a, b: [(i, op, line) for i, (op, line) in enumerate(D.diff_lines(a, b))], "n int, op string, line string", keys)
 
 
 def diff_hunks(d: DataFrame, keys: tuple[str, ...] = ("id",), context: int = 3) -> DataFrame:
     """Of (keys, before, after): the lines of unified hunks, by number of hunk, with where each side's hunk begins."""
-    return rows_of(d, ["before", "after"], lambda a, b: M.hunks(a, b, context), "hunk int, old_start int, new_start int, op string, line string", keys)
+    return rows_of(d, ["before", "after"], lambda a, b: D.hunks(a, b, context), "hunk int, old_start int, new_start int, op string, line string", keys)
 
 
 def merge_edits(d: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """Of (keys, base, current, proposed): both changes together, or with marks of conflict."""
-    return rows_of(d, ["base", "current", "proposed"], lambda o, a, b: [M.merge3(o, a, b)], "merged string, conflict boolean", keys)
+    return rows_of(d, ["base", "current", "proposed"], lambda o, a, b: [D.merge3(o, a, b)], "merged string, conflict boolean", keys)
 
 
 def render_json(d: DataFrame) -> DataFrame:

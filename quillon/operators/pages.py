@@ -133,11 +133,10 @@ def last_edited_by(w, who: str) -> DataFrame:
 
 
 def previous_revisions(w, newest: int = 500) -> DataFrame:
-    """Each revision with the text before it; none is empty. The newest revisions alone are seen."""
-    order = Window.partitionBy("document_id").orderBy("sequence")
+    """Each revision with the text before it; none is empty. The newest revisions alone are seen, the oldest of them with what came before."""
     rank = Window.partitionBy("document_id").orderBy(F.desc("sequence"))
-    d = w.revision.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= newest)
-    return d.select("document_id", "sequence", F.coalesce(F.lag("content").over(order), F.lit("")).alias("before"), F.coalesce("content", F.lit("")).alias("after"))
+    d = w.revision.withColumn("before", F.lead("content").over(rank)).withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= newest)
+    return d.select("document_id", "sequence", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("content", F.lit("")).alias("after"))
 
 
 def content_before(w, newest: int = 500) -> DataFrame:
@@ -162,8 +161,8 @@ def blame(w, newest: int = 500) -> DataFrame:
 
 
 def next_sequence(w, batch: DataFrame) -> DataFrame:
-    """Numbers for new rows (document_id, id): after the highest so far, in id order."""
-    top = w.revision.groupBy("document_id").agg(F.max("sequence").alias("top"))
+    """Numbers for new rows (document_id, id): after the highest so far, in id order. Only the batch's documents are looked up."""
+    top = w.revision.join(batch.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").agg(F.max("sequence").alias("top"))
     nth = F.row_number().over(Window.partitionBy("document_id").orderBy("id"))
     return batch.withColumn("nth", nth).join(top, "document_id", "left").select("document_id", "id", (F.coalesce("top", F.lit(0)) + F.col("nth")).alias("sequence"))
 

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions import diff as D
 from ..operators import access as A
 from ..operators import changes as C
 from ..sources.world import World, ctes
@@ -19,11 +20,13 @@ _TOP = "(SELECT document_id, max(sequence) AS top FROM {revision} GROUP BY 1)"
 
 
 def _batch(w: World):
+    """Purchases as edits, every seventh of them twice."""
     m = int(w.documents.count() * 1.25)
-    return w.events.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.lit(0).cast("long").alias("namespace_id"), F.concat(F.lit("Doc "), (F.col("event_id") % m).cast("string")).alias("title"), F.lit("edit").alias("kind"), F.col("user_id").alias("actor_id"), F.col("props").alias("content"), F.lit("c").alias("comment"))
+    bought = w.events.where("event_type = 'purchase'")
+    return bought.unionByName(bought.where("event_id % 7 = 0")).select(F.col("event_id").alias("id"), F.lit(0).cast("long").alias("namespace_id"), F.concat(F.lit("Doc "), (F.col("event_id") % m).cast("string")).alias("title"), F.lit("edit").alias("kind"), F.col("user_id").alias("actor_id"), F.col("props").alias("content"), F.lit("c").alias("comment"))
 
 
-_BATCH = f"(SELECT event_id AS id, 0 AS namespace_id, 'Doc ' || CAST(event_id % m AS VARCHAR) AS title, user_id AS actor_id, props AS content FROM {{events}}, {_M} WHERE event_type = 'purchase')"
+_BATCH = f"(SELECT event_id AS id, 0 AS namespace_id, 'Doc ' || CAST(event_id % m AS VARCHAR) AS title, user_id AS actor_id, props AS content FROM {{events}} JOIN (VALUES (1), (2)) AS v(copy) ON copy = 1 OR event_id % 7 = 0, {_M} WHERE event_type = 'purchase')"
 _ALL_DOCS = f"(SELECT id, namespace_id, title FROM {{document}} UNION ALL SELECT (SELECT max(id) FROM {{document}}) + row_number() OVER (ORDER BY namespace_id, title), namespace_id, title FROM (SELECT DISTINCT namespace_id, title FROM {_BATCH} b WHERE (namespace_id, title) NOT IN (SELECT (namespace_id, title) FROM {{document}})))"
 
 
@@ -46,6 +49,31 @@ def _edits(w: World):
     return d.select(F.col("r.id").alias("id"), "document_id", F.col("r.id").alias("base_revision_id"), "r.actor_id", F.concat(F.lit("An introduction.\n"), "r.content").alias("content"))
 
 
+def _many_edits(w: World):
+    """Of each page with a text five edits, one twice and one based on another of them, of which the last conflicts; of others one."""
+    last = w.revision.groupBy("document_id").agg(F.max(F.struct("sequence", "id", "actor_id", "content")).alias("r")).select("document_id", "r.*")
+    has, text = F.col("content").isNotNull(), F.col("content")
+    edit = lambda n, base, content, when: F.when(when, F.struct((F.col("id") * 10 + n).alias("id"), base.alias("base_revision_id"), content.alias("content"), F.lit(f"c{n}").alias("comment")))
+    top, own = F.concat(F.lit("Top.\n"), text), F.col("id")
+    bottom = edit(2, own, F.concat(text, F.lit("\nBottom.")), has)
+    edits = [edit(1, own, top, has), bottom, bottom, edit(3, own * 10 + 1, F.concat(F.lit("Higher.\n"), top), has), edit(4, own, F.concat(F.lit("Other.\n"), text), has), edit(5, own, F.lit("Again."), ~has)]
+    d = last.select("document_id", "actor_id", F.explode(F.array_compact(F.array(*edits))).alias("e"))
+    return d.select("e.id", "document_id", "e.base_revision_id", "actor_id", "e.content", "e.comment")
+
+
+_NEWEST = "(SELECT document_id, max(sequence) AS sequence, arg_max(id, sequence) AS id, arg_max(actor_id, sequence) AS actor_id, arg_max(coalesce(content, chr(0)), sequence) AS content FROM {revision} GROUP BY 1)"
+_MANY_SQL = (
+    f"SELECT document_id, sequence + k AS sequence, id * 10 + n AS id, CASE WHEN content = chr(0) THEN 'create' ELSE 'edit' END AS kind, actor_id, "
+    f"CASE WHEN content = chr(0) THEN 'Again.' ELSE head || content || tail END AS content, 'c' || CAST(n AS VARCHAR) AS comment "
+    f"FROM {_NEWEST} JOIN (VALUES (1, 1, 'Top.' || chr(10), ''), (2, 2, 'Top.' || chr(10), chr(10) || 'Bottom.'), (2, 3, 'Top.' || chr(10), chr(10) || 'Bottom.'), "
+    f"(3, 4, 'Higher.' || chr(10) || 'Top.' || chr(10), chr(10) || 'Bottom.'), (5, 1, '', '')) AS v(n, k, head, tail) ON (content = chr(0)) = (n = 5)"
+)
+_CONFLICT_SQL = (
+    f"SELECT id * 10 + 4 AS id, concat_ws(chr(10), '{D.OURS.strip()}', 'Higher.', 'Top.', '{D.BASE.strip()}', '{D.THEIRS.strip()}', 'Other.', '{D.END.strip()}', content, 'Bottom.') AS content, "
+    f"id * 10 + 3 AS base_revision_id FROM {_NEWEST} WHERE content <> chr(0)"
+)
+
+
 def _comment_batch(w: World):
     return w.thread_comment.where("sequence <= 2").select((F.col("thread_id") * 10 + F.col("sequence")).alias("id"), "thread_id", "author", F.concat(F.lit("re: "), F.col("sequence").cast("string")).alias("content"))
 
@@ -60,10 +88,10 @@ _Q = {
     "record_revisions_new_pages": (lambda w: C.recorded(w, _batch(w), AT)[0], f"SELECT id, namespace_id, title, {_AT} AS created_at FROM {_ALL_DOCS} a WHERE id > (SELECT max(id) FROM {{document}})"),
     "record_revisions": (lambda w: C.recorded(w, _batch(w), AT)[1].select("document_id", "sequence", "id", "actor_id", "content", "content_bytes"), f"SELECT a.id AS document_id, coalesce(t.top, 0) + row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS sequence, b.id, {_WRITTEN} FROM {_BATCH} b JOIN {_ALL_DOCS} a ON a.namespace_id = b.namespace_id AND a.title = b.title LEFT JOIN {_TOP} t ON t.document_id = a.id"),
     "ensure_actors": (lambda w: C.ensured_actors(w, _people(w)), f"SELECT (SELECT max(id) FROM {{actor}}) + row_number() OVER (ORDER BY coalesce(user_name, ip)) AS id, user_name, ip FROM {_PEOPLE} p WHERE NOT EXISTS (SELECT 1 FROM {{actor}} a WHERE a.user_name IS NOT DISTINCT FROM p.user_name AND a.ip IS NOT DISTINCT FROM p.ip)"),
-    "revert_append": (lambda w: C.reverted(w, _reverts(w), AT).select("document_id", "sequence", "id", "content"), f"SELECT b.document_id, t.top + row_number() OVER (PARTITION BY b.document_id ORDER BY b.id) AS sequence, b.id, b.content FROM {{revision}} b JOIN {_TOP} t USING (document_id) WHERE b.id % 6 = 0 AND b.content IS NOT NULL"),
-    "batch_revert_append": (lambda w: C.batch_reverted(w, "user7", 9, AT).select("document_id", "sequence", "content"), "WITH h AS (SELECT r.*, coalesce(a.user_name, a.ip, '') AS author, row_number() OVER (PARTITION BY document_id ORDER BY sequence DESC) AS rn FROM {revision} r JOIN {actor} a ON a.id = r.actor_id), o AS (SELECT h.*, row_number() OVER (PARTITION BY h.document_id ORDER BY h.sequence DESC) AS k FROM h JOIN h l ON l.document_id = h.document_id AND l.rn = 1 AND l.author = 'user7' WHERE h.rn <= 500 AND h.author <> l.author) SELECT o.document_id, t.top + 1 AS sequence, o.content FROM o JOIN " + _TOP + " t USING (document_id) WHERE k = 1 AND content IS NOT NULL ORDER BY 1 LIMIT 100"),
-    "edit_append": (lambda w: C.edited(w, _edits(w), AT)[0].select("document_id", "sequence", "id", "kind", "content"), None),
-    "edit_conflicts": (lambda w: C.edited(w, _edits(w), AT)[1], None),
+    "revert_append": (lambda w: C.reverted(w, _reverts(w), AT).select("document_id", "sequence", "id", "content", "comment", "metadata"), f"SELECT b.document_id, t.top + row_number() OVER (PARTITION BY b.document_id ORDER BY b.id) AS sequence, b.id, b.content, '{C.REVERTED}' AS comment, '{{{{\"to_revision\":' || CAST(b.id AS VARCHAR) || '}}}}' AS metadata FROM {{revision}} b JOIN {_TOP} t USING (document_id) WHERE b.id % 6 = 0 AND b.content IS NOT NULL"),
+    "batch_revert_append": (lambda w: C.batch_reverted(w, "user7", 9, AT).select("document_id", "sequence", "content", "comment", "metadata"), "WITH h AS (SELECT r.*, coalesce(a.user_name, a.ip, '') AS author, row_number() OVER (PARTITION BY document_id ORDER BY sequence DESC) AS rn FROM {revision} r JOIN {actor} a ON a.id = r.actor_id), o AS (SELECT h.*, row_number() OVER (PARTITION BY h.document_id ORDER BY h.sequence DESC) AS k FROM h JOIN h l ON l.document_id = h.document_id AND l.rn = 1 AND l.author = 'user7' WHERE h.rn <= 500 AND h.author <> l.author) SELECT o.document_id, t.top + 1 AS sequence, o.content, '" + C.BATCH_REVERTED.format("user7") + "' AS comment, '{{{{\"batch_revert\":\"user7\"}}}}' AS metadata FROM o JOIN " + _TOP + " t USING (document_id) WHERE k = 1 AND content IS NOT NULL ORDER BY 1 LIMIT 100"),
+    "edit_append": (lambda w: C.edited(w, _many_edits(w), AT)[0].select("document_id", "sequence", "id", "kind", "actor_id", "content", "comment"), _MANY_SQL),
+    "edit_conflicts": (lambda w: C.edited(w, _many_edits(w), AT)[1], _CONFLICT_SQL),
     "edit_unchanged_base": (lambda w: C.edited(w, _edits(w), AT)[0].join(w.revision.groupBy("document_id").agg(F.max(F.struct("sequence", "id")).alias("m")).select("document_id", F.col("m.id").alias("id")), ["document_id", "id"]).select("document_id", "sequence", "kind", "content"), f"SELECT document_id, sequence + 1 AS sequence, CASE WHEN content = '' THEN 'create' ELSE 'edit' END AS kind, 'An introduction.' || chr(10) || content AS content FROM {LIVE} l WHERE content IS NOT NULL AND (document_id % 2 = 0 OR sequence = 1)"),
     "move_revision": (lambda w: C.move_revision(w, 20, "Doc 30", 9, AT), f"SELECT r.document_id, r.sequence + 1 AS sequence, 'move' AS kind, CAST(9 AS BIGINT) AS actor_id, r.content, '{{{{\"from\":\"' || d.title || '\",\"to\":\"Doc 30\"}}}}' AS metadata, {_AT} AS created_at FROM {LIVE} r JOIN {{document}} d ON d.id = r.document_id WHERE r.document_id = 20"),
     "batch_reference_replace": (lambda w: C.replaced_references_of(w, w.document.where("id % 5 = 0").select(F.col("id").alias("source_id")), w.document.where("id % 5 = 0").select(F.col("id").alias("source_id"), (F.col("id") % 6).alias("target_namespace_id"), F.lit("Doc 1").alias("target_title"), F.lit("link").alias("kind"))), "SELECT source_id, target_namespace_id, target_title, kind FROM {reference} WHERE source_id % 5 <> 0 UNION ALL SELECT id, id % 6, 'Doc 1', 'link' FROM {document} WHERE id % 5 = 0 AND id % 6 < 4"),

@@ -1,12 +1,13 @@
 """Changes that SQL can't say, against plain Python; files; odd batches."""
 
 import os
+import random
 from datetime import datetime
 from types import SimpleNamespace
 
 import pytest
 
-from quillon.functions import markup as M
+from quillon.functions import diff as D
 from quillon.operators import changes as C
 from quillon.operators import reads as R
 from quillon.operators import search as S
@@ -32,11 +33,60 @@ def wiki(spark):
 
 
 def test_edits_merge_or_conflict(spark, wiki):
-    batch = [(1, 1, 1, 5, "A\nb\nc\n"), (2, 1, 2, 5, "later"), (3, 2, 4, 5, "new\n"), (4, 3, 5, 5, "Pp\nq\n"), (5, 4, None, 5, "first\n"), (6, 99, None, 5, "page that isn't there")]
+    batch = [(11, 1, 1, 5, "A\nb\nc\n"), (12, 1, 2, 5, "later"), (13, 2, 4, 5, "new\n"), (14, 3, 5, 5, "Pp\nq\n"), (15, 4, None, 5, "first\n"), (16, 99, None, 5, "page that isn't there")]
     added, conflicts = C.edited(wiki, spark.createDataFrame(batch, "id long, document_id long, base_revision_id long, actor_id long, content string"), AT)
-    got = {r.id: (r.document_id, r.sequence, r.kind, r.content) for r in added.collect()}
-    assert got == {1: (1, 3, "edit", "A\nb\nC\n"), 3: (2, 3, "create", "new\n"), 5: (4, 1, "create", "first\n"), 6: (99, 1, "create", "page that isn't there")}
-    assert [tuple(r) for r in conflicts.collect()] == [(4, M.merge3("p\nq\n", "P\nq\n", "Pp\nq\n")[0], 6)]
+    got = {r.id: (r.document_id, r.sequence, r.kind, r.content, r.comment) for r in added.collect()}
+    assert got == {11: (1, 3, "edit", "A\nb\nC\n", ""), 13: (2, 3, "create", "new\n", ""), 15: (4, 1, "create", "first\n", ""), 16: (99, 1, "create", "page that isn't there", "")}
+    later, ours = D.merge3("a\nb\nC\n", "A\nb\nC\n", "later"), D.merge3("p\nq\n", "P\nq\n", "Pp\nq\n")
+    assert later[1] and sorted(tuple(r) for r in conflicts.collect()) == [(12, later[0], 11), (14, ours[0], 6)]
+
+
+def replayed(log, batch):
+    """Edits one after another, on plain dictionaries: appended and conflicting ones."""
+    texts, newest = {(r[1], r[0]): r[5] or "" for r in log}, {}
+    for r in sorted(log, key=lambda r: r[2]):
+        newest[r[1]] = (r[0], r[2], r[5] or "")
+    added, conflicts = [], []
+    for id_, page, base, actor, content, comment in sorted((r for r in batch if r[1] is not None), key=lambda r: (r[0], r[2] or 0, r[4])):
+        last, sequence, text = newest.get(page, (None, 0, ""))
+        clash = False
+        if base != last:
+            content, clash = D.merge3(texts.get((page, base), ""), text, content)
+        if clash:
+            conflicts.append((id_, content, last))
+        else:
+            added.append((page, sequence + 1, id_, "edit" if text else "create", actor, content, comment))
+            newest[page] = (id_, sequence + 1, content)
+            texts.setdefault((page, id_), content)
+    return sorted(added), sorted(conflicts)
+
+
+def test_many_edits_of_pages_follow_each_other(spark, wiki):
+    rng = random.Random(3)
+    log = [tuple(r) for r in wiki.revision.collect()]
+    batch, bases = [], {1: [1, 2], 2: [3, 4], 3: [5, 6], 4: [None]}
+    for n in range(100, 160):
+        page = rng.choice([1, 1, 1, 2, 3, 4])
+        lines = [f"{x}\n" for x in rng.choice(["abc", "abC", "pq", "Pq", "xabc"])]
+        lines.insert(rng.randrange(len(lines) + 1), rng.choice(["", f"new {n}\n"]))
+        row = (n, page, rng.choice(bases[page]), rng.randrange(3), "".join(lines), f"why {n}")
+        batch += [row] * rng.choice([1, 1, 2])
+        bases[page].append(n)
+    batch.append((500, None, 1, 1, "x", ""))
+    schema = "id long, document_id long, base_revision_id long, actor_id long, content string, comment string"
+    added, conflicts = C.edited(wiki, spark.createDataFrame(batch, schema).repartition(5), AT)
+    want = replayed(log, batch)
+    got = sorted((r.document_id, r.sequence, r.id, r.kind, r.actor_id, r.content, r.comment) for r in added.collect()), sorted(tuple(r) for r in conflicts.collect())
+    assert got == want and want[1] and len(want[0]) + len(want[1]) == len(batch) - 1
+
+
+def test_repeated_rows_have_numbers_of_their_own(spark, wiki):
+    rows = [(7, 0, "One", "edit", 5, "t", "c"), (7, 0, "One", "edit", 5, "t", "c"), (6, 0, "One", "edit", 5, "s", "c"), (8, 0, "New", "edit", 5, "n", None), (9, None, "One", "edit", 5, "n", None)]
+    rows += [(100 + i, 0, "Two", "edit", 5, "hot", "c") for i in range(300)]
+    documents, revisions = C.recorded(wiki, spark.createDataFrame(rows, "id long, namespace_id long, title string, kind string, actor_id long, content string, comment string"), AT)
+    assert [(r.id, r.title) for r in documents.collect()] == [(5, "New")]
+    got = sorted((r.document_id, r.sequence, r.id) for r in revisions.collect())
+    assert got == sorted([(1, 3, 6), (1, 4, 7), (1, 5, 7), (5, 1, 8)] + [(2, 3 + i, 100 + i) for i in range(300)])
 
 
 def test_side_effects(spark, wiki):
@@ -79,7 +129,7 @@ def test_odd_batches(spark, wiki):
     added, conflicts = C.edited(wiki, empty, AT)
     assert added.collect() == conflicts.collect() == [] and C.reverted(wiki, empty, AT).collect() == []
     odd = spark.createDataFrame([(1, None, 1, 5, "x"), (2, 1, None, 5, "x"), (3, 1, 3, 5, "x"), (4, 2, 4, 5, "x"), (5, 1, 1, 5, "x"), (5, 1, 1, 5, "x")], "id long, document_id long, revision_id long, actor_id long, extra string")
-    assert sorted((r.id, r.document_id, r.sequence, r.content) for r in C.reverted(wiki, odd.dropDuplicates(), AT).collect()) == [(5, 1, 3, "a\nb\nc\n")]
+    assert sorted((r.id, r.document_id, r.sequence, r.content) for r in C.reverted(wiki, odd, AT).collect()) == [(5, 1, 3, "a\nb\nc\n"), (5, 1, 4, "a\nb\nc\n")]
     titles = spark.createDataFrame([("main", None), (None, "One"), ("main", "One"), ("main", "Two"), ("main", "One")], "namespace string, title string")
     assert sorted((r.namespace or "", r.title or "", r.there) for r in R.presence(wiki, titles).collect()) == [("", "One", False), ("main", "", False), ("main", "One", True), ("main", "One", True), ("main", "Two", False)]
     with pytest.raises(LookupError):

@@ -54,27 +54,6 @@ def test_render():
     assert M.sanitize("a<iframe>b</IFRAME >c<p>d</p>1 < 2<b>") == "acd1 &lt; 2&lt;b&gt;" and M.sanitize("<span style='background:url(x)'>s") == "<span>s</span>"
 
 
-def test_diff_and_merge():
-    rng = random.Random(2)
-    for _ in range(300):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
-        texts = "".join(x + "\n" for x in a), "".join(x + "\n" for x in b)
-        d = M.diff_lines(*texts)
-        assert [t for o, t in d if o != "+"] == a and [t for o, t in d if o != "-"] == b
-        shown = M.hunks(*texts, 1)
-        assert [(o, t) for *_, o, t in shown if o != "="] == [x for x in d if x[0] != "="]
-        for number in {h[0] for h in shown}:
-            of = [h for h in shown if h[0] == number]
-            old, new = [t for *_, o, t in of if o != "+"], [t for *_, o, t in of if o != "-"]
-            assert a[of[0][1] - 1 :][: len(old)] == old and b[of[0][2] - 1 :][: len(new)] == new
-        lcs = len(M.matches(a, b))
-        assert lcs >= sum(m.size for m in difflib.SequenceMatcher(None, a, b, False).get_matching_blocks())
-    assert M.merge3("a\nb\nc", "A\nb\nc", "a\nb\nC") == ("A\nb\nC", False)
-    assert M.merge3("a\nb", "x\nb", "y\nb") == ("<<<<<<< ours\nx\n||||||| original\na\n=======\ny\n>>>>>>> theirs\nb", True)
-    assert M.merge3("a\n", "a\n", "b\n") == ("b\n", False) and M.merge3("", "x", "") == ("x", False)
-    assert M.diff_lines("a", "a\n") == [("-", "a"), ("+", "a")]
-
-
 def test_conditions():
     from quillon.functions.condition import evaluate
 
