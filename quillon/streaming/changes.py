@@ -1,44 +1,74 @@
-"""Streams over the change log: events arrive as files, and each result equals its batch definition at the end of input."""
+"""Streams over the change log: events arrive as files, and each result equals its batch definition at the end of input.
+
+Defined results: what comes late counts by its event time where a table is kept (the newest change of a document, the references of a
+page); windows take what comes within their watermark. Null documents and users are values like others in counts and kept tables and
+match nothing in joins. A stream without files gives empty results. Tables are read whether they are one file or a folder of many;
+further columns are left behind.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from ..operators.markup import scan_references
+from ..functions.markup import references
+from ..operators.markup import rows_of
 from ..sources.storage import shared_path
+from .kept import Kept
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as they arrive, some files a batch. A table that is one file is found among those that lie beside it."""
+    path = f"{sf_dir}/{name}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", FILES)
+    return files.parquet(path) if folder else files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+#: Files that a batch takes at most: what is held at once, whatever has arrived.
+FILES = 64
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def into(stream: DataFrame, take, mode: str = "append") -> None:
+    """Runs a stream over all that has arrived; take(batch, number) must give the same again for a batch that is run again."""
+    path = shared_path(stream.sparkSession)
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True).foreachBatch(take).start()
+    query.awaitTermination()
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that has arrived and gives back what it wrote, with the number of the batch."""
     spark, path = stream.sparkSession, shared_path(stream.sparkSession)
+    schema = StructType(stream.schema.fields).add("batch", IntegerType())
+    spark.createDataFrame([], schema).write.parquet(f"{path}/batch_no=-1")
 
     def keep(batch: DataFrame, number: int) -> None:
         # A batch that is run again overwrites its own folder, so nothing counts twice.
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/batch_no={number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    into(stream, keep, mode)
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/*").select(schema.names)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
-    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/*").drop("batch_no")
 
+def keep_latest(changes: DataFrame, kept: Kept) -> None:
+    """The newest of changes(document_id, at, event_id, event_type), a stream, by document."""
+    into(changes, kept.merge)
 
-def latest_by_document(changes: DataFrame) -> DataFrame:
-    """The newest change of each document; the state is one row per document."""
-    return changes.groupBy("document_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e")).select("document_id", "e.*")
+
+LATEST = "document_id long, at timestamp, event_id long, event_type string"
 
 
 def latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    changes = event_stream(spark, sf_dir).withColumn("document_id", F.col("event_id") % n)
-    out = drained(latest_by_document(changes), "update")
-    last = out.groupBy("document_id").agg(F.max(F.struct("batch", "event_id", "event_type")).alias("e"))
-    return last.select("document_id", "e.event_id", "e.event_type")
+    kept = Kept(spark, shared_path(spark), LATEST, ["document_id"])
+    keep_latest(event_stream(spark, sf_dir).select((F.col("event_id") % n).alias("document_id"), F.col("ts").alias("at"), "event_id", "event_type"), kept)
+    return kept.read().select("document_id", "event_id", "event_type")
 
 
 def windowed_counts(events: DataFrame, width: str, slide: str, delay: str) -> DataFrame:
@@ -71,12 +101,31 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(d.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "top"), "append").drop("batch")
 
 
+REFERENCES = "id long, at timestamp, links array<struct<kind: string, target: string>>"
+
+
+def take_references(kept: Kept, batch: DataFrame, number: int) -> None:
+    """A batch of pages(id, at, text): one row a text goes into the table, whether it has links or not."""
+    links = "links array<struct<kind: string, target: string>>"
+    linked = rows_of(batch.withColumn("at", F.unix_micros("at")), ["text"], lambda t: [([*dict.fromkeys(references(t, "Page/Sub"))],)], links, ("id", "at"))
+    kept.merge(linked.withColumn("at", F.timestamp_micros("at")), number)
+
+
+def keep_references(pages: DataFrame, kept: Kept) -> None:
+    """The references of pages(id, at, text), a stream of their texts as they change: a newer text of a page replaces all that older ones
+    referred to, also if it refers to nothing."""
+    into(pages, lambda batch, number: take_references(kept, batch, number))
+
+
+def links_of(kept: Kept) -> DataFrame:
+    """id, kind, target of all pages."""
+    return kept.read().select("id", F.explode("links").alias("l")).select("id", "l.kind", "l.target")
+
+
 def references_stream(spark: SparkSession, sf_dir: str, markup: str) -> DataFrame:
-    """The references of pages, kept up with a stream of their texts: each batch replaces those of the pages it brings, whatever stood
-    there before. markup is a SELECT of (id, text) over {documents}."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    texts = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
-    pages = spark.sql(markup, documents=texts)
-    out = drained(scan_references(pages).select("id", "kind", "target"), "append")
-    newest = out.groupBy("id").agg(F.max("batch").alias("batch"))
-    return out.join(newest, ["id", "batch"]).drop("batch").distinct()
+    """The references of pages whose texts come as files; markup is a SELECT of (id, text) over {documents}. The files have no time of their
+    own: the later batch counts."""
+    pages = spark.sql(markup, documents=table_stream(spark, sf_dir, "documents"))
+    kept = Kept(spark, shared_path(spark), REFERENCES, ["id"])
+    keep_references(pages.select("id", F.lit(None).cast("timestamp").alias("at"), "text"), kept)
+    return links_of(kept)
