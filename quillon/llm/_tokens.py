@@ -128,11 +128,17 @@ class _Table(dict):
         ids = self.older.get(key)
         if ids is None:
             ids = self.make(key)
+        self.put(key, ids)
+        return ids
+
+    def put(self, key: str, ids: bytes) -> None:
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         self[key] = ids
-        return ids
+
+    def knows(self, key: str) -> bool:
+        return key in self or key in self.older
 
 
 @cache

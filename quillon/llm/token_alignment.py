@@ -7,7 +7,8 @@ then one file of sorted keys and their counts in the shared folder, which tasks
 searchsorted: what a task holds doesn't grow with the number of pairs, and all tasks of a machine share the pages they touch.
 
 Most texts are words with one space between them, which neither tokenizer merges across (for the second this follows from its
-pieces, and is checked): a word is aligned once while it is at hand in a bounded table. Any other text goes to the libraries whole.
+pieces, and is checked): a word is aligned once while it is at hand in a bounded table, and the new words of many texts are encoded
+as one text and aligned as arrays. Any other text goes to the libraries whole.
 
 Defined results: a null or empty text has no tokens, nor has one whose bytes a tokenizer doesn't give back (a text with U+2581):
 all its numbers are 0 and its digest is ''. Repeated rows are rows of their own and count as often as they stand there. Special
@@ -21,16 +22,18 @@ import uuid
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import frugal, shared_dir, stored, table, texts
+from ._common import frugal, pieces, shared_dir, stored, table, texts
 from ._tokens import Encoder, _Table, vocabulary
 
-WORDS, PIECES = 60_000, 60_000  # entries of the tables' younger halves
+WORDS, PIECES = 200_000, 20_000  # entries of the tables' younger halves; some 400 bytes a word
+TEXTS, CHARS = 512, 2 << 20  # aligned at once
 PAIRS = 1 << 20  # different pairs that a task adds up before it passes them on
 SHARD_ROWS = 1 << 20  # partial counts to a shard, on average
 LOOKED_UP = 1 << 20  # links looked up at once
@@ -66,8 +69,8 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         back = {c: b for b, c in self.a.letters.items()}
         self.a_bytes = [bytes(back.get(c, 0) for c in self.a.library.id_to_token(i) or "") for i in range(self.a.library.get_vocab_size())]
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         spec = model.ModelProto()
         with open(second, "rb") as f:
@@ -77,9 +80,41 @@ class Aligner:
         self.by_words = (
             self.a.kind == "byte" and spec.trainer_spec.model_type == spec.trainer_spec.BPE and spec.trainer_spec.byte_fallback and not any(p.type == p.USER_DEFINED for p in spec.pieces)
             and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces and not normal.precompiled_charsmap
-            and not spec.trainer_spec.treat_whitespace_as_suffix and all(re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) for p in pieces)
+            and not spec.trainer_spec.treat_whitespace_as_suffix and all(re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) for p in names)
         )
         self.words = _Table(self._word, WORDS)
+        # Ids as text, with the mark that follows them within a group and at its end; and how long these are.
+        self.shown = [f"{i}{mark}" for sizes, marks in ((self.a_sizes, ",|"), (self.b_sizes, ",;")) for mark in marks for i in range(len(sizes))]
+        self.widths = np.array(list(map(len, self.shown)))
+        self.a_array, self.b_array = np.array(self.a_sizes), np.array(self.b_sizes)
+
+    def learn(self, words: list[str]) -> None:
+        """Aligns words as one text with a space before each; if its bytes don't come back, words are aligned one by one when asked for."""
+        text = " ".join(words)
+        want = b" " + text.encode()
+        a, b = self.a.library.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
+            return
+        a, b = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self.a_array[a]), np.cumsum(self.b_array[b])
+        marks = np.zeros(len(want) + 1, np.uint8)
+        marks[ends_a] += 1
+        marks[ends_b] += 1
+        common = np.flatnonzero(marks == 2)
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last_a, last_b = marks[ends_a] == 2, marks[ends_b] == 2
+        links = (a[last_a] << 32 | b[last_b]).astype("<i8").tobytes()
+        code = np.concatenate([a + last_a * len(self.a_sizes), 2 * len(self.a_sizes) + b + last_b * len(self.b_sizes)])
+        code = code[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
+        shown = "".join(map(self.shown.__getitem__, code.tolist())).encode()
+        ends = np.cumsum(np.concatenate([[0], self.widths[code]]))
+        words_end = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in words])
+        group = np.searchsorted(common, words_end)  # the last of each word; a word's end is the end of tokens of both
+        upto_a, upto_b = np.searchsorted(group_a, group, "right"), np.searchsorted(group_b, group, "right")
+        at_link = at_text = at_a = at_b = 0
+        for w, g, n_a, n_b, end in zip(words, (8 * (group + 1)).tolist(), upto_a.tolist(), upto_b.tolist(), ends[upto_a + upto_b].tolist(), strict=True):
+            self.words.put(w, (links[at_link:g], n_a - at_a, n_b - at_b, shown[at_text : end - 1]))
+            at_link, at_text, at_a, at_b = g, end, n_a, n_b
 
     def _aligned(self, a: list[int], b: list[int], text: str) -> Aligned | None:
         """None if the bytes of either aren't a space and the text."""
@@ -97,10 +132,18 @@ class Aligner:
         """By the libraries alone."""
         return self._aligned(self.a.library.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), text)
 
-    def __call__(self, text: str) -> Aligned | None:
-        words = self.a.cut(" " + text) if self.by_words else None
-        if not words or "" in words:
-            return self.whole(text)
+    def __call__(self, texts: list[str | None]) -> list[Aligned | None]:
+        """None for a text without tokens."""
+        cut = [self.a.cut(" " + t) if t and self.by_words else None for t in texts]
+        cut = [None if words and "" in words else words for words in cut]
+        new = [w for w in set(chain.from_iterable(filter(None, cut))) if not self.words.knows(w)]
+        # White space at a word's end could run into the next one's.
+        new = sorted(w for w in new if not (w[0].isspace() or w[-1].isspace() or SPACE in w))
+        for i in range(0, len(new), WORDS // 4):
+            self.learn(new[i : i + WORDS // 4])
+        return [(self._joined(words, t) if words else self.whole(t)) if t else None for t, words in zip(texts, cut, strict=True)]
+
+    def _joined(self, words: list[str], text: str) -> Aligned | None:
         found = list(map(self.words.__getitem__, words))
         if None in found:
             return self.whole(text)
@@ -122,11 +165,9 @@ def alignments(docs: DataFrame, first: str, second: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(first, second)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in pieces(batch, CHARS, rows=TEXTS):
                 rows = []
-                for text in part.column("text").to_pylist():
-                    found = align(text) if text else None
+                for found in align(part.column("text").to_pylist()):
                     if found is None:
                         rows.append((0, 0, 0, b"", b"", ""))
                         continue

@@ -65,9 +65,11 @@ def made(n, seed=3):
 def test_words_equal_the_libraries_on_whole_texts():
     align = T.Aligner(vocabulary(A), vocabulary(B))
     assert align.by_words
-    for text in HARD + made(3000):
-        if text:
-            assert align(text) == align.whole(text), repr(text)
+    for texts in ([t] for t in HARD), [HARD + made(3000), [None, "", *made(50, 9)]]:
+        for some in texts:
+            for text, got in zip(some, align(some), strict=True):
+                assert got == (align.whole(text) if text else None), repr(text)
+    assert align([" ".join(HARD)]) == [align.whole(" ".join(HARD))]
 
 
 def test_odd_rows(spark, odd, libraries):
