@@ -1,31 +1,40 @@
 """Ranked full-text search over character bigrams and trigrams, by BM25: straight over texts, or through a stored index.
 
-A word of the query matches a field (title or content) that holds all of its grams, and a document matches when any word matches any
-of its fields. Its score adds up over fields and query grams. Order: score, namespace, title.
-
-Defined results: null and very short texts have no grams; a word of one character matches nothing, so a query of such words finds
-nothing; an empty table finds nothing. Rows that share a key are one document of the index, and the row that comes last by text
-counts. Extra columns are ignored.
+Queries are words and "phrases" with AND, OR, NOT, + (must), - (must not), brackets, field: before a word, phrase or bracket, and * for all
+pages; without an operator any may match. A word or phrase matches a field (title or content) that holds all of its grams; those of a
+phrase go across its spaces. namespace: and key: (namespace:title) match whole values. A page's score adds up over its fields and the
+query's grams outside NOT. Order: score, namespace, title.
+
+Defined results: null and very short texts have no grams; a word of one character matches nothing; an empty query or table finds nothing;
+a query of NOT alone finds nothing. Rows of one put that share a key are one page of the index, and the one that comes last by text
+counts; of several puts and removals the last call counts. Null namespaces and titles are empty ones. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.manifest import Manifests
 from ..sources.storage import stored
+from .changes import numbered
 from .pages import live, with_titles
 
 K1, B = 1.2, 0.75
 BUCKETS = 16  # folders of an index's postings, by gram
 FIELDS = ("title", "content")
+WHOLE = ("namespace", "key")  # fields of one value
+
+# --- queries ---------------------------------------------------------------------------------------------------------
 
 
 def grams(word: str) -> list[str]:
@@ -36,22 +45,146 @@ def query_grams(query: str) -> list[str]:
     return sorted({g for w in query.split() for g in grams(w)})
 
 
-def checked(query: str) -> str:
-    """The query, or an error that says what can't be read in it."""
+@dataclass(frozen=True)
+class Word:
+    """What a word or phrase asks for: all terms in one of the fields."""
+
+    fields: tuple[str, ...]
+    terms: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Every:
+    """All pages."""
+
+
+@dataclass(frozen=True)
+class Clauses:
+    """must: all of them; should: any of them, if nothing is a must; never: none of them."""
+
+    must: tuple = ()
+    should: tuple = ()
+    never: tuple = ()
+
+
+_TOKEN = re.compile(r'\s*(?:(?P<mark>[()])|(?P<sign>[+-](?=\S))|(?P<field>\w+):(?P<empty>(?=\s|$))?|"(?P<phrase>[^"]*)"|(?P<word>(?:\\.|[^\s()":\\])+))')
+
+
+def parsed(query: str) -> Word | Every | Clauses:
+    """The plan of a query, or an error that says what can't be read in it."""
     if query.count('"') % 2:
         raise ValueError("a quotation mark is not closed")
-    depth = 0
-    for c in query:
-        depth += (c == "(") - (c == ")")
-        if depth < 0:
-            break
-    if depth:
+    tokens: list[tuple[str, str]] = []
+    at, end = 0, len(query.rstrip())
+    while at < end:
+        m = _TOKEN.match(query, at)
+        if not m:
+            raise ValueError(f"can't be read from {query[at:]!r} on")
+        if m["empty"] is not None:
+            raise ValueError(f"nothing to look for in {m['field']}")
+        kind = next(k for k in ("mark", "sign", "field", "phrase", "word") if m[k] is not None)
+        if kind == "field" and m["field"] not in FIELDS + WHOLE:
+            raise ValueError(f"there is no field {m['field']}")
+        if kind == "word" and m["word"] in ("AND", "OR", "NOT"):
+            kind = m["word"]
+        tokens.append((kind, re.sub(r"\\(.)", r"\1", m[kind]) if kind == "word" else m[kind if kind in m.groupdict() else "word"]))
+        at = m.end()
+    rest = tokens[::-1]
+
+    def peek() -> str:
+        return rest[-1][0] if rest else ""
+
+    def either(of: str | None) -> Word | Every | Clauses:
+        """Operands with or without OR between them."""
+        must, should, never = [], [], []
+        while True:
+            sign = rest.pop()[1] if peek() == "sign" else ""
+            negated = both(of)
+            (must if sign == "+" else never if sign == "-" else should).append(negated)
+            if peek() == "OR":
+                rest.pop()
+            elif not rest or rest[-1] == ("mark", ")"):
+                break
+        if not must and not never and len(should) == 1:
+            return should[0]
+        # NOT stands for its operand being absent, next to others.
+        for group in (must, should):
+            for c in [c for c in group if isinstance(c, Clauses) and c.never and not c.must and not c.should]:
+                group.remove(c)
+                never += c.never
+        return Clauses(tuple(must), tuple(should), tuple(never))
+
+    def both(of: str | None) -> Word | Every | Clauses:
+        parts = [one(of)]
+        while peek() == "AND":
+            rest.pop()
+            parts.append(one(of))
+        if len(parts) == 1:
+            return Clauses(never=(parts[0][1],)) if parts[0][0] else parts[0][1]
+        return Clauses(must=tuple(p for gone, p in parts if not gone), never=tuple(p for gone, p in parts if gone))
+
+    def one(of: str | None) -> tuple[bool, Word | Every | Clauses]:
+        gone = False
+        while peek() == "NOT":
+            rest.pop()
+            gone = not gone
+        if not rest or peek() in ("AND", "OR") or rest[-1] == ("mark", ")"):
+            raise ValueError("an operator needs a word on both sides" if rest or tokens[-1][0] in ("AND", "OR", "NOT") else "there is nothing in the brackets")
+        kind, text = rest.pop()
+        if kind == "field":
+            if of is not None:
+                raise ValueError("a field within a field")
+            inner, plan = one(text)
+            return gone != inner, plan
+        if kind == "sign":
+            inner, plan = one(of)
+            return gone != (inner != (text == "-")), plan
+        if kind == "mark":
+            plan = either(of)
+            if not rest:
+                raise ValueError("brackets do not match")
+            rest.pop()
+            return gone, plan
+        if kind == "word" and text == "*" and of is None:
+            return gone, Every()
+        if of in WHOLE:
+            return gone, Word((of,), (text,))
+        return gone, Word((of,) if of else FIELDS, tuple(grams(text)))
+
+    if not tokens:
+        return Clauses()
+    plan = either(None)
+    if rest:
         raise ValueError("brackets do not match")
-    if m := re.search(r"(?:^|\s)(AND|OR)\s*$|^\s*(AND|OR)(?:\s|$)", query):
-        raise ValueError(f"{m[1] or m[2]} needs a word on both sides")
-    if m := re.search(r"(?:^|\s)(\w+):(?=\s|$)", query):
-        raise ValueError(f"nothing to look for in {m[1]}")
-    return query
+    return plan
+
+
+def wanted(plan: Word | Every | Clauses, all_of_it: bool = True) -> set[tuple[str, str]]:
+    """(field, term) of a plan; only of what may add to a score, if not all of it."""
+    if isinstance(plan, Word):
+        return {(f, t) for f in plan.fields for t in plan.terms}
+    if isinstance(plan, Clauses):
+        return set().union(*(wanted(p, all_of_it) for p in plan.must + plan.should + (plan.never if all_of_it else ())))
+    return set()
+
+
+def matches(plan: Word | Every | Clauses, have: Callable[[str, str], Column], possible: bool = False) -> Column:
+    """Whether a page matches, by which terms it has. possible: whether any page might, of which only some may have each term."""
+    yes, no = F.lit(True), F.lit(False)
+    if isinstance(plan, Every):
+        return yes
+    if isinstance(plan, Word):
+        fields = [reduce(Column.__and__, [have(f, t) for t in plan.terms]) for f in plan.fields if plan.terms]
+        return reduce(Column.__or__, fields) if fields else no
+    parts = [matches(p, have, possible) for p in plan.must]
+    if not plan.must:
+        parts.append(reduce(Column.__or__, [matches(p, have, possible) for p in plan.should]) if plan.should else no)
+    if not possible:
+        parts += [~matches(p, have) for p in plan.never]
+    return reduce(Column.__and__, parts)
+
+
+# --- counts ----------------------------------------------------------------------------------------------------------
 
 
 def n_grams(text: Column) -> Column:
@@ -85,45 +218,36 @@ def document_frequency(counts: DataFrame, *by: str) -> DataFrame:
     return counts.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def ranked(found: DataFrame, sizes: DataFrame, query: str, keys: list[str], limit: int) -> DataFrame:
-    """keys, score of found(keys, field, len, gram, tf), an index's rows of the query's grams, and sizes(field, n, mean) of all pages."""
-    # The frequencies are as many rows as the query has grams in each field, and sizes one for each field: both are broadcast.
-    s = found.join(F.broadcast(document_frequency(found, "field")), ["field", "gram"]).join(F.broadcast(sizes), "field")
-    idf = F.log(1 + (F.col("n") - F.col("documents") + 0.5) / (F.col("documents") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    have = s.withColumn("part", part).groupBy(*keys, "field").agg(F.collect_set("gram").alias("have"), F.sum("part").alias("score"))
-    match = F.lit(False)
-    for w in query.split():
-        if own := grams(w):
-            match = match | (F.array_size(F.array_intersect("have", F.array(*map(F.lit, own)))) == len(own))
-    d = have.groupBy(*keys).agg(F.max(match).alias("match"), F.round(F.sum("score"), 6).alias("score"))
-    return d.where("match").orderBy(F.desc("score"), *keys).limit(limit).select(*keys, "score")
+# --- straight over texts ------------------------------------------------------------------------------------------------
+
 
+def idf(n: float, df: float) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
-def as_fields(pages: DataFrame) -> DataFrame:
-    """(namespace, title, content) as (namespace, title, field, text)."""
-    return pages.select("namespace", "title", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])).alias("f")).select("namespace", "title", "f.field", "f.text")
+
+def part(weight: Column, tf: Column, length: Column, mean: Column | float) -> Column:
+    """What a term adds to a page's score."""
+    return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def search(pages: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """namespace, title, score over pages(namespace, title, content), read straight: texts are read once, for the counts of the query's
     grams; these are added up to one row of frequencies, and each page is scored where it is. Nothing is shuffled."""
-    wanted = query_grams(checked(query))
-    counts = [F.array(*[F.coalesce(times(F.col(f), g), F.lit(0)) for g in wanted]).cast("array<bigint>").alias(f"{f}_tf") for f in FIELDS]
-    seen = stored(pages.select("namespace", "title", *counts, *[n_grams(F.col(f)).alias(f"{f}_len") for f in FIELDS]))
-    totals = seen.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"{f}_len").alias(f"{f}_mean") for f in FIELDS], *[F.count_if(F.col(f"{f}_tf")[i] > 0).alias(f"{f}_{i}") for f in FIELDS for i in range(len(wanted))]).first()
-    score, match = F.lit(0.0), F.lit(False)
-    for f in FIELDS:
-        have = lambda g: F.col(f"{f}_tf")[wanted.index(g)]  # noqa: B023, E731
-        for w in query.split():
-            if own := grams(w):
-                match = match | reduce(Column.__and__, [have(g) > 0 for g in own])
-        for i, g in enumerate(wanted):
-            n, df, mean = totals["n"], totals[f"{f}_{i}"], totals[f"{f}_mean"]
-            if df:
-                idf, tf = math.log(1 + (n - df + 0.5) / (df + 0.5)), have(g)
-                score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"{f}_len") / mean))
-    return seen.where(match).select("namespace", "title", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "namespace", "title").limit(limit)
+    plan = parsed(query)
+    terms = {f: sorted(t for g, t in wanted(plan) if g == f) for f in FIELDS + WHOLE}
+    key = {"namespace": F.col("namespace"), "key": F.concat_ws(":", "namespace", "title")}
+    count = lambda f, t: F.coalesce(times(F.col(f), t), F.lit(0)) if f in FIELDS else (key[f] == t).cast("long")
+    counts = [F.array(*[count(f, t) for t in terms[f]]).cast("array<bigint>").alias(f"{f}_tf") for f in terms]
+    d = pages.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in ("namespace", "title")], "content")
+    seen = stored(d.select("namespace", "title", *counts, *[n_grams(F.col(f)).alias(f"{f}_len") for f in FIELDS], *[F.lit(1).alias(f"{f}_len") for f in WHOLE]))
+    totals = seen.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"{f}_len").alias(f"{f}_mean") for f in terms], *[F.count_if(F.col(f"{f}_tf")[i] > 0).alias(f"{f}_{i}") for f in terms for i in range(len(terms[f]))]).first()
+    tf = lambda f, t: F.col(f"{f}_tf")[terms[f].index(t)]
+    score = F.lit(0.0)
+    for f, t in sorted(wanted(plan, False)):
+        if df := totals[f"{f}_{terms[f].index(t)}"]:
+            score = score + part(F.lit(idf(totals["n"], df)), tf(f, t), F.col(f"{f}_len"), totals[f"{f}_mean"])
+    found = seen.where(matches(plan, lambda f, t: tf(f, t) > 0))
+    return found.select("namespace", "title", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "namespace", "title").limit(limit)
 
 
 def live_pages(w) -> DataFrame:
@@ -138,106 +262,259 @@ def redirects_to(w, queries: DataFrame) -> DataFrame:
     return queries.join(alive, ["namespace", "title"], "left").select("query", "redirect")
 
 
+# --- stored index -------------------------------------------------------------------------------------------------------
+
+RANGE = 1024  # pages whose postings lie together
+FIRST = 16  # ranges that a search scores to learn what the others must reach
+BLOCK = "field string, gram string, range long, pages array<long>, tfs array<long>, lens array<long>, n long, top long, short long"
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pages(ord, namespace, title, content) in order of ord: for each term of a range of pages a row with the pages that have it, and
+    what bounds its part of a score, its highest count and shortest text. Ranges of many megabytes come in several rows."""
+
+    def packed(t: str) -> Iterator[tuple[np.ndarray, int]]:
+        code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        yield code[:-1] << np.uint64(21) | code[1:], 2
+        yield code[:-2] << np.uint64(42) | code[1:-1] << np.uint64(21) | code[2:], 3
+
+    def gram(code: int) -> str:
+        out = ""
+        while code:
+            out = chr((code & 0x1FFFFF) - 1) + out
+            code >>= 21
+        return out
+
+    def written(number: int, rows: list[tuple[int, dict[str, str]]]) -> Iterator[pa.RecordBatch]:
+        for name in FIELDS:
+            codes, ords, tfs, lens = [], [], [], []
+            for place, texts in rows:
+                t = texts[name]
+                for code, size in packed(t) if len(t) >= 2 else ():
+                    own, n = np.unique(code, return_counts=True)
+                    codes.append(own)
+                    tfs.append(n)
+                    ords.append(np.full(len(own), place))
+                    lens.append(np.full(len(own), 2 * len(t) - 3))
+            if codes:
+                c, o, n, k = map(np.concatenate, (codes, ords, tfs, lens))
+                order = np.argsort(c, kind="stable")
+                c, o, n, k = c[order], o[order], n[order], k[order]
+                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                yield block(number, name, [gram(int(x)) for x in c[first]], first, o, n, k)
+        for name in WHOLE:
+            own: dict[str, list[int]] = {}
+            for place, texts in rows:
+                own.setdefault(texts["namespace"] if name == "namespace" else f"{texts['namespace']}:{texts['title']}", []).append(place)
+            if own:
+                first = np.cumsum([0, *map(len, own.values())])[:-1]
+                o = np.concatenate(list(own.values()))
+                yield block(number, name, list(own), first, o, np.ones(len(o), np.int64), np.ones(len(o), np.int64))
+
+    def block(number: int, name: str, terms: list[str], first: np.ndarray, o: np.ndarray, n: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.append(first, len(o)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (o, n, k)]
+        whole = [np.diff(np.append(first, len(o))), np.maximum.reduceat(n, first), np.minimum.reduceat(k, first)]
+        columns = [pa.array([name] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array([number] * len(terms), pa.int64()), *lists, *(pa.array(x.astype(np.int64)) for x in whole)]
+        return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in BLOCK.split(", ")])
+
+    number, rows, size = -1, [], 0
+    for batch in batches:
+        for place, *texts in zip(*(batch.column(c).to_pylist() for c in ("ord", "namespace", "title", "content")), strict=True):
+            if place // RANGE != number or size > 4_000_000:
+                yield from written(number, rows)
+                number, rows, size = place // RANGE, [], 0
+            rows.append((place, dict(zip(("namespace", "title", "content"), (t or "" for t in texts), strict=True))))
+            size += sum(len(t or "") for t in texts)
+    yield from written(number, rows)
+
+
 class Index:
-    """A stored index of pages by (namespace, title). Below path lie segments: postings by bucket of their gram, and entries, which say
-    what a segment puts and removes. A commit writes one segment, its entries last, so that readers see all of it or nothing; the
-    newest entry of a key counts, and merge() writes everything that counts as one segment. A search reads the buckets of its
-    grams alone.
+    """A stored index of pages by (namespace, title).
+
+    Puts and removals are numbered as they are called, and show after commit(), which settles each key by its last call and writes one
+    segment: its pages in order of length, their postings by bucket of term and range of pages, and which pages of older segments
+    it puts out of force. A manifest names the segments that count, with their statistics, and switches in one step. merge()
+    writes what is in force as one segment, which replaces all others.
+
+    A search first reads the heads of its terms' blocks: they tell the frequencies, which ranges of pages may match at all, and what each
+    range can score at most. The most promising ranges are scored, and then only those whose bound reaches the last place of
+    what was found. Frequencies and lengths count pages as they were written; a merge settles them.
     """
 
     KEYS = ["namespace", "title"]
-    ENTRY = "namespace string, title string, alive boolean, title_len long, content_len long, segment long"
-    POSTING = "namespace string, title string, field string, len long, gram string, tf long, segment long, bucket int"
+    PAGE = "ord long, namespace string, title string, content string, title_len long, content_len long"
+    DEAD = "segment long, ord long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._put: list[DataFrame] = []
-        self._removed: list[DataFrame] = []
+        self.manifests = Manifests(spark, f"{path}/manifests")
+        self._log: list[DataFrame] = []
+
+    def segments(self) -> list[dict[str, Any]]:
+        return self.manifests.newest()[1].get("segments", [])
+
+    def _read(self, what: str, schema: str, segments: list[dict[str, Any]]) -> DataFrame:
+        """Of all segments, with their numbers."""
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/segments/{s['number']}/{what}").withColumn("segment", F.lit(s["number"]).cast("long")) for s in segments if s[what]]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, segment long")
 
-    def _read(self, what: str, schema: str) -> DataFrame:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(f"{self.path}/{what}")
+    def _dead(self, segments: list[dict[str, Any]]) -> DataFrame | None:
+        paths = [f"{self.path}/segments/{s['number']}/dead" for s in segments if s["dead"]]
+        return self.spark.read.schema(self.DEAD).parquet(*paths) if paths else None
+
+    def _alive(self, d: DataFrame, segments: list[dict[str, Any]]) -> DataFrame:
+        """Rows (segment, ord, ...) of pages in force."""
+        dead = self._dead(segments)
+        return d if dead is None else d.join(dead, ["segment", "ord"], "left_anti")
+
+    def pages(self) -> DataFrame:
+        """The pages in force, with their contents."""
+        segments = self.segments()
+        return self._alive(self._read("pages", self.PAGE, segments), segments)
 
     def entries(self) -> DataFrame:
-        """The pages that the index holds."""
-        newest = F.max(F.struct("segment", "alive", "title_len", "content_len")).alias("e")
-        return self._read("entries", self.ENTRY).groupBy(*self.KEYS).agg(newest).select(*self.KEYS, "e.*").where("alive").drop("alive")
+        return self.pages().select(*self.KEYS, "title_len", "content_len", "segment")
 
     def is_empty(self) -> bool:
-        return self.entries().isEmpty()
+        return self.pages().isEmpty()
+
+    def _note(self, d: DataFrame, content: Column, there: bool) -> None:
+        keys = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in self.KEYS]
+        self._log.append(d.select(*keys, content.cast("string").alias("content"), F.lit(there).alias("there"), F.lit(len(self._log)).alias("call")))
 
     def put(self, pages: DataFrame) -> None:
         """Pages (namespace, title, content) that take the place of what the index has by their keys, after the next commit."""
-        self._put.append(pages.select(*self.KEYS, "content"))
+        self._note(pages, F.col("content"), True)
 
     def remove(self, keys: DataFrame) -> None:
-        self._removed.append(keys.select(*self.KEYS))
+        self._note(keys, F.lit(None), False)
 
     def commit(self) -> None:
-        put = self.spark.createDataFrame([], "namespace string, title string, content string")
-        for d in self._put:
-            put = put.unionByName(d)
-        put = put.groupBy(*self.KEYS).agg(F.max("content").alias("content"))
-        gone = self.spark.createDataFrame([], "namespace string, title string")
-        for d in self._removed:
-            gone = gone.unionByName(d)
-        gone = gone.distinct().join(put, self.KEYS, "left_anti")
-        number = (self._read("entries", self.ENTRY).agg(F.max("segment")).first()[0] or 0) + 1
-        self._write(self._postings(as_fields(put)), number)
-        alive = put.select(*self.KEYS, F.lit(True).alias("alive"), n_grams(F.col("title")).alias("title_len"), n_grams(F.col("content")).alias("content_len"))
-        dead = gone.select(*self.KEYS, F.lit(False).alias("alive"), F.lit(0).cast("long").alias("title_len"), F.lit(0).cast("long").alias("content_len"))
-        alive.unionByName(dead).write.mode("overwrite").parquet(f"{self.path}/entries/segment={number}")
-        self._put, self._removed = [], []
-
-    def _write(self, postings: DataFrame, number: int) -> None:
-        postings = postings.withColumn("bucket", F.pmod(F.hash("gram"), F.lit(BUCKETS)))
-        # Grams lie sorted in their files, whose statistics then keep a search from reading other grams' rows.
-        postings.repartition("bucket", F.pmod(F.hash("title"), F.lit(8))).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
-
-    def _postings(self, fields: DataFrame) -> DataFrame:
-        """keys, field, len, gram, tf: a text's grams are counted where it is read, all at once."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, text in enumerate(batch.column("text")):
-                    t = text.as_py() or ""
-                    if len(t) < 2:
-                        continue
-                    code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-                    two, three = code[:-1] << np.uint64(21) | code[1:], code[:-2] << np.uint64(42) | code[1:-1] << np.uint64(21) | code[2:]
-                    out, counts = [], []
-                    for packed, size in ((two, 2), (three, 3)):
-                        _, first, n = np.unique(packed, return_index=True, return_counts=True)
-                        out += [t[a : a + size] for a in first.tolist()]
-                        counts.append(n)
-                    k = len(out)
-                    same = [pa.array([batch.column(c)[i].as_py()] * k, pa.string()) for c in (*Index.KEYS, "field")]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array([2 * len(t) - 3] * k, pa.int64()), pa.array(out, pa.string()), pa.array(np.concatenate(counts), pa.int64())], [*Index.KEYS, "field", "len", "gram", "tf"])
-
-        return fields.mapInArrow(run, "namespace string, title string, field string, len long, gram string, tf long")
-
-    def postings(self, wanted: list[str] | None = None) -> DataFrame:
-        """Of the pages that the index holds; of the wanted grams alone, if they are given."""
-        d = self._read("postings", self.POSTING)
-        if wanted is not None:
-            buckets = [r[0] for r in self.spark.createDataFrame([(g,) for g in wanted], "gram string").select(F.pmod(F.hash("gram"), F.lit(BUCKETS))).distinct().collect()] if wanted else []
-            d = d.where(F.col("bucket").isin(buckets) & F.col("gram").isin(wanted)) if wanted else d.where("false")
-        return d.join(self.entries().select(*self.KEYS, "segment"), [*self.KEYS, "segment"], "left_semi").select(*self.KEYS, "field", "len", "gram", "tf")
+        if not self._log:
+            return
+        calls = reduce(DataFrame.unionByName, self._log).groupBy(*self.KEYS).agg(F.max(F.struct("call", "there", "content")).alias("c"))
+        last = stored(calls.select(*self.KEYS, "c.there", "c.content"))
+        number, content = self.manifests.newest()
+        older, number = content.get("segments", []), number + 1
+        n_dead = 0
+        if older:
+            out = self._alive(self._read("pages", self.PAGE, older).select("segment", "ord", *self.KEYS), older).join(last.select(*self.KEYS), self.KEYS, "left_semi")
+            out.select("segment", "ord").write.mode("overwrite").parquet(f"{self.path}/segments/{number}/dead")
+            n_dead = self.spark.read.schema(self.DEAD).parquet(f"{self.path}/segments/{number}/dead").count()
+        new = self._segment(number, last.where("there").select(*self.KEYS, "content")) | {"dead": n_dead}
+        self.manifests.publish(number, {"segments": older + [new]})
+        self._log = []
 
     def merge(self) -> None:
-        """Everything that counts as one new segment, so that later reads need not look at older ones' rows for it."""
-        entries = self.entries()
-        number = (self._read("entries", self.ENTRY).agg(F.max("segment")).first()[0] or 0) + 1
-        self._write(self.postings(), number)
-        entries.drop("segment").withColumn("alive", F.lit(True)).write.mode("overwrite").parquet(f"{self.path}/entries/segment={number}")
+        """Everything in force as one segment, in place of all others."""
+        number = self.manifests.newest()[0] + 1
+        new = self._segment(number, self.pages().select(*self.KEYS, "content")) | {"dead": 0}
+        self.manifests.publish(number, {"segments": [new]})
+
+    def vacuum(self) -> None:
+        """Deletes segments and manifests that the newest manifest doesn't need. No reader may be at work on these."""
+        newest, content = self.manifests.newest()
+        named = {str(s["number"]) for s in content.get("segments", [])}
+        for n in self.manifests.children(f"{self.path}/segments"):
+            if n not in named:
+                self.manifests.delete(f"{self.path}/segments/{n}")
+        for n in self.manifests.numbers():
+            if n < newest:
+                self.manifests.delete(f"{self.manifests.folder}/{n}")
+
+    def _segment(self, number: int, pages: DataFrame) -> dict[str, Any]:
+        """Writes a segment of pages(namespace, title, content), each key once; what the manifest says of it."""
+        path = f"{self.path}/segments/{number}"
+        sized = pages.select(*self.KEYS, "content", *[n_grams(F.col(f)).alias(f"{f}_len") for f in FIELDS])
+        # Short texts score high: in order of length, ranges differ in what they can score.
+        ordered = numbered(sized, ["content_len", *self.KEYS], F.lit(-1), "ord").select(*(c.split(" ")[0] for c in self.PAGE.split(", ")))
+        ordered.write.mode("overwrite").parquet(f"{path}/pages")
+        d = self.spark.read.schema(self.PAGE).parquet(f"{path}/pages")
+        n, *sums = d.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"{f}_len"), F.lit(0)) for f in FIELDS]).first()
+        rows = d.select("ord", *self.KEYS, "content").repartitionByRange("ord").sortWithinPartitions("ord").mapInArrow(blocks, BLOCK)
+        rows = rows.withColumn("bucket", F.pmod(F.hash("gram"), F.lit(BUCKETS)))
+        spread = max(1, sum(sums) // (BUCKETS << 24))  # files of a bucket: some 16 million postings each
+        # Terms lie sorted in their files, whose statistics then keep a search from reading other terms' rows.
+        rows = rows.repartition(BUCKETS * spread, "bucket", F.pmod(F.hash("range"), F.lit(spread))).sortWithinPartitions("bucket", "gram", "field", "range")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        return {"number": number, "pages": n, "postings": n, **{f"{f}_len": k for f, k in zip(FIELDS, sums, strict=True)}}
+
+    def _blocks(self, terms: list[str] | None, segments: list[dict[str, Any]]) -> DataFrame:
+        d = self._read("postings", f"{BLOCK}, bucket int", segments)
+        if terms is None:
+            return d
+        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "gram string").select(F.pmod(F.hash("gram"), F.lit(BUCKETS))).distinct().collect()] if terms else []
+        return d.where(F.col("bucket").isin(buckets) & F.col("gram").isin(terms)) if terms else d.where("false")
+
+    @staticmethod
+    def _rows(d: DataFrame) -> DataFrame:
+        return d.select("segment", "field", "gram", F.explode(F.arrays_zip("pages", "tfs", "lens")).alias("p")).select("segment", "field", "gram", F.col("p.pages").alias("ord"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len"))
+
+    def postings(self) -> DataFrame:
+        """namespace, title, field, len, gram, tf of the pages in force."""
+        segments = self.segments()
+        rows = self._rows(self._blocks(None, segments).where(F.col("field").isin(*FIELDS)))
+        return rows.join(self.pages().select("segment", "ord", *self.KEYS), ["segment", "ord"]).select(*self.KEYS, "field", "len", "gram", "tf")
 
     def search(self, query: str, limit: int = 50) -> DataFrame:
         """namespace, title, score."""
-        e = self.entries()
-        sizes = e.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_len").alias("len")) for f in FIELDS])).alias("s")).groupBy("s.field").agg(F.count(F.lit(1)).alias("n"), F.avg("s.len").alias("mean"))
-        return ranked(self.postings(query_grams(checked(query))), sizes, query, self.KEYS, limit)
+        plan, segments = parsed(query), self.segments()
+        n = sum(s["pages"] for s in segments)
+        empty = self.spark.createDataFrame([], "namespace string, title string, score double")
+        if not n or not isinstance(plan, Every) and not wanted(plan):
+            return empty
+        means = {f: sum(s[f"{f}_len"] for s in segments) / n for f in FIELDS} | dict.fromkeys(WHOLE, 1.0)
+        terms, scoring = wanted(plan), wanted(plan, False)
+        of_it = reduce(Column.__or__, [(F.col("field") == f) & (F.col("gram") == t) for f, t in sorted(terms)], F.lit(False))
+        all_blocks = self._blocks(sorted({t for _, t in terms}), segments).where(of_it)
+        # The heads of blocks: a few numbers for each term and range.
+        heads = stored(all_blocks.select("segment", "range", "field", "gram", "n", "top", "short"))
+        weights = {(r.field, r.gram): idf(n, r.df) for r in heads.groupBy("field", "gram").agg(F.sum("n").alias("df")).collect() if (r.field, r.gram) in scoring}
+        term = F.concat("field", F.lit(":"), "gram")
+        weight = F.create_map(*[F.lit(x) for f, t in sorted(scoring) for x in (f"{f}:{t}", weights.get((f, t), 0.0))]) if scoring else F.create_map(F.lit(""), F.lit(0.0))
+        mean = F.create_map(*[F.lit(x) for f, v in means.items() for x in (f, v or 1.0)])
+        adds = lambda tf, length: F.coalesce(part(weight[term], F.col(tf), F.col(length), mean[F.col("field")]), F.lit(0.0))
+        have = lambda f, t: F.array_contains("have", f"{f}:{t}")
+        if isinstance(plan, Every) or self._free(plan):
+            ranges = None  # pages without any of the terms may match: all of them are looked at
+        else:
+            tops = heads.groupBy("segment", "range", "field", "gram").agg(F.max(adds("top", "short")).alias("most"))
+            ranges = tops.groupBy("segment", "range").agg(F.collect_set(term).alias("have"), F.sum("most").alias("bound"))
+            ranges = stored(ranges.where(matches(plan, have, possible=True)).select("segment", "range", "bound"))
+
+        def scored(chosen: DataFrame | None) -> DataFrame:
+            b = all_blocks if chosen is None else all_blocks.join(chosen.select("segment", "range"), ["segment", "range"], "left_semi")
+            pages = self._rows(b).groupBy("segment", "ord").agg(F.collect_set(term).alias("have"), F.round(F.sum(adds("tf", "len")), 6).alias("score"))
+            if chosen is None:
+                every = self._read("pages", self.PAGE, segments).select("segment", "ord")
+                none = F.array().cast("array<string>")
+                pages = every.join(pages, ["segment", "ord"], "left").select("segment", "ord", F.coalesce("have", none).alias("have"), F.coalesce("score", F.lit(0.0)).alias("score"))
+            return self._alive(pages.where(matches(plan, have)).select("segment", "ord", "score"), segments)
+
+        def last_place(d: DataFrame) -> float | None:
+            first = d.orderBy(F.desc("score")).limit(limit).agg(F.min("score"), F.count(F.lit(1))).first()
+            return first[0] if first[1] == limit else None
+
+        chosen = ranges
+        if ranges is not None:
+            best = ranges.orderBy(F.desc("bound"), "segment", "range").limit(FIRST)
+            reach = last_place(scored(best))
+            if reach is not None:
+                chosen = ranges.where(F.col("bound") >= reach - 1e-6)
+        found = stored(scored(chosen))
+        reach = last_place(found)
+        if reach is not None:
+            found = found.where(F.col("score") >= reach)  # ties are settled by name
+        named = found.join(self._read("pages", self.PAGE, segments).select("segment", "ord", *self.KEYS), ["segment", "ord"])
+        return named.orderBy(F.desc("score"), *self.KEYS).limit(limit).select(*self.KEYS, "score")
+
+    @staticmethod
+    def _free(plan: Word | Every | Clauses) -> bool:
+        """Whether a page without any of its terms may match."""
+        if isinstance(plan, Clauses):
+            return all(map(Index._free, plan.must)) if plan.must else any(map(Index._free, plan.should))
+        return isinstance(plan, Every)
 
 
 def rebuilt(w, path: str) -> Index:
