@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ._common import frugal, pieces, stored, table, texts
 
 WINDOW = 10  # words
+CROWD = 16  # places of a seed that are compared one by one; a seed of more has its windows in a table
 MAX_WORDS = 1_000_000  # of benchmark text in one automaton
 MAX_CHARACTERS = 12_000_000  # of benchmark text that is broadcast at all
 
@@ -68,14 +69,40 @@ class Items:
             self.places += [place] * (n + 1)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for seed, at in seeds.items():
-            self.automaton.add_word(seed, (len(seed), at))
+            self.automaton.add_word(seed, (len(seed), at, self._windows(len(seed), at) if len(at) > CROWD else None))
         self.automaton.make_automaton()
         self.empty = not seeds
 
+    def _windows(self, n: int, places: list[int]) -> dict[tuple[int, ...], list[int]]:
+        """The windows around a seed that many items share, and items that are no more than the seed, with their items."""
+        own, size, found = self.words, self.size, {}
+        for at in places:
+            if own[at - 1] == -1 and own[at + n] == -1:
+                found.setdefault(tuple(own[at : at + n]), []).append(self.places[at])
+                continue
+            for first in range(at + n - size, at + 1):
+                if first > 0 and len(window := tuple(own[first : first + size])) == size and -1 not in window:
+                    items = found.setdefault(window, [])
+                    if not items or items[-1] != self.places[at]:
+                        items.append(self.places[at])
+        return found
+
     def hits(self, words: list[int]) -> Iterator[tuple[int, int, int]]:
         """(first, end, place): runs of words in which windows of an item lie."""
         own, size = self.words, self.size
-        for last, (n, places) in self.automaton.iter(tuple(words)):
+        met: set[tuple[int, ...]] = set()
+        for last, (n, places, windows) in self.automaton.iter(tuple(words)):
+            if windows is not None:
+                # However many items share the seed, each window around it is looked up once, and its items are told once a text.
+                end = last + 1
+                for first, to in {(end - n, end), *((a, a + size) for a in range(max(0, end - size), end - n + 1) if a + size <= len(words))}:
+                    window = tuple(words[first:to])
+                    items = windows.get(window)
+                    if items:
+                        for place in items[:1] if window in met else items:
+                            yield first, to, place
+                        met.add(window)
+                continue
             for at in places:
                 first, a, b, end = last - n + 1, at, at + n, last + 1
                 most = max(0, size - n)

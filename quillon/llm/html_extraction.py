@@ -175,9 +175,14 @@ BUCKETS = 96
 N_FEATURES = NUMBERS + len(TAGS) + BUCKETS
 
 
-def features(page: Page) -> np.ndarray:
+#: Nodes whose features are held at once, whatever the size of a page.
+NODES = 1 << 14
+
+
+def feature_slices(page: Page) -> Iterator[tuple[int, np.ndarray]]:
+    """First node and features of NODES nodes after nodes; what is kept for all nodes of a page are a few numbers each."""
     n = len(page.tag)
-    own = np.zeros((n, 7))  # characters, linked characters, words, punctuation, stretches, nodes, paragraphs
+    own = np.zeros((n, 7), np.float32)  # characters, linked characters, words, punctuation, stretches, nodes, paragraphs
     for node, linked, parts in page.text:
         if parts:
             text = "".join(parts)
@@ -185,8 +190,9 @@ def features(page: Page) -> np.ndarray:
             size = sum(map(len, words))
             own[node] += (size, size * linked, len(words), len(PUNCTUATION.findall(text)) if size else 0, 1, 0, 0)
     parent = page.parent
-    depth, index, count, same = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    depth, index, count, same, above = ([0] * n for _ in range(5))
     alike: dict[tuple[int, str], int] = {}
+    bit = {tag: 1 << k for k, tag in enumerate(ANCESTORS)}
     for i in range(1, n):
         p = parent[i]
         depth[i] = depth[p] + 1
@@ -194,45 +200,57 @@ def features(page: Page) -> np.ndarray:
         count[p] += 1
         key = (p, page.tag[i])
         alike[key] = alike.get(key, 0) + 1
-        own[i, 5] = 1
-        own[i, 6] = page.tag[i] == "p"
-    whole = own.copy()
-    for i in range(n - 1, 0, -1):
-        whole[parent[i]] += whole[i]
-    up = np.array([max(p, 0) for p in parent])
+        above[i] = above[p] | bit.get(page.tag[p], 0)
     for i in range(1, n):
         same[i] = alike[parent[i], page.tag[i]]
+    own[1:, 5] = 1
+    own[1:, 6] = [t == "p" for t in page.tag[1:]]
+    rows = own.tolist()  # added up exactly, as doubles
+    for i in range(n - 1, 0, -1):
+        up, mine = rows[parent[i]], rows[i]
+        for k in range(7):
+            up[k] += mine[k]
+    whole = np.array(rows)
+    del rows, alike
+    up = np.maximum(np.array(parent, np.int64), 0)
+    depth, index, count, same, above = (np.array(c, np.int64) for c in (depth, index, count, same, above))
     size, total = whole[:, 0], max(whole[0, 0], 1.0)
-    x = np.zeros((n, N_FEATURES), np.float32)
-    x[:, 0], x[:, 1], x[:, 2], x[:, 3] = depth, index, count[up] - index, count
-    x[:, 4], x[:, 5] = same, same / np.maximum(count[up], 1)
-    x[:, 6], x[:, 7] = np.log1p(size), size / total
-    x[:, 8] = whole[:, 1] / np.maximum(size, 1)
-    x[:, 9] = whole[:, 3] / np.maximum(whole[:, 2], 1)
-    x[:, 10] = size / np.maximum(whole[:, 5], 1)  # text density of the subtree
-    x[:, 11], x[:, 12] = whole[:, 5], whole[:, 6] / np.maximum(whole[:, 5], 1)
-    x[:, 13] = size / np.maximum(whole[:, 2], 1)
-    x[:, 14], x[:, 15] = np.log1p(own[:, 0]), whole[:, 2] / np.maximum(whole[:, 4], 1)
-    x[:, 16] = size / np.maximum(size[up], 1)
-    x[:, 17] = x[up, 8]
-    x[:, 18] = [TAG_NUMBER.get(page.tag[p], len(TAGS)) for p in up]
-    x[:, 19] = x[up, 10]
-    x[:, 20] = np.arange(n) / n
-    x[:, 21] = whole[:, 6]
-    x[:, 22], x[:, 23] = page.tag.count("article"), page.tag.count("main")
-    for i in range(1, n):
-        x[i, 24:NUMBERS] = x[parent[i], 24:NUMBERS]
-        if page.tag[parent[i]] in ANCESTORS:
-            x[i, 24 + ANCESTORS.index(page.tag[parent[i]])] = 1
-    for i in range(1, n):
-        t = TAG_NUMBER.get(page.tag[i])
-        if t is not None:
-            x[i, NUMBERS + t] = 1
-        if page.attributes[i]:
-            for m in ATTRIBUTE.finditer(page.attributes[i]):
-                for token in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower()):
-                    x[i, NUMBERS + len(TAGS) + zlib.crc32(token.encode()) % BUCKETS] = 1
-    return x
+    linked, density = (whole[:, 1] / np.maximum(size, 1)).astype(np.float32), (size / np.maximum(whole[:, 5], 1)).astype(np.float32)
+    articles, mains = page.tag.count("article"), page.tag.count("main")
+    for a in range(0, n, NODES):
+        b = min(n, a + NODES)
+        w, o, u, k = whole[a:b], own[a:b], up[a:b], count[up[a:b]]
+        x = np.zeros((b - a, N_FEATURES), np.float32)
+        x[:, 0], x[:, 1], x[:, 2], x[:, 3] = depth[a:b], index[a:b], k - index[a:b], count[a:b]
+        x[:, 4], x[:, 5] = same[a:b], same[a:b] / np.maximum(k, 1)
+        x[:, 6], x[:, 7] = np.log1p(w[:, 0]), w[:, 0] / total
+        x[:, 8] = linked[a:b]
+        x[:, 9] = w[:, 3] / np.maximum(w[:, 2], 1)
+        x[:, 10] = density[a:b]  # text density of the subtree
+        x[:, 11], x[:, 12] = w[:, 5], w[:, 6] / np.maximum(w[:, 5], 1)
+        x[:, 13] = w[:, 0] / np.maximum(w[:, 2], 1)
+        x[:, 14], x[:, 15] = np.log1p(o[:, 0].astype(float)), w[:, 2] / np.maximum(w[:, 4], 1)
+        x[:, 16] = w[:, 0] / np.maximum(size[u], 1)
+        x[:, 17] = linked[u]
+        x[:, 18] = [TAG_NUMBER.get(page.tag[p], len(TAGS)) for p in u.tolist()]
+        x[:, 19] = density[u]
+        x[:, 20] = np.arange(a, b) / n
+        x[:, 21] = w[:, 6]
+        x[:, 22], x[:, 23] = articles, mains
+        x[:, 24:NUMBERS] = above[a:b, None] >> np.arange(len(ANCESTORS)) & 1
+        for i in range(max(a, 1), b):
+            t = TAG_NUMBER.get(page.tag[i])
+            if t is not None:
+                x[i - a, NUMBERS + t] = 1
+            if page.attributes[i]:
+                for m in ATTRIBUTE.finditer(page.attributes[i]):
+                    for token in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower()):
+                        x[i - a, NUMBERS + len(TAGS) + zlib.crc32(token.encode()) % BUCKETS] = 1
+        yield a, x
+
+
+def features(page: Page) -> np.ndarray:
+    return np.concatenate([x for _, x in feature_slices(page)])
 
 
 # --- boosted trees -------------------------------------------------------------------------------------------------
@@ -474,12 +492,32 @@ def fitted(pages: int = 1600, seed: int = 1) -> Trees:
 # --- Spark ---------------------------------------------------------------------------------------------------------
 
 
+def node_odds(pages: list[Page], trees: Trees) -> list[np.ndarray]:
+    """Log odds of all nodes; some NODES of them are looked at together, be they of many pages or a part of one."""
+    out, held, rows = [np.zeros(len(p.tag)) for p in pages], [], 0
+
+    def settle() -> None:
+        odds, at = trees.log_odds(np.concatenate([x for *_, x in held])), 0
+        for k, a, x in held:
+            out[k][a : a + len(x)] = odds[at : at + len(x)]
+            at += len(x)
+        held.clear()
+
+    for k, page in enumerate(pages):
+        for a, x in feature_slices(page):
+            held.append((k, a, x))
+            rows += len(x)
+            if rows >= NODES:
+                settle()
+                rows = 0
+    if held:
+        settle()
+    return out
+
+
 def extract_many(sources: list[str | None], trees: Trees) -> list[str]:
     pages = [Page(s or "") for s in sources]
-    x = [features(p) for p in pages]
-    odds = trees.log_odds(np.concatenate(x)) if x else np.zeros(0)
-    ends = np.cumsum([len(a) for a in x])
-    return [p.blocks(decode(p.parent, odds[e - len(a) : e])) for p, a, e in zip(pages, x, ends, strict=True)]
+    return [p.blocks(decode(p.parent, odds)) for p, odds in zip(pages, node_odds(pages, trees), strict=True)]
 
 
 def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:

@@ -120,9 +120,9 @@ def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int
         for big in batches:
             for batch in pieces(big):
                 bucket, begin = ngram_buckets(*utf8(batch.column("text")), BUCKETS)
-                sums = np.concatenate([[0.0], np.cumsum(ratios.value[bucket])])
-                n = np.diff(begin)
-                total = sums[begin[1:]] - sums[begin[:-1]]
+                n, total = np.diff(begin), np.zeros(len(begin) - 1)
+                if len(bucket):  # each text on its own, so that equal ones weigh alike to the last bit
+                    total[n > 0] = np.add.reduceat(ratios.value[bucket], begin[:-1][n > 0])
                 weight = total * np.minimum(1.0, effective / np.maximum(n, 1)) if effective else total
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(weight, mask=n == 0)], ["doc_id", "n_ngrams", "log_weight"])
 

@@ -43,3 +43,43 @@ def test_equals_brute_force(spark, odd, empty):
     assert got == Counter((r.doc_id, *brute(r.text, items)) for r in odd.collect())
     assert find(empty, bench).collect() == []
     assert not any(r.contaminated for r in find(d, bench.limit(0)).collect())
+
+
+def test_items_that_share_their_beginning():
+    """Hot seeds: each window around one is looked up once, however many items share the seed."""
+    import time
+
+    from quillon.llm import decontamination as D
+
+    phrase = "which of the following is the"
+    items = [(i, f"{phrase} thing number {i} of kind {i % 7} {'x ' * (i % 3)}") for i in range(20_000)]
+    built = D.Items(items, 10)
+    number = lambda text: [built.number.get(w, 0) for w in D.normal_words(text)]
+    hot, plain = number(f"{phrase} other " * 200), number("what of a thing which is " * 200)
+    times = []
+    for words in (hot, plain):
+        began = time.process_time()
+        assert list(built.hits(words)) == []
+        times.append(time.process_time() - began)
+    assert times[0] < 0.1
+    found = set(built.hits(number(f"so {phrase} thing number 77 of kind 0 x x here")))
+    assert {place for *_, place in found} == {77} and min(a for a, *_ in found) == 1
+
+
+def test_crowded_seeds_equal_brute_force(monkeypatch):
+    from quillon.llm import decontamination as D
+
+    rng = random.Random(5)
+    for crowd in (0, 1, 3):
+        monkeypatch.setattr(D, "CROWD", crowd)
+        for _ in range(60):
+            word = lambda: rng.choice(["a", "b", "c"])
+            items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 9])))) for i in range(12)]
+            doc = " ".join(word() for _ in range(rng.randrange(30)))
+            built = D.Items(list(items), 4)
+            words = [built.number.get(w, 0) for w in D.normal_words(doc)]
+            found = list(built.hits(words))
+            n_words, n_hit, n_items, digest, _ = brute(doc, items, 4)
+            assert len({i for a, b, _ in found for i in range(a, b)}) == n_hit
+            ids = sorted({str(items[place][0]) for *_, place in found})
+            assert (len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()) == (n_items, digest)

@@ -73,3 +73,15 @@ def test_odd_tables(spark, odd, empty):
     assert resample(empty, target).collect() == []
     assert all(r.log_weight == 0 for r in resample(odd, target.limit(0)).collect() if r.n_ngrams)
     assert words_of(*arrays([]))[0].size == 0
+
+
+def test_equal_texts_weigh_alike(spark):
+    """Whatever stands beside them: rows of one text are drawn together."""
+    from quillon.llm.quality_classifier import resample
+
+    texts = ["the same text with a few words of its own"] * 4
+    rows = [(i % 3, t) for i, t in enumerate(texts)] + [(100 + i, f"some other words {i} " * (i % 50)) for i in range(300)] + [(7, texts[0]), (2, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(100 + i,) for i in range(0, 300, 3)], "doc_id long")
+    weights = {r.log_weight for r in resample(docs, target).where("doc_id < 50").collect()}
+    assert len(weights) == 1
