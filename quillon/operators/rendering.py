@@ -1,11 +1,18 @@
-"""Pages rendered against the wiki: what their markup asks about is looked up by joins first, so that no task asks anything.
+"""Pages rendered against the wiki. A page is rendered once, with what it asks about written down; the answers are joined to the rendered
+rows and put into their trees. So titles that only come up while a page is rendered (built from a template's arguments, relative to
+the page) are looked up like any others, and nothing is guessed beforehand.
 
-Defined results: a null text is an empty page; pages without links, includes or files need no row of the lookups; repeated rows of one
-id are rendered row by row with the lookups of all of them; extra columns are ignored.
+Templates are shared: the most used ones, up to SHARED_BYTES, go to every task as one dictionary, with what their fixed links refer to,
+and leave no copy in any page's row. Only pages that include other templates are rendered a second time, with these joined to them.
+Templates don't expand what they include in turn, so two rounds are all there can be.
+
+Defined results: a null text is an empty page; a page may ask for nothing; repeated rows are rendered row by row; of templates of one name
+the least text counts, null being empty; extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -20,6 +27,8 @@ from ..sources.storage import stored
 from .markup import STEP, rows_of
 from .pages import live, with_titles
 
+SHARED_BYTES = 32 << 20  # of templates that go to every task
+
 
 def candidates(pages: DataFrame) -> DataFrame:
     """(id, kind, target) that pages(id, title, text) may ask about: links relative to their page, includes, files."""
@@ -33,45 +42,121 @@ def existing(w, asked: DataFrame) -> DataFrame:
     return named.join(alive, ["namespace", "title"], "left_semi").select("target")
 
 
-def with_context(w, pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """pages(id, title, text) with exists, the titles that the page or a template of it links to and that are live, and templates, the
-    name and text of what it includes. templates(name, text) is the table of all of them."""
-    refs = stored(candidates(pages))
-    includes = refs.where("kind = 'include'").select("id", F.col("target").alias("name")).distinct()
-    used = stored(includes.join(templates.select("name", "text"), "name"))
-    # Links inside a template count for the pages that include it; each template is read once.
-    inner = stored(candidates(templates.join(used.select("name").distinct(), "name", "left_semi").select(F.xxhash64("name").alias("id"), F.lit("").alias("title"), "text")))
-    inherited = used.select("id", F.xxhash64("name").alias("t")).join(inner.withColumnRenamed("id", "t"), "t").where("kind = 'link'").select("id", "target")
-    links = refs.where("kind = 'link'").select("id", "target").union(inherited).distinct()
-    there = stored(existing(w, links.select("target").distinct()))
-    known = links.join(there, "target").groupBy("id").agg(F.array_sort(F.collect_set("target")).alias("exists"))
-    texts = used.groupBy("id").agg(F.collect_list(F.struct("name", "text")).alias("templates"))
-    return pages.select("id", "title", "text").join(known, "id", "left").join(texts, "id", "left")
-
-
-def rendered(w, pages: DataFrame, templates: DataFrame, now: datetime | None = None) -> DataFrame:
-    """id, tree (JSON of what is shown), redirect, categories, unknown: how many titles the page asked about that the lookups missed."""
-    looked_up = with_context(w, pages, templates)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "tree", "redirect", "categories", "unknown"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64()]
-        pack = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
-        for batch in batches:
-            out, size = [], 0
-            for i in range(batch.num_rows):
-                key, title, text, exists, given = (batch.column(c)[i].as_py() for c in ("id", "title", "text", "exists", "templates"))
-                templates = {t["name"]: t["text"] or "" for t in given or ()}
-                asked = {t for k, t in M.references(text or "", title or "") if k == "link"} | {t for source in templates.values() for k, t in M.references(source) if k == "link"}
-                tree, r = R.resolve(text or "", R.Context(frozenset(exists or ()), templates, {}, title or "", now))
-                out.append((key, R.to_json(tree), tree["redirect"], tree["categories"], len(r.asked["link"] - asked)))
-                size += len(text or "")
-                if size >= STEP:
-                    yield pack(out)
-                    out, size = [], 0
-            yield pack(out)
-
-    return looked_up.select("id", "title", "text", "exists", "templates").mapInArrow(run, "id long, tree string, redirect string, categories array<string>, unknown long")
+def answered(w, asked: DataFrame) -> DataFrame:
+    """Of asked(kind, target), each once, those with an answer: links to live pages, images whose file page is live."""
+    files = with_titles(live(w.revision).select("document_id"), w.document, w.namespace).where("namespace = 'file'").select(F.col("title").alias("target"))
+    links = existing(w, asked.where("kind = 'link'").select("target")).select(F.lit("link").alias("kind"), "target")
+    return links.union(asked.where("kind = 'image'").select("target").join(files, "target", "left_semi").select(F.lit("image").alias("kind"), "target"))
+
+
+def file_url(name: str) -> str:
+    """Where a file is served; a fixed form."""
+    return f"/file/{name}"
+
+
+def shared_templates(pages: DataFrame, templates: DataFrame, most: int) -> tuple[dict[str, str], DataFrame | None]:
+    """Templates for every task, and the table of the others if there are any: all of them if they are small enough, else those of the
+    highest classes of use that together are."""
+    texts = templates.where("name is not null").groupBy("name").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    if (texts.agg(F.sum(F.octet_length("text") + F.octet_length("name"))).first()[0] or 0) <= most:
+        return {r.name: r.text for r in texts.collect()}, None
+    uses = candidates(pages).where("kind = 'include'").groupBy(F.col("target").alias("name")).agg(F.count(F.lit(1)).alias("uses"))
+    used = stored(texts.join(uses, "name").withColumn("class", F.floor(4 * F.log2("uses")).cast("int")))
+    sizes = used.groupBy("class").agg(F.sum(F.octet_length("text") + F.octet_length("name")).alias("n")).collect()  # some hundred classes at most
+    least = None
+    for r in sorted(sizes, key=lambda r: -r["class"]):
+        if r.n > most:
+            break
+        least, most = r["class"], most - r.n
+    if least is None:
+        return {}, used.select("name", "text")
+    return {r.name: r.text for r in used.where(F.col("class") >= least).select("name", "text").collect()}, used.where(F.col("class") < least).select("name", "text")
+
+
+def put_in(tree: dict, links: set[str], images: set[str]) -> dict:
+    """A tree with the answers to what it asked: links to pages that are there, images with their files."""
+    todo: list = [tree]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += x
+        elif isinstance(x, dict):
+            if x.get("type") == "documentLink" and x["kind"] == "missing" and x["title"] in links:
+                x["kind"] = "existing"
+            elif x.get("type") == "image" and x["fileName"] in images:
+                x["url"] = file_url(x["fileName"])
+            todo += [v for v in x.values() if isinstance(v, (dict, list))]
+    return tree
+
+
+FIRST = "id long, title string, text string, tree string, redirect string, categories array<string>, links array<string>, images array<string>, wanting array<string>, unknown long"
+LIST = pa.list_(pa.string())
+
+
+def _in_steps(batches: Iterator[pa.RecordBatch], columns: list[str], make, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """make(values) of each row as rows of batches that end after some text."""
+    pack = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+    for batch in batches:
+        out, size = [], 0
+        for values in zip(*(batch.column(c) for c in columns), strict=True):
+            out.append(make(*(v.as_py() for v in values)))
+            size += sum(len(v) for v in out[-1] if isinstance(v, str))
+            if size >= STEP:
+                yield pack(out)
+                out, size = [], 0
+        yield pack(out)
+
+
+def rendered(w, pages: DataFrame, templates: DataFrame, now: datetime | None = None, most: int = SHARED_BYTES) -> DataFrame:
+    """id, tree (JSON of what is shown), redirect, categories, unknown (how many titles the page asked about that were not looked up)."""
+    spark = pages.sparkSession
+    pages = pages.select(F.col("id").cast("long").alias("id"), F.col("title").cast("string").alias("title"), F.col("text").cast("string").alias("text"))
+    hot, others = shared_templates(pages, templates, most)
+    fixed = {(k, t) for source in hot.values() for k, t in M.references(source) if k in ("link", "image") and t[:3] != "../" and t[:1] != "/"}
+    known = answered(w, spark.createDataFrame(sorted(fixed), "kind string, target string")).collect() if fixed else []
+    shared = spark.sparkContext.broadcast((hot, fixed, {t for k, t in known if k == "link"}, {t: file_url(t) for k, t in known if k == "image"}))
+    complete = others is None
+
+    def render(id_: int, title: str | None, text: str | None, own: list[dict] | None, last: bool) -> tuple:
+        given, asked, exists, files = shared.value
+        mine = given | {t["name"]: t["text"] for t in own} if own else given
+        tree, r = R.resolve(text or "", R.Context(frozenset(exists), mine, files, title or "", now))
+        wanting = [] if last else sorted(t for t in r.asked["include"] if t not in mine)
+        left = [sorted(t for t in r.asked[k] if (k, t) not in asked) for k in ("link", "image")]
+        return id_, title, text if wanting else None, R.to_json(tree), tree["redirect"], tree["categories"], *left, wanting, 0
+
+    names = [c.split(" ")[0] for c in FIRST.split(", ")]
+    kinds = [pa.int64(), *[pa.string()] * 4, *[LIST] * 4, pa.int64()]
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_steps(batches, ["id", "title", "text"], lambda *v: render(*v, None, complete), names, kinds)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_steps(batches, ["id", "title", "text", "own"], lambda *v: render(*v, True), names, kinds)
+
+    rows = stored(pages.mapInArrow(once, FIRST).withColumn("row", F.monotonically_increasing_id()))
+    if not complete:
+        more = rows.where(F.size("wanting") > 0)
+        own = more.select("row", F.explode("wanting").alias("name")).join(others, "name").groupBy("row").agg(F.collect_list(F.struct("name", "text")).alias("own"))
+        second = more.select("row", "id", "title", "text").join(own, "row").select("id", "title", "text", "own").mapInArrow(again, FIRST)
+        settled = rows.join(own.select("row"), "row", "left_anti").drop("row")
+        rows = stored(settled.unionByName(second).withColumn("row", F.monotonically_increasing_id()))
+    of_kind = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target"))
+    every = F.concat(F.transform("links", of_kind("link")), F.transform("images", of_kind("image")))
+    asked = rows.select("row", F.explode(every).alias("a")).select("row", "a.*")
+    answers = stored(answered(w, asked.select("kind", "target").distinct()))
+    told = asked.join(answers, ["kind", "target"]).groupBy("row").agg(F.collect_list(F.struct("kind", "target")).alias("told"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make(id_: int, tree: str, redirect: str | None, categories: list[str], told: list[dict] | None, unknown: int) -> tuple:
+            if told:
+                of = lambda kind: {t["target"] for t in told if t["kind"] == kind}
+                tree = R.to_json(put_in(json.loads(tree), of("link"), of("image")))
+            return id_, tree, redirect, categories, unknown
+
+        yield from _in_steps(batches, ["id", "tree", "redirect", "categories", "told", "unknown"], make, ["id", "tree", "redirect", "categories", "unknown"], [pa.int64(), pa.string(), pa.string(), LIST, pa.int64()])
+
+    return rows.join(told, "row", "left").select("id", "tree", "redirect", "categories", "told", "unknown").mapInArrow(settle, "id long, tree string, redirect string, categories array<string>, unknown long")
 
 
 def references_asked(pages: DataFrame, templates: DataFrame | None = None) -> DataFrame:
