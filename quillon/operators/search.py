@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from ..sources.manifest import Manifests
 from ..sources.storage import stored
-from .changes import numbered
 from .pages import live, with_titles
 
 K1, B = 1.2, 0.75
@@ -264,14 +263,15 @@ def redirects_to(w, queries: DataFrame) -> DataFrame:
 
 # --- stored index -------------------------------------------------------------------------------------------------------
 
-RANGE = 1024  # pages whose postings lie together
+RANGE = 1024  # pages whose postings lie together; a block has their places in the range
 FIRST = 16  # ranges that a search scores to learn what the others must reach
-BLOCK = "field string, gram string, range long, pages array<long>, tfs array<long>, lens array<long>, n long, top long, short long"
+BLOCK = "field string, gram string, range long, pages array<smallint>, tfs array<int>, n long, top long, short long"
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pages(ord, namespace, title, content) in order of ord: for each term of a range of pages a row with the pages that have it, and
-    what bounds its part of a score, its highest count and shortest text. Ranges of many megabytes come in several rows."""
+    """Of pages(ord, namespace, title, content) in stretches in order of ord: for each term of a range of pages a row with the pages that have
+    it, and what bounds its part of a score, its highest count and shortest text. Ranges of many megabytes, and those that two tasks
+    read, come in several rows."""
 
     def packed(t: str) -> Iterator[tuple[np.ndarray, int]]:
         code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
@@ -313,7 +313,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block(number: int, name: str, terms: list[str], first: np.ndarray, o: np.ndarray, n: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
         ends = pa.array(np.append(first, len(o)), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (o, n, k)]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((o - number * RANGE).astype(np.int16), n.astype(np.int32))]
         whole = [np.diff(np.append(first, len(o))), np.maximum.reduceat(n, first), np.minimum.reduceat(k, first)]
         columns = [pa.array([name] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array([number] * len(terms), pa.int64()), *lists, *(pa.array(x.astype(np.int64)) for x in whole)]
         return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in BLOCK.split(", ")])
@@ -393,16 +393,22 @@ class Index:
     def commit(self) -> None:
         if not self._log:
             return
-        calls = reduce(DataFrame.unionByName, self._log).groupBy(*self.KEYS).agg(F.max(F.struct("call", "there", "content")).alias("c"))
-        last = stored(calls.select(*self.KEYS, "c.there", "c.content"))
+        calls = reduce(DataFrame.unionByName, self._log)
+        # Keys alone are grouped. Contents move only where several rows have a key.
+        keys = stored(calls.groupBy(*self.KEYS).agg(F.max("call").alias("last"), F.count(F.lit(1)).alias("rows"), F.max_by("there", "call").alias("there")))
+        several = keys.where("rows > 1").select(*self.KEYS, "last")
+        put = calls.where("there").select(*self.KEYS, "content", "call")
+        if not several.isEmpty():
+            settled = put.join(several, self.KEYS).where(F.col("call") == F.col("last")).groupBy(*self.KEYS).agg(F.max("content").alias("content"))
+            put = put.join(several, self.KEYS, "left_anti").select(*self.KEYS, "content").unionByName(settled)
         number, content = self.manifests.newest()
         older, number = content.get("segments", []), number + 1
         n_dead = 0
         if older:
-            out = self._alive(self._read("pages", self.PAGE, older).select("segment", "ord", *self.KEYS), older).join(last.select(*self.KEYS), self.KEYS, "left_semi")
+            out = self._alive(self._read("pages", self.PAGE, older).select("segment", "ord", *self.KEYS), older).join(keys.select(*self.KEYS), self.KEYS, "left_semi")
             out.select("segment", "ord").write.mode("overwrite").parquet(f"{self.path}/segments/{number}/dead")
             n_dead = self.spark.read.schema(self.DEAD).parquet(f"{self.path}/segments/{number}/dead").count()
-        new = self._segment(number, last.where("there").select(*self.KEYS, "content")) | {"dead": n_dead}
+        new = self._segment(number, put.select(*self.KEYS, "content")) | {"dead": n_dead}
         self.manifests.publish(number, {"segments": older + [new]})
         self._log = []
 
@@ -427,17 +433,18 @@ class Index:
         """Writes a segment of pages(namespace, title, content), each key once; what the manifest says of it."""
         path = f"{self.path}/segments/{number}"
         sized = pages.select(*self.KEYS, "content", *[n_grams(F.col(f)).alias(f"{f}_len") for f in FIELDS])
-        # Short texts score high: in order of length, ranges differ in what they can score.
-        ordered = numbered(sized, ["content_len", *self.KEYS], F.lit(-1), "ord").select(*(c.split(" ")[0] for c in self.PAGE.split(", ")))
-        ordered.write.mode("overwrite").parquet(f"{path}/pages")
+        # Short texts score high: in order of length, ranges differ in what they can score. This is the one move of contents.
+        order = ["content_len", *self.KEYS]
+        ordered = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id())
+        ordered.select(*(c.split(" ")[0] for c in self.PAGE.split(", "))).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/pages")
         d = self.spark.read.schema(self.PAGE).parquet(f"{path}/pages")
         n, *sums = d.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"{f}_len"), F.lit(0)) for f in FIELDS]).first()
-        rows = d.select("ord", *self.KEYS, "content").repartitionByRange("ord").sortWithinPartitions("ord").mapInArrow(blocks, BLOCK)
+        rows = d.select("ord", *self.KEYS, "content").mapInArrow(blocks, BLOCK)  # files are in order of ord
         rows = rows.withColumn("bucket", F.pmod(F.hash("gram"), F.lit(BUCKETS)))
         spread = max(1, sum(sums) // (BUCKETS << 24))  # files of a bucket: some 16 million postings each
         # Terms lie sorted in their files, whose statistics then keep a search from reading other terms' rows.
         rows = rows.repartition(BUCKETS * spread, "bucket", F.pmod(F.hash("range"), F.lit(spread))).sortWithinPartitions("bucket", "gram", "field", "range")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         return {"number": number, "pages": n, "postings": n, **{f"{f}_len": k for f, k in zip(FIELDS, sums, strict=True)}}
 
     def _blocks(self, terms: list[str] | None, segments: list[dict[str, Any]]) -> DataFrame:
@@ -449,13 +456,14 @@ class Index:
 
     @staticmethod
     def _rows(d: DataFrame) -> DataFrame:
-        return d.select("segment", "field", "gram", F.explode(F.arrays_zip("pages", "tfs", "lens")).alias("p")).select("segment", "field", "gram", F.col("p.pages").alias("ord"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len"))
+        place = (F.col("range") * RANGE + F.col("p.pages")).alias("ord")
+        return d.select("segment", "field", "gram", "range", F.explode(F.arrays_zip("pages", "tfs")).alias("p")).select("segment", "field", "gram", place, F.col("p.tfs").cast("long").alias("tf"))
 
     def postings(self) -> DataFrame:
-        """namespace, title, field, len, gram, tf of the pages in force."""
+        """namespace, title, field, gram, tf of the pages in force."""
         segments = self.segments()
         rows = self._rows(self._blocks(None, segments).where(F.col("field").isin(*FIELDS)))
-        return rows.join(self.pages().select("segment", "ord", *self.KEYS), ["segment", "ord"]).select(*self.KEYS, "field", "len", "gram", "tf")
+        return rows.join(self.pages().select("segment", "ord", *self.KEYS), ["segment", "ord"]).select(*self.KEYS, "field", "gram", "tf")
 
     def search(self, query: str, limit: int = 50) -> DataFrame:
         """namespace, title, score."""
@@ -474,23 +482,29 @@ class Index:
         term = F.concat("field", F.lit(":"), "gram")
         weight = F.create_map(*[F.lit(x) for f, t in sorted(scoring) for x in (f"{f}:{t}", weights.get((f, t), 0.0))]) if scoring else F.create_map(F.lit(""), F.lit(0.0))
         mean = F.create_map(*[F.lit(x) for f, v in means.items() for x in (f, v or 1.0)])
-        adds = lambda tf, length: F.coalesce(part(weight[term], F.col(tf), F.col(length), mean[F.col("field")]), F.lit(0.0))
+        adds = lambda name, tf, field, length: F.coalesce(part(weight[name], tf, length, mean[field]), F.lit(0.0))
         have = lambda f, t: F.array_contains("have", f"{f}:{t}")
         if isinstance(plan, Every) or self._free(plan):
             ranges = None  # pages without any of the terms may match: all of them are looked at
         else:
-            tops = heads.groupBy("segment", "range", "field", "gram").agg(F.max(adds("top", "short")).alias("most"))
+            tops = heads.groupBy("segment", "range", "field", "gram").agg(F.max(adds(term, F.col("top"), F.col("field"), F.col("short"))).alias("most"))
             ranges = tops.groupBy("segment", "range").agg(F.collect_set(term).alias("have"), F.sum("most").alias("bound"))
             ranges = stored(ranges.where(matches(plan, have, possible=True)).select("segment", "range", "bound"))
 
+        of_page = lambda t: F.when(t["field"] == "title", F.col("title_len")).when(t["field"] == "content", F.col("content_len")).otherwise(1)
+        pages = self._read("pages", self.PAGE, segments).select("segment", "ord", *[f"{f}_len" for f in FIELDS])
+
         def scored(chosen: DataFrame | None) -> DataFrame:
             b = all_blocks if chosen is None else all_blocks.join(chosen.select("segment", "range"), ["segment", "range"], "left_semi")
-            pages = self._rows(b).groupBy("segment", "ord").agg(F.collect_set(term).alias("have"), F.round(F.sum(adds("tf", "len")), 6).alias("score"))
+            found = self._rows(b).groupBy("segment", "ord").agg(F.collect_list(F.struct(term.alias("term"), "field", "tf")).alias("terms"))
+            have = lambda f, t: F.exists("terms", lambda x: x["term"] == f"{f}:{t}")
             if chosen is None:
-                every = self._read("pages", self.PAGE, segments).select("segment", "ord")
-                none = F.array().cast("array<string>")
-                pages = every.join(pages, ["segment", "ord"], "left").select("segment", "ord", F.coalesce("have", none).alias("have"), F.coalesce("score", F.lit(0.0)).alias("score"))
-            return self._alive(pages.where(matches(plan, have)).select("segment", "ord", "score"), segments)
+                none = F.array().cast(found.schema["terms"].dataType)
+                found = pages.join(found, ["segment", "ord"], "left").withColumn("terms", F.coalesce("terms", none)).where(matches(plan, have))
+            else:
+                found = pages.join(found.where(matches(plan, have)), ["segment", "ord"])
+            score = F.aggregate("terms", F.lit(0.0), lambda sum_, t: sum_ + adds(t["term"], t["tf"], t["field"], of_page(t)))
+            return self._alive(found.select("segment", "ord", F.round(score, 6).alias("score")), segments)
 
         def last_place(d: DataFrame) -> float | None:
             first = d.orderBy(F.desc("score")).limit(limit).agg(F.min("score"), F.count(F.lit(1))).first()
