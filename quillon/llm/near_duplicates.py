@@ -8,7 +8,8 @@ two members that are both unlike the hub: for buckets of three and more that sti
 across components follow from an exact prefix filter, which needs no bound on a bucket's size.
 
 A crowded bucket and a shingle that many sets share are split into parts of PART members or so wherever they meet what is
-known of them, so that no task holds all members of one.
+known of them, so that no task holds all members of one. A shingle in more than COMMON prefixes makes no pairs by itself: sets meet
+by it together with the next shingle that they share, which is just as exact (see across_components).
 
 Defined results: a null or word-free text has an empty set and is linked with nothing; one or two words are one shingle.
 Rows that share a doc_id are one node of the graph, each with its own set size. A null doc_id is linked with nothing; its
@@ -33,6 +34,7 @@ MISS = 1e-7  # chance that no band shows a pair just at the threshold
 SKETCH = 1 << 20  # counters of shingle rarity, which is only about speed
 FAN = 128  # members that are compared with a hub in one group
 PART = 512  # members of a bucket, or sets with a shingle, that a join deals to one task
+COMMON = 4096  # sets that meet by one shingle; where more have it, two must be shared
 BINS_AT_ONCE = 1 << 19  # bins of signatures worked on at once
 _SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -184,7 +186,8 @@ def across_components(pool: DataFrame, size: int, percent: int) -> DataFrame:
 
     Sets as alike as percent share a shingle among the first n - ceil(percent * n / 100) + 1 of each, in any common order;
     in the order of rarity such prefixes hold what sets an edited copy apart, and few others share it (prefix and position
-    filter of exact set similarity joins, Xiao et al. 2008).
+    filter of exact set similarity joins, Xiao et al. 2008). Such sets, of two shingles and more, share two among one more of
+    the first (Wang et al. 2012): if the first that they share is one that many have, they still meet by it and their second.
     """
     sketch = pool.sparkSession.sparkContext.broadcast(rarity(pool, size))
 
@@ -197,16 +200,29 @@ def across_components(pool: DataFrame, size: int, percent: int) -> DataFrame:
                 row = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((h, sketch.value[(h % U64(SKETCH)).astype(np.int64)], row))
                 place = np.arange(len(h)) - begin[row]
-                first = place < (n - -(-percent * n // 100) + 1)[row]
-                row, place, h = row[first], place[first], h[order][first]
+                most = (n - -(-percent * n // 100) + 1)[row]
+                first = place <= most
+                row, place, h, extra = row[first], place[first], h[order][first], (place == most)[first]
                 ids, parts = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "component"))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(parts), pa.array(n[row]), pa.array(place)], ["shingle", "doc_id", "component", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(parts), pa.array(n[row]), pa.array(place), pa.array(extra)], ["shingle", "doc_id", "component", "n", "place", "extra"])
 
     # Sets as alike as percent are of the same class of size or of two next to each other (the factor keeps rounding out of it).
     width = math.log(100 / percent) * (1 + 1e-9)
-    p = stored(pool.select("doc_id", "text", "component").mapInArrow(prefixes, "shingle long, doc_id long, component long, n long, place long"))
-    several = p.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    p = p.join(stored(several.select("shingle", F.ceil(F.col("m") / PART).alias("parts"))), "shingle").withColumn("class", F.floor(F.log("n") / width))
+    every = stored(pool.select("doc_id", "text", "component").mapInArrow(prefixes, "shingle long, doc_id long, component long, n long, place long, extra boolean"))
+    own = every.where("not extra").drop("extra")
+
+    def sharing(rows: DataFrame) -> DataFrame:
+        """shingle and m of those that different components share."""
+        return rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "m")
+
+    counts = stored(sharing(own))
+    p = own.join(counts.where(F.col("m") <= COMMON), "shingle")
+    if not (common := counts.where(F.col("m") > COMMON)).isEmpty():
+        first = own.join(common.select("shingle"), "shingle")
+        then = every.select("doc_id", F.col("shingle").alias("next"), F.col("place").alias("later"))
+        both = stored(first.join(then, "doc_id").where("later > place").select(F.xxhash64("shingle", "next").alias("shingle"), "doc_id", "component", "n", "place"))
+        p = p.unionByName(both.join(stored(sharing(both)), "shingle"))
+    p = p.withColumn("parts", F.ceil(F.col("m") / PART)).drop("m").withColumn("class", F.floor(F.log("n") / width))
     # One side stays in its part of the shingle and its class, the other goes to every part and to the next class as well.
     a, b = (p.select("shingle", "class", "parts", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "n", "place")]) for x in "ab")
     a = a.withColumn("a_class", F.col("class")).withColumn("class", F.explode(F.array("class", F.col("class") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

@@ -68,6 +68,41 @@ def test_families(spark, size, percent):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), size, percent) == brute(rows, size, percent)
 
 
+def test_shingles_that_many_sets_share(spark, monkeypatch):
+    """With two shared shingles asked for, the same links are found among far fewer pairs."""
+    from quillon.llm import near_duplicates as N
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = rng.sample(words, 9)
+        rows.append((i, " ".join(["same", "start", "here", *own])))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join(["same", "start", "here", *own[:8]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pool = docs.withColumn("component", docs["doc_id"])
+    linked = {tuple(sorted((a, b))) for a, x in rows for b, y in rows if a < b and near(x, y, 1, 80)}
+    found = {}
+    for common in (1 << 30, 20, 0):
+        monkeypatch.setattr(N, "COMMON", common)
+        found[common] = {(r.hub, r.member) for r in N.across_components(pool, 1, 80).collect()}
+        assert linked and linked <= found[common]
+    assert len(found[0]) < 0.5 * len(found[1 << 30]) and len(found[20]) < len(found[1 << 30])
+
+
+def near(a, b, size, percent):
+    x, y = (frozenset(tuple(t.split()[i : i + size]) for i in range(len(t.split()) - size + 1)) for t in (a, b))
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
+def test_families_with_common_shingles(spark, monkeypatch):
+    from quillon.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "COMMON", 1)
+    test_families(spark, 3, 85)
+
+
 def test_odd_tables(documents, odd, empty):
     for d in (documents, odd):
         assert got(d, 3, 85) == brute([(r.doc_id, r.text) for r in d.collect()], 3, 85)
