@@ -1,4 +1,9 @@
-"""Permissions, discussions, notifications."""
+"""Permissions, discussions, notifications.
+
+Defined results: null keys match nothing in joins; an address or network that can't be read matches nothing; rules without a document and
+a namespace apply nowhere; memberships and actors in several rows count once; empty tables give empty results, and a request without
+any rule is denied. Every top-k has a total order.
+"""
 
 from __future__ import annotations
 
@@ -47,48 +52,61 @@ def in_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     return each.select("ip", "size", F.substr("bits", F.lit(1), F.col("size")).alias("shared")).join(nets, ["size", "shared"]).select("ip", "net")
 
 
-def actor_classes(w, action: str, as_of: str) -> DataFrame:
-    """(actor_id, class, named, groups): rules can tell actors apart only by whether they have a name, by their active groups, and by
-    the names and networks that rules name; groups holds of these what is true of the actor, the last two as `user:` and `ip:`."""
+NAMED, UNNAMED = "named", "unnamed"
+
+
+def labelled_rules(w, action: str, strict: bool) -> DataFrame:
+    """(document_id, namespace_id, who, evaluation_order, rule_id, allowed): rules by whom they are about, named or unnamed actors, or a
+    group, user or network by `kind:value`. An unknown permission is about everybody, or about nobody if strict. A rule of a document
+    has no namespace."""
+    value, kind = F.col("value"), F.col("kind")
+    both = F.array(F.lit(NAMED), F.lit(UNNAMED))
+    about = F.when(value == "any", both).when(value == "member", F.array(F.lit(NAMED))).when(value == "ip", F.array(F.lit(UNNAMED))).otherwise(F.array().cast("array<string>") if strict else both)
+    who = F.when(kind == "perm", about).otherwise(F.array(F.concat_ws(":", kind, value)))
+    namespace = F.when(F.col("document_id").isNull(), F.col("namespace_id")).alias("namespace_id")
+    return w.acl_rule.where(F.col("action") == action).select("document_id", namespace, F.explode(who).alias("who"), "evaluation_order", F.col("id").alias("rule_id"), "allowed")
+
+
+def settled_rules(w, action: str, strict: bool) -> DataFrame:
+    """(document_id, namespace_id, who, r): the first rule of a document or namespace about each; as many rows as rules at most, each rule
+    of anybody counting twice."""
+    first = F.min(F.struct("evaluation_order", "rule_id", "allowed")).alias("r")
+    return labelled_rules(w, action, strict).groupBy("document_id", "namespace_id", "who").agg(first)
+
+
+def actor_labels(w, action: str, as_of: str) -> DataFrame:
+    """(actor_id, who): what rules can know an actor by: whether they have a name, and of the groups, names and networks that rules name
+    those that are true of them."""
     asked = w.acl_rule.where(F.col("action") == action).select("kind", "value").distinct()
     of = lambda kind, name: asked.where(F.col("kind") == kind).select(F.col("value").alias(name))
-    member = active_members(w, as_of).join(of("group", "name"), "name", "left_semi").select("actor_id", "name")
-    called = w.actor.join(of("user", "user_name"), "user_name").select(F.col("id").alias("actor_id"), F.concat(F.lit("user:"), "user_name").alias("name"))
+    all_ = w.actor.select(F.col("id").alias("actor_id"), F.when(F.col("user_name").isNotNull(), NAMED).otherwise(UNNAMED).alias("who"))
+    member = active_members(w, as_of).join(of("group", "name"), "name", "left_semi").join(w.actor.select(F.col("id").alias("actor_id")), "actor_id", "left_semi").select("actor_id", F.concat(F.lit("group:"), "name"))
+    called = w.actor.join(of("user", "user_name"), "user_name").select("id", F.concat(F.lit("user:"), "user_name"))
     inside = in_networks(w.actor.where("ip is not null").select("ip"), of("ip", "net"))
-    at = w.actor.join(inside, "ip").select(F.col("id").alias("actor_id"), F.concat(F.lit("ip:"), "net").alias("name"))
-    groups = member.union(called).union(at).groupBy("actor_id").agg(F.array_sort(F.collect_set("name")).alias("groups"))
-    who = w.actor.select(F.col("id").alias("actor_id"), F.col("user_name").isNotNull().alias("named")).join(groups, "actor_id", "left")
-    who = who.withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
-    return who.select("actor_id", F.to_json(F.struct("named", "groups")).alias("class"), "named", "groups")
-
-
-def matching(rules: DataFrame, classes: DataFrame, strict: bool, scope: str) -> DataFrame:
-    """(scope column, class, order, rule_id, allowed) of rules that apply. An unknown permission matches everybody, or nobody if strict."""
-    everyone = rules.where("kind = 'perm'").join(F.broadcast(classes.select("class", "named")))
-    value = F.col("value")
-    applies = F.when(value == "any", F.lit(True)).when(value == "member", F.col("named")).when(value == "ip", ~F.col("named")).otherwise(F.lit(not strict))
-    name = F.when(F.col("kind") == "group", value).otherwise(F.concat_ws(":", "kind", value))
-    grouped = rules.where("kind <> 'perm'").join(F.broadcast(classes.select("class", F.explode("groups").alias("grp"))), name == F.col("grp"))
-    keep = [scope, "class", "evaluation_order", "rule_id", "allowed"]
-    return everyone.where(applies).select(keep).unionByName(grouped.select(keep))
+    return all_.union(member).union(called).union(w.actor.join(inside, "ip").select("id", F.concat(F.lit("ip:"), "net"))).distinct()
 
 
 def decisions(w, action: str, as_of: str, strict: bool = True) -> DataFrame:
-    """Every document's decision for every actor, as two kinds of rows: (document_id, class, allowed, rule_id), one per document and
-    class of actors, and (actor_id, class), one per actor. First matching rule by scope, order and id; none means denied.
-    Rules of namespaces are settled once per namespace and class, those of documents only for documents that have some. Classes are
-    at most two for each set of groups that rules name, however many actors there are, so they are broadcast."""
-    actors = actor_classes(w, action, as_of)
-    classes = actors.select("class", "named", "groups").distinct()
-    rules = w.acl_rule.where(F.col("action") == action).withColumn("rule_id", F.col("id"))
-    first = F.min(F.struct("evaluation_order", "rule_id", "allowed"))
-    own = matching(rules.where("document_id IS NOT NULL"), classes, strict, "document_id").groupBy("document_id", "class").agg(first.alias("own"))
-    shared = matching(rules.where("document_id IS NULL"), classes, strict, "namespace_id").groupBy("namespace_id", "class").agg(first.alias("shared"))
-    each = w.document.select(F.col("id").alias("document_id"), "namespace_id").join(F.broadcast(classes.select("class")))
-    settled = each.join(F.broadcast(shared), ["namespace_id", "class"], "left").join(own, ["document_id", "class"], "left").withColumn("r", F.coalesce("own", "shared"))
-    return settled.select("document_id", F.lit(None).cast("long").alias("actor_id"), "class", F.coalesce("r.allowed", F.lit(False)).alias("allowed"), "r.rule_id").unionByName(
-        actors.select(F.lit(None).cast("long").alias("document_id"), "actor_id", "class", F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("long").alias("rule_id"))
-    )
+    """Every document's decision for every actor, in a form that grows with rules and actors, never with their product: what the first rule
+    of a document or a namespace says about each label (document_id or namespace_id, who, allowed, rule_id), and each actor's labels
+    (actor_id, who). An actor may do what the least rule of their labels allows, by evaluation order and id, of the document or else
+    of its namespace; none means denied. decided() joins the two for given requests."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rules = settled_rules(w, action, strict).select("document_id", "namespace_id", none("long").alias("actor_id"), "who", "r.evaluation_order", "r.allowed", "r.rule_id")
+    actors = actor_labels(w, action, as_of).select(none("long").alias("document_id"), none("long").alias("namespace_id"), "actor_id", "who", none("int").alias("evaluation_order"), none("boolean").alias("allowed"), none("long").alias("rule_id"))
+    return rules.unionByName(actors)
+
+
+def decided(w, requests: DataFrame, action: str, as_of: str, strict: bool = True) -> DataFrame:
+    """id, allowed, rule_id for each of requests(id, document_id, actor_id), ids being unique: the first matching rule by scope, order and
+    id; none means denied. Requests meet rules by label in equi-joins; those of a document or actor that isn't there are denied."""
+    rules = settled_rules(w, action, strict)
+    named = requests.select("id", "document_id", "actor_id").join(w.document.select(F.col("id").alias("document_id"), "namespace_id"), "document_id")
+    asked = named.join(actor_labels(w, action, as_of), "actor_id").select("id", "document_id", "namespace_id", "who")
+    own = asked.drop("namespace_id").join(rules.where("document_id is not null").select("document_id", "who", "r"), ["document_id", "who"]).select("id", F.lit(0).alias("scope"), "r.*")
+    shared = asked.drop("document_id").join(rules.where("document_id is null").select("namespace_id", "who", "r"), ["namespace_id", "who"]).select("id", F.lit(1).alias("scope"), "r.*")
+    first = own.union(shared).groupBy("id").agg(F.min(F.struct("scope", "evaluation_order", "rule_id", "allowed")).alias("r"))
+    return requests.select("id").join(first, "id", "left").select("id", F.coalesce("r.allowed", F.lit(False)).alias("allowed"), F.col("r.rule_id").alias("rule_id"))
 
 
 def permission_log(w, limit: int = 100) -> DataFrame:

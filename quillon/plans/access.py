@@ -15,21 +15,36 @@ RANGES = ("10.0.0.0/8", "10.1.0.0/16", "10.2.128.0/17", "10.3.17.0/24", "0.0.0.0
 
 
 def _decisions(strict: bool):
-    return lambda w: A.decisions(w, "edit", NOW, strict)
+    return lambda w: A.decisions(w, "edit", NOW, strict).drop("evaluation_order")
+
+
+def _labels_sql(strict: bool) -> str:
+    """r: rules by whom they are about; k: actors by what rules can know them by."""
+    other = "[]" if strict else "['named', 'unnamed']"
+    return f"""r AS (SELECT document_id, CASE WHEN document_id IS NULL THEN namespace_id END AS namespace_id, evaluation_order, id, allowed,
+        unnest(CASE WHEN kind <> 'perm' THEN [kind || ':' || value] WHEN value = 'any' THEN ['named', 'unnamed'] WHEN value = 'member' THEN ['named'] WHEN value = 'ip' THEN ['unnamed'] ELSE {other} END) AS who
+        FROM {{acl_rule}} WHERE action = 'edit'),
+      k AS (SELECT id AS actor_id, CASE WHEN user_name IS NULL THEN 'unnamed' ELSE 'named' END AS who FROM {{actor}}
+        UNION SELECT actor_id, 'group:' || name FROM {ACTIVE} m WHERE actor_id IN (SELECT id FROM {{actor}}) AND 'group:' || name IN (SELECT who FROM r)
+        UNION SELECT a.id, r.who FROM {{actor}} a JOIN r ON r.who = 'user:' || a.user_name OR r.who = 'ip:10.1.0.0/16' AND starts_with(a.ip, '10.1.'))"""
 
 
 def _decisions_sql(strict: bool) -> str:
-    other = "FALSE" if strict else "TRUE"
-    return f"""WITH g AS (SELECT actor_id, list_sort(list(DISTINCT name)) AS groups FROM {ACTIVE} m WHERE name IN (SELECT value FROM {{acl_rule}} WHERE action = 'edit' AND kind = 'group') GROUP BY actor_id),
-      more AS (SELECT a.id AS actor_id, list(DISTINCT r.kind || ':' || r.value) AS labels FROM {{actor}} a JOIN {{acl_rule}} r ON r.action = 'edit' AND (r.kind = 'user' AND r.value = a.user_name OR r.kind = 'ip' AND r.value = '10.1.0.0/16' AND starts_with(a.ip, '10.1.')) GROUP BY 1),
-      who AS (SELECT a.id AS actor_id, a.user_name IS NOT NULL AS named, list_sort(list_concat(coalesce(g.groups, []), coalesce(more.labels, []))) AS groups FROM {{actor}} a LEFT JOIN g ON g.actor_id = a.id LEFT JOIN more ON more.actor_id = a.id),
-      k AS (SELECT *, '{{{{"named":' || CAST(named AS VARCHAR) || ',"groups":[' || array_to_string(list_transform(groups, lambda x: '"' || x || '"'), ',') || ']}}}}' AS class FROM who),
-      c AS (SELECT DISTINCT class, named, groups FROM k),
-      hit AS (SELECT d.id AS document_id, c.class, r.allowed, r.id, row_number() OVER (PARTITION BY d.id, c.class ORDER BY CASE WHEN r.document_id IS NULL THEN 1 ELSE 0 END, r.evaluation_order, r.id) AS n
-        FROM {{document}} d JOIN {{acl_rule}} r ON r.action = 'edit' AND (r.document_id = d.id OR r.namespace_id = d.namespace_id)
-        JOIN c ON CASE WHEN r.kind = 'group' THEN list_contains(c.groups, r.value) WHEN r.kind <> 'perm' THEN list_contains(c.groups, r.kind || ':' || r.value) WHEN r.value = 'any' THEN TRUE WHEN r.value = 'member' THEN c.named WHEN r.value = 'ip' THEN NOT c.named ELSE {other} END)
-      SELECT d.id AS document_id, CAST(NULL AS BIGINT) AS actor_id, c.class, coalesce(h.allowed, FALSE) AS allowed, h.id AS rule_id FROM {{document}} d CROSS JOIN c LEFT JOIN hit h ON h.document_id = d.id AND h.class = c.class AND h.n = 1
-      UNION ALL SELECT NULL, actor_id, class, NULL, NULL FROM k"""
+    return f"""WITH {_labels_sql(strict)}
+      SELECT document_id, namespace_id, CAST(NULL AS BIGINT) AS actor_id, who, allowed, id AS rule_id FROM r QUALIFY row_number() OVER (PARTITION BY document_id, namespace_id, who ORDER BY evaluation_order, id) = 1
+      UNION ALL SELECT NULL, NULL, actor_id, who, NULL, NULL FROM k"""
+
+
+def _decide(w: World):
+    """May the actor of each event edit the page that it is about?"""
+    return A.decided(w, w.revision.select("id", "document_id", "actor_id"), "edit", NOW)
+
+
+_DECIDE_SQL = f"""WITH {_labels_sql(True)},
+      q AS (SELECT v.id, v.document_id, v.actor_id, d.namespace_id FROM {{revision}} v JOIN {{document}} d ON d.id = v.document_id),
+      hit AS (SELECT q.id, r.allowed, r.id AS rule_id FROM q JOIN k USING (actor_id) JOIN r ON r.who = k.who AND (r.document_id = q.document_id OR r.namespace_id = q.namespace_id)
+        QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY CASE WHEN r.document_id IS NULL THEN 1 ELSE 0 END, r.evaluation_order, r.id) = 1)
+      SELECT v.id, coalesce(hit.allowed, false) AS allowed, hit.rule_id FROM {{revision}} v LEFT JOIN hit USING (id)"""
 
 
 def _cidr(w: World):
@@ -55,6 +70,7 @@ _Q = {
     "acl_group_membership": (lambda w: A.active_members(w, NOW), f"SELECT * FROM {ACTIVE} g"),
     "acl_decisions": (_decisions(True), _decisions_sql(True)),
     "acl_decisions_compat": (_decisions(False), _decisions_sql(False)),
+    "acl_decide": (_decide, _DECIDE_SQL),
     "cidr_v4_matches": (_cidr, _CIDR_SQL),
     "cidr_matches": (_networks, "WITH a AS (SELECT DISTINCT ip, '2001:db8:' || CAST(id % 4 AS VARCHAR) || '::' || CAST(id % 10 AS VARCHAR) AS six FROM {actor}) SELECT DISTINCT ip, net FROM (" + _CIDR_SQL.replace("SELECT a.id, n.net", "SELECT a.ip, n.net") + ") x UNION SELECT six, net FROM a, (VALUES ('2001:db8:1::/48'), ('2001:0db8:0002:0::3'), ('::/0')) AS n(net) WHERE ip IS NULL AND (net = '::/0' OR net = '2001:db8:1::/48' AND starts_with(six, '2001:db8:1::') OR six = '2001:db8:2::3' AND net LIKE '%3')"),
     "permission_log": (A.permission_log, "SELECT user_id, permission, revoked_at IS NOT NULL AS revoked, strftime(coalesce(revoked_at, created_at), '%Y-%m-%d') AS at FROM {user_permission} ORDER BY coalesce(revoked_at, created_at) DESC, user_id LIMIT 100"),
