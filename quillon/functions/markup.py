@@ -489,120 +489,6 @@ def heading_numbers(levels: list[int]) -> list[str]:
     return out
 
 
-class _Html:
-    def __init__(self, tree: Node, exists, page: str):
-        self.exists, self.page, self.notes, self.labels = exists, page, [], {}
-        levels = [int(n.value[0]) for n, _ in walk(tree) if n.kind == "heading"]
-        self.numbers = iter(heading_numbers(levels))
-        self.tree, self.toc = tree, list(zip(heading_numbers(levels), [plain_text(n) for n, _ in walk(tree) if n.kind == "heading"], strict=True))
-        self.categories: list[str] = []
-
-    def many(self, nodes: list[Node]) -> str:
-        return "".join(map(self.one, nodes))
-
-    def one(self, n: Node) -> str:
-        esc, kind = html.escape, n.kind
-        if kind in ("text", "escape"):
-            return esc(n.value, quote=False)
-        if kind == "break":
-            return "<br>"
-        if kind in STYLE_TAGS:
-            return f"<{STYLE_TAGS[kind]}>{self.many(n.children)}</{STYLE_TAGS[kind]}>"
-        if kind == "paragraph":
-            kids = n.children[:-1] if n.children and n.children[-1].kind == "break" else n.children
-            return f"<p>{self.many(kids)}</p>"
-        if kind == "heading":
-            number, level = next(self.numbers), n.value[0]
-            return f'<h{level} id="s-{number}"><a href="#toc">{number}</a> {self.many(n.children)}</h{level}>'
-        if kind == "rule":
-            return "<hr>"
-        if kind == "quote":
-            return f"<blockquote>{self.many(n.children)}</blockquote>"
-        if kind == "indent":
-            return f'<div class="indent">{self.many(n.children)}</div>'
-        if kind == "list":
-            tag, start = "ul" if n.value == "*" else "ol", n.children[0].value
-            kind = {"*": "", "1.": ""}.get(n.value, f' type="{n.value[0]}"')
-            return f"<{tag}{kind}{f' start={chr(34)}{start}{chr(34)}' if start and tag == 'ol' else ''}>{''.join(f'<li>{self.many(c.children)}</li>' for c in n.children)}</{tag}>"
-        if kind == "table":
-            caption = f"<caption>{esc(n.value, quote=False)}</caption>" if n.value else ""
-            return f"<table>{caption}{''.join('<tr>' + ''.join(self.table_cell(c) for c in r.children) + '</tr>' for r in n.children if r.kind == 'row')}</table>"
-        if kind == "link":
-            if "://" in n.value:
-                return f'<a class="external" href="{esc(n.value)}">{self.many(n.children) or esc(n.value)}</a>' if re.match(r"(?:https?|ftp)://", n.value) else esc(n.value)
-            target = relative(n.value, self.page)
-            title = target.split("#")[0]
-            state = "self" if title in ("", self.page) else "" if self.exists(title) else "missing"
-            return f'<a{f" class={chr(34)}{state}{chr(34)}" if state else ""} href="/w/{esc(target)}">{self.many(n.children) or esc(n.value)}</a>'
-        if kind == "category":
-            if n.value not in self.categories:
-                self.categories.append(n.value)
-            return ""
-        if kind == "image":
-            return f'<img alt="{esc(n.value)}">'
-        if kind == "footnote":
-            label = n.value or str(len(self.notes) + 1)
-            if label not in self.labels or n.children and not self.notes[self.labels[label]][1]:
-                if label not in self.labels:
-                    self.labels[label] = len(self.notes)
-                    self.notes.append([label, ""])
-                self.notes[self.labels[label]][1] = self.many(n.children)
-            return f'<sup><a href="#fn-{self.labels[label] + 1}">[{esc(label)}]</a></sup>'
-        if kind == "macro":
-            return self.macro(n)
-        if kind == "literal":
-            return f"<code>{esc(n.value)}</code>"
-        if kind == "syntax":
-            return f"<pre><code>{esc(n.value.partition(chr(10))[2])}</code></pre>"
-        if kind == "html":
-            return sanitize(n.value.partition("\n")[2])
-        if kind == "wiki":
-            return f"<div>{self.many(n.children)}</div>"
-        if kind == "folding":
-            return f"<details><summary>{esc(n.value)}</summary>{self.many(n.children)}</details>"
-        if kind == "size":
-            return f'<span class="size{n.value}">{self.many(n.children)}</span>'
-        if kind == "color":
-            return f'<span style="color:{esc(n.value.split(",")[0])}">{self.many(n.children)}</span>'
-        if kind == "variable":
-            return esc(n.children[0].value) if n.children else ""
-        return ""
-
-    def table_cell(self, c: Node) -> str:
-        span = "".join(f' colspan="{o[1:]}"' for o in c.value.split("\n") if re.fullmatch(r"-\d+", o)) + "".join(f' rowspan="{o.lstrip("v^|")}"' for o in c.value.split("\n") if re.fullmatch(r"[v^]?\|\d+", o))
-        return f"<td{span}>{self.many(c.children).strip()}</td>"
-
-    def macro(self, n: Node) -> str:
-        name, args = n.value.lower(), n.children[0].value if n.children else ""
-        if name in ("목차", "tableofcontents"):
-            return '<div id="toc">' + "".join(f'<a href="#s-{k}">{k}</a> {html.escape(t)}<br>' for k, t in self.toc) + "</div>"
-        if name == "br":
-            return "<br>"
-        if name in ("각주", "footnote"):
-            return self.flush()
-        if name == "anchor":
-            return f'<a id="{html.escape(args)}"></a>'
-        if name == "ruby":
-            text, _, rest = args.partition(",")
-            return f"<ruby>{html.escape(text)}<rt>{html.escape(rest.partition('ruby=')[2])}</rt></ruby>"
-        return "" if name in MACROS else html.escape(f"[{n.value}({args})]" if n.children else f"[{n.value}]")
-
-    def flush(self) -> str:
-        if not self.notes:
-            return ""
-        out = "<ol>" + "".join(f'<li id="fn-{i + 1}">[{html.escape(a)}] {b}</li>' for i, (a, b) in enumerate(self.notes)) + "</ol>"
-        self.notes, self.labels = [], {}
-        return out
-
-    def page_html(self) -> str:
-        body = self.many([n for n in self.tree.children if n.kind not in ("comment", "redirect")]) + self.flush()
-        return body + (f"<footer>{', '.join(map(html.escape, self.categories))}</footer>" if self.categories else "")
-
-
-def render_html(source: str, exists=lambda title: True, page: str = "") -> str:
-    tree = parse(source)
-    return _Html(tree, exists, page).page_html()
-
 
 def expand(source: str, templates: dict[str, str]) -> str:
     """Includes replaced by their templates, one level deep: an include inside a template is dropped. Arguments fill @name@ and

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import diff as D
+from . import emit as E
 from . import markup as M
 from .condition import evaluate
 from .values import html_style, wiki_style
@@ -42,7 +43,7 @@ def _each(make, *columns: pd.Series) -> pd.Series:
 
 
 def render_html(text: pd.Series) -> pd.Series:
-    return _each(lambda t: M.render_html(t or ""), text)
+    return _each(lambda t: E.render_html(t or ""), text)
 
 
 def render_json(text: pd.Series) -> pd.Series:

@@ -428,6 +428,7 @@ class Layout:
         self.contents: list[dict] = []
         self.footnotes: list[dict] = []
         self.waiting: list[dict] = []
+        self.named: dict[str | None, dict] = {}  # of those that wait, by label
         self.references = 0
 
     def walk(self, nodes: list[dict]) -> None:
@@ -467,19 +468,20 @@ class Layout:
         self.walk(content)
         self.references += 1
         number = self.references
-        known = next((f for f in self.waiting if name is not None and f["label"] == name), None)
+        known = self.named.get(name)
         if known:
             known["referenceNumbers"].append(number)
             known["content"] = known["content"] or content
         else:
             known = {"label": name or str(number), "referenceNumbers": [number], "content": content}
             self.waiting.append(known)
+            self.named.setdefault(known["label"], known)
         x |= {"type": "footnoteReference", "label": known["label"], "number": number, "tooltip": text_of(known["content"])}
 
     def flush(self) -> list[int]:
         first = len(self.footnotes)
         self.footnotes += self.waiting
-        self.waiting = []
+        self.waiting, self.named = [], {}
         return list(range(first, len(self.footnotes)))
 
 
@@ -488,7 +490,8 @@ def resolve(source: str, context: Context) -> tuple[dict, Resolver]:
     r, layout = Resolver(context), Layout()
     blocks = r.blocks(M.parse(source).children, None)
     layout.walk(blocks)
-    layout.flush()
+    if layout.waiting:  # what no macro has shown stands at the end
+        blocks.append({"type": "paragraph", "content": [{"type": "footnoteSection", "notes": layout.flush()}]})
     return {"redirect": r.redirect, "blocks": blocks, "categories": r.categories, "tableOfContents": layout.contents, "footnotes": layout.footnotes}, r
 
 

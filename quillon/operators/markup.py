@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import diff as D
+from ..functions import emit as E
 from ..functions import fingerprint as H
 from ..functions import markup as M
 from ..functions.condition import evaluate
@@ -59,7 +60,7 @@ def diagnose(d: DataFrame) -> DataFrame:
 
 
 def render_html(d: DataFrame) -> DataFrame:
-    return rows_of(d, ["text"], lambda t: [(M.render_html(t),)], "html string")
+    return rows_of(d, ["text"], lambda t: [(E.render_html(t),)], "html string")
 
 
 def plain_text(d: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import resolve as R
+from ..functions.emit import to_html
 from ..functions.text import MARKERS, parse_title
 from ..sources.storage import stored
 from .markup import STEP, rows_of
@@ -159,6 +160,11 @@ def rendered(w, pages: DataFrame, templates: DataFrame, now: datetime | None = N
     return rows.join(told, "row", "left").select("id", "tree", "redirect", "categories", "told", "unknown").mapInArrow(settle, "id long, tree string, redirect string, categories array<string>, unknown long")
 
 
+def html_of(trees: DataFrame) -> DataFrame:
+    """id and html of rendered(id, tree)."""
+    return rows_of(trees, ["tree"], lambda tree: [(to_html(json.loads(tree)),)], "html string")
+
+
 def references_asked(pages: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """(id, kind, target) that pages(id, title, text) ask for when they are rendered."""
     return rows_of(pages, ["text", "title"], lambda text, title: R.references(text, R.Context(title=title)), "kind string, target string")

@@ -64,7 +64,7 @@ _Q = {
     "scan_refs": (lambda w: M.scan_references(w.marked_text), "SELECT DISTINCT id, kind, target FROM (SELECT id, 'link' AS kind, CASE WHEN starts_with(x, '../') THEN 'Page/' || substr(x, 4) ELSE x END AS target FROM (SELECT id, split_part(unnest(regexp_extract_all(text, '\\[\\[([^\\[\\]]*)\\]\\]', 1)), '|', 1) AS x FROM {marked_text}) WHERE NOT starts_with(x, '분류:') UNION ALL SELECT id, 'category', regexp_extract(text, '\\[\\[분류:([^\\[\\]]*)\\]\\]', 1) FROM {marked_text} UNION ALL SELECT id, 'include', '틀:Box' FROM {marked_text})"),
     "diagnose": (lambda w: M.diagnose(w.marked_text), None),
     "unknown_macros": (lambda w: M.diagnose(w.marked_text).where("code = 'unsupported-macro'").groupBy("detail").agg(F.count(F.lit(1)).alias("n")), "SELECT 'no' || lang AS detail, count(*) AS n FROM {documents} GROUP BY 1"),
-    "render_html": (lambda w: M.render_html(w.marked_text), None),
+    "render_html": (lambda w: N.html_of(_rendered(w)), None),
     "plain_text": (lambda w: M.plain_text(w.marked_text), None),
     "sanitize_pages": (lambda w: M.sanitize(_PAGES(w)), None),
     "render_json": (lambda w: M.render_json(w.marked_text), None),

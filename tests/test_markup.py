@@ -47,8 +47,6 @@ def test_references_and_diagnostics():
 
 def test_render():
     assert M.heading_numbers([2, 3, 2]) == ["1", "1.1", "2"] and M.heading_numbers([2, 4]) == ["1", "1.1"]
-    h = M.render_html("== T ==\na [[B]] <x> [* note] '''b'''\n[[분류:C]]", exists=lambda t: t != "B")
-    assert '<h2 id="s-1">' in h and 'class="missing"' in h and "&lt;x&gt;" in h and "<strong>b</strong>" in h and "[1] note" in h and "<footer>분류:C</footer>" in h
     assert M.sanitize("<script>x</script><b onclick=1>y<blink>z</blink><a href='javascript:1'>q") == "<b>yzq</b>"
     assert M.sanitize("<a href=HTTP://x.y class=c id=i style='color: red; x'>q</b></a></a>&lt;&copy;<br/><video src='ftp://v' controls width=3 onplay=x>") == '<a href="HTTP://x.y" class="c" style="color: red">q</a>&lt;&amp;copy;<br><video src="ftp://v" controls width="3"></video>'
     assert M.sanitize("a<iframe>b</IFRAME >c<p>d</p>1 < 2<b>") == "acd1 &lt; 2&lt;b&gt;" and M.sanitize("<span style='background:url(x)'>s") == "<span>s</span>"

@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 import pytest
 
 from quillon.functions import markup as M
+from quillon.functions.emit import render_html
 from quillon.functions import values as V
 from quillon.functions.registered import contains
 from quillon.functions.resolve import Context, day_number, lax_date, resolve, split_anchor, to_json, unescaped
@@ -107,7 +108,7 @@ def test_macros():
 
 def test_deep_pages():
     for source in (">" * 300 + "x", "".join(" " * k + "* a\n" for k in range(1, 200)), "{{{#!wiki\n" * 150 + "x" + "}}}" * 150):
-        assert to_json(tree(source)) and M.render_html(source)
+        assert to_json(tree(source)) and render_html(source)
 
 
 def test_values():
