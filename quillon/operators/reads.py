@@ -30,6 +30,34 @@ def enumeration_ids(values: DataFrame, names: list[str]) -> dict[str, int]:
     return found
 
 
+def enumerated(values: DataFrame, d: DataFrame, column: str) -> DataFrame:
+    """d with the id of each name in a column, as {column}_id, by an enumeration(id, name), a table of some rows; nulls have none, and an
+    unknown name anywhere is an error."""
+    named = d.join(F.broadcast(values.select(F.col("id").alias(f"{column}_id"), F.col("name").alias(column))), column, "left")
+    unknown = named.where(F.col(column).isNotNull() & F.col(f"{column}_id").isNull()).select(column).distinct().limit(5).collect()
+    if unknown:
+        raise LookupError(f"no such value: {', '.join(sorted(r[0] for r in unknown))}")
+    return named
+
+
+def namespace_sizes(w) -> DataFrame:
+    """name, documents of every namespace, in order of id."""
+    n = w.document.groupBy(F.col("namespace_id").alias("id")).agg(F.count(F.lit(1)).alias("documents"))
+    return w.namespace.join(n, "id", "left").orderBy("id").select("name", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+def permission_holders(w) -> DataFrame:
+    """name, users of every permission, in order of name: how many have it now."""
+    n = w.user_permission.where("revoked_at is null").groupBy(F.col("permission").alias("name")).agg(F.countDistinct("user_id").alias("users"))
+    return w.permission_name.join(n, "name", "left").orderBy("name").select("name", F.coalesce("users", F.lit(0)).alias("users"))
+
+
+def licence_uses(w) -> DataFrame:
+    """name, display_name, uploads of every licence, in order of what is shown."""
+    n = w.upload.groupBy(F.col("license").alias("name")).agg(F.count(F.lit(1)).alias("uploads"))
+    return licences(w).join(n, "name", "left").orderBy("display_name").select("name", "display_name", F.coalesce("uploads", F.lit(0)).alias("uploads"))
+
+
 def names_by_id(values: DataFrame) -> DataFrame:
     return values.orderBy("id").select("name")
 

@@ -82,6 +82,14 @@ def _thread_changes(w: World):
     return w.thread.where("id % 2 = 0").select("id", F.col("id").alias("thread_id"), F.lit("mod").alias("author"), F.when(F.col("id") % 4 == 0, "status").otherwise("topic").alias("what"), F.when(F.col("id") % 4 == 0, "close").otherwise("New topic").alias("to"))
 
 
+def _new_settings(w: World):
+    """For every nation its suppliers and customers, some under a name that is new, so that most names come several times."""
+    name = lambda key: F.concat(F.when(F.col(key) % 3 == 0, "home.").otherwise("nation."), "n_name").alias("name")
+    suppliers = w.supplier.join(w.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(name("s_suppkey"), F.col("s_name").alias("data"))
+    return suppliers.union(w.customer.join(w.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(name("c_custkey"), F.col("c_name").alias("data")))
+
+
+_NEW_SETTINGS_SQL = " UNION ALL ".join(f"SELECT CASE WHEN {k} % 3 = 0 THEN 'home.' ELSE 'nation.' END || n_name AS name, {x}_name AS data FROM {{{t}}} JOIN {{nation}} ON n_nationkey = {x}_nationkey" for t, x, k in (("supplier", "s", "s_suppkey"), ("customer", "c", "c_custkey")))
 _MAX_SEQ = "(SELECT thread_id, max(sequence) AS top FROM {thread_comment} GROUP BY 1)"
 _WRITTEN = "b.actor_id, b.content, strlen(coalesce(b.content, '')) AS content_bytes"
 _Q = {
@@ -114,7 +122,7 @@ _Q = {
     "revoke_permissions": (lambda w: C.revoked(w, w.user_permission.where("user_id % 5 = 0").select("user_id", "permission", F.lit(2).cast("long").alias("revoked_by")), AT), "SELECT user_id, permission, revoked_at IS NULL AND user_id % 5 <> 0 AS is_active, CASE WHEN revoked_at IS NULL AND user_id % 5 = 0 THEN CAST(2 AS BIGINT) END AS revoked_by FROM {user_permission}"),
     "issue_tokens": (lambda w: C.issued_tokens(w.customer.select(F.col("c_custkey").alias("user_id"), F.lit("signup").alias("purpose"), F.col("c_name").alias("token")), AT), f"SELECT c_custkey AS user_id, 'signup' AS purpose, sha256(c_name) AS token_hash, {_AT} + INTERVAL '24' HOUR AS expires_at, {_AT} AS created_at FROM {{customer}}"),
     "consume_tokens": (lambda w: C.consumed_tokens(w, w.verification.where("id % 2 = 0").select("token_hash", F.when(F.col("id") % 3 == 0, "signup").otherwise(F.col("purpose")).alias("purpose")), NOW), "SELECT id, consumed_at IS NOT NULL OR now AS consumed, now FROM (SELECT *, consumed_at IS NULL AND expires_at > TIMESTAMP '2024-07-01 00:00:00' AND id % 2 = 0 AND (id % 3 <> 0 OR purpose = 'signup') AS now FROM {verification})"),
-    "upsert_settings": (lambda w: C.upserted(w.site_setting, w.site_setting.sparkSession.createDataFrame([("motd", "a"), ("motd", "b"), ("main_document", "Doc 4")], "name string, data string"), ["name"]), "SELECT name, data FROM {site_setting} WHERE name <> 'motd' UNION ALL SELECT * FROM (VALUES ('motd', 'b'), ('main_document', 'Doc 4')) AS v(name, data)"),
+    "upsert_settings": (lambda w: C.upserted(w.site_setting, _new_settings(w), ["name"]), f"SELECT name, data FROM {{site_setting}} WHERE name NOT IN (SELECT name FROM ({_NEW_SETTINGS_SQL}) n) UNION ALL SELECT name, max(data) AS data FROM ({_NEW_SETTINGS_SQL}) n GROUP BY name"),
 }
 
 

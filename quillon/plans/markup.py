@@ -25,9 +25,10 @@ def _merge(w: World):
     return M.merge_edits(p.join(nxt, ["document_id", "sequence"]).select(*_PAIR, F.col("before").alias("base"), F.col("after").alias("current"), "proposed"), _PAIR)
 
 
-#: Values as people write them.
-VALUES = ("#fff", "#FF00aa", "red", "RebeccaPurple", "transparent", "#12", "nocolour", " Navy ", "50%", "21.6px", "1000", "33.3", "007px", "1em", "-5px", "", "0")
-STYLES = ("color: red; display: 5ine", "background: url(/a.png)", "image-rendering: pixelated; width: 3px", "background: linear-gradient(0deg, rgba(1, 2, 3, 0.5))", "a: b; color: ex/**/pression(1)", "no declaration", "DISPLAY: Block")
+#: Values as people write them, from the sizes and names of parts.
+_VALUES = """SELECT DISTINCT CASE p_partkey % 10 WHEN 0 THEN '#' || substr(md5(p_name), 1, 3) WHEN 1 THEN ' #' || upper(substr(md5(p_name), 1, 6)) WHEN 2 THEN CAST(p_size AS {text}) || 'px' WHEN 3 THEN CAST(p_size AS {text}) || '%'
+  WHEN 4 THEN CAST(p_size AS {text}) || '.6px' WHEN 5 THEN '0' || CAST(p_size AS {text}) WHEN 6 THEN CAST(p_size AS {text}) || 'em' WHEN 7 THEN '#' || substr(md5(p_name), 1, 2) WHEN 8 THEN CAST(p_size AS {text}) || '.3'
+  ELSE CASE p_size % 6 WHEN 0 THEN 'red' WHEN 1 THEN ' Navy ' WHEN 2 THEN 'RebeccaPurple' WHEN 3 THEN 'transparent' WHEN 4 THEN 'nocolour' ELSE '' END END AS v FROM """
 TEMPLATES = (("틀:Box", "Boxed @a=none@ [[Doc 3]] [include(틀:Other)] {{{#!if a == '1'\nyes}}}"), ("틀:Other", "never seen"))
 
 
@@ -41,12 +42,17 @@ def _rendered(w: World):
 
 
 def _values(w: World):
-    d = w.document.sparkSession.createDataFrame([(v,) for v in VALUES], "v string")
+    d = w.part.sparkSession.sql(_VALUES.format(text="STRING") + "{part}", part=w.part)
     return d.select("v", colour_of(F.col("v")).alias("colour"), dimension_of(F.col("v")).alias("dimension"))
 
 
 def _styles(w: World):
-    d = w.document.sparkSession.createDataFrame([(s, k) for s in STYLES for k in ("wiki", "html")], "style string, kind string")
+    """Styles as people write them, from parts, by either filter."""
+    size, tone = F.col("p_size").cast("string"), F.concat(F.lit("#"), F.substr(F.md5("p_name"), F.lit(1), F.lit(3)))
+    kinds = ("color: {t}; display: 5ine", "background: url(/{t}.png)", "image-rendering: pixelated; width: {s}px", "background: linear-gradient(0deg, rgba({s}, 2, 3, 0.5))", "a: b; color: ex/**/pression({s})", "no declaration", "DISPLAY: Block; WIDTH: {s}%")
+    made = F.element_at(F.array(*map(F.lit, kinds)), (F.col("p_partkey") % len(kinds) + 1).cast("int"))
+    d = w.part.select(F.replace(F.replace(made, F.lit("{t}"), tone), F.lit("{s}"), size).alias("style")).distinct()
+    d = d.select("style", F.explode(F.array(F.lit("wiki"), F.lit("html"))).alias("kind"))
     return d.select("style", "kind", scalar("taken_style")("style", "kind").alias("taken"))
 
 
@@ -56,7 +62,6 @@ def _lateral(w: World):
 
 
 _COLOURS = ", ".join(f"'{c}'" for c in sorted(COLOURS))
-_VALUE_LIST = ", ".join(f"('{v}')" for v in VALUES)
 _PAGES = lambda w: w.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"))
 _Q = {
     "parse_tokens": (lambda w: M.parse_tokens(w.marked_text), None),
@@ -78,7 +83,7 @@ _Q = {
     "plain_residue": (lambda w: N.plain_residue(w.marked_text), None),
     "residue_totals": (lambda w: N.residue_totals(w.marked_text), None),
     "outline_lateral": (_lateral, "SELECT id, CASE WHEN k = 1 THEN '1' ELSE '1.1' END AS number, CAST(length(regexp_extract(l, '^=+')) AS INTEGER) AS level, trim(l, '= ') AS title FROM (SELECT id, l, row_number() OVER (PARTITION BY id ORDER BY p) AS k FROM (SELECT id, unnest(range(0, len(ls))) AS p, unnest(ls) AS l FROM (SELECT id, string_split(text, chr(10)) AS ls FROM {marked_text})) WHERE regexp_matches(l, '^={1,6} .* ={1,6}$'))"),
-    "value_parse": (_values, f"SELECT v, CASE WHEN regexp_matches(trim(v), '^#[0-9a-fA-F]\x02$') THEN '#' || repeat(lower(trim(v)[2]), 2) || repeat(lower(trim(v)[3]), 2) || repeat(lower(trim(v)[4]), 2) WHEN regexp_matches(trim(v), '^#[0-9a-fA-F]\x03$') THEN lower(trim(v)) WHEN lower(trim(v)) IN ({_COLOURS}, 'transparent') THEN trim(v) END AS colour, CASE WHEN regexp_matches(trim(v), '^[0-9]+%$') THEN CAST(CAST(replace(trim(v), '%', '') AS BIGINT) AS VARCHAR) || '%' WHEN regexp_matches(trim(v), '^[0-9]+(\\.[0-9]*)?px$') THEN CAST(CAST(regexp_extract(trim(v), '^[0-9]+') AS BIGINT) AS VARCHAR) || 'px' WHEN regexp_matches(trim(v), '^[0-9]+$') THEN CAST(CAST(trim(v) AS BIGINT) AS VARCHAR) || 'px' ELSE trim(v) END AS dimension FROM (VALUES {_VALUE_LIST}) AS t(v)"),
+    "value_parse": (_values, f"SELECT v, CASE WHEN regexp_matches(trim(v), '^#[0-9a-fA-F]\x02$') THEN '#' || repeat(lower(trim(v)[2]), 2) || repeat(lower(trim(v)[3]), 2) || repeat(lower(trim(v)[4]), 2) WHEN regexp_matches(trim(v), '^#[0-9a-fA-F]\x03$') THEN lower(trim(v)) WHEN lower(trim(v)) IN ({_COLOURS}, 'transparent') THEN trim(v) END AS colour, CASE WHEN regexp_matches(trim(v), '^[0-9]+%$') THEN CAST(CAST(replace(trim(v), '%', '') AS BIGINT) AS VARCHAR) || '%' WHEN regexp_matches(trim(v), '^[0-9]+(\\.[0-9]*)?px$') THEN CAST(CAST(regexp_extract(trim(v), '^[0-9]+') AS BIGINT) AS VARCHAR) || 'px' WHEN regexp_matches(trim(v), '^[0-9]+$') THEN CAST(CAST(trim(v) AS BIGINT) AS VARCHAR) || 'px' ELSE trim(v) END AS dimension FROM ({_VALUES.format(text='VARCHAR')} {{part}}) t"),
     "style_filters": (_styles, None),
     "html_fingerprint_diff": (lambda w: M.html_differences(_PAGES(w).select("id", F.col("text").alias("left"), F.replace(F.replace("text", F.lit("<h1>"), F.lit("<h2 id='x'>")), F.lit("</h1>"), F.lit("</h2>")).alias("right"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("left").alias("sample")), None),
     "diff_lines": (_diff, None),

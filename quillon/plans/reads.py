@@ -10,7 +10,6 @@ from ..sources.world import World, ctes
 from .access import NOW
 from .pages import ASKED, ASKED_SQL, AUTHOR, DISPLAY, LIVE, NAMED
 
-PEERS = (("127.0.0.1", "10.1.2.3, 9.9.9.9"), ("127.0.0.1", ""), ("127.0.0.1", None), ("10.0.0.7", "1.2.3.4"), ("::1", " 8.8.8.8 "), (None, "1.2.3.4"))
 USERS = ("Customer#000000007", "u-9", "nobody", "u-9")
 _SHOWN = "CASE WHEN q.namespace = 'main' THEN q.title ELSE q.namespace || ':' || q.title END"
 _DOCS = "(SELECT d.id AS document_id, d.namespace_id, ns.name AS namespace, d.title FROM {document} d JOIN {namespace} ns ON ns.id = d.namespace_id)"
@@ -26,26 +25,31 @@ def _list(rows, names: str) -> str:
 
 
 def _enumeration(w: World):
-    found = R.enumeration_ids(w.revision_kind, ["edit", "revert"])
-    return w.document.sparkSession.createDataFrame(sorted(found.items()), "name string, id long")
+    kinds = R.enumerated(w.revision_kind, w.revision.select("kind"), "kind")
+    return kinds.groupBy("kind", "kind_id").agg(F.count(F.lit(1)).alias("revisions"))
+
+
+#: Requests of events: from this machine, from others, and from nowhere, with and without a chain of forwarders.
+_REQUESTS = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN '127.0.0.' || CAST(event_id % 200 AS {text}) WHEN 1 THEN '::1' WHEN 2 THEN '10.0.0.' || CAST(event_id % 250 AS {text}) WHEN 3 THEN '2001:db8::' || CAST(user_id % 90 AS {text}) END AS peer,
+  CASE event_id % 4 WHEN 0 THEN ' 203.0.113.' || CAST(user_id % 200 AS {text}) || ' , 10.0.0.1' WHEN 1 THEN '198.51.100.7' WHEN 2 THEN ' ' END AS forwarded FROM """
 
 
 def _guards(w: World):
-    peers = w.document.sparkSession.createDataFrame(PEERS, "peer string, forwarded string")
-    return peers.select("peer", "forwarded", R.client_address(F.col("peer"), F.col("forwarded")).alias("address"))
+    requests = w.events.sparkSession.sql(_REQUESTS.format(text="STRING") + "{events}", events=w.events)
+    return requests.select("id", "peer", "forwarded", R.client_address(F.col("peer"), F.col("forwarded")).alias("address"))
 
 
 _FALLBACK = ", ".join(f"('{n}', '{v}')" for n, v in R.DEFAULTS)
 _SETTINGS = f"(SELECT d.name, coalesce(s.data, d.fallback) AS data FROM (VALUES {_FALLBACK}) AS d(name, fallback) LEFT JOIN {{site_setting}} s ON s.name = d.name)"
 _OPEN, _STOPPED = (", ".join(f"'{a}'" for a in x) for x in (V.OPEN_ACTIONS, V.BLOCKED_ACTIONS))
 _Q = {
-    "enumeration_lookup": (_enumeration, "SELECT name, id FROM {revision_kind} WHERE name IN ('edit', 'revert')"),
-    "namespace_names": (lambda w: R.names_by_id(w.namespace), "SELECT name FROM {namespace} ORDER BY id"),
-    "permission_names": (lambda w: R.names_sorted(w.permission_name), "SELECT name FROM {permission_name} ORDER BY name"),
-    "licence_list": (R.licences, "SELECT name, display_name FROM {licence} ORDER BY display_name"),
+    "enumeration_lookup": (_enumeration, "SELECT r.kind, k.id AS kind_id, count(*) AS revisions FROM {revision} r JOIN {revision_kind} k ON k.name = r.kind GROUP BY ALL"),
+    "namespace_names": (R.namespace_sizes, "SELECT name, (SELECT count(*) FROM {document} d WHERE d.namespace_id = n.id) AS documents FROM {namespace} n ORDER BY id"),
+    "permission_names": (R.permission_holders, "SELECT name, (SELECT count(DISTINCT user_id) FROM {user_permission} u WHERE u.permission = p.name AND revoked_at IS NULL) AS users FROM {permission_name} p ORDER BY name"),
+    "licence_list": (R.licence_uses, "SELECT name, display_name, (SELECT count(*) FROM {upload} u WHERE u.license = l.name) AS uploads FROM {licence} l ORDER BY display_name"),
     "site_settings": (R.settings, f"SELECT name, data FROM {_SETTINGS} x"),
-    "seeded_rules": (lambda w: R.seeded_rules(w.namespace, w.acl_action), f"SELECT n.id AS namespace_id, a.name AS action, CAST(100 AS BIGINT) AS evaluation_order, 'perm' AS kind, 'any' AS value, a.name IN ({_OPEN}) AS allowed FROM {{namespace}} n CROSS JOIN {{acl_action}} a UNION ALL SELECT n.id, a.name, 10, 'aclgroup', '{V.BLOCKED}', FALSE FROM {{namespace}} n CROSS JOIN {{acl_action}} a WHERE a.name IN ({_STOPPED})"),
-    "client_addresses": (_guards, f"SELECT peer, forwarded, CASE WHEN peer IS NULL THEN 'unknown' WHEN (starts_with(peer, '127.') OR peer = '::1') AND trim(split_part(coalesce(forwarded, ''), ',', 1)) <> '' THEN trim(split_part(forwarded, ',', 1)) ELSE peer END AS address FROM {_list(PEERS, 'peer, forwarded')}"),
+    "seeded_rules": (lambda w: R.seeded_rules(w.nation.select(F.col("n_nationkey").cast("long").alias("id")), w.acl_action), f"SELECT n.id AS namespace_id, a.name AS action, CAST(100 AS BIGINT) AS evaluation_order, 'perm' AS kind, 'any' AS value, a.name IN ({_OPEN}) AS allowed FROM (SELECT CAST(n_nationkey AS BIGINT) AS id FROM {{nation}}) n CROSS JOIN {{acl_action}} a UNION ALL SELECT n.id, a.name, 10, 'aclgroup', '{V.BLOCKED}', FALSE FROM (SELECT CAST(n_nationkey AS BIGINT) AS id FROM {{nation}}) n CROSS JOIN {{acl_action}} a WHERE a.name IN ({_STOPPED})"),
+    "client_addresses": (_guards, f"SELECT id, peer, forwarded, CASE WHEN peer IS NULL THEN 'unknown' WHEN (starts_with(peer, '127.') OR peer = '::1') AND trim(split_part(coalesce(forwarded, ''), ',', 1)) <> '' THEN trim(split_part(forwarded, ',', 1)) ELSE peer END AS address FROM ({_REQUESTS.format(text='VARCHAR')} {{events}}) q"),
     "input_guards": (lambda w: w.documents.select("doc_id", R.good_reason(F.col("source")).alias("reason"), R.good_user_name(F.col("text")).alias("name"), R.good_password(F.col("lang")).alias("password")), "SELECT doc_id, coalesce(length(source) >= 5, FALSE) AS reason, coalesce(length(trim(text, ' ')) > 0 AND NOT contains(text, '/'), FALSE) AS name, coalesce(strlen(lang) >= 8, FALSE) AS password FROM {documents}"),
     "media_types": (lambda w: w.upload.select("id", R.good_media(F.col("media_type")).alias("taken")), f"SELECT id, media_type IN ({', '.join(repr(m) for m in R.MEDIA)}) AS taken FROM {{upload}}"),
     "consumable_tokens": (lambda w: w.verification.where(R.consumable(F.lit(NOW).cast("timestamp"))).select("id", "purpose"), f"SELECT id, purpose FROM {{verification}} WHERE consumed_at IS NULL AND expires_at > TIMESTAMP '{NOW}'"),

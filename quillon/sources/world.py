@@ -33,7 +33,6 @@ LICENCES = (
     ("cc-by-nc-sa-2.0-kr", "CC BY-NC-SA 2.0 KR", "https://creativecommons.org/licenses/by-nc-sa/2.0/kr/"), ("cc-by-sa-4.0", "CC BY-SA 4.0", "https://creativecommons.org/licenses/by-sa/4.0/"),
     ("cc-by-4.0", "CC BY 4.0", "https://creativecommons.org/licenses/by/4.0/"), ("cc0", "CC0 (퍼블릭 도메인 기증)", "https://creativecommons.org/publicdomain/zero/1.0/"), ("public-domain", "퍼블릭 도메인", None), ("fair-use", "공정 이용", None),
 )
-SETTINGS = (("wiki_name", "Quill"), ("motd", "hello"))
 
 
 def _numbered(names):
@@ -59,7 +58,10 @@ VIEWS = {
     "acl_action": f"SELECT CAST(id AS BIGINT) AS id, name FROM {_values(_numbered(ACTIONS), 'id, name')}",
     "revision_kind": f"SELECT CAST(id AS BIGINT) AS id, name FROM {_values(_numbered(REVISION_KINDS), 'id, name')}",
     "licence": f"SELECT name, display_name, source_url FROM {_values(LICENCES, 'name, display_name, source_url')}",
-    "site_setting": f"SELECT name, data FROM {_values(SETTINGS, 'name, data')}",
+    "site_setting": (
+        "SELECT 'wiki_name' AS name, 'Wiki of ' || CAST(count(*) AS STRING) || ' pages' AS data FROM {documents} UNION ALL SELECT 'motd', max(source) FROM {documents} "
+        "UNION ALL SELECT 'nation.' || n_name, r_name FROM {nation} JOIN {region} ON r_regionkey = n_regionkey"
+    ),
     "wiki_user": "SELECT c_custkey AS id, 'u-' || CAST(c_custkey AS STRING) AS external_id, c_name AS name FROM {customer}",
     "verification": "SELECT c_custkey AS id, c_custkey AS user_id, CASE c_nationkey % 3 WHEN 0 THEN 'signup' WHEN 1 THEN 'password_reset' ELSE 'email_change' END AS purpose, md5('token' || CAST(c_custkey AS STRING)) AS token_hash, CAST('2024-06-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * CAST(c_custkey % 60 AS INT) AS expires_at, CASE WHEN c_custkey % 4 = 0 THEN CAST('2024-05-01 00:00:00' AS TIMESTAMP) END AS consumed_at FROM {customer}",
     "file_revision": "SELECT event_id AS revision_id, md5(CAST(event_id % 97 AS STRING)) AS content_hash, event_id % 6 AS license_id FROM {events} WHERE event_id % 4 = 1",
