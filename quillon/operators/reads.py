@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.diff import diff_lines
 from ..functions.text import redirects
 from ..sources.world import BLOCKED, BLOCKED_ACTIONS, OPEN_ACTIONS
+from .access import decided
+from .markup import rows_of
 from .pages import author, display, latest, live, with_author, with_titles
 
 #: Settings that a wiki has without being told (its name is our own), and, as fixed values, media that may be uploaded.
@@ -232,6 +235,17 @@ def page_views(w, titles: DataFrame, user: int) -> DataFrame:
     return d.select(display().alias("page"), F.col("content").alias("source"), "redirect", "sequence", "kind", none("backlinks", 0), none("threads", 0), none("starred", False))
 
 
+def edit_request_views(w, viewer: int, as_of: str) -> DataFrame:
+    """id, page, author, status, diff, may_review for every edit request: how its text differs from what stands there now, line by line
+    (= - + before each), and whether the viewer may settle it: it is open, and they may edit the page, so that a request is no way
+    around the rules."""
+    pages = edit_request_pages(w)
+    shown = rows_of(pages.select("id", "current", "content"), ["current", "content"], lambda a, b: [("\n".join(op + line for op, line in diff_lines(a, b)),)], "diff string")
+    may = decided(w, w.edit_request.select("id", "document_id", F.lit(viewer).cast("long").alias("actor_id")), "edit", as_of)
+    d = pages.select("id", "page", "author", "status", "is_open").join(shown, "id").join(may.select("id", "allowed"), "id")
+    return d.select("id", "page", "author", "status", "diff", (F.col("is_open") & F.col("allowed")).alias("may_review"))
+
+
 def raw_texts(w, titles: DataFrame) -> DataFrame:
     """page, content of asked titles that are live, as they were written."""
     return find_documents(w, titles).join(live(w.revision).select("document_id", "content"), "document_id").select(display().alias("page"), "content")

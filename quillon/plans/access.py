@@ -18,7 +18,7 @@ def _decisions(strict: bool):
     return lambda w: A.decisions(w, "edit", NOW, strict).drop("evaluation_order")
 
 
-def _labels_sql(strict: bool) -> str:
+def labels_sql(strict: bool) -> str:
     """r: rules by whom they are about; k: actors by what rules can know them by."""
     other = "[]" if strict else "['named', 'unnamed']"
     return f"""r AS (SELECT document_id, CASE WHEN document_id IS NULL THEN namespace_id END AS namespace_id, evaluation_order, id, allowed,
@@ -30,7 +30,7 @@ def _labels_sql(strict: bool) -> str:
 
 
 def _decisions_sql(strict: bool) -> str:
-    return f"""WITH {_labels_sql(strict)}
+    return f"""WITH {labels_sql(strict)}
       SELECT document_id, namespace_id, CAST(NULL AS BIGINT) AS actor_id, who, allowed, id AS rule_id FROM r QUALIFY row_number() OVER (PARTITION BY document_id, namespace_id, who ORDER BY evaluation_order, id) = 1
       UNION ALL SELECT NULL, NULL, actor_id, who, NULL, NULL FROM k"""
 
@@ -40,7 +40,7 @@ def _decide(w: World):
     return A.decided(w, w.revision.select("id", "document_id", "actor_id"), "edit", NOW)
 
 
-_DECIDE_SQL = f"""WITH {_labels_sql(True)},
+_DECIDE_SQL = f"""WITH {labels_sql(True)},
       q AS (SELECT v.id, v.document_id, v.actor_id, d.namespace_id FROM {{revision}} v JOIN {{document}} d ON d.id = v.document_id),
       hit AS (SELECT q.id, r.allowed, r.id AS rule_id FROM q JOIN k USING (actor_id) JOIN r ON r.who = k.who AND (r.document_id = q.document_id OR r.namespace_id = q.namespace_id)
         QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY CASE WHEN r.document_id IS NULL THEN 1 ELSE 0 END, r.evaluation_order, r.id) = 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import reads as R
 from ..sources import world as V
 from ..sources.world import World, ctes
-from .access import NOW
+from .access import NOW, labels_sql
 from .pages import ASKED, ASKED_SQL, AUTHOR, DISPLAY, LIVE, NAMED
 
 USERS = ("Customer#000000007", "u-9", "nobody", "u-9")
@@ -39,6 +39,17 @@ def _guards(w: World):
     return requests.select("id", "peer", "forwarded", R.client_address(F.col("peer"), F.col("forwarded")).alias("address"))
 
 
+VIEWER = 4
+#: What differs between three lines or none and two lines of which the first may be the same, by hand.
+_LINE = "string_split(l.content, chr(10))[{0}]"
+_VIEWS_SQL = f"""WITH {labels_sql(True)},
+      may AS (SELECT d.id AS document_id, arg_min(r.allowed, (CASE WHEN r.document_id IS NULL THEN 1 ELSE 0 END, r.evaluation_order, r.id)) AS allowed
+        FROM {{document}} d JOIN k ON k.actor_id = {VIEWER} JOIN r ON r.who = k.who AND (r.document_id = d.id OR r.namespace_id = d.namespace_id) GROUP BY 1)
+      SELECT r.id, {DISPLAY} AS page, {AUTHOR} AS author, r.status, r.status = 'open' AND coalesce(may.allowed, false) AS may_review,
+        CASE WHEN coalesce(l.content, '') = '' THEN '+' || replace(r.content, chr(10), chr(10) || '+')
+          WHEN {_LINE.format(1)} = string_split(r.content, chr(10))[1] THEN concat_ws(chr(10), '=' || {_LINE.format(1)}, '-' || {_LINE.format(2)}, '-' || {_LINE.format(3)}, '+new')
+          ELSE '-' || replace(l.content, chr(10), chr(10) || '-') || chr(10) || '+' || replace(r.content, chr(10), chr(10) || '+') END AS diff
+      FROM {{edit_request}} r {NAMED} JOIN {{actor}} a ON a.id = r.actor_id LEFT JOIN {LIVE} l ON l.document_id = r.document_id LEFT JOIN may ON may.document_id = r.document_id"""
 _FALLBACK = ", ".join(f"('{n}', '{v}')" for n, v in R.DEFAULTS)
 _SETTINGS = f"(SELECT d.name, coalesce(s.data, d.fallback) AS data FROM (VALUES {_FALLBACK}) AS d(name, fallback) LEFT JOIN {{site_setting}} s ON s.name = d.name)"
 _OPEN, _STOPPED = (", ".join(f"'{a}'" for a in x) for x in (V.OPEN_ACTIONS, V.BLOCKED_ACTIONS))
@@ -66,6 +77,7 @@ _Q = {
     "live_titles_sorted": (R.sorted_titles, f"SELECT ns.name AS namespace, d.title FROM {LIVE} r {NAMED} ORDER BY 1, 2"),
     "block_history": (R.block_history, f"SELECT m.name, {AUTHOR} AS target, m.reason, strftime(m.created_at, '%Y-%m-%d') AS created_at, strftime(m.removed_at, '%Y-%m-%d') AS removed_at FROM (SELECT * FROM {{acl_group_member}} ORDER BY created_at DESC, name, actor_id LIMIT 100) m LEFT JOIN {{actor}} a ON a.id = m.actor_id"),
     "thread_pages": (lambda w: R.thread_pages(w, w.thread.select(F.col("id").alias("thread_id"))), f"SELECT r.id AS thread_id, {DISPLAY} AS page, r.topic, r.status, c.sequence, c.author, CASE WHEN c.hidden THEN '' ELSE c.content END AS content, c.hidden FROM {{thread}} r {NAMED} JOIN {{thread_comment}} c ON c.thread_id = r.id"),
+    "edit_request_views": (lambda w: R.edit_request_views(w, VIEWER, NOW), _VIEWS_SQL),
     "edit_request_pages": (R.edit_request_pages, f"SELECT r.id, {DISPLAY} AS page, {AUTHOR} AS author, r.status, b.sequence AS base_sequence, coalesce(l.content, '') AS current, r.content, r.status = 'open' AS is_open FROM {{edit_request}} r {NAMED} JOIN {{actor}} a ON a.id = r.actor_id LEFT JOIN {{revision}} b ON b.id = r.base_revision_id LEFT JOIN {LIVE} l ON l.document_id = r.document_id"),
     "page_views": (lambda w: R.page_views(w, _titles(w), 7), f"SELECT {_SHOWN} AS page, l.content AS source, CAST(NULL AS VARCHAR) AS redirect, l.sequence, l.kind, (SELECT count(*) FROM {{reference}} f WHERE f.target_namespace_id = d.namespace_id AND f.target_title = d.title) AS backlinks, (SELECT count(*) FROM {{thread}} t WHERE t.document_id = d.document_id) AS threads, d.document_id IN (SELECT document_id FROM {{star}} WHERE user_id = 7) AS starred FROM {ASKED_SQL} JOIN {_DOCS} d ON d.namespace = q.namespace AND d.title = q.title JOIN {LIVE} l ON l.document_id = d.document_id"),
     "raw_texts": (lambda w: R.raw_texts(w, _titles(w)), f"SELECT {_SHOWN} AS page, l.content FROM {ASKED_SQL} JOIN {_DOCS} d ON d.namespace = q.namespace AND d.title = q.title JOIN {LIVE} l ON l.document_id = d.document_id"),
