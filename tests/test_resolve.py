@@ -30,7 +30,7 @@ def content(source):
 @pytest.mark.parametrize(
     ("source", "want"),
     [
-        ("=공백없음=", ["paragraph"]), ("==# x #==", ["heading"]), ("----", ["horizontalRule"]), ("---", ["paragraph"]), ("첫 줄\n둘째 줄\n\n새 문단", ["paragraph"]),
+        ("=공백없음=", ["paragraph"]), ("==# x #==", ["heading"]), ("----", ["horizontalRule"]), ("---", ["paragraph"]), ("바람이 분다\n물이 흐른다\n\n밤이 온다", ["paragraph"]),
         (" * 항목\n\n문단", [("list", [["paragraph"]]), "paragraph"]), (" 1. 하나\n 2. 둘", [("list", [["paragraph"]])]), (" 1. a\n a. b", [("list", [["paragraph"]]), ("list", [["paragraph"]])]),
         (" * a\n  * b\n * c", [("list", [["paragraph", ("list", [["paragraph"]])], ["paragraph"]])]), ("> x", [("quote", [("indent", ["paragraph"])])]), (">x", [("quote", ["paragraph"])]), ("> a\n>> b", [("quote", [("indent", ["paragraph"]), ("quote", [("indent", ["paragraph"])])])]),
         ("a\n## c\nb", ["paragraph"]), ("||a\nb||\n## c\n||d||", ["table"]), ("||open\nnever", ["paragraph"]), ("#redirect X", []), ("  deep", [("indent", [("indent", ["paragraph"])])]),
@@ -43,7 +43,7 @@ def test_blocks(source, want):
 
 def test_paragraphs():
     kinds = lambda s: [x["type"] for x in content(s)]
-    assert kinds("첫 줄\n둘째 줄\n\n새 문단") == ["text", "lineBreak", "text", "lineBreak", "lineBreak", "text"]
+    assert kinds("바람이 분다\n물이 흐른다\n\n밤이 온다") == ["text", "lineBreak", "text", "lineBreak", "lineBreak", "text"]
     assert [x["text"] for x in content("a\n## c\nb") if x["type"] == "text"] == ["a", "b"]
     t = tree("[[분류:X]]\n[include(틀:T)]\n[목차]\n[clearfix]")
     assert t["categories"] == ["X"] and [x["type"] for x in t["blocks"][-1]["content"]] == ["tableOfContents", "lineBreak", "clearFix"]
@@ -166,7 +166,7 @@ def test_details_of_trees():
     assert [cell(s)["horizontalAlignment"] for s in ("|| x ||", "|| x||", "||x ||", "||x||", "||<)> x ||")] == ["center", "right", "left", None, "right"]
     assert (cell("||<^|1> x ||")["rowSpan"], cell("||<^|1> x ||")["verticalAlignment"], cell("||<v|2>x||")["verticalAlignment"]) == (1, "top", "bottom")
     assert tree("[[분류:Kinds#blur]][[분류:More|key]]")["categories"] == ["Kinds#blur", "More"] and tree("#넘겨주기 Far away#s-1")["redirect"] == "Far away#s-1"
-    assert tree("== One --two-- ==")["blocks"][0]["anchor"] == "One two" and content("{{{#!syntax rust\nfn main() {}\n}}}")[0]["source"] == "fn main() {}"
+    assert tree("== One --two-- ==")["blocks"][0]["anchor"] == "One two" and content("{{{#!syntax lua\nprint(1 < 2)\n}}}")[0]["source"] == "print(1 < 2)"
     links = [(x["title"], x["anchor"], x["kind"], x["display"][0]["text"]) for x in content("[[#part]][[##]][[|shown]][[\\#1]][[a\\|b]][[ 파일:x]]")]
     assert links == [("", "part", "existing", "#part"), ("#", None, "missing", "#"), ("", None, "current", "shown"), ("#1", None, "missing", "#1"), ("a|b", None, "missing", "a|b"), (" 파일:x", None, "missing", " 파일:x")]
     nested = tree("[* outer [* inner]]\n[각주]")
