@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from ._common import frugal, pieces, shared_dir, stored, table, texts
 from ._tokens import Encoder, _Table, vocabulary
 
-WORDS, PIECES = 200_000, 20_000  # entries of the tables' younger halves; some 400 bytes a word
+WORDS, PIECES = 300_000, 20_000  # entries of the tables' younger halves; some 400 bytes a word
 TEXTS, CHARS = 512, 2 << 20  # aligned at once
 PAIRS = 1 << 20  # different pairs that a task adds up before it passes them on
 SHARD_ROWS = 1 << 20  # partial counts to a shard, on average
 LOOKED_UP = 1 << 20  # links looked up at once
 SPACE = "▁"
+FIRST = " a"  # before words that are learnt
+LINES = re.compile(r"\S+(?:\n\S+)+").fullmatch
 
 Aligned = tuple[bytes, int, int, bytes]  # packed links, tokens of either, groups as text
 
@@ -80,7 +82,7 @@ class Aligner:
         self.by_words = (
             self.a.kind == "byte" and spec.trainer_spec.model_type == spec.trainer_spec.BPE and spec.trainer_spec.byte_fallback and not any(p.type == p.USER_DEFINED for p in spec.pieces)
             and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces and not normal.precompiled_charsmap
-            and not spec.trainer_spec.treat_whitespace_as_suffix and all(re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) for p in names)
+            and not spec.trainer_spec.treat_whitespace_as_suffix and all(re.fullmatch(f"{SPACE}*[^{SPACE}\n]*", p) for p in names)
         )
         self.words = _Table(self._word, WORDS)
         # Ids as text, with the mark that follows them within a group and at its end; and how long these are.
@@ -89,8 +91,10 @@ class Aligner:
         self.a_array, self.b_array = np.array(self.a_sizes), np.array(self.b_sizes)
 
     def learn(self, words: list[str]) -> None:
-        """Aligns words as one text with a space before each; if its bytes don't come back, words are aligned one by one when asked for."""
-        text = " ".join(words)
+        """Aligns words, each with a space or line feed before it, as one text; if its bytes don't come back, they are aligned one by one
+        when asked for."""
+        words = [FIRST, *words]
+        text = "".join(words)[1:]
         want = b" " + text.encode()
         a, b = self.a.library.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
         if b"".join(map(self.a_bytes.__getitem__, a)) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
@@ -108,7 +112,7 @@ class Aligner:
         code = code[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
         shown = "".join(map(self.shown.__getitem__, code.tolist())).encode()
         ends = np.cumsum(np.concatenate([[0], self.widths[code]]))
-        words_end = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in words])
+        words_end = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
         group = np.searchsorted(common, words_end)  # the last of each word; a word's end is the end of tokens of both
         upto_a, upto_b = np.searchsorted(group_a, group, "right"), np.searchsorted(group_b, group, "right")
         at_link = at_text = at_a = at_b = 0
@@ -126,7 +130,10 @@ class Aligner:
         return links, len(a), len(b), ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found).encode()
 
     def _word(self, word: str) -> Aligned | None:
-        return self._aligned(np.frombuffer(self.a.chunk(" " + word), "<u4").tolist(), self.b.encode(word), word)
+        if word[0] != " ":  # after another, whose part is taken off
+            first, both = self.words[FIRST], self.whole(FIRST[1:] + word)
+            return both and (both[0][len(first[0]) :], both[1] - first[1], both[2] - first[2], both[3][len(first[3]) + 1 :])
+        return self._aligned(np.frombuffer(self.a.chunk(word), "<u4").tolist(), self.b.encode(word[1:]), word[1:])
 
     def whole(self, text: str) -> Aligned | None:
         """By the libraries alone."""
@@ -134,15 +141,31 @@ class Aligner:
 
     def __call__(self, texts: list[str | None]) -> list[Aligned | None]:
         """None for a text without tokens."""
-        cut = [self.a.cut(" " + t) if t and self.by_words else None for t in texts]
-        cut = [None if words and "" in words else words for words in cut]
+        cut = [self.cut(t) if t and self.by_words else None for t in texts]
         new = [w for w in set(chain.from_iterable(filter(None, cut))) if not self.words.knows(w)]
         # White space at a word's end could run into the next one's.
-        new = sorted(w for w in new if not (w[0].isspace() or w[-1].isspace() or SPACE in w))
+        new = sorted(w for w in new if not (w[1].isspace() or w[-1].isspace() or SPACE in w))
         for i in range(0, len(new), WORDS // 4):
             self.learn(new[i : i + WORDS // 4])
         return [(self._joined(words, t) if words else self.whole(t)) if t else None for t, words in zip(texts, cut, strict=True)]
 
+    def cut(self, text: str) -> list[str] | None:
+        """Words with the space or line feed before each; None if the text has to be taken as a whole."""
+        words = self.a.cut(" " + text)
+        if not words or "" in words:
+            return None
+        if "\n" not in text:
+            return [" " + w for w in words]
+        out = []
+        for w in words:
+            if "\n" in w and LINES(w):  # single line feeds between what isn't white space are tokens of their own
+                first, *more = w.split("\n")
+                out.append(" " + first)
+                out += ["\n" + m for m in more]
+            else:
+                out.append(" " + w)
+        return out
+
     def _joined(self, words: list[str], text: str) -> Aligned | None:
         found = list(map(self.words.__getitem__, words))
         if None in found:
