@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registered import scalar
+from ..sources.storage import stored
 from .pages import display, with_author, with_titles
 
 
@@ -97,6 +98,26 @@ def decisions(w, action: str, as_of: str, strict: bool = True) -> DataFrame:
     return rules.unionByName(actors)
 
 
+def class_decisions(w, action: str, as_of: str, strict: bool = True) -> DataFrame:
+    """Every document's decision for every actor, settled: (document_id, class, allowed, rule_id) for each document and class of actors, and
+    (actor_id, class) for each actor. A class is what rules can know its actors by; it shows groups by name, users and networks by
+    `kind:value`. First matching rule by scope, order and id; none means denied. Rules are settled for each namespace, and for each
+    document that has some; the rows of documents and classes are the answer itself."""
+    shown = F.transform(F.filter("labels", lambda x: ~x.isin(NAMED, UNNAMED)), lambda x: F.regexp_replace(x, "^group:(?!group:|user:|ip:)", ""))
+    class_ = F.to_json(F.struct(F.array_contains("labels", NAMED).alias("named"), F.array_sort(shown).alias("groups"))).alias("class")
+    actors = stored(actor_labels(w, action, as_of).groupBy("actor_id").agg(F.collect_set("who").alias("labels")).select("actor_id", class_, "labels"))
+    classes = stored(actors.groupBy("class").agg(F.first("labels").alias("labels")))  # one set of labels a class
+    rules = settled_rules(w, action, strict).join(classes.select("class", F.explode("labels").alias("who")), "who")
+    own = rules.where("document_id is not null").groupBy("document_id", "class").agg(F.min("r").alias("own"))
+    shared = rules.where("document_id is null").groupBy("namespace_id", "class").agg(F.min("r").alias("shared"))
+    each = w.document.select(F.col("id").alias("document_id"), F.when(F.col("id").isNotNull(), F.col("namespace_id")).alias("namespace_id")).crossJoin(classes.select("class"))
+    settled = each.join(shared, ["namespace_id", "class"], "left").join(own, ["document_id", "class"], "left").withColumn("r", F.coalesce("own", "shared"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return settled.select("document_id", none("long", "actor_id"), "class", F.coalesce("r.allowed", F.lit(False)).alias("allowed"), "r.rule_id").unionByName(
+        actors.select(none("long", "document_id"), "actor_id", "class", none("boolean", "allowed"), none("long", "rule_id"))
+    )
+
+
 def decided(w, requests: DataFrame, action: str, as_of: str, strict: bool = True) -> DataFrame:
     """id, allowed, rule_id for each of requests(id, document_id, actor_id), ids being unique: the first matching rule by scope, order and
     id; none means denied. Requests meet rules by label in equi-joins; those of a document or actor that isn't there are denied."""
