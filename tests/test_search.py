@@ -150,3 +150,23 @@ def test_last_call_counts_within_a_commit(spark):
     assert [r.title for r in index.search("again").collect()] == ["A"]
     index.commit()  # nothing was called
     assert len(index.segments()) == 3
+
+
+def test_frequencies_are_those_of_the_pages_in_force(spark):
+    """Before any merge: neither pages removed nor older texts of replaced ones weigh in."""
+    index, known = S.Index(spark, shared_path(spark)), {("main", f"T{n}"): "wiki " * (n % 5) + "some page" for n in range(40)}
+    index.put(spark.createDataFrame([(*k, t) for k, t in known.items()], PAGE))
+    index.commit()
+    for removed, replaced in (("T1", "T2"), ("T3", "T4")):
+        gone = [k for k in known if k[1].startswith(removed)]
+        new = {k: "a new wiki" for k in known if k[1].startswith(replaced)}
+        index.remove(spark.createDataFrame([(*k, "") for k in gone], PAGE))
+        index.put(spark.createDataFrame([(*k, t) for k, t in new.items()], PAGE))
+        index.commit()
+        known = {k: t for k, t in known.items() if k not in gone} | new
+        for q in ("wiki", "wiki page -new", "title:T2 content:new"):
+            want = scores(q, [(*k, t) for k, t in known.items()])
+            assert {(r.namespace, r.title): r.score for r in index.search(q, 100).collect()} == pytest.approx(want, abs=2e-6), q
+    index.remove(spark.createDataFrame([(*k, "") for k in known], PAGE))
+    index.commit()
+    assert index.search("wiki").collect() == []
