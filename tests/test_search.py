@@ -3,7 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.operators import search as S
@@ -170,3 +173,16 @@ def test_frequencies_are_those_of_the_pages_in_force(spark):
     index.remove(spark.createDataFrame([(*k, "") for k in known], PAGE))
     index.commit()
     assert index.search("wiki").collect() == []
+
+
+def test_postings_of_a_range_are_made_in_little_memory():
+    """Of 4 MB of text in one batch: 132 MB measured, of 426 before grams were taken by kind."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"ord": list(range(1000)), "namespace": ["main"] * 1000, "title": [f"T{n}" for n in range(1000)], "content": texts})
+    tracemalloc.start()
+    n = sum(sum(b.column("n").to_pylist()) for b in S.blocks(iter([batch])) if b.column("field")[0].as_py() == "content")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == sum(len({t[i : i + k] for k in (2, 3) for i in range(len(t) - k + 1)}) for t in texts)
+    assert peak < 250 << 20
