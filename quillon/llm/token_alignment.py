@@ -67,7 +67,7 @@ class Aligner:
         from sentencepiece import sentencepiece_model_pb2 as model
 
         self.a = Encoder(first, plain=True)
-        self.a.pieces = _Table(self.a._piece, PIECES)
+        self.a.pieces, self.a.chunks = _Table(self.a._piece, PIECES), _Table(self.a._chunk, PIECES)
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         back = {c: b for b, c in self.a.letters.items()}
         self.a_bytes = [bytes(back.get(c, 0) for c in self.a.library.id_to_token(i) or "") for i in range(self.a.library.get_vocab_size())]

@@ -19,3 +19,11 @@ def test_ids_equal_the_library(name):
     for text in HARD + made:
         want = e.library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(e.ids(text), "<u4").tolist() == want, repr(text)
+
+
+def test_words_of_letters_stand_in_one_table():
+    from quillon.llm._tokens import Encoder, vocabulary
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e, text = Encoder(vocabulary(name)), "Some words, some Words. more words"
+        assert e.ids(text) == e.whole(text) and not any(p.strip().isalpha() and p[:1] == " " or e.kind == "word" and p.isalpha() for p in e.pieces)
