@@ -2,6 +2,9 @@
 rows and put into their trees. So titles that only come up while a page is rendered (built from a template's arguments, relative to
 the page) are looked up like any others, and nothing is guessed beforehand.
 
+Answers are looked up among the revisions of the documents that are asked about, and are put into the trees' JSON as text. If they are few
+(ANSWER_BYTES), they go to every task and no tree is shuffled; else they are joined to the rows.
+
 Templates are shared: the most used ones, up to SHARED_BYTES, go to every task as one dictionary, with what their fixed links refer to,
 and leave no copy in any page's row. Only pages that include other templates are rendered a second time, with these joined to them.
 Templates don't expand what they include in turn, so two rounds are all there can be.
@@ -13,6 +16,7 @@ the least text counts, null being empty; extra columns are ignored. An empty tab
 from __future__ import annotations
 
 import json
+from collections import ChainMap
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -26,9 +30,10 @@ from ..functions.emit import to_html
 from ..functions.text import MARKERS, parse_title
 from ..sources.storage import stored
 from .markup import STEP, rows_of
-from .pages import live, with_titles
+from .pages import live
 
 SHARED_BYTES = 32 << 20  # of templates that go to every task
+ANSWER_BYTES = 8 << 20  # of answers that go to every task
 
 
 def candidates(pages: DataFrame) -> DataFrame:
@@ -36,18 +41,18 @@ def candidates(pages: DataFrame) -> DataFrame:
     return rows_of(pages, ["text", "title"], M.references, "kind string, target string")
 
 
-def existing(w, asked: DataFrame) -> DataFrame:
-    """Of asked(target), distinct written titles, those that are live pages."""
-    alive = with_titles(live(w.revision).select("document_id"), w.document, w.namespace).select("namespace", "title", F.lit(True).alias("there"))
-    named = asked.select("target", *parse_title(F.col("target")))
-    return named.join(alive, ["namespace", "title"], "left_semi").select("target")
+def meant(w, asked: DataFrame) -> DataFrame:
+    """(kind, target, document_id) of asked(kind, target): the documents that links and images mean, whether they are live or not."""
+    names = w.document.select(F.col("id").alias("document_id"), "namespace_id", "title").join(F.broadcast(w.namespace.select(F.col("id").alias("namespace_id"), F.col("name").alias("namespace"))), "namespace_id")
+    links = asked.where("kind = 'link'").select("kind", "target", *parse_title(F.col("target")))
+    images = asked.where("kind = 'image'").select("kind", "target", F.lit("file").alias("namespace"), F.col("target").alias("title"))
+    return links.union(images).join(names, ["namespace", "title"]).select("kind", "target", "document_id")
 
 
-def answered(w, asked: DataFrame) -> DataFrame:
-    """Of asked(kind, target), each once, those with an answer: links to live pages, images whose file page is live."""
-    files = with_titles(live(w.revision).select("document_id"), w.document, w.namespace).where("namespace = 'file'").select(F.col("title").alias("target"))
-    links = existing(w, asked.where("kind = 'link'").select("target")).select(F.lit("link").alias("kind"), "target")
-    return links.union(asked.where("kind = 'image'").select("target").join(files, "target", "left_semi").select(F.lit("image").alias("kind"), "target"))
+def answered(w, documents: DataFrame) -> DataFrame:
+    """(kind, target), each once, of meant() documents that are live; only their revisions are sorted by age."""
+    alive = live(w.revision.join(documents.select("document_id").distinct(), "document_id", "left_semi")).select("document_id")
+    return documents.join(alive, "document_id", "left_semi").select("kind", "target").distinct()
 
 
 def file_url(name: str) -> str:
@@ -74,22 +79,6 @@ def shared_templates(pages: DataFrame, templates: DataFrame, most: int) -> tuple
     return {r.name: r.text for r in used.where(F.col("class") >= least).select("name", "text").collect()}, used.where(F.col("class") < least).select("name", "text")
 
 
-def put_in(tree: dict, links: set[str], images: set[str]) -> dict:
-    """A tree with the answers to what it asked: links to pages that are there, images with their files."""
-    todo: list = [tree]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, list):
-            todo += x
-        elif isinstance(x, dict):
-            if x.get("type") == "documentLink" and x["kind"] == "missing" and x["title"] in links:
-                x["kind"] = "existing"
-            elif x.get("type") == "image" and x["fileName"] in images:
-                x["url"] = file_url(x["fileName"])
-            todo += [v for v in x.values() if isinstance(v, (dict, list))]
-    return tree
-
-
 FIRST = "id long, title string, text string, tree string, redirect string, categories array<string>, links array<string>, images array<string>, wanting array<string>, unknown long"
 LIST = pa.list_(pa.string())
 
@@ -108,20 +97,20 @@ def _in_steps(batches: Iterator[pa.RecordBatch], columns: list[str], make, names
         yield pack(out)
 
 
-def rendered(w, pages: DataFrame, templates: DataFrame, now: datetime | None = None, most: int = SHARED_BYTES) -> DataFrame:
+def rendered(w, pages: DataFrame, templates: DataFrame, now: datetime | None = None, most: int = SHARED_BYTES, at_hand: int = ANSWER_BYTES) -> DataFrame:
     """id, tree (JSON of what is shown), redirect, categories, unknown (how many titles the page asked about that were not looked up)."""
     spark = pages.sparkSession
     pages = pages.select(F.col("id").cast("long").alias("id"), F.col("title").cast("string").alias("title"), F.col("text").cast("string").alias("text"))
     hot, others = shared_templates(pages, templates, most)
     fixed = {(k, t) for source in hot.values() for k, t in M.references(source) if k in ("link", "image") and t[:3] != "../" and t[:1] != "/"}
-    known = answered(w, spark.createDataFrame(sorted(fixed), "kind string, target string")).collect() if fixed else []
-    shared = spark.sparkContext.broadcast((hot, fixed, {t for k, t in known if k == "link"}, {t: file_url(t) for k, t in known if k == "image"}))
+    known = answered(w, meant(w, spark.createDataFrame(sorted(fixed), "kind string, target string"))).collect() if fixed else []
+    shared = spark.sparkContext.broadcast((hot, fixed, frozenset(t for k, t in known if k == "link"), {t: file_url(t) for k, t in known if k == "image"}))
     complete = others is None
 
-    def render(id_: int, title: str | None, text: str | None, own: list[dict] | None, last: bool) -> tuple:
+    def render(id_: int, title: str | None, text: str | None, own: list[dict] | None, last: bool, read: dict) -> tuple:
         given, asked, exists, files = shared.value
-        mine = given | {t["name"]: t["text"] for t in own} if own else given
-        tree, r = R.resolve(text or "", R.Context(frozenset(exists), mine, files, title or "", now))
+        mine = ChainMap({t["name"]: t["text"] for t in own}, given) if own else given
+        tree, r = R.resolve(text or "", R.Context(exists, mine, files, title or "", now, read))
         wanting = [] if last else sorted(t for t in r.asked["include"] if t not in mine)
         left = [sorted(t for t in r.asked[k] if (k, t) not in asked) for k in ("link", "image")]
         return id_, title, text if wanting else None, R.to_json(tree), tree["redirect"], tree["categories"], *left, wanting, 0
@@ -130,10 +119,12 @@ def rendered(w, pages: DataFrame, templates: DataFrame, now: datetime | None = N
     kinds = [pa.int64(), *[pa.string()] * 4, *[LIST] * 4, pa.int64()]
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _in_steps(batches, ["id", "title", "text"], lambda *v: render(*v, None, complete), names, kinds)
+        read: dict = {}
+        yield from _in_steps(batches, ["id", "title", "text"], lambda *v: render(*v, None, complete, read), names, kinds)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _in_steps(batches, ["id", "title", "text", "own"], lambda *v: render(*v, True), names, kinds)
+        read: dict = {}
+        yield from _in_steps(batches, ["id", "title", "text", "own"], lambda *v: render(*v, True, read), names, kinds)
 
     rows = stored(pages.mapInArrow(once, FIRST).withColumn("row", F.monotonically_increasing_id()))
     if not complete:
@@ -145,19 +136,26 @@ def rendered(w, pages: DataFrame, templates: DataFrame, now: datetime | None = N
     of_kind = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target"))
     every = F.concat(F.transform("links", of_kind("link")), F.transform("images", of_kind("image")))
     asked = rows.select("row", F.explode(every).alias("a")).select("row", "a.*")
-    answers = stored(answered(w, asked.select("kind", "target").distinct()))
+    documents = stored(meant(w, asked.select("kind", "target").distinct()))
+    answers = answered(w, documents)
+    out = "id long, tree string, redirect string, categories array<string>, unknown long"
+    columns, kinds_out = [c.split(" ")[0] for c in out.split(", ")], [pa.int64(), pa.string(), pa.string(), LIST, pa.int64()]
+
+    def settle(batches: Iterator[pa.RecordBatch], told, *given: str) -> Iterator[pa.RecordBatch]:
+        def make(id_: int, tree: str, redirect: str | None, categories: list[str], unknown: int, *about) -> tuple:
+            links, images = told(*about)
+            return id_, R.answered_in(tree, links, {t: file_url(t) for t in images}), redirect, categories, unknown
+
+        yield from _in_steps(batches, [*columns, *given], make, columns, kinds_out)
+
+    if (documents.agg(F.sum(F.octet_length("target") + 64)).first()[0] or 0) <= at_hand:  # the trees stay where they are
+        found = answers.collect()
+        there = spark.sparkContext.broadcast(tuple(frozenset(r.target for r in found if r.kind == kind) for kind in ("link", "image")))
+        among = lambda *asked_for: [[t for t in titles or () if t in known] for titles, known in zip(asked_for, there.value, strict=True)]
+        return rows.select(*columns, "links", "images").mapInArrow(lambda batches: settle(batches, among, "links", "images"), out)
     told = asked.join(answers, ["kind", "target"]).groupBy("row").agg(F.collect_list(F.struct("kind", "target")).alias("told"))
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(id_: int, tree: str, redirect: str | None, categories: list[str], told: list[dict] | None, unknown: int) -> tuple:
-            if told:
-                of = lambda kind: {t["target"] for t in told if t["kind"] == kind}
-                tree = R.to_json(put_in(json.loads(tree), of("link"), of("image")))
-            return id_, tree, redirect, categories, unknown
-
-        yield from _in_steps(batches, ["id", "tree", "redirect", "categories", "told", "unknown"], make, ["id", "tree", "redirect", "categories", "unknown"], [pa.int64(), pa.string(), pa.string(), LIST, pa.int64()])
-
-    return rows.join(told, "row", "left").select("id", "tree", "redirect", "categories", "told", "unknown").mapInArrow(settle, "id long, tree string, redirect string, categories array<string>, unknown long")
+    of_row = lambda told: [[t["target"] for t in told or () if t["kind"] == kind] for kind in ("link", "image")]
+    return rows.join(told, "row", "left").select(*columns, "told").mapInArrow(lambda batches: settle(batches, of_row, "told"), out)
 
 
 def html_of(trees: DataFrame) -> DataFrame:

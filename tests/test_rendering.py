@@ -81,3 +81,23 @@ def test_a_template_of_all_pages_leaves_no_copy(spark, wiki):
 
 def test_no_pages(spark, wiki):
     assert N.rendered(wiki, spark.createDataFrame([], PAGES), spark.createDataFrame([], "name string, text string")).collect() == []
+
+
+def test_few_answers_move_no_tree(spark, wiki):
+    """Few answers go to every task, and many are joined: the rows are the same, but only the latter are shuffled."""
+    pages = spark.createDataFrame([t[:3] for t in TEXTS], PAGES)
+    few, many = (N.rendered(wiki, pages, spark.createDataFrame(TEMPLATES, "name string, text string"), **k) for k in ({}, {"at_hand": 0}))
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (few, many)]
+    assert "Join" not in plans[0] and "Join" in plans[1]
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_answers_in_the_text_of_a_tree():
+    """Only what a node has asked is answered, whatever is written elsewhere."""
+    odd = ['q"t', "b\\s", '"kind": "missing"', "줄", '"type": "image", "fileName": "p.png", "url": null', "x#y"]
+    source = "== [[A]] ==\n" + "\n".join(f"[[{t}]] [[B|{t} [[{t}]]]] {t} [[{t}#a\"b]] [[파일:{t}]] {{{{{{{t}}}}}}}" for t in odd) + "\n[[파일:p.png]] [* [[A]] [[파일:p.png]]]"
+    tree, r = R.resolve(source, R.Context(title="T"))
+    assert R.answered_in(R.to_json(tree), [], {}) == R.to_json(tree)
+    links, images = r.asked["link"] - {"B"}, {n: f'/"{n}' for n in r.asked["image"] if n != "줄"}
+    want, _ = R.resolve(source, R.Context(frozenset(links), {}, images, "T"))
+    assert len(links) > 4 and len(images) > 4 and R.answered_in(R.to_json(tree), links, images) == R.to_json(want)

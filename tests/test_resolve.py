@@ -171,3 +171,21 @@ def test_details_of_trees():
     assert links == [("", "part", "existing", "#part"), ("#", None, "missing", "#"), ("", None, "current", "shown"), ("#1", None, "missing", "#1"), ("a|b", None, "missing", "a|b"), (" 파일:x", None, "missing", " 파일:x")]
     nested = tree("[* outer [* inner]]\n[각주]")
     assert [(f["label"], f["referenceNumbers"]) for f in nested["footnotes"]] == [("1", [1]), ("2", [2])] and nested["footnotes"][0]["content"] == [{"type": "text", "text": "inner"}]
+
+
+def test_a_template_is_read_once(monkeypatch):
+    """Contexts of a task share what was read; long templates are read anew, so that what is kept is bounded."""
+    seen, plain = [], M.parse
+    monkeypatch.setattr(M, "parse", lambda source: seen.append(source) or plain(source))
+    templates, read = {"T": "{{{#!if a == '1'\nx @a@\n}}} [[@a@]]", "Long": "y" * 5_000}, {}
+    pages = [f"[include(T, a={i % 3})] [include(T, a=1)] [include(Long)]" for i in range(20)]
+    got = [resolve(p, Context(templates=templates, read=read))[0] for p in pages]
+    assert seen.count(templates["T"]) == 1 and seen.count(templates["Long"]) == 20 and len(read) == 1
+    assert got == [resolve(p, Context(templates=templates))[0] for p in pages]
+
+
+def test_plain_text_is_passed_over():
+    """Blanks and lines are no marks to be listed: a footnote's name and a link's bar are looked for inside of them only."""
+    reader = M.Reader("[*n a note] [[A|b]]\n" + "many words | here\n" * 1_000)
+    reader.document()
+    assert not {" ", "|", "\n"} & set(reader.places)
