@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +20,7 @@ from ..functions.condition import evaluate
 STEP = 1_000_000
 
 
-def rows_of(d: DataFrame, columns: list[str], make: Callable[..., list[tuple]], schema: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+def rows_of(d: DataFrame, columns: list[str], make: Callable[..., Iterable[tuple]], schema: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """make(text columns) gives rows; each comes with its keys (longs). Nulls are empty texts; a row whose key is null keeps it; other
     columns are ignored; repeated rows are worked on one by one."""
     kind = StructType.fromDDL(", ".join([*(f"{k} long" for k in keys), schema]))
@@ -36,11 +36,13 @@ def rows_of(d: DataFrame, columns: list[str], make: Callable[..., list[tuple]],
             for values in zip(*(batch.column(c) for c in [*keys, *columns]), strict=True):
                 key = tuple(v.as_py() for v in values[: len(keys)])
                 texts = [v.as_py() or "" for v in values[len(keys) :]]
-                out += [(*key, *row) for row in make(*texts)]
                 size += sum(map(len, texts))
-                if size >= STEP:  # whole texts: the rows of a batch go out in parts
-                    yield packed(out)
-                    out, size = [], 0
+                for row in make(*texts):
+                    out.append((*key, *row))
+                    size += sum(len(v) for v in row if isinstance(v, str))
+                    if size >= STEP:  # whole texts: the rows of a batch go out in parts
+                        yield packed(out)
+                        out, size = [], 0
             yield packed(out)
 
     return d.select(*(F.col(k).cast("long").alias(k) for k in keys), *columns).mapInArrow(run, kind)

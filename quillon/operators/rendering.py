@@ -15,7 +15,6 @@ the least text counts, null being empty; extra columns are ignored. An empty tab
 
 from __future__ import annotations
 
-import json
 from collections import ChainMap
 from collections.abc import Iterator
 from datetime import datetime
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import resolve as R
+from ..functions.deep import from_json
 from ..functions.emit import to_html
 from ..functions.text import MARKERS, parse_title
 from ..sources.storage import stored
@@ -160,7 +160,7 @@ def rendered(w, pages: DataFrame, templates: DataFrame, now: datetime | None = N
 
 def html_of(trees: DataFrame) -> DataFrame:
     """id and html of rendered(id, tree)."""
-    return rows_of(trees, ["tree"], lambda tree: [(to_html(json.loads(tree)),)], "html string")
+    return rows_of(trees, ["tree"], lambda tree: [(to_html(from_json(tree)),)], "html string")
 
 
 def references_asked(pages: DataFrame, templates: DataFrame | None = None) -> DataFrame:
